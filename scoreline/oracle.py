@@ -104,3 +104,114 @@ SELECT game_id, team_id, is_home,
 FROM fx_long
 WINDOW w AS (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)
 """, "fx_long")
+
+SQL["rest_and_b2b"] = with_fx("""
+SELECT game_id, team_id,
+       CAST(LEAST(COALESCE(rd, 3), 7) AS INT) AS rest_days,
+       CAST(CASE WHEN COALESCE(rd, 3) = 1 THEN 1 ELSE 0 END AS INT) AS b2b
+FROM (SELECT game_id, team_id,
+             CAST(date_diff('day', LAG(game_date) OVER (PARTITION BY team_id ORDER BY game_date, game_id), game_date) AS INT) AS rd
+      FROM fx_long) t
+""", "fx_long")
+
+SQL["explode_sides"] = with_fx("SELECT * FROM fx_long", "fx_long")
+
+SQL["pair_home_away"] = with_fx("SELECT * FROM fx_games", "fx_games")
+
+SQL["unpaired_rows"] = with_fx("""
+SELECT * FROM fx_team_games
+WHERE game_id IN (SELECT game_id FROM fx_team_games GROUP BY game_id
+                  HAVING NOT (sum(CASE WHEN is_home = 1 THEN 1 ELSE 0 END) = 1
+                          AND sum(CASE WHEN is_home = 0 THEN 1 ELSE 0 END) = 1
+                          AND min(team_id) <> max(team_id)))
+""", "fx_team_games")
+
+SQL["season_ids"] = with_fx("""
+SELECT CASE WHEN length(CAST(game_id AS VARCHAR)) < 10 THEN lpad(CAST(game_id AS VARCHAR), 10, '0')
+            ELSE CAST(game_id AS VARCHAR) END AS game_id, game_date
+FROM fx_games WHERE season = 2020
+""", "fx_games")
+
+SQL["table_profile"] = with_fx("""
+SELECT 'pbp' AS table_name, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT game_id) AS BIGINT) AS n_keys,
+       CAST(trunc(count(*) / count(DISTINCT game_id)) AS BIGINT) AS rows_per_key,
+       CAST(NULL AS DATE) AS min_date, CAST(NULL AS DATE) AS max_date
+FROM fx_pbp
+UNION ALL
+SELECT 'games', CAST(count(*) AS BIGINT), CAST(count(DISTINCT game_id) AS BIGINT),
+       CAST(trunc(count(*) / count(DISTINCT game_id)) AS BIGINT), min(game_date), max(game_date)
+FROM fx_games
+""", "fx_pbp", "fx_games")
+
+SQL["form_summary"] = with_fx("""
+SELECT column_name, CAST(count(value) AS BIGINT) AS n, round(avg(value), 6) AS mean,
+       round(stddev_samp(value), 6) AS stddev, min(value) AS min, max(value) AS max
+FROM (UNPIVOT (SELECT CAST(games_played AS DOUBLE) AS games_played,
+                      CAST(roll_pts_for AS DOUBLE) AS roll_pts_for,
+                      CAST(roll_pts_against AS DOUBLE) AS roll_pts_against,
+                      CAST(roll_pts_for - roll_pts_against AS DOUBLE) AS roll_net_rating,
+                      CAST(roll_win_rate AS DOUBLE) AS roll_win_rate,
+                      CAST(rest_days AS DOUBLE) AS rest_days, CAST(b2b AS DOUBLE) AS b2b
+               FROM form)
+       ON games_played, roll_pts_for, roll_pts_against, roll_net_rating, roll_win_rate, rest_days, b2b
+       INTO NAME column_name VALUE value) u
+GROUP BY column_name
+""", "fx_long", extra=[("form", """
+SELECT COUNT(pts_for) OVER w AS games_played,
+       AVG(pts_for) OVER w AS roll_pts_for, AVG(pts_against) OVER w AS roll_pts_against,
+       AVG(win) OVER w AS roll_win_rate,
+       LEAST(COALESCE(date_diff('day', LAG(game_date) OVER w1, game_date), 3), 7) AS rest_days,
+       CASE WHEN COALESCE(date_diff('day', LAG(game_date) OVER w1, game_date), 3) = 1 THEN 1 ELSE 0 END AS b2b
+FROM fx_long
+WINDOW w AS (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+       w1 AS (PARTITION BY team_id ORDER BY game_date, game_id)""")])
+
+SQL["new_ids"] = with_fx("""
+SELECT lpad(CAST(game_id AS VARCHAR), 10, '0') AS game_id FROM fx_games
+WHERE CAST(game_id AS BIGINT) NOT IN (SELECT DISTINCT game_id FROM fx_pbp)
+""", "fx_games", "fx_pbp")
+
+_SCORED = ("scored", """
+SELECT *, COALESCE(last_value(sh IGNORE NULLS) OVER w, 0) AS run_h,
+          COALESCE(last_value(sa IGNORE NULLS) OVER w, 0) AS run_a
+FROM (SELECT *, CASE WHEN score_home = '' THEN NULL ELSE TRY_CAST(score_home AS INT) END AS sh,
+                CASE WHEN score_away = '' THEN NULL ELSE TRY_CAST(score_away AS INT) END AS sa,
+                CAST(is_field_goal AS INT) AS fg,
+                CAST(shot_result = 'Made' AS INT) AS made,
+                CAST((TRY_CAST(shot_value AS INT) = 3) AND (shot_result = 'Made') AS INT) AS three
+      FROM fx_pbp) c
+WINDOW w AS (PARTITION BY game_id ORDER BY action_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+_SIGNED = ("signed", """
+SELECT *, run_h - run_a AS margin, CAST(sign(run_h - run_a) AS INT) AS sign FROM scored""")
+_LEADS = ("leads", """
+SELECT game_id, CAST(sum(CASE WHEN prev_sign IS NOT NULL AND sign <> prev_sign THEN 1 ELSE 0 END) AS BIGINT) AS lead_changes
+FROM (SELECT game_id, sign, LAG(sign) OVER (PARTITION BY game_id ORDER BY action_number) AS prev_sign
+      FROM signed WHERE sign <> 0) nz
+GROUP BY game_id""")
+
+SQL["running_score"] = with_fx("""
+SELECT game_id, action_number, run_h, run_a, margin, sign FROM signed
+""", "fx_pbp", extra=[_SCORED, _SIGNED])
+
+SQL["lead_changes"] = with_fx("""
+SELECT g.game_id, CAST(COALESCE(l.lead_changes, 0) AS BIGINT) AS lead_changes
+FROM (SELECT DISTINCT game_id FROM signed) g LEFT JOIN leads l ON g.game_id = l.game_id
+""", "fx_pbp", extra=[_SCORED, _SIGNED, _LEADS])
+
+SQL["contest_rollup"] = with_fx("""
+SELECT g.*, CASE WHEN num_periods > 4 THEN 1 ELSE 0 END AS overtime,
+       CAST(COALESCE(l.lead_changes, 0) AS BIGINT) AS lead_changes
+FROM (SELECT game_id, CAST(count(*) AS BIGINT) AS total_events, max(period) AS num_periods,
+             max(run_h) AS home_final, max(run_a) AS away_final, max(abs(margin)) AS max_abs_margin,
+             CAST(sum(made) AS BIGINT) AS total_fg_made, CAST(sum(three) AS BIGINT) AS total_three_made
+      FROM signed GROUP BY game_id) g
+LEFT JOIN leads l ON g.game_id = l.game_id
+""", "fx_pbp", extra=[_SCORED, _SIGNED, _LEADS])
+
+SQL["side_rollup"] = with_fx("""
+SELECT game_id, team_code, fg_att, fg_made, threes_made,
+       round(CAST(fg_made AS DOUBLE) / NULLIF(fg_att, 0), 3) AS fg_pct
+FROM (SELECT game_id, team_code, CAST(sum(fg) AS BIGINT) AS fg_att, CAST(sum(made) AS BIGINT) AS fg_made,
+             CAST(sum(three) AS BIGINT) AS threes_made
+      FROM scored WHERE team_code IS NOT NULL AND team_code <> '' GROUP BY game_id, team_code) s
+""", "fx_pbp", extra=[_SCORED])

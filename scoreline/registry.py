@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scoreline.operators import form, pairing
+from scoreline.operators import events, form, pairing, profile
 from scoreline.sources import fixtures as fx
+from scoreline.sources import landing
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,3 +40,88 @@ def q_rolling_prior_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return team_form(spark, sf_dir).select(
         "game_id", "team_id", "is_home", "games_played", "roll_pts_for",
         "roll_pts_against", "roll_net_rating", "roll_win_rate")
+
+
+@register("rest_and_b2b")
+def q_rest_and_b2b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team_form(spark, sf_dir).select("game_id", "team_id", "rest_days", "b2b")
+
+
+@register("explode_sides")
+def q_explode_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return team_long(spark, sf_dir)
+
+
+@register("pair_home_away")
+def q_pair_home_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.pair_sides(fx.fx_team_games(spark, sf_dir))
+
+
+@register("unpaired_rows")
+def q_unpaired_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.unpaired_rows(fx.fx_team_games(spark, sf_dir))
+
+
+SEASON_PARAM = 2020  # bound parameter of the season query (first season of the fixture)
+
+
+@register("season_ids")
+def q_season_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Game ids of one season in date order, zero-padded, by SQL text with a bound
+    parameter (no row cap: ``limit_ids`` with 0 keeps all)."""
+    fx.fx_games(spark, sf_dir).createOrReplaceTempView("games")
+    df = landing.read_sql(
+        spark, "SELECT game_id, game_date FROM games WHERE season = :s", s=SEASON_PARAM)
+    return limit_ids(df, 0).select(pairing.zfill_id(F.col("game_id")).alias("game_id"),
+                                   "game_date")
+
+
+def limit_ids(df: DataFrame, n: int, date: str = "game_date", key: str = "game_id") -> DataFrame:
+    """First ``n`` ids in (date, id) order; 0 keeps all (trial-run cap)."""
+    return df.orderBy(date, key).limit(n) if n else df
+
+
+@register("table_profile")
+def q_table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.table_profile(fx.fx_pbp(spark, sf_dir), "pbp", "game_id").unionByName(
+        profile.table_profile(fx.fx_games(spark, sf_dir), "games", "game_id", "game_date"))
+
+
+@register("form_summary")
+def q_form_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.describe_columns(team_form(spark, sf_dir), [
+        "games_played", "roll_pts_for", "roll_pts_against", "roll_net_rating",
+        "roll_win_rate", "rest_days", "b2b"])
+
+
+@register("new_ids")
+def q_new_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games whose play-by-play is not landed yet (landed = games present in fx_pbp)."""
+    wanted = fx.fx_games(spark, sf_dir).select(pairing.zfill_id(F.col("game_id")).alias("game_id"))
+    landed = fx.fx_pbp(spark, sf_dir).select(pairing.zfill_id(F.col("game_id")).alias("game_id"))
+    return pairing.new_ids(wanted, landed)
+
+
+def scored_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.running_score(fx.fx_pbp(spark, sf_dir))
+
+
+@register("running_score")
+def q_running_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_pbp(spark, sf_dir).select(
+        "game_id", "action_number", "run_h", "run_a", "margin", "sign")
+
+
+@register("lead_changes")
+def q_lead_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.lead_changes(scored_pbp(spark, sf_dir))
+
+
+@register("contest_rollup")
+def q_contest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.contest_rollup(scored_pbp(spark, sf_dir))
+
+
+@register("side_rollup")
+def q_side_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.side_rollup(fx.fx_pbp(spark, sf_dir))

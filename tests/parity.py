@@ -31,7 +31,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NaT or (not isinstance(v, (list, tuple, str)) and
+                                    not hasattr(v, "__len__") and pd.isna(v)):
         return None
     if isinstance(v, float):
         if math.isnan(v):
