@@ -215,3 +215,112 @@ FROM (SELECT game_id, team_code, CAST(sum(fg) AS BIGINT) AS fg_att, CAST(sum(mad
              CAST(sum(three) AS BIGINT) AS threes_made
       FROM scored WHERE team_code IS NOT NULL AND team_code <> '' GROUP BY game_id, team_code) s
 """, "fx_pbp", extra=[_SCORED])
+
+
+def dbl(x: str) -> str:
+    return f"CAST({x} AS DOUBLE)"
+
+
+def implied(o: str) -> str:
+    return (f"(CASE WHEN {o} > 0 THEN 100.0::DOUBLE / ({dbl(o)} + 100.0::DOUBLE) "
+            f"ELSE -{dbl(o)} / (-{dbl(o)} + 100.0::DOUBLE) END)")
+
+
+def decimal_odds(o: str) -> str:
+    return (f"(CASE WHEN {o} > 0 THEN {dbl(o)} / 100.0::DOUBLE + 1.0::DOUBLE "
+            f"ELSE 100.0::DOUBLE / (-{dbl(o)}) + 1.0::DOUBLE END)")
+
+
+def ev(p: str, o: str) -> str:
+    return f"({p} * ({decimal_odds(o)} - 1.0::DOUBLE) - (1.0::DOUBLE - {p}))"
+
+
+def kelly(p: str, o: str) -> str:
+    b = f"({decimal_odds(o)} - 1.0::DOUBLE)"
+    return f"greatest(0.0::DOUBLE, ({b} * {p} - (1.0::DOUBLE - {p})) / {b})"
+
+
+def stake(p: str, o: str) -> str:
+    return f"least(0.05::DOUBLE, 0.25::DOUBLE * {kelly(p, o)})"
+
+
+def r6(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+_LATEST = ("latest", """
+SELECT game_id, book, market, side, american_odds, captured_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY game_id, book, market, side
+                               ORDER BY captured_at DESC, snapshot_id DESC) AS rn
+  FROM fx_odds_snapshots) t WHERE rn = 1""")
+_TWO = ("two", """
+SELECT game_id, book, market,
+       max(CASE WHEN side = 'HOME' THEN american_odds END) AS home_odds,
+       max(CASE WHEN side = 'AWAY' THEN american_odds END) AS away_odds
+FROM latest GROUP BY game_id, book, market
+HAVING max(CASE WHEN side = 'HOME' THEN american_odds END) IS NOT NULL
+   AND max(CASE WHEN side = 'AWAY' THEN american_odds END) IS NOT NULL""")
+_FAIR = ("fair", f"""
+SELECT *, implied_home + implied_away AS overround,
+       implied_home / (implied_home + implied_away) AS fair_home,
+       implied_away / (implied_away + implied_home) AS fair_away
+FROM (SELECT *, {implied('home_odds')} AS implied_home, {implied('away_odds')} AS implied_away FROM two) t""")
+_CONS = ("cons", """
+SELECT game_id, market, avg(fair_home) AS p_home, count(*) AS n_books FROM fair GROUP BY game_id, market""")
+_MARKET = [_LATEST, _TWO, _FAIR, _CONS]
+
+SQL["devig_market"] = with_fx(f"""
+SELECT game_id, book, market, home_odds, away_odds, {r6('implied_home')} AS implied_home,
+       {r6('implied_away')} AS implied_away, {r6('overround')} AS overround,
+       {r6('fair_home')} AS fair_home, {r6('fair_away')} AS fair_away
+FROM fair""", "fx_odds_snapshots", extra=_MARKET)
+
+SQL["odds_columns"] = with_fx(f"""
+SELECT snapshot_id, game_id, book, side, american_odds, {r6('p')} AS p,
+       {r6(decimal_odds('american_odds'))} AS decimal_odds, {r6(implied('american_odds'))} AS implied,
+       {r6('p - ' + implied('american_odds'))} AS edge, {r6(ev('p', 'american_odds'))} AS ev,
+       {r6(kelly('p', 'american_odds'))} AS kelly, {r6(stake('p', 'american_odds'))} AS stake_frac
+FROM (SELECT s.*, CASE WHEN s.side = 'HOME' THEN c.p_home ELSE 1.0::DOUBLE - c.p_home END AS p
+      FROM fx_odds_snapshots s JOIN cons c ON s.game_id = c.game_id AND s.market = c.market) x
+""", "fx_odds_snapshots", extra=_MARKET)
+
+SQL["best_side"] = with_fx(f"""
+SELECT game_id, side AS pick, book, odds, {r6('p')} AS p_model, {r6(implied('odds'))} AS implied,
+       {r6('p - ' + implied('odds'))} AS edge, {r6('ev')} AS ev, {r6(stake('p', 'odds'))} AS kelly_stake
+FROM (SELECT *, row_number() OVER (PARTITION BY game_id
+                                   ORDER BY ev DESC, side DESC, book DESC, odds DESC, p DESC) AS rn
+      FROM (SELECT *, {ev('p', 'odds')} AS ev FROM (
+              SELECT f.game_id, f.book, 'HOME' AS side, f.home_odds AS odds, c.p_home AS p
+              FROM fair f JOIN cons c ON f.game_id = c.game_id AND f.market = c.market
+              UNION ALL
+              SELECT f.game_id, f.book, 'AWAY', f.away_odds, 1.0::DOUBLE - c.p_home
+              FROM fair f JOIN cons c ON f.game_id = c.game_id AND f.market = c.market) u) e) r
+WHERE rn = 1
+""", "fx_odds_snapshots", extra=_MARKET)
+
+
+def to_american(p: str, vig: float) -> str:
+    pv = f"least(0.98::DOUBLE, {p} * (1.0::DOUBLE + {vig}::DOUBLE))"
+    dec = f"(1.0::DOUBLE / {pv})"
+    return (f"CAST(CASE WHEN {dec} >= 2.0 THEN round_even(({dec} - 1.0::DOUBLE) * 100.0::DOUBLE, 0) "
+            f"ELSE round_even(-100.0::DOUBLE / ({dec} - 1.0::DOUBLE), 0) END AS INT)")
+
+
+SQL["prob_to_odds"] = with_fx(f"""
+SELECT game_id, market, p AS p_home, {to_american('p', 0.045)} AS home_price,
+       {to_american('(1.0::DOUBLE - p)', 0.045)} AS away_price
+FROM (SELECT game_id, market, round(p_home, 6) AS p FROM cons) c
+""", "fx_odds_snapshots", extra=_MARKET)
+
+SQL["odds_payload_flatten"] = with_fx("""
+SELECT d.game_id, d.poll_day, 'H' || CAST(d.game_id AS VARCHAR) AS home,
+       'A' || CAST(d.game_id AS VARCHAR) AS away, strftime(t.tip_date, '%Y-%m-%d') AS commence,
+       d.book, d.home_odds, d.away_odds
+FROM (SELECT game_id, CAST(captured_at AS DATE) AS poll_day, book,
+             arg_max(CASE WHEN side = 'HOME' THEN american_odds END, CASE WHEN side = 'HOME' THEN captured_at END) AS home_odds,
+             arg_max(CASE WHEN side = 'AWAY' THEN american_odds END, CASE WHEN side = 'AWAY' THEN captured_at END) AS away_odds
+      FROM fx_odds_snapshots WHERE market = 'h2h'
+      GROUP BY game_id, CAST(captured_at AS DATE), book) d
+JOIN fx_tipoffs t ON d.game_id = t.game_id
+WHERE d.home_odds IS NOT NULL AND d.away_odds IS NOT NULL
+""", "fx_odds_snapshots", "fx_tipoffs")

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.operators import events, form, pairing, profile
+from scoreline.functions import odds as fo
+from scoreline.operators import events, form, pairing, prices, profile
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 
@@ -125,3 +126,63 @@ def q_contest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("side_rollup")
 def q_side_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.side_rollup(fx.fx_pbp(spark, sf_dir))
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round double columns: sums of doubles differ in the last bit between engines."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c)
+                       for c, t in df.dtypes])
+
+
+def market_fair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snaps = fx.fx_odds_snapshots(spark, sf_dir)
+    return prices.devig(prices.two_way(prices.latest_lines(snaps)))
+
+
+def market_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices.consensus(market_fair(spark, sf_dir))
+
+
+@register("devig_market")
+def q_devig_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(market_fair(spark, sf_dir))
+
+
+@register("odds_columns")
+def q_odds_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every snapshot priced against the market consensus of its game."""
+    snaps = fx.fx_odds_snapshots(spark, sf_dir)
+    cons = market_consensus(spark, sf_dir).select("game_id", "market", "p_home")
+    df = snaps.join(cons, ["game_id", "market"]).withColumn("p", prices.side_prob())
+    return rounded(prices.price_columns(df).select(
+        "snapshot_id", "game_id", "book", "side", "american_odds", "p", "decimal_odds",
+        "implied", "edge", "ev", "kelly", "stake_frac"))
+
+
+@register("best_side")
+def q_best_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fair = market_fair(spark, sf_dir)
+    cons = prices.consensus(fair).select("game_id", "market", "p_home")
+    return rounded(prices.best_side(fair.join(cons, ["game_id", "market"])))
+
+
+FAIR_PRICE_VIG = 0.045  # fixed value: margin shaded into a fair price
+
+
+@register("prob_to_odds")
+def q_prob_to_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cons = market_consensus(spark, sf_dir)
+    p = F.round("p_home", 6)
+    return cons.select("game_id", "market", p.alias("p_home"),
+                       fo.prob_to_american(p, FAIR_PRICE_VIG).alias("home_price"),
+                       fo.prob_to_american(1.0 - p, FAIR_PRICE_VIG).alias("away_price"))
+
+
+@register("odds_payload_flatten")
+def q_odds_payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots -> nested JSON per (game, day) -> flat two-way book rows."""
+    tips = fx.fx_tipoffs(spark, sf_dir).select(
+        "game_id", F.date_format("tip_date", "yyyy-MM-dd").alias("commence_time"))
+    docs = prices.build_payload(fx.fx_odds_snapshots(spark, sf_dir), tips,
+                                F.to_date("captured_at"))
+    return prices.flatten_payload(docs, keep=("game_id", "poll_day"))
