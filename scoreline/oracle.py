@@ -324,3 +324,45 @@ FROM (SELECT game_id, CAST(captured_at AS DATE) AS poll_day, book,
 JOIN fx_tipoffs t ON d.game_id = t.game_id
 WHERE d.home_odds IS NOT NULL AND d.away_odds IS NOT NULL
 """, "fx_odds_snapshots", "fx_tipoffs")
+
+# Sequential ratings: a recursive CTE that walks games in (date, id) order carrying
+# one rating per team slot.
+_ELO = [("teams", """
+SELECT team_id, row_number() OVER (ORDER BY team_id) AS slot
+FROM (SELECT home_team_id AS team_id FROM fx_games UNION SELECT away_team_id FROM fx_games) t"""),
+        ("gseq", """
+SELECT row_number() OVER (ORDER BY f.game_date, f.game_id) AS rn, f.game_id, f.season,
+       th.slot AS h, ta.slot AS a, CAST(f.home_win AS DOUBLE) AS res
+FROM fx_games f JOIN teams th ON f.home_team_id = th.team_id JOIN teams ta ON f.away_team_id = ta.team_id"""),
+        ("elo", """
+SELECT 0::BIGINT AS rn, NULL::INT AS season,
+       list_transform(range((SELECT count(*) FROM teams)), lambda x: 1500.0::DOUBLE) AS r,
+       NULL::BIGINT AS game_id, NULL::DOUBLE AS home_elo, NULL::DOUBLE AS away_elo, NULL::DOUBLE AS ex
+UNION ALL
+SELECT rn, season,
+       list_transform(range(1, len(r0) + 1), lambda i: CASE WHEN i = h THEN rh + 20.0::DOUBLE * (res - ex)
+                                                      WHEN i = a THEN ra + 20.0::DOUBLE * ((1.0::DOUBLE - res) - (1.0::DOUBLE - ex))
+                                                      ELSE r0[i] END),
+       game_id, rh, ra, ex
+FROM (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (ra - (rh + 60.0::DOUBLE)) / 400.0::DOUBLE)) AS ex
+      FROM (SELECT *, r0[h] AS rh, r0[a] AS ra
+            FROM (SELECT g.rn, g.season, g.game_id, g.h, g.a, g.res,
+                         CASE WHEN e.season IS NULL OR g.season <> e.season
+                              THEN list_transform(e.r, lambda x: 1500.0::DOUBLE + 0.75::DOUBLE * (x - 1500.0::DOUBLE))
+                              ELSE e.r END AS r0
+                  FROM elo e JOIN gseq g ON g.rn = e.rn + 1) s1) s2) s3"""),
+        ("game_elo", """
+SELECT game_id, home_elo, away_elo, (home_elo + 60.0::DOUBLE) - away_elo AS elo_diff, ex AS elo_exp_home
+FROM elo WHERE rn > 0""")]
+
+
+def with_elo(body: str, *views: str, extra: list[tuple[str, str]] | None = None) -> str:
+    sql = with_fx(body, "fx_games", *views, extra=_ELO + (extra or []))
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+SQL["elo_by_pool"] = with_elo("""
+SELECT game_id, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo,
+       round(elo_diff, 6) AS elo_diff, round(elo_exp_home, 6) AS elo_exp_home
+FROM game_elo""")
+SQL["elo_relaxed"] = SQL["elo_by_pool"]

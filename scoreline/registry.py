@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
-from scoreline.operators import events, form, pairing, prices, profile
+from scoreline.operators import events, form, pairing, prices, profile, rating
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 
@@ -186,3 +186,13 @@ def q_odds_payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = prices.build_payload(fx.fx_odds_snapshots(spark, sf_dir), tips,
                                 F.to_date("captured_at"))
     return prices.flatten_payload(docs, keep=("game_id", "poll_day"))
+
+
+@register("elo_by_pool")
+def q_elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rating.elo_by_pool(fx.fx_games(spark, sf_dir)))
+
+
+@register("elo_relaxed")
+def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rating.elo_relaxed(fx.fx_games(spark, sf_dir)))
