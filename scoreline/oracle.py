@@ -366,3 +366,95 @@ SELECT game_id, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo,
        round(elo_diff, 6) AS elo_diff, round(elo_exp_home, 6) AS elo_exp_home
 FROM game_elo""")
 SQL["elo_relaxed"] = SQL["elo_by_pool"]
+
+_FORM = ("form", """
+SELECT game_id, team_id, is_home, game_date,
+       CAST(COUNT(pts_for) OVER w AS BIGINT) AS games_played,
+       AVG(pts_for) OVER w AS roll_pts_for, AVG(pts_against) OVER w AS roll_pts_against,
+       AVG(pts_for) OVER w - AVG(pts_against) OVER w AS roll_net_rating,
+       AVG(win) OVER w AS roll_win_rate,
+       CAST(LEAST(COALESCE(date_diff('day', LAG(game_date) OVER w1, game_date), 3), 7) AS INT) AS rest_days,
+       CAST(CASE WHEN COALESCE(date_diff('day', LAG(game_date) OVER w1, game_date), 3) = 1 THEN 1 ELSE 0 END AS INT) AS b2b
+FROM fx_long
+WINDOW w AS (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+       w1 AS (PARTITION BY team_id ORDER BY game_date, game_id)""")
+_FF = ("ff", """
+SELECT g.game_id, g.game_date, g.season, g.home_team_id, g.away_team_id, g.home_win,
+       h.roll_pts_for - a.roll_pts_for AS diff_pts_for,
+       h.roll_pts_against - a.roll_pts_against AS diff_pts_against,
+       h.roll_net_rating - a.roll_net_rating AS diff_net,
+       h.roll_win_rate - a.roll_win_rate AS diff_win_rate,
+       h.rest_days AS home_rest, a.rest_days AS away_rest, h.b2b AS home_b2b, a.b2b AS away_b2b,
+       e.elo_diff, e.elo_exp_home
+FROM fx_games g
+JOIN form h ON g.game_id = h.game_id AND g.home_team_id = h.team_id
+JOIN form a ON g.game_id = a.game_id AND g.away_team_id = a.team_id
+JOIN game_elo e ON g.game_id = e.game_id
+WHERE h.roll_pts_for IS NOT NULL AND a.roll_pts_for IS NOT NULL
+  AND h.roll_pts_against IS NOT NULL AND a.roll_pts_against IS NOT NULL
+  AND h.roll_win_rate IS NOT NULL AND a.roll_win_rate IS NOT NULL
+  AND e.elo_diff IS NOT NULL AND e.elo_exp_home IS NOT NULL AND g.home_win IS NOT NULL""")
+
+SQL["feature_frame"] = with_elo("""
+SELECT game_id, game_date, season, home_team_id, away_team_id, home_win,
+       round(diff_pts_for, 6) AS diff_pts_for, round(diff_pts_against, 6) AS diff_pts_against,
+       round(diff_net, 6) AS diff_net, round(diff_win_rate, 6) AS diff_win_rate,
+       home_rest, away_rest, home_b2b, away_b2b,
+       round(elo_diff, 6) AS elo_diff, round(elo_exp_home, 6) AS elo_exp_home
+FROM ff""", "fx_long", extra=[_FORM, _FF])
+
+SQL["latest_form"] = with_elo("""
+SELECT lf.team_id, round(lf.roll_pts_for, 6) AS roll_pts_for,
+       round(lf.roll_pts_against, 6) AS roll_pts_against,
+       round(lf.roll_net_rating, 6) AS roll_net_rating, round(lf.roll_win_rate, 6) AS roll_win_rate,
+       round(COALESCE(le.elo, 1500.0::DOUBLE), 6) AS elo
+FROM (SELECT * FROM (SELECT team_id, roll_pts_for, roll_pts_against, roll_net_rating, roll_win_rate,
+                            row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC, game_id DESC) AS rn
+                     FROM form) x WHERE rn = 1) lf
+LEFT JOIN (SELECT * FROM (SELECT team_id, elo,
+                                 row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC, game_id DESC) AS rn
+                          FROM (SELECT g.home_team_id AS team_id, g.game_date, g.game_id, e.home_elo AS elo
+                                FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id
+                                UNION ALL
+                                SELECT g.away_team_id, g.game_date, g.game_id, e.away_elo
+                                FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id) s) y
+           WHERE rn = 1) le ON lf.team_id = le.team_id""", "fx_long", extra=[_FORM])
+
+SQL["time_split"] = with_elo("""
+SELECT game_id, game_date, pos,
+       CASE WHEN pos < floor(n * 0.7::DOUBLE) THEN 'train'
+            WHEN pos < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'valid' ELSE 'test' END AS split
+FROM (SELECT game_id, game_date, CAST(row_number() OVER (ORDER BY game_date, game_id) - 1 AS BIGINT) AS pos,
+             count(*) OVER () AS n FROM ff) t""", "fx_long", extra=[_FORM, _FF])
+
+
+# ---- keep last: DuckDB's round() keeps the sign of a tiny negative (-0.0) where
+# Spark's decimal rounding gives 0.0; adding +0.0 normalises the zero.
+def _positive_zero_rounds(sql: str) -> str:
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0::DOUBLE)")
+        i = k + 1
+
+
+def finalize() -> dict[str, str]:
+    """The statements as handed to DuckDB (rounds normalised); SQL itself is unchanged."""
+    return {key: _positive_zero_rounds(sql) for key, sql in SQL.items()}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators import events, form, pairing, prices, profile, rating
+from scoreline.plans import features
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 
@@ -196,3 +197,33 @@ def q_elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("elo_relaxed")
 def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rating.elo_relaxed(fx.fx_games(spark, sf_dir)))
+
+
+def game_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rating.elo_by_pool(fx.fx_games(spark, sf_dir))
+
+
+def full_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return form.team_form(team_long(spark, sf_dir))
+
+
+def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.feature_frame(fx.fx_games(spark, sf_dir), full_form(spark, sf_dir),
+                                  game_elo(spark, sf_dir))
+
+
+@register("feature_frame")
+def q_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features_of(spark, sf_dir))
+
+
+@register("latest_form")
+def q_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.latest_form(full_form(spark, sf_dir), fx.fx_games(spark, sf_dir),
+                                        game_elo(spark, sf_dir)))
+
+
+@register("time_split")
+def q_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.time_split(features_of(spark, sf_dir)).select(
+        "game_id", "game_date", "pos", "split")
