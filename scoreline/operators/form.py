@@ -84,7 +84,9 @@ def prior_window(df: DataFrame, keys: str | Sequence[str], order: Sequence[str],
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *_prior_columns(w, n, avg_cols, count_name, count_of, lag_cols))
 
-    # Chunked form for hot keys.
+    # Chunked form for hot keys.  A chunk must hold at least n rows so that the halo
+    # (last n rows of the previous chunk) covers every look-back frame.
+    chunk_rows = max(chunk_rows, n)
     pos = key_positions(df, keys, order)
     chunk = F.floor(F.col("_pos") / F.lit(chunk_rows))
     own = pos.withColumn("_chunk", chunk).withColumn("_own", F.lit(True))
