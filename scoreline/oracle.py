@@ -428,6 +428,52 @@ FROM (SELECT game_id, game_date, CAST(row_number() OVER (ORDER BY game_date, gam
              count(*) OVER () AS n FROM ff) t""", "fx_long", extra=[_FORM, _FF])
 
 
+_SCORED_LONG = ("scored_long", """
+SELECT 'doc_score' AS model, y, p FROM fx_scores
+UNION ALL
+SELECT 'elo_baseline', home_win, elo_exp_home
+FROM (SELECT *, row_number() OVER (ORDER BY game_date, game_id) - 1 AS pos, count(*) OVER () AS n FROM ff) t
+WHERE pos >= floor(n * (0.7::DOUBLE + 0.15::DOUBLE))""")
+
+SQL["prob_metrics"] = with_elo("""
+SELECT m.model, m.n, round(m.log_loss, 4) AS log_loss, round(m.brier, 4) AS brier,
+       round(m.accuracy, 4) AS accuracy, round(a.auc, 4) AS auc
+FROM (SELECT model, CAST(count(*) AS BIGINT) AS n,
+             -avg(y * ln(pc) + (1 - y) * ln(1 - pc)) AS log_loss,
+             avg((p - y) * (p - y)) AS brier,
+             avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS accuracy
+      FROM (SELECT *, least(greatest(p, 2.220446049250313e-16::DOUBLE), 1.0::DOUBLE - 2.220446049250313e-16::DOUBLE) AS pc
+            FROM scored_long) c GROUP BY model) m
+JOIN (SELECT model, (sum(CASE WHEN y = 1 THEN rnk END) - np * (np + 1) / 2.0) / (np * nn) AS auc
+      FROM (SELECT model, y, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS rnk,
+                   sum(y) OVER (PARTITION BY model) AS np, sum(1 - y) OVER (PARTITION BY model) AS nn
+            FROM scored_long) r GROUP BY model, np, nn) a ON m.model = a.model
+""", "fx_long", "fx_scores", extra=[_FORM, _FF, _SCORED_LONG])
+
+SQL["calibration_bins"] = with_elo("""
+SELECT s.model, CAST(len(list_filter(e.edges, lambda x: x < s.p)) AS INT) AS bin,
+       CAST(count(*) AS BIGINT) AS n, round(avg(s.p), 6) AS mean_pred, round(avg(CAST(s.y AS DOUBLE)), 6) AS frac_pos
+FROM scored_long s
+JOIN (SELECT model, quantile_cont(p, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS edges
+      FROM scored_long GROUP BY model) e ON s.model = e.model
+GROUP BY s.model, bin
+""", "fx_long", "fx_scores", extra=[_FORM, _FF, _SCORED_LONG])
+
+SQL["isotonic_calibrate"] = with_fx("""
+SELECT s.doc_id, s.y, s.p, round(f.fitv, 6) AS p_cal
+FROM fx_scores s JOIN fit f ON s.p = f.p
+""", "fx_scores", extra=[
+    ("u", "SELECT p, CAST(sum(y) AS DOUBLE) AS sy, CAST(count(*) AS DOUBLE) AS w FROM fx_scores GROUP BY p"),
+    ("kn", """SELECT p, sy, w, row_number() OVER (ORDER BY p) AS i,
+                     sum(sy) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS cs,
+                     sum(w) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS cw FROM u"""),
+    ("blocks", """SELECT a.i AS j, b.i AS k, (b.cs - (a.cs - a.sy)) / (b.cw - (a.cw - a.w)) AS m
+                  FROM kn a JOIN kn b ON a.i <= b.i"""),
+    ("fit", """SELECT kn.p, max(mn) AS fitv FROM (
+                 SELECT x.i, bl.j, min(bl.m) AS mn FROM kn x JOIN blocks bl ON bl.j <= x.i AND bl.k >= x.i
+                 GROUP BY x.i, bl.j) t JOIN kn ON kn.i = t.i GROUP BY kn.p""")])
+
+
 # ---- keep last: DuckDB's round() keeps the sign of a tiny negative (-0.0) where
 # Spark's decimal rounding gives 0.0; adding +0.0 normalises the zero.
 def _positive_zero_rounds(sql: str) -> str:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators import events, form, pairing, prices, profile, rating
-from scoreline.plans import features
+from scoreline.plans import evaluate, features
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 
@@ -227,3 +227,28 @@ def q_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.time_split(features_of(spark, sf_dir)).select(
         "game_id", "game_date", "pos", "split")
+
+
+def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, y, p): document scores, and the rating expectation on the held-out games."""
+    docs = fx.fx_scores(spark, sf_dir).select(F.lit("doc_score").alias("model"), "y", "p")
+    test = features.time_split(features_of(spark, sf_dir)).filter(F.col("split") == "test")
+    elo = test.select(F.lit("elo_baseline").alias("model"), F.col("home_win").alias("y"),
+                      F.col("elo_exp_home").alias("p"))
+    return docs.unionByName(elo)
+
+
+@register("prob_metrics")
+def q_prob_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.prob_metrics(scored_long(spark, sf_dir))
+
+
+@register("calibration_bins")
+def q_calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.calibration_bins(scored_long(spark, sf_dir)))
+
+
+@register("isotonic_calibrate")
+def q_isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = fx.fx_scores(spark, sf_dir)
+    return rounded(evaluate.isotonic_calibrate(s, s).select("doc_id", "y", "p", "p_cal"))
