@@ -6,6 +6,38 @@ needs as CTEs.  ``with_fx(body, *views)`` prepends them in dependency order.
 
 from __future__ import annotations
 
+# DuckDB's round() keeps the sign of a tiny negative (-0.0) where
+# Spark's decimal rounding gives 0.0; adding +0.0 normalises the zero.
+def _positive_zero_rounds(sql: str) -> str:
+    out, i = [], 0
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
+            out.append(sql[i:j + 6])
+            i = j + 6
+            continue
+        depth, k = 0, j + 5
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _positive_zero_rounds(sql[j + 6:k])
+        out.append(sql[i:j] + "(round(" + inner + ") + 0.0::DOUBLE)")
+        i = k + 1
+
+
+def finalize() -> dict[str, str]:
+    """The statements as handed to DuckDB (rounds normalised); SQL itself is unchanged."""
+    return {key: _positive_zero_rounds(sql) for key, sql in SQL.items()}
+
+
 FX: dict[str, str] = {
     "fx_team_games": """
 SELECT game_id, CAST(DATE '2020-10-20' + CAST(floor(game_id / 6) AS INT) AS DATE) AS game_date,
@@ -474,33 +506,92 @@ FROM fx_scores s JOIN fit f ON s.p = f.p
                  GROUP BY x.i, bl.j) t JOIN kn ON kn.i = t.i GROUP BY kn.p""")])
 
 
-# ---- keep last: DuckDB's round() keeps the sign of a tiny negative (-0.0) where
-# Spark's decimal rounding gives 0.0; adding +0.0 normalises the zero.
-def _positive_zero_rounds(sql: str) -> str:
-    out, i = [], 0
-    while True:
-        j = sql.find("round(", i)
-        if j < 0:
-            out.append(sql[i:])
-            return "".join(out)
-        if j > 0 and (sql[j - 1].isalnum() or sql[j - 1] == "_"):
-            out.append(sql[i:j + 6])
-            i = j + 6
-            continue
-        depth, k = 0, j + 5
-        while True:
-            if sql[k] == "(":
-                depth += 1
-            elif sql[k] == ")":
-                depth -= 1
-                if depth == 0:
-                    break
-            k += 1
-        inner = _positive_zero_rounds(sql[j + 6:k])
-        out.append(sql[i:j] + "(round(" + inner + ") + 0.0::DOUBLE)")
-        i = k + 1
+_LATEST_FORM = ("latest_tf", """
+SELECT lf.team_id, lf.roll_pts_for, lf.roll_pts_against, lf.roll_net_rating, lf.roll_win_rate,
+       COALESCE(le.elo, 1500.0::DOUBLE) AS elo
+FROM (SELECT * FROM (SELECT team_id, roll_pts_for, roll_pts_against, roll_net_rating, roll_win_rate,
+                            row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC, game_id DESC) AS rn
+                     FROM form) x WHERE rn = 1) lf
+LEFT JOIN (SELECT * FROM (SELECT team_id, elo,
+                                 row_number() OVER (PARTITION BY team_id ORDER BY game_date DESC, game_id DESC) AS rn
+                          FROM (SELECT g.home_team_id AS team_id, g.game_date, g.game_id, e.home_elo AS elo
+                                FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id
+                                UNION ALL
+                                SELECT g.away_team_id, g.game_date, g.game_id, e.away_elo
+                                FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id) s) y
+           WHERE rn = 1) le ON lf.team_id = le.team_id""")
+_RATED = ("rated", """
+SELECT u.game_id, u.home_team_id, u.away_team_id,
+       1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (a.elo - (h.elo + 60.0::DOUBLE)) / 400.0::DOUBLE)) AS p_home
+FROM (SELECT t.game_id, g.home_team_id, g.away_team_id FROM fx_tipoffs t JOIN fx_games g ON t.game_id = g.game_id) u
+JOIN latest_tf h ON u.home_team_id = h.team_id JOIN latest_tf a ON u.away_team_id = a.team_id""")
 
 
-def finalize() -> dict[str, str]:
-    """The statements as handed to DuckDB (rounds normalised); SQL itself is unchanged."""
-    return {key: _positive_zero_rounds(sql) for key, sql in SQL.items()}
+def best_of(cands: str) -> str:
+    """Best (ev, side, book, odds, p) per game from a (game_id, book, side, odds, p) set."""
+    return (f"SELECT game_id, side AS pick, book, odds, p AS p_model, {implied('odds')} AS implied, "
+            f"p - {implied('odds')} AS edge, ev, {stake('p', 'odds')} AS kelly_stake "
+            f"FROM (SELECT *, row_number() OVER (PARTITION BY game_id "
+            f"ORDER BY ev DESC, side DESC, book DESC, odds DESC, p DESC) AS rn "
+            f"FROM (SELECT *, {ev('p', 'odds')} AS ev FROM ({cands}) c0) c1) c2 WHERE rn = 1")
+
+
+def display(p_home: str, edge: str, ev_: str, kelly_stake: str) -> str:
+    return (f"printf('%.1f%%', {p_home} * 100.0::DOUBLE) AS p_home_pct, "
+            f"printf('%.1f%%', {edge} * 100.0::DOUBLE) AS edge_pct, "
+            f"printf('%+.2f', {ev_}) AS ev_unit, "
+            f"printf('%.1f%%', {kelly_stake} * 100.0::DOUBLE) || ' of bankroll' AS stake_text")
+
+
+_BOARD_CANDS = """SELECT t.game_id, t.book, 'HOME' AS side, t.home_odds AS odds, r.p_home AS p
+FROM two t JOIN rated r ON t.game_id = r.game_id
+UNION ALL
+SELECT t.game_id, t.book, 'AWAY', t.away_odds, 1.0::DOUBLE - r.p_home
+FROM two t JOIN rated r ON t.game_id = r.game_id"""
+_BOARD = ("brd", f"""
+SELECT r.game_id, ac.n_name || ' @ ' || hc.n_name AS matchup, r.p_home, 'live' AS source,
+       b.pick, b.book, b.odds, b.p_model, b.implied, b.edge, b.ev, b.kelly_stake
+FROM rated r
+JOIN nation hc ON r.home_team_id = CAST(hc.n_nationkey AS BIGINT)
+JOIN nation ac ON r.away_team_id = CAST(ac.n_nationkey AS BIGINT)
+JOIN ({best_of(_BOARD_CANDS)}) b ON r.game_id = b.game_id""")
+_BOARD_CTES = [_FORM, _LATEST_FORM, _RATED, _LATEST, _TWO, _BOARD]
+
+SQL["board"] = with_elo(f"""
+SELECT game_id, matchup, round(p_home, 6) AS p_home, source, pick, book, odds, round(p_model, 6) AS p_model,
+       round(implied, 6) AS implied, round(edge, 6) AS edge, round(ev, 6) AS ev,
+       round(kelly_stake, 6) AS kelly_stake, {display('p_home', 'edge', 'ev', 'kelly_stake')}
+FROM brd""", "fx_long", "fx_tipoffs", "fx_odds_snapshots", extra=_BOARD_CTES)
+
+SQL["board_kpis"] = with_elo("""
+SELECT CAST(count(*) AS BIGINT) AS n_games, CAST(count_if(ev > 0) AS BIGINT) AS n_value,
+       round(max(edge), 6) AS best_edge
+FROM brd""", "fx_long", "fx_tipoffs", "fx_odds_snapshots", extra=_BOARD_CTES)
+
+_HELDOUT = ("heldout", """
+SELECT game_id, game_date, home_team_id, away_team_id, home_win, elo_exp_home AS p_model,
+       1.0::DOUBLE / (1.0::DOUBLE + pow(10.0::DOUBLE, (0.0::DOUBLE - (elo_diff - 60.0::DOUBLE)) / 400.0::DOUBLE)) AS p_market
+FROM (SELECT *, row_number() OVER (ORDER BY game_date, game_id) - 1 AS pos, count(*) OVER () AS n FROM ff) t
+WHERE pos >= floor(n * (0.7::DOUBLE + 0.15::DOUBLE))""")
+_SAMPLE = ("smp", """
+SELECT * FROM heldout ORDER BY md5('7' || CAST(game_id AS VARCHAR)) LIMIT 8""")
+
+SQL["seeded_sample"] = with_elo("""
+SELECT game_id, game_date, home_team_id, away_team_id, home_win,
+       round(p_model, 6) AS p_model, round(p_market, 6) AS p_market FROM smp
+""", "fx_long", extra=[_FORM, _FF, _HELDOUT, _SAMPLE])
+
+_SAMPLE_CANDS = (f"SELECT game_id, 'SampleBook' AS book, 'HOME' AS side, "
+                 f"{to_american('p_market', 0.045)} AS odds, p_model AS p FROM smp "
+                 f"UNION ALL SELECT game_id, 'SampleBook', 'AWAY', "
+                 f"{to_american('(1.0::DOUBLE - p_market)', 0.045)}, 1.0::DOUBLE - p_model FROM smp")
+
+SQL["heldout_board"] = with_elo(f"""
+SELECT s.game_id, CAST(s.away_team_id AS VARCHAR) || ' @ ' || CAST(s.home_team_id AS VARCHAR) AS matchup,
+       round(s.p_model, 6) AS p_home, 'sample' AS source,
+       CASE WHEN s.home_win = 1 THEN 'HOME win' ELSE 'AWAY win' END AS result,
+       b.pick, b.book, b.odds, round(b.p_model, 6) AS p_model, round(b.implied, 6) AS implied,
+       round(b.edge, 6) AS edge, round(b.ev, 6) AS ev, round(b.kelly_stake, 6) AS kelly_stake,
+       {display('s.p_model', 'b.edge', 'b.ev', 'b.kelly_stake')}
+FROM smp s JOIN ({best_of(_SAMPLE_CANDS)}) b ON s.game_id = b.game_id
+""", "fx_long", extra=[_FORM, _FF, _HELDOUT, _SAMPLE])

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators import events, form, pairing, prices, profile, rating
-from scoreline.plans import evaluate, features
+from scoreline.plans import board, evaluate, features, model
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
+from scoreline.sources.tables import load
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -252,3 +253,85 @@ def q_calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = fx.fx_scores(spark, sf_dir)
     return rounded(evaluate.isotonic_calibrate(s, s).select("doc_id", "y", "p", "p_cal"))
+
+
+_MODELS: dict[tuple, object] = {}
+
+
+def fitted_model(spark: SparkSession, sf_dir: str):
+    """Fit once per (application, input) and reuse across queries of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        split = features.time_split(features_of(spark, sf_dir)).checkpoint()
+        _MODELS[key] = (model.fit(split), split)
+    return _MODELS[key]
+
+
+@register("gbt_fit_score")
+def q_gbt_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out predictions of the calibrated trees (rows-only check; quality in tests)."""
+    m, split = fitted_model(spark, sf_dir)
+    return model.heldout_predictions(m, split)
+
+
+def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priced games with their two teams (tip-off table x games)."""
+    g = fx.fx_games(spark, sf_dir).select("game_id", "home_team_id", "away_team_id")
+    return fx.fx_tipoffs(spark, sf_dir).join(g, "game_id")
+
+
+def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.latest_form(full_form(spark, sf_dir), fx.fx_games(spark, sf_dir),
+                                game_elo(spark, sf_dir))
+
+
+@register("score_matchups")
+def q_score_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Future matchups scored by the calibrated trees from latest form and ratings."""
+    m, _ = fitted_model(spark, sf_dir)
+    x = features.matchup_features(upcoming(spark, sf_dir), latest_of(spark, sf_dir))
+    return model.score(m, x).select("game_id", "home_team_id", "away_team_id",
+                                    "elo_exp_home", "raw_prob", "model_prob")
+
+
+def team_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dimension: team id -> display code (teams without a code are unknown)."""
+    return load(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("team_id"), F.col("n_name").alias("code"))
+
+
+def rating_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = features.matchup_features(upcoming(spark, sf_dir), latest_of(spark, sf_dir)) \
+        .select("game_id", "home_team_id", "away_team_id", F.col("elo_exp_home").alias("p_home"))
+    lines = prices.two_way(prices.latest_lines(fx.fx_odds_snapshots(spark, sf_dir)))
+    return board.board(scored, lines, team_lookup(spark, sf_dir))
+
+
+@register("board")
+def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rating_board(spark, sf_dir))
+
+
+@register("board_kpis")
+def q_board_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.board_kpis(rating_board(spark, sf_dir)))
+
+
+def heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out games with the rating probability as the model and a market that ignores
+    home advantage."""
+    test = features.time_split(features_of(spark, sf_dir)).filter(F.col("split") == "test")
+    return test.select("game_id", "game_date", "home_team_id", "away_team_id", "home_win",
+                       F.col("elo_exp_home").alias("p_model"),
+                       fo.elo_expected(F.col("elo_diff") - rating.HOME_ADV, F.lit(0.0))
+                       .alias("p_market"))
+
+
+@register("seeded_sample")
+def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.seeded_sample(heldout(spark, sf_dir), "game_id"))
+
+
+@register("heldout_board")
+def q_heldout_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(board.heldout_board(heldout(spark, sf_dir), "p_model", "p_market"))
