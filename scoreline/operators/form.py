@@ -141,3 +141,42 @@ def latest_per_key(df: DataFrame, keys: str | Sequence[str], order: Sequence[str
     payload = F.struct(*[F.col(c) for c in cols])
     return (df.groupBy(*keys).agg(F.max_by(payload, ordering).alias("_last"))
               .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in cols]))
+
+
+SHORT_WINDOW = 5           # fixed value: short form window
+DENSE_DAYS = 4             # fixed value: "three games in four days"
+DENSE_GAMES = 3
+
+
+def schedule_context(long: DataFrame, key: str = "team_id", opp: str = "opp_id",
+                     date: str = "game_date", tiebreak: str = "game_id",
+                     n_short: int = SHORT_WINDOW, n: int = ROLL_WINDOW) -> DataFrame:
+    """Per team-game, all strictly before the game unless noted:
+
+    - short form: average points for and win rate over the previous ``n_short`` games
+    - density: games of the team on days [d-3, d] (range frame, includes the game)
+      and the flag ``three_in_four``
+    - venue split: average points for and win rate over the previous ``n`` games at
+      the same venue (home or away)
+    - head-to-head: earlier meetings with this opponent and the team's win rate in them
+    """
+    order = [date, tiebreak]
+    w_team = Window.partitionBy(key).orderBy(*order)
+    w_short = w_team.rowsBetween(-n_short, -1)
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    w_days = (Window.partitionBy(key).orderBy(day)
+              .rangeBetween(-(DENSE_DAYS - 1), Window.currentRow))
+    w_venue = Window.partitionBy(key, "is_home").orderBy(*order).rowsBetween(-n, -1)
+    w_h2h = (Window.partitionBy(key, opp).orderBy(*order)
+             .rowsBetween(Window.unboundedPreceding, -1))
+    out = long.select(
+        "*",
+        F.avg("pts_for").over(w_short).alias("short_pts_for"),
+        F.avg("win").over(w_short).alias("short_win_rate"),
+        F.count(F.lit(1)).over(w_days).alias("games_in_4_days"),
+        F.avg("pts_for").over(w_venue).alias("venue_pts_for"),
+        F.avg("win").over(w_venue).alias("venue_win_rate"),
+        F.count(F.lit(1)).over(w_h2h).alias("h2h_games"),
+        F.avg("win").over(w_h2h).alias("h2h_win_rate"))
+    return out.withColumn("three_in_four",
+                          (F.col("games_in_4_days") >= DENSE_GAMES).cast("int"))

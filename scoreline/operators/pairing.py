@@ -68,18 +68,22 @@ def unpaired_rows(team_games: DataFrame, game: str = "game_id", side: str = "is_
 
 
 def explode_sides(games: DataFrame, game: str = "game_id",
-                  carry: tuple[str, ...] = ("game_date", "season")) -> DataFrame:
+                  carry: tuple[str, ...] = ("game_date", "season"),
+                  with_opponent: bool = False) -> DataFrame:
     """One game row -> a home row and an away row, for/against swapped; one scan.
 
     Output: game, carry..., team_id, is_home, pts_for, pts_against, win
-    (away ``win`` = 1 - home_win, as in the long form of the paired table).
+    (away ``win`` = 1 - home_win, as in the long form of the paired table),
+    plus ``opp_id`` when ``with_opponent``.
     """
+    opp_h = [F.col("away_team_id").alias("opp_id")] if with_opponent else []
+    opp_a = [F.col("home_team_id").alias("opp_id")] if with_opponent else []
     home = F.struct(F.col("home_team_id").alias("team_id"), F.lit(1).alias("is_home"),
                     F.col("home_pts").alias("pts_for"), F.col("away_pts").alias("pts_against"),
-                    F.col("home_win").alias("win"))
+                    F.col("home_win").alias("win"), *opp_h)
     away = F.struct(F.col("away_team_id").alias("team_id"), F.lit(0).alias("is_home"),
                     F.col("away_pts").alias("pts_for"), F.col("home_pts").alias("pts_against"),
-                    (1 - F.col("home_win")).alias("win"))
+                    (1 - F.col("home_win")).alias("win"), *opp_a)
     return games.select(game, *carry, F.inline(F.array(home, away)))
 
 

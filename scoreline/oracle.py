@@ -564,7 +564,7 @@ SELECT game_id, matchup, round(p_home, 6) AS p_home, source, pick, book, odds, r
 FROM brd""", "fx_long", "fx_tipoffs", "fx_odds_snapshots", extra=_BOARD_CTES)
 
 SQL["board_kpis"] = with_elo("""
-SELECT CAST(count(*) AS BIGINT) AS n_games, CAST(count_if(ev > 0) AS BIGINT) AS n_value,
+SELECT CAST(count(*) AS BIGINT) AS n_games, CAST(sum(CASE WHEN ev > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_value,
        round(max(edge), 6) AS best_edge
 FROM brd""", "fx_long", "fx_tipoffs", "fx_odds_snapshots", extra=_BOARD_CTES)
 
@@ -595,3 +595,140 @@ SELECT s.game_id, CAST(s.away_team_id AS VARCHAR) || ' @ ' || CAST(s.home_team_i
        {display('s.p_model', 'b.edge', 'b.ev', 'b.kelly_stake')}
 FROM smp s JOIN ({best_of(_SAMPLE_CANDS)}) b ON s.game_id = b.game_id
 """, "fx_long", extra=[_FORM, _FF, _HELDOUT, _SAMPLE])
+
+_TIPS = ("tips", "SELECT game_id, CAST(tip_date AS TIMESTAMP) AS tip_ts FROM fx_tipoffs")
+_PRETIP = ("pretip", """
+SELECT s.* FROM fx_odds_snapshots s JOIN tips t ON s.game_id = t.game_id WHERE s.captured_at < t.tip_ts""")
+_CLOSE = ("closing", """
+SELECT game_id, book, market, side, american_odds AS closing_odds, captured_at AS closing_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY game_id, book, market, side
+                               ORDER BY captured_at DESC, snapshot_id DESC) AS rn FROM pretip) t
+WHERE rn = 1""")
+
+SQL["closing_line"] = with_fx("SELECT * FROM closing", "fx_odds_snapshots", "fx_tipoffs",
+                              extra=[_TIPS, _PRETIP, _CLOSE])
+
+SQL["line_movement"] = with_fx(f"""
+SELECT game_id, book, market, side, open_odds, close_odds, n_snapshots, n_changes,
+       round({implied('open_odds')}, 6) AS implied_open, round({implied('close_odds')}, 6) AS implied_close,
+       round({implied('close_odds')} - {implied('open_odds')}, 6) AS implied_move
+FROM (SELECT game_id, book, market, side,
+             first(american_odds ORDER BY captured_at, snapshot_id) AS open_odds,
+             last(american_odds ORDER BY captured_at, snapshot_id) AS close_odds,
+             CAST(count(*) AS BIGINT) AS n_snapshots,
+             CAST(sum(CASE WHEN prev IS NOT NULL AND prev <> american_odds THEN 1 ELSE 0 END) AS BIGINT) AS n_changes
+      FROM (SELECT *, lag(american_odds) OVER (PARTITION BY game_id, book, market, side
+                                                ORDER BY captured_at, snapshot_id) AS prev
+            FROM pretip) p
+      GROUP BY game_id, book, market, side) m
+""", "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, _PRETIP])
+
+SQL["line_shopping"] = with_fx(f"""
+SELECT l.game_id, l.book, l.market, l.side, l.american_odds, round(l.dec, 6) AS decimal_odds,
+       round(s.best, 6) AS best_decimal, round(s.med, 6) AS median_decimal, s.n_books,
+       l.dec = s.best AS is_best, round(s.best / s.med - 1.0::DOUBLE, 6) AS save_pct
+FROM (SELECT *, {decimal_odds('american_odds')} AS dec FROM latest) l
+JOIN (SELECT game_id, market, side, max({decimal_odds('american_odds')}) AS best,
+             median({decimal_odds('american_odds')}) AS med, CAST(count(*) AS BIGINT) AS n_books
+      FROM latest GROUP BY game_id, market, side) s
+  ON l.game_id = s.game_id AND l.market = s.market AND l.side = s.side
+""", "fx_odds_snapshots", extra=[_LATEST])
+
+SQL["clv_records"] = with_fx(f"""
+SELECT b.bet_id, b.user_id, b.game_id, b.book, b.side, b.odds_taken, c.closing_odds,
+       round({implied('c.closing_odds')} - {implied('b.odds_taken')}, 6) AS clv,
+       ({implied('c.closing_odds')} - {implied('b.odds_taken')}) > 0 AS beat_close
+FROM fx_bets b LEFT JOIN closing c ON b.game_id = c.game_id AND b.book = c.book AND b.side = c.side
+""", "fx_bets", "fx_tipoffs", extra=[_TIPS, _PRETIP, _CLOSE])
+
+_SETTLED = ("settled", f"""
+SELECT *, CASE WHEN won = 1 THEN stake * ({decimal_odds('odds_taken')} - 1.0::DOUBLE)
+               WHEN won = 0 THEN -CAST(stake AS DOUBLE) END AS profit
+FROM fx_bets""")
+
+SQL["bet_ledger"] = with_fx("""
+SELECT bet_id, user_id, placed_at, stake, odds_taken, won, round(profit, 6) AS profit,
+       round(cum_profit, 6) AS cum_profit, round(cum_staked, 6) AS cum_staked,
+       round(CASE WHEN cum_staked = 0 THEN NULL ELSE cum_profit / cum_staked END, 6) AS running_roi
+FROM (SELECT *, COALESCE(sum(profit) OVER w, 0) AS cum_profit,
+             COALESCE(sum(CASE WHEN profit IS NOT NULL THEN CAST(stake AS DOUBLE) END) OVER w, 0) AS cum_staked
+      FROM settled
+      WINDOW w AS (PARTITION BY user_id ORDER BY placed_at, bet_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) t
+""", "fx_bets", extra=[_SETTLED])
+
+SQL["ledger_summary"] = with_fx("""
+SELECT user_id, CAST(count(*) AS BIGINT) AS n_bets, CAST(count(profit) AS BIGINT) AS n_settled,
+       CAST(sum(CASE WHEN won = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_won,
+       CAST(sum(CASE WHEN profit IS NOT NULL THEN stake END) AS BIGINT) AS staked,
+       round(sum(profit), 6) AS profit,
+       round(CASE WHEN count(profit) = 0 THEN NULL ELSE sum(CASE WHEN won = 1 THEN 1 ELSE 0 END) / count(profit) END, 6) AS hit_rate,
+       round(sum(profit) / NULLIF(sum(CASE WHEN profit IS NOT NULL THEN stake END), 0), 6) AS roi
+FROM settled GROUP BY user_id
+""", "fx_bets", extra=[_SETTLED])
+
+_BT = ("bt", f"""
+SELECT *, CASE WHEN won THEN stk * ({decimal_odds('open_odds')} - 1.0::DOUBLE) ELSE -stk END AS profit,
+       {implied('close_odds')} - {implied('open_odds')} AS clv
+FROM (SELECT *, {stake('p', 'open_odds')} AS stk, (side = 'HOME') = (home_win = 1) AS won
+      FROM (SELECT oc.*, g.home_win,
+                   CASE WHEN oc.side = 'HOME' THEN e.elo_exp_home ELSE 1.0::DOUBLE - e.elo_exp_home END AS p
+            FROM (SELECT game_id, book, market, side,
+                         first(american_odds ORDER BY captured_at, snapshot_id) AS open_odds,
+                         last(american_odds ORDER BY captured_at, snapshot_id) AS close_odds
+                  FROM pretip GROUP BY game_id, book, market, side) oc
+            JOIN fx_games g ON oc.game_id = g.game_id JOIN game_elo e ON oc.game_id = e.game_id) x
+      WHERE {ev('p', 'open_odds')} > 0) y""")
+
+SQL["backtest"] = with_elo("""
+SELECT book, CAST(count(*) AS BIGINT) AS n_bets, round(sum(stk), 6) AS staked, round(sum(profit), 6) AS profit,
+       round(avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS hit_rate,
+       round(avg(clv), 6) AS avg_clv,
+       round(avg(CASE WHEN clv > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS share_beat_close,
+       round(sum(profit) / NULLIF(sum(stk), 0), 6) AS roi
+FROM bt GROUP BY book""", "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, _PRETIP, _BT])
+
+SQL["walk_forward"] = with_elo("""
+SELECT fold, model, CAST(count(*) AS BIGINT) AS n,
+       round(-avg(y * ln(pc) + (1 - y) * ln(1 - pc)), 4) AS log_loss,
+       round(avg((p - y) * (p - y)), 4) AS brier,
+       round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS accuracy,
+       round(max(auc), 4) AS auc
+FROM (SELECT *, least(greatest(p, 2.220446049250313e-16::DOUBLE), 1.0::DOUBLE - 2.220446049250313e-16::DOUBLE) AS pc,
+             (sum(CASE WHEN y = 1 THEN rnk END) OVER (PARTITION BY fold, model)
+              - np * (np + 1) / 2.0) / (np * nn) AS auc
+      FROM (SELECT *, rank() OVER (PARTITION BY fold, model ORDER BY p)
+                      + (count(*) OVER (PARTITION BY fold, model, p) - 1) / 2.0 AS rnk,
+                   sum(y) OVER (PARTITION BY fold, model) AS np,
+                   sum(1 - y) OVER (PARTITION BY fold, model) AS nn
+            FROM long) r) q
+GROUP BY fold, model""", extra=[("sg", """
+SELECT g.season, g.game_date, g.home_win AS y, e.elo_exp_home AS p,
+       least(floor(e.elo_exp_home * 10), 9) AS bin
+FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id"""),
+    ("ords", """SELECT season, dense_rank() OVER (ORDER BY first_date, season) AS ord
+                FROM (SELECT season, min(game_date) AS first_date FROM sg GROUP BY season) f"""),
+    ("hist", """SELECT bin, ord,
+                       COALESCE(sum(pos) OVER (PARTITION BY bin ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hp,
+                       COALESCE(sum(n) OVER (PARTITION BY bin ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hn
+                FROM (SELECT bin, ord, sum(y) AS pos, count(*) AS n FROM sg JOIN ords USING (season) GROUP BY bin, ord) c"""),
+    ("long", """SELECT sg.season AS fold, 'raw' AS model, sg.y, sg.p
+                FROM sg JOIN ords USING (season) JOIN hist ON hist.bin = sg.bin AND hist.ord = ords.ord WHERE ords.ord >= 2
+                UNION ALL
+                SELECT sg.season, 'binned', sg.y, (hist.hp + sg.p) / (hist.hn + 1.0::DOUBLE)
+                FROM sg JOIN ords USING (season) JOIN hist ON hist.bin = sg.bin AND hist.ord = ords.ord WHERE ords.ord >= 2""")])
+
+SQL["schedule_context"] = with_fx("""
+SELECT game_id, team_id, opp_id,
+       round(avg(pts_for) OVER ws, 6) AS short_pts_for, round(avg(win) OVER ws, 6) AS short_win_rate,
+       CAST(count(*) OVER wd AS BIGINT) AS games_in_4_days,
+       CAST(CASE WHEN count(*) OVER wd >= 3 THEN 1 ELSE 0 END AS INT) AS three_in_four,
+       round(avg(pts_for) OVER wv, 6) AS venue_pts_for, round(avg(win) OVER wv, 6) AS venue_win_rate,
+       CAST(count(*) OVER wh AS BIGINT) AS h2h_games, round(avg(win) OVER wh, 6) AS h2h_win_rate
+FROM (SELECT *, CASE WHEN is_home = 1 THEN away_team_id ELSE home_team_id END AS opp_id,
+             date_diff('day', DATE '1970-01-01', game_date) AS dnum
+      FROM (SELECT l.*, g.home_team_id, g.away_team_id FROM fx_long l JOIN fx_games g ON l.game_id = g.game_id) j) x
+WINDOW ws AS (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING),
+       wd AS (PARTITION BY team_id ORDER BY dnum RANGE BETWEEN 3 PRECEDING AND CURRENT ROW),
+       wv AS (PARTITION BY team_id, is_home ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
+       wh AS (PARTITION BY team_id, opp_id ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+""", "fx_long")

@@ -22,6 +22,10 @@ METRIC_DIGITS = 4
 SCORE_BUCKETS = 4096
 
 
+def _cols(x) -> list[str]:
+    return [x] if isinstance(x, str) else list(x)
+
+
 def _score_bucket(p: Column) -> Column:
     return F.least(F.greatest(F.floor(p * SCORE_BUCKETS), F.lit(-1)), F.lit(SCORE_BUCKETS))
 
@@ -29,25 +33,27 @@ def _score_bucket(p: Column) -> Column:
 def running_below(d: DataFrame, part: str, score: str, count_col: str, out: str) -> DataFrame:
     """Add ``out`` = sum of ``count_col`` over rows of the same ``part`` with a smaller
     ``score`` (``d`` has one row per (part, score))."""
+    part = _cols(part)
     b = d.withColumn("_bk", _score_bucket(F.col(score)))
-    tot = b.groupBy(part, "_bk").agg(F.sum(count_col).alias("_t"))
-    off = tot.select(part, "_bk", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
+    tot = b.groupBy(*part, "_bk").agg(F.sum(count_col).alias("_t"))
+    off = tot.select(*part, "_bk", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*part).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0)).alias("_off"))
     inner = F.coalesce(F.sum(count_col).over(
-        Window.partitionBy(part, "_bk").orderBy(score)
+        Window.partitionBy(*part, "_bk").orderBy(score)
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # ``off`` has at most SCORE_BUCKETS + 2 rows per part: bounded, broadcast
-    return (b.withColumn("_in", inner).join(F.broadcast(off), [part, "_bk"])
+    return (b.withColumn("_in", inner).join(F.broadcast(off), [*part, "_bk"])
              .withColumn(out, F.col("_off") + F.col("_in")).drop("_bk", "_in", "_off"))
 
 
 def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
     """Exact ROC AUC per model; tied scores count one half."""
-    d = scored.groupBy(model, p).agg(F.sum(F.col(y)).alias("_pos"),
-                                     F.sum(1 - F.col(y)).alias("_neg"))
+    model = _cols(model)
+    d = scored.groupBy(*model, p).agg(F.sum(F.col(y)).alias("_pos"),
+                                      F.sum(1 - F.col(y)).alias("_neg"))
     d = running_below(d, model, p, "_neg", "_neg_below")
-    return d.groupBy(model).agg(
+    return d.groupBy(*model).agg(
         (F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg")))
          / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
 
@@ -57,13 +63,14 @@ def prob_metrics(scored: DataFrame, model: str = "model", y: str = "y", p: str =
     """n, log loss, Brier, accuracy at p > 0.5 and AUC per model, rounded."""
     pc = F.least(F.greatest(F.col(p), F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
     yy = F.col(y).cast("double")
-    base = scored.groupBy(model).agg(
+    model = _cols(model)
+    base = scored.groupBy(*model).agg(
         F.count(F.lit(1)).alias("n"),
         (-F.avg(yy * F.log(pc) + (1.0 - yy) * F.log(1.0 - pc))).alias("log_loss"),
         F.avg(F.pow(F.col(p) - yy, 2)).alias("brier"),
         F.avg(((F.col(p) > 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"))
     out = base.join(auc(scored, model, y, p), model)
-    return out.select(model, "n", *[F.round(c, digits).alias(c)
+    return out.select(*model, "n", *[F.round(c, digits).alias(c)
                                     for c in ("log_loss", "brier", "accuracy", "auc")])
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
-from scoreline.operators import events, form, pairing, prices, profile, rating
-from scoreline.plans import board, evaluate, features, model
+from scoreline.operators import events, form, ledger, lines, pairing, prices, profile, rating
+from scoreline.plans import backtest, board, evaluate, features, model
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 from scoreline.sources.tables import load
@@ -335,3 +335,69 @@ def q_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("heldout_board")
 def q_heldout_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(board.heldout_board(heldout(spark, sf_dir), "p_model", "p_market"))
+
+
+def tipoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.fx_tipoffs(spark, sf_dir).withColumn("tip_ts", F.col("tip_date").cast("timestamp_ntz"))
+
+
+def closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.closing_line(fx.fx_odds_snapshots(spark, sf_dir), tipoffs(spark, sf_dir))
+
+
+@register("closing_line")
+def q_closing_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return closing(spark, sf_dir)
+
+
+@register("line_movement")
+def q_line_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(lines.line_movement(fx.fx_odds_snapshots(spark, sf_dir), tipoffs(spark, sf_dir)))
+
+
+@register("line_shopping")
+def q_line_shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current = prices.latest_lines(fx.fx_odds_snapshots(spark, sf_dir)).drop("captured_at")
+    return rounded(lines.line_shopping(current))
+
+
+@register("clv_records")
+def q_clv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bets = fx.fx_bets(spark, sf_dir).select("bet_id", "user_id", "game_id", "book", "side",
+                                            "odds_taken")
+    return rounded(lines.clv_records(bets, closing(spark, sf_dir)))
+
+
+@register("bet_ledger")
+def q_bet_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ledger.ledger(fx.fx_bets(spark, sf_dir)).select(
+        "bet_id", "user_id", "placed_at", "stake", "odds_taken", "won", "profit",
+        "cum_profit", "cum_staked", "running_roi"))
+
+
+@register("ledger_summary")
+def q_ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(ledger.ledger_summary(fx.fx_bets(spark, sf_dir)))
+
+
+@register("backtest")
+def q_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    oc = backtest.open_close(fx.fx_odds_snapshots(spark, sf_dir), tipoffs(spark, sf_dir))
+    g = fx.fx_games(spark, sf_dir).join(game_elo(spark, sf_dir), "game_id") \
+        .withColumnRenamed("elo_exp_home", "p_home")
+    return rounded(backtest.backtest_summary(backtest.backtest_bets(oc, g)))
+
+
+@register("walk_forward")
+def q_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fx.fx_games(spark, sf_dir).join(game_elo(spark, sf_dir), "game_id").select(
+        "season", "game_date", F.col("home_win").alias("y"), F.col("elo_exp_home").alias("p"))
+    return backtest.walk_forward(g)
+
+
+@register("schedule_context")
+def q_schedule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = pairing.explode_sides(fx.fx_games(spark, sf_dir), with_opponent=True)
+    return rounded(form.schedule_context(long).select(
+        "game_id", "team_id", "opp_id", "short_pts_for", "short_win_rate", "games_in_4_days",
+        "three_in_four", "venue_pts_for", "venue_win_rate", "h2h_games", "h2h_win_rate"))

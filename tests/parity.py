@@ -37,9 +37,12 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return v
+        # a nullable integer column arrives as float64 from one engine, Int64 from the other
+        return int(v) if v.is_integer() and abs(v) < 2**53 else v
     if hasattr(v, "isoformat"):
         return str(pd.Timestamp(v))
+    if isinstance(v, bool):
+        return v
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
