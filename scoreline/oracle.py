@@ -732,3 +732,17 @@ WINDOW ws AS (PARTITION BY team_id ORDER BY game_date, game_id ROWS BETWEEN 5 PR
        wv AS (PARTITION BY team_id, is_home ORDER BY game_date, game_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING),
        wh AS (PARTITION BY team_id, opp_id ORDER BY game_date, game_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """, "fx_long")
+
+SQL["odds_stream"] = with_fx("SELECT * FROM latest", "fx_odds_snapshots", extra=[_LATEST])
+
+SQL["odds_stream_closing"] = with_fx("SELECT * FROM closing", "fx_odds_snapshots", "fx_tipoffs",
+                                     extra=[_TIPS, _PRETIP, _CLOSE])
+
+SQL["odds_stream_candles"] = with_fx("""
+SELECT date_trunc('day', captured_at) AS window_start, game_id, book, market, side,
+       first(american_odds ORDER BY captured_at, snapshot_id) AS open_odds,
+       last(american_odds ORDER BY captured_at, snapshot_id) AS close_odds,
+       max(american_odds) AS high_odds, min(american_odds) AS low_odds,
+       CAST(count(*) AS BIGINT) AS n_snapshots
+FROM fx_odds_snapshots GROUP BY ALL
+""", "fx_odds_snapshots")

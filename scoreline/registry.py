@@ -18,6 +18,7 @@ from scoreline.plans import backtest, board, evaluate, features, model
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 from scoreline.sources.tables import load
+from scoreline.streaming import odds_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -401,3 +402,44 @@ def q_schedule_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(form.schedule_context(long).select(
         "game_id", "team_id", "opp_id", "short_pts_for", "short_win_rate", "games_in_4_days",
         "three_in_four", "venue_pts_for", "venue_win_rate", "h2h_games", "h2h_win_rate"))
+
+
+def staged_snapshots(spark: SparkSession, sf_dir: str, base: str) -> str:
+    """Land the snapshot table as files for the stream, plus a re-delivered copy of the
+    first day (an at-least-once feed), under the run's shared folder."""
+    snaps = fx.fx_odds_snapshots(spark, sf_dir)
+    first_day = snaps.agg(F.min(F.to_date("captured_at"))).first()[0]
+    redelivered = snaps.filter(F.to_date("captured_at") == F.lit(first_day))
+    path = f"{base}/input"
+    snaps.unionByName(redelivered).write.mode("overwrite").parquet(path)
+    return path
+
+
+def _streamed(spark: SparkSession, sf_dir: str, build, keys) -> DataFrame:
+    base = odds_stream.stream_dir(spark)
+    src = odds_stream.snapshot_stream(spark, staged_snapshots(spark, sf_dir, base))
+    odds_stream.run_to_log(build(src), f"{base}/log", f"{base}/checkpoint")
+    return odds_stream.compact(spark, f"{base}/log", keys)
+
+
+@register("odds_stream")
+def q_odds_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest price per line from the deduplicated snapshot stream."""
+    out = _streamed(spark, sf_dir, odds_stream.latest_prices, list(prices.LINE_KEYS))
+    return out.withColumn("captured_at", F.col("captured_at").cast("timestamp_ntz"))
+
+
+@register("odds_stream_closing")
+def q_odds_stream_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tips = tipoffs(spark, sf_dir)
+    out = _streamed(spark, sf_dir, lambda s: odds_stream.closing_prices(s, tips),
+                    list(prices.LINE_KEYS))
+    return out.withColumn("closing_at", F.col("closing_at").cast("timestamp_ntz"))
+
+
+@register("odds_stream_candles")
+def q_odds_stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _streamed(spark, sf_dir, odds_stream.daily_candles, ["w", *prices.LINE_KEYS])
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                      *prices.LINE_KEYS, "open_odds", "close_odds", "high_odds", "low_odds",
+                      "n_snapshots")
