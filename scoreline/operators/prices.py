@@ -53,6 +53,12 @@ def consensus(fair: DataFrame, keys: Sequence[str] = ("game_id", "market")) -> D
                                    F.count(F.lit(1)).alias("n_books"))
 
 
+def with_consensus(fair: DataFrame, keys: Sequence[str] = ("game_id", "market")) -> DataFrame:
+    """Attach the consensus ``p_home`` to every book row without a self-join: a window
+    over (game, market), whose size is the number of books."""
+    return fair.withColumn("p_home", F.avg("fair_home").over(Window.partitionBy(*keys)))
+
+
 def price_columns(df: DataFrame, p: str = "p", price: str = "american_odds",
                   mult: float = fo.KELLY_FRACTION, cap: float = fo.MAX_STAKE_FRAC) -> DataFrame:
     """Decimal, implied, edge, EV per unit, Kelly fraction and capped stake per row."""

@@ -5,11 +5,17 @@ moves toward the base: r <- base + regress * (r - base); read the pre-game
 ratings (unseen team = base), expectation with home advantage, then both sides
 move by K * (result - expectation), zero-sum.
 
-Two executions:
+Three executions:
 
 ``elo_by_pool``  exact replay per independent pool (league, ladder) with
     ``applyInPandas``.  A pool is one task, so the largest pool is measured first
-    and a pool above ``max_games_per_pool`` goes to ``elo_relaxed`` instead.
+    and a pool above ``max_games_per_pool`` goes to ``elo_blocked`` instead.
+
+``elo_blocked``  exact replay for pools too large for one task: the pool's games
+    are cut into blocks (a season, or a date range of a season when the season is
+    itself too large) and replayed block after block; each block is one bounded
+    task per pool that receives the carried rating table (one row per team) through
+    ``cogroup``.  Pools advance in parallel; a block's output is checkpointed.
 
 ``elo_relaxed``  distributed fixed point.  Given expectations for all games, the
     pre-game rating of a team is base + (carry into the season) + (running sum of
@@ -38,6 +44,7 @@ BASE = 1500.0     # rating of an unseen team
 REGRESS = 0.75    # share of the deviation kept across a season change
 
 MAX_GAMES_PER_POOL = 2_000_000
+MAX_GAMES_PER_BLOCK = 1_000_000
 
 ELO_SCHEMA = T.StructType([
     T.StructField("game_id", T.LongType()), T.StructField("home_elo", T.DoubleType()),
@@ -46,11 +53,11 @@ ELO_SCHEMA = T.StructType([
 
 
 def _replay(pdf: pd.DataFrame, k: float, home_adv: float, base: float,
-            regress: float) -> pd.DataFrame:
-    """Sequential replay of one pool (small per-row helper inside one task)."""
+            regress: float, ratings: dict | None = None, season=None) -> pd.DataFrame:
+    """Sequential replay of one pool or block (small per-row helper inside one task);
+    ``ratings`` is updated in place."""
     pdf = pdf.sort_values(["game_date", "game_id"], kind="mergesort")
-    ratings: dict[int, float] = {}
-    season = None
+    ratings = {} if ratings is None else ratings
     out = []
     for gid, s, h, a, res in zip(pdf.game_id, pdf.season, pdf.home_team_id,
                                  pdf.away_team_id, pdf.home_win):
@@ -70,12 +77,12 @@ def _replay(pdf: pd.DataFrame, k: float, home_adv: float, base: float,
 def elo_by_pool(games: DataFrame, pool: str | None = None, k: float = K,
                 home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
                 max_games_per_pool: int = MAX_GAMES_PER_POOL) -> DataFrame:
-    """Exact sequential ratings per pool; oversized pools use ``elo_relaxed``."""
+    """Exact sequential ratings per pool; oversized pools use ``elo_blocked``."""
     g = games.withColumn("_pool", F.col(pool) if pool else F.lit(0))
     sizes = g.groupBy("_pool").count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest > max_games_per_pool:
-        return elo_relaxed(games, pool=pool, k=k, home_adv=home_adv, base=base, regress=regress)
+        return elo_blocked(games, pool=pool, k=k, home_adv=home_adv, base=base, regress=regress)
     cols = g.select("_pool", "game_id", "game_date", "season", "home_team_id",
                     "away_team_id", "home_win")
     return cols.groupBy("_pool").applyInPandas(
@@ -142,3 +149,68 @@ def elo_relaxed(games: DataFrame, pool: str | None = None, k: float = K,
     return state.select("game_id", "home_elo", "away_elo",
                         ((F.col("home_elo") + F.lit(home_adv)) - F.col("away_elo"))
                         .alias("elo_diff"), F.col("exp").alias("elo_exp_home"))
+
+
+BLOCK_SCHEMA = T.StructType([
+    T.StructField("_pool", T.StringType()), T.StructField("kind", T.StringType()),
+    T.StructField("game_id", T.LongType()), T.StructField("home_elo", T.DoubleType()),
+    T.StructField("away_elo", T.DoubleType()), T.StructField("elo_diff", T.DoubleType()),
+    T.StructField("elo_exp_home", T.DoubleType()), T.StructField("team", T.LongType()),
+    T.StructField("rating", T.DoubleType()), T.StructField("cur_season", T.IntegerType())])
+
+
+def _replay_block(games: pd.DataFrame, state: pd.DataFrame, k: float, home_adv: float,
+                  base: float, regress: float) -> pd.DataFrame:
+    """Replay one block of one pool from the carried ratings; emit games and new state."""
+    pool = games["_pool"].iloc[0] if len(games) else state["_pool"].iloc[0]
+    ratings = dict(zip(state["team"].astype("int64"), state["rating"]))
+    season = int(state["cur_season"].iloc[0]) if len(state) else None
+    out = _replay(games, k, home_adv, base, regress, ratings, season) if len(games) else \
+        pd.DataFrame(columns=["game_id", "home_elo", "away_elo", "elo_diff", "elo_exp_home"])
+    if len(games):
+        season = int(games.sort_values(["game_date", "game_id"])["season"].iloc[-1])
+    g = out.assign(_pool=pool, kind="game", team=None, rating=None, cur_season=None)
+    st = pd.DataFrame({"_pool": pool, "kind": "state", "game_id": None, "home_elo": None,
+                       "away_elo": None, "elo_diff": None, "elo_exp_home": None,
+                       "team": list(ratings.keys()), "rating": list(ratings.values()),
+                       "cur_season": season})
+    cols = [f.name for f in BLOCK_SCHEMA.fields]
+    frames = [f[cols].astype(object) for f in (g, st) if len(f)]
+    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=cols)
+
+
+def elo_blocked(games: DataFrame, pool: str | None = None, k: float = K,
+                home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
+                max_games_per_block: int = MAX_GAMES_PER_BLOCK) -> DataFrame:
+    """Exact sequential ratings, block by block (see module docstring)."""
+    g = games.withColumn("_pool", (F.col(pool) if pool else F.lit(0)).cast("string"))
+    g = g.join(season_ordinals(g), on=["_pool", "season"])
+    days = g.groupBy("_pool", "_sord", "game_date").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_pool", "_sord", "game_date", F.floor(F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_pool", "_sord").orderBy("game_date")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / max_games_per_block)
+        .alias("_sub"))
+    blocks = days.select("_pool", "_sord", "_sub").distinct()
+    blocks = blocks.select("*", F.dense_rank().over(
+        Window.partitionBy("_pool").orderBy("_sord", "_sub")).alias("_blk"))
+    g = (g.join(days, ["_pool", "_sord", "game_date"]).join(blocks, ["_pool", "_sord", "_sub"])
+          .select("_pool", "_blk", "game_id", "game_date", "season", "home_team_id",
+                  "away_team_id", "home_win")
+          .checkpoint())
+    n_blocks = g.agg(F.max("_blk")).first()[0] or 0
+    spark = games.sparkSession
+    state = spark.createDataFrame([], BLOCK_SCHEMA)
+    parts = []
+    fn = lambda a, b: _replay_block(a, b, k, home_adv, base, regress)
+    for blk in range(1, n_blocks + 1):
+        cur = g.filter(F.col("_blk") == blk).drop("_blk")
+        out = cur.groupBy("_pool").cogroup(state.groupBy("_pool")).applyInPandas(
+            fn, BLOCK_SCHEMA).checkpoint()
+        parts.append(out.filter(F.col("kind") == "game"))
+        state = out.filter(F.col("kind") == "state")
+    if not parts:
+        return spark.createDataFrame([], ELO_SCHEMA)
+    res = parts[0]
+    for p in parts[1:]:
+        res = res.unionByName(p)
+    return res.select(*[f.name for f in ELO_SCHEMA.fields])

@@ -746,3 +746,5 @@ SELECT date_trunc('day', captured_at) AS window_start, game_id, book, market, si
        CAST(count(*) AS BIGINT) AS n_snapshots
 FROM fx_odds_snapshots GROUP BY ALL
 """, "fx_odds_snapshots")
+
+SQL["elo_blocked"] = SQL["elo_by_pool"]

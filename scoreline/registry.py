@@ -164,9 +164,7 @@ def q_odds_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("best_side")
 def q_best_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fair = market_fair(spark, sf_dir)
-    cons = prices.consensus(fair).select("game_id", "market", "p_home")
-    return rounded(prices.best_side(fair.join(cons, ["game_id", "market"])))
+    return rounded(prices.best_side(prices.with_consensus(market_fair(spark, sf_dir))))
 
 
 FAIR_PRICE_VIG = 0.045  # fixed value: margin shaded into a fair price
@@ -443,3 +441,9 @@ def q_odds_stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
                       *prices.LINE_KEYS, "open_odds", "close_odds", "high_odds", "low_odds",
                       "n_snapshots")
+
+
+@register("elo_blocked")
+def q_elo_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact ratings replayed block by block (seasons; bounded task per pool and block)."""
+    return rounded(rating.elo_blocked(fx.fx_games(spark, sf_dir)))

@@ -50,3 +50,17 @@ def test_independent_pools(spark):
     got = {r.game_id: r.elo_exp_home for r in out.collect()}
     for g, v in one.items():
         assert got[g] == v and got[g + 100000] == v
+
+
+def test_blocked_equals_replay_with_small_blocks(spark):
+    games = fx.fx_games(spark, SF_CHECK)
+    a = {r.game_id: tuple(r) for r in rating.elo_by_pool(games).collect()}
+    b = {r.game_id: tuple(r) for r in rating.elo_blocked(games, max_games_per_block=250).collect()}
+    assert a == b
+
+
+def test_oversized_pool_routes_to_blocks(spark):
+    games = fx.fx_games(spark, SF_CHECK).filter(F.col("season") <= 2021)
+    a = sorted(tuple(r) for r in rating.elo_by_pool(games).collect())
+    b = sorted(tuple(r) for r in rating.elo_by_pool(games, max_games_per_pool=100).collect())
+    assert a == b
