@@ -96,3 +96,21 @@ def zfill_id(c: Column, width: int = 10) -> Column:
 def new_ids(wanted: DataFrame, landed: DataFrame, key: str = "game_id") -> DataFrame:
     """Ids still to land: wanted minus those already landed (anti join, no driver set)."""
     return wanted.join(landed.select(key).distinct(), on=key, how="left_anti")
+
+
+def clean_game_log(raw: DataFrame) -> DataFrame:
+    """Raw game log (upper-case source columns) -> team x game rows.
+
+    ``is_home``: the matchup text contains "vs." as a regular expression (so "." is
+    any character, as in the source's regex contains); ``win``: WL == "W", where a
+    missing WL counts as 0, not null.
+    """
+    return raw.select(
+        F.col("GAME_ID").alias("game_id"),
+        F.to_date("GAME_DATE").alias("game_date"),
+        F.col("SEASON").alias("season"),
+        F.col("TEAM_ID").alias("team_id"),
+        F.col("TEAM_ABBREVIATION").alias("team"),
+        F.col("MATCHUP").rlike("vs.").cast("int").alias("is_home"),
+        F.col("PTS").alias("pts"),
+        F.coalesce(F.col("WL") == "W", F.lit(False)).cast("int").alias("win"))

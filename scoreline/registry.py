@@ -447,3 +447,8 @@ def q_odds_stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_elo_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact ratings replayed block by block (seasons; bounded task per pool and block)."""
     return rounded(rating.elo_blocked(fx.fx_games(spark, sf_dir)))
+
+
+@register("game_log_clean")
+def q_game_log_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairing.clean_game_log(fx.fx_game_log(spark, sf_dir))

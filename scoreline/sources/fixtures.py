@@ -118,3 +118,35 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.join(doc, "doc_id").select(
         "doc_id", F.col("quality").alias("y"),
         F.round(1.0 / (1.0 + F.exp(z)), 4).alias("p"))
+
+
+def fx_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired games -> the raw team game log shape: codes from the nation table
+    (``T<id>`` for teams without one), "A vs. B" for the home row and "A @ B" for the
+    away row, WL missing on a tied score, season text like "2020-21"."""
+    g = fx_games(spark, sf_dir)
+    nat = load(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("bigint").alias("_k"), F.col("n_name").alias("_code"))
+
+    def code(team_col: str, alias: str) -> DataFrame:
+        return nat.select(F.col("_k").alias(team_col), F.col("_code").alias(alias))
+
+    g = (g.join(code("home_team_id", "_hc"), "home_team_id", "left")
+          .join(code("away_team_id", "_ac"), "away_team_id", "left")
+          .withColumn("_hc", F.coalesce("_hc", F.concat(F.lit("T"), F.col("home_team_id").cast("string"))))
+          .withColumn("_ac", F.coalesce("_ac", F.concat(F.lit("T"), F.col("away_team_id").cast("string")))))
+    season_txt = F.concat(F.col("season").cast("string"), F.lit("-"),
+                          F.lpad(((F.col("season") + 1) % 100).cast("string"), 2, "0"))
+
+    def wl(mine: str, theirs: str):
+        return F.when(F.col(mine) > F.col(theirs), "W").when(F.col(mine) < F.col(theirs), "L")
+
+    home = F.struct(F.col("home_team_id").alias("TEAM_ID"), F.col("_hc").alias("TEAM_ABBREVIATION"),
+                    F.concat_ws(" vs. ", "_hc", "_ac").alias("MATCHUP"),
+                    wl("home_pts", "away_pts").alias("WL"), F.col("home_pts").alias("PTS"))
+    away = F.struct(F.col("away_team_id").alias("TEAM_ID"), F.col("_ac").alias("TEAM_ABBREVIATION"),
+                    F.concat_ws(" @ ", "_ac", "_hc").alias("MATCHUP"),
+                    wl("away_pts", "home_pts").alias("WL"), F.col("away_pts").alias("PTS"))
+    return g.select(F.col("game_id").alias("GAME_ID"),
+                    F.date_format("game_date", "yyyy-MM-dd").alias("GAME_DATE"),
+                    season_txt.alias("SEASON"), F.inline(F.array(home, away)))
