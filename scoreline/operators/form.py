@@ -148,9 +148,32 @@ DENSE_DAYS = 4             # fixed value: "three games in four days"
 DENSE_GAMES = 3
 
 
+def games_in_days(df: DataFrame, keys: Sequence[str], date: str, days: int, out: str,
+                  hot: bool = False, chunk_days: int = 64) -> DataFrame:
+    """Rows of the key dated within [d - days + 1, d] (range frame, includes the row and
+    same-day rows).  For hot keys, rows are cut into chunks of ``chunk_days`` days and
+    the last ``days - 1`` days of each chunk are copied into the next one as halo rows,
+    so the range window runs per (key, chunk) and stays exact."""
+    keys = _as_list(keys)
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    d = df.withColumn("_day", day)
+    if not hot:
+        w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-(days - 1), Window.currentRow)
+        return d.withColumn(out, F.count(F.lit(1)).over(w)).drop("_day")
+    chunk_days = max(chunk_days, days)
+    ck = F.floor(F.col("_day") / chunk_days)
+    own = d.withColumn("_ck", ck).withColumn("_own", F.lit(True))
+    halo = (d.filter(F.col("_day") % chunk_days >= chunk_days - (days - 1))
+             .withColumn("_ck", ck + 1).withColumn("_own", F.lit(False)))
+    w = Window.partitionBy(*keys, "_ck").orderBy("_day").rangeBetween(-(days - 1), Window.currentRow)
+    return (own.unionByName(halo).withColumn(out, F.count(F.lit(1)).over(w))
+               .filter("_own").drop("_day", "_ck", "_own"))
+
+
 def schedule_context(long: DataFrame, key: str = "team_id", opp: str = "opp_id",
                      date: str = "game_date", tiebreak: str = "game_id",
-                     n_short: int = SHORT_WINDOW, n: int = ROLL_WINDOW) -> DataFrame:
+                     n_short: int = SHORT_WINDOW, n: int = ROLL_WINDOW,
+                     max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> DataFrame:
     """Per team-game, all strictly before the game unless noted:
 
     - short form: average points for and win rate over the previous ``n_short`` games
@@ -159,24 +182,29 @@ def schedule_context(long: DataFrame, key: str = "team_id", opp: str = "opp_id",
     - venue split: average points for and win rate over the previous ``n`` games at
       the same venue (home or away)
     - head-to-head: earlier meetings with this opponent and the team's win rate in them
+
+    The largest team is measured once; above ``max_rows_per_task`` every part uses its
+    bounded form (chunks with halo rows, bucketed running sums).
     """
+    from scoreline.operators.sequence import running_sum
+
+    hot = max_rows_per_task is not None and (
+        max_rows_per_task == 0 or largest_key_rows(long, [key]) > max_rows_per_task)
+    mode = 0 if hot else None
     order = [date, tiebreak]
-    w_team = Window.partitionBy(key).orderBy(*order)
-    w_short = w_team.rowsBetween(-n_short, -1)
-    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
-    w_days = (Window.partitionBy(key).orderBy(day)
-              .rangeBetween(-(DENSE_DAYS - 1), Window.currentRow))
-    w_venue = Window.partitionBy(key, "is_home").orderBy(*order).rowsBetween(-n, -1)
-    w_h2h = (Window.partitionBy(key, opp).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    out = long.select(
-        "*",
-        F.avg("pts_for").over(w_short).alias("short_pts_for"),
-        F.avg("win").over(w_short).alias("short_win_rate"),
-        F.count(F.lit(1)).over(w_days).alias("games_in_4_days"),
-        F.avg("pts_for").over(w_venue).alias("venue_pts_for"),
-        F.avg("win").over(w_venue).alias("venue_win_rate"),
-        F.count(F.lit(1)).over(w_h2h).alias("h2h_games"),
-        F.avg("win").over(w_h2h).alias("h2h_win_rate"))
-    return out.withColumn("three_in_four",
-                          (F.col("games_in_4_days") >= DENSE_GAMES).cast("int"))
+    f = prior_window(long, key, order, n_short,
+                     avg_cols={"short_pts_for": "pts_for", "short_win_rate": "win"},
+                     max_rows_per_task=mode, chunk_rows=1_000_000 if not hot else 4096)
+    f = prior_window(f, [key, "is_home"], order, n,
+                     avg_cols={"venue_pts_for": "pts_for", "venue_win_rate": "win"},
+                     max_rows_per_task=mode, chunk_rows=1_000_000 if not hot else 4096)
+    f = games_in_days(f, [key], date, DENSE_DAYS, "games_in_4_days", hot=hot)
+    season = F.col("season") if "season" in long.columns else F.year(date)
+    f = f.withColumn("_one", F.lit(1))
+    f = running_sum(f, [key, opp], order, "_one", "h2h_games", season, include_current=False,
+                    max_rows_per_task=mode)
+    f = running_sum(f, [key, opp], order, "win", "_h2h_wins", season, include_current=False,
+                    max_rows_per_task=mode)
+    return (f.withColumn("h2h_win_rate", F.try_divide(F.col("_h2h_wins"), F.col("h2h_games")))
+             .withColumn("three_in_four", (F.col("games_in_4_days") >= DENSE_GAMES).cast("int"))
+             .drop("_one", "_h2h_wins"))
