@@ -94,9 +94,11 @@ def positions(df: DataFrame, order: Sequence[str], bucket_width: int = 4096) ->
               F.floor(F.col(order[-1]) / bucket_width).alias("_b1")]
     b = df.select("*", *bucket)
     counts = b.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per bucket: the running sum over this small table is the bucket offset,
+    # and its total is the row count (no separate count job)
     offsets = counts.select("_b0", "_b1", F.coalesce(F.sum("_n").over(
         Window.orderBy("_b0", "_b1").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"))
+        F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("n_rows"))
     rank = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy(*order)) - 1
     return (b.join(offsets, ["_b0", "_b1"])
              .withColumn("pos", (F.col("_off") + rank).cast("bigint"))
@@ -107,11 +109,12 @@ def time_split(frame: DataFrame, order: Sequence[str] = ("game_date", "game_id")
                train_frac: float = TRAIN_FRAC, valid_frac: float = VALID_FRAC) -> DataFrame:
     """Positional split: first floor(train_frac*n) rows train, up to
     floor((train_frac+valid_frac)*n) validation, the rest test (a boundary may cut a date)."""
-    n = frame.count()
-    i_tr, i_va = int(n * train_frac), int(n * (train_frac + valid_frac))
     p = positions(frame, order)
+    n = F.col("n_rows").cast("double")
+    i_tr = F.floor(n * F.lit(train_frac))
+    i_va = F.floor(n * F.lit(train_frac + valid_frac))
     return p.withColumn("split", F.when(F.col("pos") < i_tr, "train")
-                        .when(F.col("pos") < i_va, "valid").otherwise("test"))
+                        .when(F.col("pos") < i_va, "valid").otherwise("test")).drop("n_rows")
 
 
 def matchup_features(matchups: DataFrame, latest: DataFrame, home_rest: int = 2,
