@@ -768,3 +768,8 @@ FROM (SELECT g.game_id AS GAME_ID, strftime(g.game_date, '%Y-%m-%d') AS GAME_DAT
                       CASE WHEN g.away_pts > g.home_pts THEN 'W' WHEN g.away_pts < g.home_pts THEN 'L' END,
                       g.away_pts) s) raw
 """, "fx_games")
+
+SQL["odds_stream_close_emit"] = with_fx("""
+SELECT c.* FROM closing c JOIN tips t ON c.game_id = t.game_id
+WHERE t.tip_ts < (SELECT max(captured_at) FROM fx_odds_snapshots) - INTERVAL 1 DAY
+""", "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, _PRETIP, _CLOSE])

@@ -452,3 +452,14 @@ def q_elo_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("game_log_clean")
 def q_game_log_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.clean_game_log(fx.fx_game_log(spark, sf_dir))
+
+
+@register("odds_stream_close_emit")
+def q_odds_stream_close_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closing lines emitted once per line by an event-time timer at tip-off."""
+    base = odds_stream.stream_dir(spark)
+    src = odds_stream.snapshot_stream(spark, staged_snapshots(spark, sf_dir, base))
+    odds_stream.run_append(odds_stream.closing_emitter(src, tipoffs(spark, sf_dir)),
+                           f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select(
+        *prices.LINE_KEYS, "closing_odds", F.col("closing_at").cast("timestamp_ntz").alias("closing_at"))

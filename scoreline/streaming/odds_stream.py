@@ -86,3 +86,61 @@ def compact(spark: SparkSession, log_path: str, keys: Sequence[str]) -> DataFram
 def stream_dir(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint directory for one streaming run."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+
+
+CLOSE_OUT = ("game_id long, book string, market string, side string, closing_odds int, "
+             "closing_at timestamp, tip_at timestamp")
+CLOSE_STATE = "odds int, at_us long, snap long, tip_ms long"
+
+
+def _close_once(key, pdfs, state):
+    """Keep the latest pre-tip price of one line; emit it once when the event-time
+    watermark passes tip-off, then drop the state."""
+    import pandas as pd
+
+    def emit(odds, at_us, tip_ms):
+        yield pd.DataFrame({"game_id": [key[0]], "book": [key[1]], "market": [key[2]],
+                            "side": [key[3]], "closing_odds": [odds],
+                            "closing_at": [pd.Timestamp(at_us, unit="us")],
+                            "tip_at": [pd.Timestamp(tip_ms, unit="ms")]})
+
+    if state.hasTimedOut:
+        odds, at_us, _snap, tip_ms = state.get
+        state.remove()
+        yield from emit(odds, at_us, tip_ms)
+        return
+    best = tuple(state.get) if state.exists else None
+    for pdf in pdfs:
+        at = pdf["captured_at"].astype("datetime64[us]").astype("int64").to_numpy()
+        tip = pdf["_tip"].astype("datetime64[us]").astype("int64").to_numpy()
+        pre = pdf.assign(at_us=at, tip_us=tip)[at < tip]
+        if len(pre):
+            last = pre.sort_values(["at_us", "snapshot_id"]).iloc[-1]
+            cand = (int(last["american_odds"]), int(last["at_us"]), int(last["snapshot_id"]),
+                    int(last["tip_us"]) // 1000)
+            if best is None or (cand[1], cand[2]) > (best[1], best[2]):
+                best = cand
+    if best is None:
+        return
+    state.update(best)
+    state.setTimeoutTimestamp(best[3])
+
+
+def closing_emitter(stream: DataFrame, tipoffs: DataFrame,
+                    keys: Sequence[str] = LINE_KEYS) -> DataFrame:
+    """Append-mode stream of closing lines, one row per line once tip-off has passed
+    the watermark (event-time timer per line; state is bounded by open lines)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    tips = tipoffs.select("game_id", F.col("tip_ts").cast("timestamp").alias("_tip"))
+    s = stream.join(tips, "game_id").select(*keys, "american_odds", "captured_at",
+                                            "snapshot_id", "_tip")
+    return s.groupBy(*keys).applyInPandasWithState(
+        _close_once, CLOSE_OUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
+    """Run an append-mode stream over everything available into Parquet files."""
+    q = (df.writeStream.outputMode("append").format("parquet").option("path", out_path)
+           .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()

@@ -77,3 +77,20 @@ def test_time_split_fractions(spark):
     last_train = split.filter("split = 'train'").agg(F.max("pos")).first()[0]
     first_test = split.filter("split = 'test'").agg(F.min("pos")).first()[0]
     assert last_train < first_test
+
+
+def test_closing_emitted_once_after_tip(spark, scratch):
+    src = f"{scratch}/in"
+    t0 = dt.datetime(2024, 1, 1)
+    rows1 = [(1, 1, "b", "h2h", "HOME", 100, t0), (2, 1, "b", "h2h", "HOME", 110, t0 + dt.timedelta(days=1)),
+             (3, 2, "b", "h2h", "HOME", 130, t0 + dt.timedelta(days=1))]
+    rows2 = [(4, 1, "b", "h2h", "HOME", 120, t0 + dt.timedelta(days=2, hours=1)),   # after tip of game 1
+             (5, 2, "b", "h2h", "HOME", 140, t0 + dt.timedelta(days=6))]           # advances the watermark
+    _land(spark, rows1, src)
+    _land(spark, rows2, src)
+    tips = spark.createDataFrame([(1, dt.datetime(2024, 1, 3)), (2, dt.datetime(2024, 1, 20))],
+                                 "game_id long, tip_ts timestamp_ntz")
+    stream = os_.snapshot_stream(spark, src, max_files=1)
+    os_.run_append(os_.closing_emitter(stream, tips), f"{scratch}/out", f"{scratch}/ck")
+    got = spark.read.parquet(f"{scratch}/out").collect()
+    assert [(r.game_id, r.closing_odds) for r in got] == [(1, 110)]   # game 2 not yet tipped off
