@@ -773,3 +773,18 @@ SQL["odds_stream_close_emit"] = with_fx("""
 SELECT c.* FROM closing c JOIN tips t ON c.game_id = t.game_id
 WHERE t.tip_ts < (SELECT max(captured_at) FROM fx_odds_snapshots) - INTERVAL 1 DAY
 """, "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, _PRETIP, _CLOSE])
+
+SQL["move_bursts"] = with_fx("""
+SELECT game_id, book, market, side, CAST(burst_no AS BIGINT) AS burst_no,
+       min(captured_at) AS burst_start, max(captured_at) + INTERVAL 6 HOUR AS burst_end,
+       CAST(count(*) AS BIGINT) AS n_snapshots,
+       first(american_odds ORDER BY captured_at, snapshot_id) AS open_odds,
+       last(american_odds ORDER BY captured_at, snapshot_id) AS close_odds
+FROM (SELECT *, sum(nw) OVER (PARTITION BY game_id, book, market, side ORDER BY captured_at, snapshot_id
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst_no
+      FROM (SELECT *, CASE WHEN prev IS NULL OR captured_at >= prev + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS nw
+            FROM (SELECT *, lag(captured_at) OVER (PARTITION BY game_id, book, market, side
+                                                   ORDER BY captured_at, snapshot_id) AS prev
+                  FROM fx_odds_snapshots) a) b) c
+GROUP BY game_id, book, market, side, burst_no
+""", "fx_odds_snapshots")

@@ -463,3 +463,8 @@ def q_odds_stream_close_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
                            f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select(
         *prices.LINE_KEYS, "closing_odds", F.col("closing_at").cast("timestamp_ntz").alias("closing_at"))
+
+
+@register("move_bursts")
+def q_move_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.move_bursts(fx.fx_odds_snapshots(spark, sf_dir))

@@ -144,3 +144,14 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
     q = (df.writeStream.outputMode("append").format("parquet").option("path", out_path)
            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def move_bursts(stream: DataFrame, keys: Sequence[str] = LINE_KEYS,
+                gap: str = "6 hours") -> DataFrame:
+    """Bursts of snapshots per line as event-time session windows (append mode emits a
+    burst once the watermark passes its end)."""
+    order = F.struct("captured_at", "snapshot_id")
+    return stream.groupBy(F.session_window("captured_at", gap).alias("s"), *keys).agg(
+        F.count(F.lit(1)).alias("n_snapshots"),
+        F.min_by("american_odds", order).alias("open_odds"),
+        F.max_by("american_odds", order).alias("close_odds"))

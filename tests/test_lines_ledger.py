@@ -108,3 +108,16 @@ def test_payload_flatten_rules(spark):
     empty = {"home_team": "H", "away_team": "A", "bookmakers": [
         {"title": "x", "markets": [{"key": "h2h", "outcomes": [{"name": "A", "price": 100}]}]}]}
     assert prices.flatten_payload(spark.createDataFrame([(json.dumps(empty),)], "payload string")).count() == 0
+
+
+def test_bursts_match_session_windows(spark):
+    snaps = fx.fx_odds_snapshots(spark, SF_CHECK)
+    mine = lines.move_bursts(snaps).select(*prices.LINE_KEYS, "burst_start", "burst_end", "n_snapshots")
+    ref = snaps.groupBy(F.session_window("captured_at", "6 hours").alias("s"), *prices.LINE_KEYS) \
+        .agg(F.count(F.lit(1)).alias("n_snapshots")) \
+        .select(*prices.LINE_KEYS, F.col("s.start").cast("timestamp_ntz").alias("burst_start"),
+                F.col("s.end").cast("timestamp_ntz").alias("burst_end"), "n_snapshots")
+    assert sorted(mine.collect()) == sorted(ref.collect())
+    hot = lines.move_bursts(snaps.withColumn("captured_at", F.col("captured_at")),
+                            bucket=F.to_date("captured_at"))
+    assert hot.count() == mine.count()

@@ -94,3 +94,17 @@ def test_closing_emitted_once_after_tip(spark, scratch):
     os_.run_append(os_.closing_emitter(stream, tips), f"{scratch}/out", f"{scratch}/ck")
     got = spark.read.parquet(f"{scratch}/out").collect()
     assert [(r.game_id, r.closing_odds) for r in got] == [(1, 110)]   # game 2 not yet tipped off
+
+
+def test_stream_bursts_emit_closed_sessions(spark, scratch):
+    src = f"{scratch}/in"
+    t0 = dt.datetime(2024, 1, 1)
+    h = dt.timedelta(hours=1)
+    _land(spark, [(1, 1, "b", "h2h", "HOME", 100, t0), (2, 1, "b", "h2h", "HOME", 105, t0 + 2 * h)], src)
+    _land(spark, [(3, 1, "b", "h2h", "HOME", 120, t0 + 20 * h)], src)
+    _land(spark, [(4, 1, "b", "h2h", "HOME", 130, t0 + 80 * h)], src)   # moves the watermark on
+    stream = os_.snapshot_stream(spark, src, max_files=1)
+    os_.run_append(os_.move_bursts(stream), f"{scratch}/out", f"{scratch}/ck")
+    got = sorted((r.s.start, r.n_snapshots, r.open_odds, r.close_odds)
+                 for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert [(n, o, c) for _, n, o, c in got] == [(2, 100, 105), (1, 120, 120)]
