@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreline.sources.tables import RAW_GAME_LOG, TEAM_GAMES, require
+
 
 def _side_counts(team_games: DataFrame, game: str, side: str, team: str) -> DataFrame:
     return team_games.groupBy(game).agg(
@@ -35,6 +37,8 @@ def pair_sides(team_games: DataFrame, game: str = "game_id", side: str = "is_hom
     ``home_win`` = home score > away score (0 on a tie, as a strict comparison).
     ``carry`` columns are taken from the home row.
     """
+    if (game, side, team, score) == ("game_id", "is_home", "team_id", "pts"):
+        require(team_games, TEAM_GAMES)
     home = F.struct(*[F.col(c) for c in (team, score, *carry)])
     away = F.struct(F.col(team), F.col(score))
     paired = team_games.groupBy(game).agg(
@@ -105,6 +109,7 @@ def clean_game_log(raw: DataFrame) -> DataFrame:
     any character, as in the source's regex contains); ``win``: WL == "W", where a
     missing WL counts as 0, not null.
     """
+    require(raw, RAW_GAME_LOG)
     return raw.select(
         F.col("GAME_ID").alias("game_id"),
         F.to_date("GAME_DATE").alias("game_date"),

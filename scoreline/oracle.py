@@ -788,3 +788,22 @@ FROM (SELECT *, sum(nw) OVER (PARTITION BY game_id, book, market, side ORDER BY
                   FROM fx_odds_snapshots) a) b) c
 GROUP BY game_id, book, market, side, burst_no
 """, "fx_odds_snapshots")
+
+SQL["land_game_log"] = with_fx("""
+SELECT GAME_ID, GAME_DATE, SEASON, TEAM_ID, TEAM_ABBREVIATION, MATCHUP, WL, PTS,
+       CAST(count(*) OVER () AS BIGINT) AS rows_written
+FROM (SELECT g.game_id AS GAME_ID, strftime(g.game_date, '%Y-%m-%d') AS GAME_DATE,
+             CAST(g.season AS VARCHAR) || '-' || lpad(CAST((g.season + 1) % 100 AS VARCHAR), 2, '0') AS SEASON,
+             s.*
+      FROM (SELECT f.*, COALESCE(hn.n_name, 'T' || CAST(f.home_team_id AS VARCHAR)) AS hc,
+                   COALESCE(an.n_name, 'T' || CAST(f.away_team_id AS VARCHAR)) AS ac
+            FROM fx_games f LEFT JOIN nation hn ON f.home_team_id = hn.n_nationkey
+                            LEFT JOIN nation an ON f.away_team_id = an.n_nationkey) g,
+      LATERAL (SELECT g.home_team_id AS TEAM_ID, g.hc AS TEAM_ABBREVIATION, g.hc || ' vs. ' || g.ac AS MATCHUP,
+                      CASE WHEN g.home_pts > g.away_pts THEN 'W' WHEN g.home_pts < g.away_pts THEN 'L' END AS WL,
+                      g.home_pts AS PTS
+               UNION ALL
+               SELECT g.away_team_id, g.ac, g.ac || ' @ ' || g.hc,
+                      CASE WHEN g.away_pts > g.home_pts THEN 'W' WHEN g.away_pts < g.home_pts THEN 'L' END,
+                      g.away_pts) s) raw
+""", "fx_games")

@@ -17,6 +17,7 @@ from scoreline.operators import events, form, ledger, lines, pairing, prices, pr
 from scoreline.plans import backtest, board, evaluate, features, model
 from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
+from scoreline.sources import tables
 from scoreline.sources.tables import load
 from scoreline.streaming import odds_stream
 
@@ -468,3 +469,13 @@ def q_odds_stream_close_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("move_bursts")
 def q_move_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.move_bursts(fx.fx_odds_snapshots(spark, sf_dir))
+
+
+@register("land_game_log")
+def q_land_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Land the raw multi-season game log as one Parquet table under real season=...
+    directories (replace mode, row count from the write), read it back."""
+    path = f"{odds_stream.stream_dir(spark)}/raw_game_log"
+    written = landing.write_table(fx.fx_game_log(spark, sf_dir), path, "replace", ["SEASON"])
+    back = spark.read.schema(tables.RAW_GAME_LOG).parquet(path)
+    return back.withColumn("rows_written", F.lit(written).cast("bigint"))

@@ -55,6 +55,8 @@ PBP = _schema(("game_id", _L), ("action_number", _L), ("period", _I), ("team_cod
               ("score_home", _S), ("score_away", _S))                             # event
 ODDS_SNAPSHOTS = _schema(("snapshot_id", _L), ("game_id", _L), ("book", _S), ("market", _S),
                          ("side", _S), ("american_odds", _I), ("captured_at", _TS))  # snapshot
+RAW_GAME_LOG = _schema(("GAME_ID", _L), ("GAME_DATE", _S), ("SEASON", _S), ("TEAM_ID", _L),
+                      ("TEAM_ABBREVIATION", _S), ("MATCHUP", _S), ("WL", _S), ("PTS", _L))  # team x game
 BETS = _schema(("bet_id", _L), ("user_id", _L), ("game_id", _L), ("book", _S), ("side", _S),
                ("odds_taken", _I), ("stake", _L), ("placed_at", _TS), ("won", _I))  # bet
 

@@ -53,10 +53,12 @@ def closing_prices(stream: DataFrame, tipoffs: DataFrame,
 
 
 def daily_candles(stream: DataFrame, keys: Sequence[str] = LINE_KEYS,
-                  width: str = CANDLE_WIDTH) -> DataFrame:
-    """Tumbling event-time windows per line: open, close, high, low, snapshots."""
+                  width: str = CANDLE_WIDTH, slide: str | None = None) -> DataFrame:
+    """Event-time windows per line (tumbling, or sliding when ``slide`` is given):
+    open, close, high, low, snapshots."""
     order = F.struct("captured_at", "snapshot_id")
-    return stream.groupBy(F.window("captured_at", width).alias("w"), *keys).agg(
+    w = F.window("captured_at", width, slide) if slide else F.window("captured_at", width)
+    return stream.groupBy(w.alias("w"), *keys).agg(
         F.min_by("american_odds", order).alias("open_odds"),
         F.max_by("american_odds", order).alias("close_odds"),
         F.max("american_odds").alias("high_odds"),

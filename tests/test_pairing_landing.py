@@ -48,3 +48,23 @@ def test_read_sql_bound_parameter(spark):
         .createOrReplaceTempView("g_param")
     got = landing.read_sql(spark, "SELECT game_id FROM g_param WHERE season = :s", s=2021)
     assert [r[0] for r in got.collect()] == [2]
+
+
+def test_declared_schema_is_required(spark):
+    import pytest
+
+    bad = spark.createDataFrame([(1, "2024-01-01")], "GAME_ID long, GAME_DATE string")
+    with pytest.raises(ValueError, match="missing columns"):
+        pairing.clean_game_log(bad)
+
+
+def test_season_directories_prune(spark, scratch):
+    from scoreline.registry import fx
+    path = f"{scratch}/log"
+    n = landing.write_table(fx.fx_game_log(spark, "/root/testdata/sf0.01"), path, "replace", ["SEASON"])
+    df = spark.read.parquet(path)
+    assert df.count() == n
+    one = df.filter(F.col("SEASON") == "2021-22")
+    assert all("SEASON=2021-22" in f for f in one.inputFiles())
+    with __import__("pytest").raises(Exception):
+        landing.write_table(df, path, "fail")
