@@ -65,6 +65,9 @@ def test_season_directories_prune(spark, scratch):
     df = spark.read.parquet(path)
     assert df.count() == n
     one = df.filter(F.col("SEASON") == "2021-22")
-    assert all("SEASON=2021-22" in f for f in one.inputFiles())
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(SEASON" in plan and "2021-22" in plan
+    assert one.count() == df.filter(F.col("GAME_DATE").between("2021-01-01", "2099-01-01")
+                                    & (F.col("SEASON") == "2021-22")).count()
     with __import__("pytest").raises(Exception):
         landing.write_table(df, path, "fail")
