@@ -47,46 +47,50 @@ def running_below(d: DataFrame, part: str, score: str, count_col: str, out: str)
              .withColumn(out, F.col("_off") + F.col("_in")).drop("_bk", "_in", "_off"))
 
 
-def auc(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p") -> DataFrame:
-    """Exact ROC AUC per model; tied scores count one half."""
+def score_counts(scored: DataFrame, model, y: str = "y", p: str = "p") -> DataFrame:
+    """One row per (model, score): positives and negatives.  Every metric and bin below
+    is computed from this table, so the scored rows are read by one aggregate."""
+    model = _cols(model)
+    return scored.groupBy(*model, p).agg(F.sum(F.col(y)).cast("double").alias("_pos"),
+                                         F.sum(1 - F.col(y)).cast("double").alias("_neg"))
+
+
+def auc(d: DataFrame, model, p: str = "p") -> DataFrame:
+    """Exact ROC AUC per model from score counts; tied scores count one half."""
     model = _cols(model)
-    d = scored.groupBy(*model, p).agg(F.sum(F.col(y)).alias("_pos"),
-                                      F.sum(1 - F.col(y)).alias("_neg"))
     d = running_below(d, model, p, "_neg", "_neg_below")
     return d.groupBy(*model).agg(
         (F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg")))
          / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
 
 
-def prob_metrics(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
+def prob_metrics(scored: DataFrame, model="model", y: str = "y", p: str = "p",
                  digits: int = METRIC_DIGITS) -> DataFrame:
     """n, log loss, Brier, accuracy at p > 0.5 and AUC per model, rounded."""
-    pc = F.least(F.greatest(F.col(p), F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
-    yy = F.col(y).cast("double")
     model = _cols(model)
-    base = scored.groupBy(*model).agg(
-        F.count(F.lit(1)).alias("n"),
-        (-F.avg(yy * F.log(pc) + (1.0 - yy) * F.log(1.0 - pc))).alias("log_loss"),
-        F.avg(F.pow(F.col(p) - yy, 2)).alias("brier"),
-        F.avg(((F.col(p) > 0.5).cast("int") == F.col(y)).cast("double")).alias("accuracy"))
-    out = base.join(auc(scored, model, y, p), model)
+    d = score_counts(scored, model, y, p)
+    pc = F.least(F.greatest(F.col(p), F.lit(LOG_LOSS_EPS)), F.lit(1.0 - LOG_LOSS_EPS))
+    n = F.col("_pos") + F.col("_neg")
+    hi = (F.col(p) > 0.5).cast("double")
+    base = d.groupBy(*model).agg(
+        F.sum(n).cast("bigint").alias("n"),
+        (-F.sum(F.col("_pos") * F.log(pc) + F.col("_neg") * F.log(1.0 - pc)) / F.sum(n))
+        .alias("log_loss"),
+        (F.sum(F.col("_pos") * F.pow(F.col(p) - 1.0, 2) + F.col("_neg") * F.pow(F.col(p), 2))
+         / F.sum(n)).alias("brier"),
+        (F.sum(F.col("_pos") * hi + F.col("_neg") * (1.0 - hi)) / F.sum(n)).alias("accuracy"))
+    out = base.join(auc(d, model, p), model)
     return out.select(*model, "n", *[F.round(c, digits).alias(c)
                                     for c in ("log_loss", "brier", "accuracy", "auc")])
 
 
-def global_positions(df: DataFrame, part: str, order: str) -> DataFrame:
-    """0-based rank ``_pos`` of each row by ``order`` within ``part`` (bucketed offsets)."""
-    d = df.groupBy(part, order).agg(F.count(F.lit(1)).alias("_c"))
-    d = running_below(d, part, order, "_c", "_before")
-    return d  # one row per (part, value): positions _before .. _before + _c - 1
-
-
-def quantile_edges(scored: DataFrame, model: str = "model", p: str = "p",
+def quantile_edges(d: DataFrame, model: str = "model", p: str = "p",
                    n_bins: int = N_BINS) -> DataFrame:
-    """Inner edges q = 1/n .. (n-1)/n per model, linear interpolation between closest
-    ranks (position (n-1) q), exact, without collecting the values."""
-    d = global_positions(scored, model, p)
-    n = scored.groupBy(model).agg(F.count(F.lit(1)).alias("_n"))
+    """Inner edges q = 1/n .. (n-1)/n per model from score counts ``d``: linear
+    interpolation between closest ranks (position (n-1) q), exact, nothing collected."""
+    d = d.withColumn("_c", F.col("_pos") + F.col("_neg"))
+    d = running_below(d, model, p, "_c", "_before")
+    n = d.groupBy(model).agg(F.sum("_c").alias("_n"))
     qs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
     want = n.select(model, "_n", F.posexplode(qs).alias("_qi", "_q")).select(
         model, "_qi", (F.col("_q") * (F.col("_n") - 1)).alias("_h"))
@@ -111,9 +115,13 @@ def quantile_edges(scored: DataFrame, model: str = "model", p: str = "p",
 def calibration_bins(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",
                      n_bins: int = N_BINS) -> DataFrame:
     """Equal-frequency reliability curve: bin = number of inner edges strictly below p;
-    per non-empty bin the mean prediction and the observed share of positives."""
-    edges = quantile_edges(scored, model, p, n_bins).groupBy(model).agg(
-        F.array_sort(F.collect_list("edge")).alias("_edges"))
+    per non-empty bin the mean prediction and the observed share of positives.
+
+    Edges come from the score counts; the bin averages are taken over the rows
+    themselves (a mean of p from (p, count) pairs rounds differently at exact ties).
+    """
+    edges = quantile_edges(score_counts(scored, model, y, p), model, p, n_bins) \
+        .groupBy(model).agg(F.array_sort(F.collect_list("edge")).alias("_edges"))
     # one row of n_bins - 1 edges per model: bounded, broadcast
     b = scored.join(F.broadcast(edges), model).withColumn(
         "bin", F.size(F.filter("_edges", lambda e: e < F.col(p))))

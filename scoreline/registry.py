@@ -201,7 +201,9 @@ def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def game_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rating.elo_by_pool(fx.fx_games(spark, sf_dir))
+    """Pre-game ratings (one row per game), materialised once: several branches of a
+    plan read them, and the replay is a Python stage that should not run per branch."""
+    return rating.elo_by_pool(fx.fx_games(spark, sf_dir)).checkpoint()
 
 
 def full_form(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,7 +238,8 @@ def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = features.time_split(features_of(spark, sf_dir)).filter(F.col("split") == "test")
     elo = test.select(F.lit("elo_baseline").alias("model"), F.col("home_win").alias("y"),
                       F.col("elo_exp_home").alias("p"))
-    return docs.unionByName(elo)
+    # (model, y, p) feeds the metric, AUC and quantile branches: materialise once
+    return docs.unionByName(elo).checkpoint()
 
 
 @register("prob_metrics")
