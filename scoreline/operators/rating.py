@@ -12,8 +12,8 @@ Three executions:
     and a pool above ``max_games_per_pool`` goes to ``elo_blocked`` instead.
 
 ``elo_blocked``  exact replay for pools too large for one task: the pool's games
-    are cut into blocks (a season, or a date range of a season when the season is
-    itself too large) and replayed block after block; each block is one bounded
+    are cut into blocks of consecutive dates holding at most ``max_games_per_block``
+    games and replayed block after block; each block is one bounded
     task per pool that receives the carried rating table (one row per team) through
     ``cogroup``.  Pools advance in parallel; a block's output is checkpointed.
 
@@ -190,16 +190,15 @@ def elo_blocked(games: DataFrame, pool: str | None = None, k: float = K,
                 max_games_per_block: int = MAX_GAMES_PER_BLOCK) -> DataFrame:
     """Exact sequential ratings, block by block (see module docstring)."""
     g = games.withColumn("_pool", (F.col(pool) if pool else F.lit(0)).cast("string"))
-    g = g.join(season_ordinals(g), on=["_pool", "season"])
-    days = g.groupBy("_pool", "_sord", "game_date").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("_pool", "_sord", "game_date", F.floor(F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_pool", "_sord").orderBy("game_date")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / max_games_per_block)
-        .alias("_sub"))
-    blocks = days.select("_pool", "_sord", "_sub").distinct()
-    blocks = blocks.select("*", F.dense_rank().over(
-        Window.partitionBy("_pool").orderBy("_sord", "_sub")).alias("_blk"))
-    g = (g.join(days, ["_pool", "_sord", "game_date"]).join(blocks, ["_pool", "_sord", "_sub"])
+    # blocks: consecutive dates of a pool holding at most max_games_per_block games
+    # (a date is never split); the replay carries the current season in its state, so
+    # a block may start or end anywhere inside a season.  One row per (pool, date).
+    days = g.groupBy("_pool", "game_date").agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_pool", "game_date", (F.floor(F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_pool").orderBy("game_date")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / max_games_per_block) + 1)
+        .cast("int").alias("_blk"))
+    g = (g.join(days, ["_pool", "game_date"])
           .select("_pool", "_blk", "game_id", "game_date", "season", "home_team_id",
                   "away_team_id", "home_win")
           .checkpoint())
