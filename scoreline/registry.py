@@ -200,19 +200,27 @@ def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rating.elo_relaxed(fx.fx_games(spark, sf_dir)))
 
 
-def game_elo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def games_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired games (one row per game) materialised once for plans that read them in
+    several branches (form, ratings, matchups), instead of re-pairing per branch."""
+    return fx.fx_games(spark, sf_dir).checkpoint()
+
+
+def game_elo(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
     """Pre-game ratings (one row per game), materialised once: several branches of a
     plan read them, and the replay is a Python stage that should not run per branch."""
-    return rating.elo_by_pool(fx.fx_games(spark, sf_dir)).checkpoint()
+    g = games if games is not None else fx.fx_games(spark, sf_dir)
+    return rating.elo_by_pool(g).checkpoint()
 
 
-def full_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return form.team_form(team_long(spark, sf_dir))
+def full_form(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
+    g = games if games is not None else fx.fx_games(spark, sf_dir)
+    return form.team_form(pairing.explode_sides(g))
 
 
 def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.feature_frame(fx.fx_games(spark, sf_dir), full_form(spark, sf_dir),
-                                  game_elo(spark, sf_dir))
+    g = games_shared(spark, sf_dir)
+    return features.feature_frame(g, full_form(spark, sf_dir, g), game_elo(spark, sf_dir, g))
 
 
 @register("feature_frame")
@@ -222,8 +230,7 @@ def q_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("latest_form")
 def q_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.latest_form(full_form(spark, sf_dir), fx.fx_games(spark, sf_dir),
-                                        game_elo(spark, sf_dir)))
+    return rounded(latest_of(spark, sf_dir))
 
 
 @register("time_split")
@@ -277,22 +284,24 @@ def q_gbt_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.heldout_predictions(m, split)
 
 
-def upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+def upcoming(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
     """Priced games with their two teams (tip-off table x games)."""
-    g = fx.fx_games(spark, sf_dir).select("game_id", "home_team_id", "away_team_id")
-    return fx.fx_tipoffs(spark, sf_dir).join(g, "game_id")
+    g = games if games is not None else fx.fx_games(spark, sf_dir)
+    return fx.fx_tipoffs(spark, sf_dir).join(
+        g.select("game_id", "home_team_id", "away_team_id"), "game_id")
 
 
-def latest_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.latest_form(full_form(spark, sf_dir), fx.fx_games(spark, sf_dir),
-                                game_elo(spark, sf_dir))
+def latest_of(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
+    g = games if games is not None else games_shared(spark, sf_dir)
+    return features.latest_form(full_form(spark, sf_dir, g), g, game_elo(spark, sf_dir, g))
 
 
 @register("score_matchups")
 def q_score_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Future matchups scored by the calibrated trees from latest form and ratings."""
     m, _ = fitted_model(spark, sf_dir)
-    x = features.matchup_features(upcoming(spark, sf_dir), latest_of(spark, sf_dir))
+    g = games_shared(spark, sf_dir)
+    x = features.matchup_features(upcoming(spark, sf_dir, g), latest_of(spark, sf_dir, g))
     return model.score(m, x).select("game_id", "home_team_id", "away_team_id",
                                     "elo_exp_home", "raw_prob", "model_prob")
 
@@ -304,7 +313,8 @@ def team_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = features.matchup_features(upcoming(spark, sf_dir), latest_of(spark, sf_dir)) \
+    g = games_shared(spark, sf_dir)
+    scored = features.matchup_features(upcoming(spark, sf_dir, g), latest_of(spark, sf_dir, g)) \
         .select("game_id", "home_team_id", "away_team_id", F.col("elo_exp_home").alias("p_home"))
     lines = prices.two_way(prices.latest_lines(fx.fx_odds_snapshots(spark, sf_dir)))
     return board.board(scored, lines, team_lookup(spark, sf_dir))
@@ -386,16 +396,18 @@ def q_ledger_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("backtest")
 def q_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     oc = backtest.open_close(fx.fx_odds_snapshots(spark, sf_dir), tipoffs(spark, sf_dir))
-    g = fx.fx_games(spark, sf_dir).join(game_elo(spark, sf_dir), "game_id") \
+    games = games_shared(spark, sf_dir)
+    g = games.join(game_elo(spark, sf_dir, games), "game_id") \
         .withColumnRenamed("elo_exp_home", "p_home")
     return rounded(backtest.backtest_summary(backtest.backtest_bets(oc, g)))
 
 
 @register("walk_forward")
 def q_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = fx.fx_games(spark, sf_dir).join(game_elo(spark, sf_dir), "game_id").select(
+    games = games_shared(spark, sf_dir)
+    g = games.join(game_elo(spark, sf_dir, games), "game_id").select(
         "season", "game_date", F.col("home_win").alias("y"), F.col("elo_exp_home").alias("p"))
-    return backtest.walk_forward(g)
+    return backtest.walk_forward(g.checkpoint())
 
 
 @register("schedule_context")
