@@ -71,3 +71,11 @@ def test_season_directories_prune(spark, scratch):
                                     & (F.col("SEASON") == "2021-22")).count()
     with __import__("pytest").raises(Exception):
         landing.write_table(df, path, "fail")
+
+
+def test_trial_cap_takes_first_ids_in_date_order(spark):
+    from scoreline.registry import limit_ids
+    df = spark.createDataFrame([(5, "2024-01-02"), (3, "2024-01-01"), (9, "2024-01-01"), (1, "2024-01-03")],
+                               "game_id long, game_date string")
+    assert [r.game_id for r in limit_ids(df, 2).collect()] == [3, 9]
+    assert limit_ids(df, 0).count() == 4
