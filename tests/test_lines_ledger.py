@@ -121,3 +121,19 @@ def test_bursts_match_session_windows(spark):
     hot = lines.move_bursts(snaps.withColumn("captured_at", F.col("captured_at")),
                             bucket=F.to_date("captured_at"))
     assert hot.count() == mine.count()
+
+
+def test_best_side_tie_break_order(spark):
+    two = "game_id long, book string, home_odds int, away_odds int, p_home double"
+    # p = 0.5 and +100 on both sides: EV 0 everywhere -> HOME wins over AWAY
+    a = prices.best_side(spark.createDataFrame([(1, "x", 100, 100, 0.5)], two)).first()
+    assert a.pick == "HOME" and a.book == "x"
+    # equal EV at two books for HOME -> book name descending
+    b = prices.best_side(spark.createDataFrame(
+        [(1, "alpha", 150, -300, 0.5), (1, "zeta", 150, -300, 0.5)], two)).first()
+    assert (b.pick, b.book) == ("HOME", "zeta")
+    # the higher EV wins regardless of side or book
+    c = prices.best_side(spark.createDataFrame(
+        [(1, "alpha", -200, 180, 0.5), (1, "zeta", -150, 120, 0.5)], two)).first()
+    assert (c.pick, c.book, c.odds) == ("AWAY", "alpha", 180)
+    assert math.isclose(c.ev, 0.5 * 1.8 - 0.5) and math.isclose(c.kelly_stake, 0.05)
