@@ -92,53 +92,75 @@ def stream_dir(spark: SparkSession) -> str:
 
 CLOSE_OUT = ("game_id long, book string, market string, side string, closing_odds int, "
              "closing_at timestamp, tip_at timestamp")
-CLOSE_STATE = "odds int, at_us long, snap long, tip_ms long"
+CLOSE_STATE = ("books array<string>, markets array<string>, sides array<string>, "
+               "odds array<int>, at_us array<long>, snaps array<long>, tip_ms long")
+_LINE = ["book", "market", "side"]
 
 
-def _close_once(key, pdfs, state):
-    """Keep the latest pre-tip price of one line; emit it once when the event-time
-    watermark passes tip-off, then drop the state."""
+def _close_game(key, pdfs, state):
+    """Keep the latest pre-tip price of every line of one game (a few rows: books x
+    sides); emit them once when the event-time watermark passes tip-off, then drop
+    the state."""
     import pandas as pd
 
-    def emit(odds, at_us, tip_ms):
-        yield pd.DataFrame({"game_id": [key[0]], "book": [key[1]], "market": [key[2]],
-                            "side": [key[3]], "closing_odds": [odds],
-                            "closing_at": [pd.Timestamp(at_us, unit="us")],
-                            "tip_at": [pd.Timestamp(tip_ms, unit="ms")]})
+    def emit(books, markets, sides, odds, at_us, tip_ms):
+        n = len(books)
+        return pd.DataFrame({"game_id": [key[0]] * n, "book": list(books),
+                             "market": list(markets), "side": list(sides),
+                             "closing_odds": list(odds),
+                             "closing_at": pd.to_datetime(list(at_us), unit="us"),
+                             "tip_at": [pd.Timestamp(tip_ms, unit="ms")] * n})
 
     if state.hasTimedOut:
-        odds, at_us, _snap, tip_ms = state.get
+        books, markets, sides, odds, at_us, _snaps, tip_ms = state.get
         state.remove()
-        yield from emit(odds, at_us, tip_ms)
+        yield emit(books, markets, sides, odds, at_us, tip_ms)
         return
-    best = tuple(state.get) if state.exists else None
+    frames, tip_ms = [], None
+    if state.exists:
+        books, markets, sides, odds, at_us, snaps, tip_ms = state.get
+        frames.append(pd.DataFrame({"book": list(books), "market": list(markets),
+                                    "side": list(sides), "odds": list(odds),
+                                    "at_us": list(at_us), "snap": list(snaps)}))
     for pdf in pdfs:
         at = pdf["captured_at"].astype("datetime64[us]").astype("int64").to_numpy()
         tip = pdf["_tip"].astype("datetime64[us]").astype("int64").to_numpy()
-        pre = pdf.assign(at_us=at, tip_us=tip)[at < tip]
-        if len(pre):
-            last = pre.sort_values(["at_us", "snapshot_id"]).iloc[-1]
-            cand = (int(last["american_odds"]), int(last["at_us"]), int(last["snapshot_id"]),
-                    int(last["tip_us"]) // 1000)
-            if best is None or (cand[1], cand[2]) > (best[1], best[2]):
-                best = cand
-    if best is None:
+        if tip_ms is None and len(tip):
+            tip_ms = int(tip[0]) // 1000
+        keep = at < tip
+        frames.append(pd.DataFrame({"book": pdf["book"].to_numpy()[keep],
+                                    "market": pdf["market"].to_numpy()[keep],
+                                    "side": pdf["side"].to_numpy()[keep],
+                                    "odds": pdf["american_odds"].to_numpy()[keep],
+                                    "at_us": at[keep],
+                                    "snap": pdf["snapshot_id"].to_numpy()[keep]}))
+    lines = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+    if lines.empty or tip_ms is None:
         return
-    state.update(best)
-    state.setTimeoutTimestamp(best[3])
+    last = lines.sort_values(["at_us", "snap"]).groupby(_LINE, sort=False).tail(1)
+    cols = (last["book"].tolist(), last["market"].tolist(), last["side"].tolist(),
+            [int(x) for x in last["odds"]], [int(x) for x in last["at_us"]])
+    if tip_ms <= state.getCurrentWatermarkMs():
+        if state.exists:
+            state.remove()
+        yield emit(*cols, tip_ms)
+        return
+    state.update((*cols, [int(x) for x in last["snap"]], tip_ms))
+    state.setTimeoutTimestamp(tip_ms)
 
 
 def closing_emitter(stream: DataFrame, tipoffs: DataFrame,
                     keys: Sequence[str] = LINE_KEYS) -> DataFrame:
-    """Append-mode stream of closing lines, one row per line once tip-off has passed
-    the watermark (event-time timer per line; state is bounded by open lines)."""
+    """Append-mode stream of closing lines, one row per line once the game's tip-off
+    has passed the watermark.  State and timer are per game (the tip-off belongs to
+    the game), holding one row per line of that game."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     tips = tipoffs.select("game_id", F.col("tip_ts").cast("timestamp").alias("_tip"))
     s = stream.join(tips, "game_id").select(*keys, "american_odds", "captured_at",
                                             "snapshot_id", "_tip")
-    return s.groupBy(*keys).applyInPandasWithState(
-        _close_once, CLOSE_OUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return s.groupBy("game_id").applyInPandasWithState(
+        _close_game, CLOSE_OUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
