@@ -14,11 +14,18 @@ def con():
     return duck(SF_CHECK)
 
 
+DUCK_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+              "DATE": "date", "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean"}
+
+
 @pytest.mark.parametrize("key", KEYS)
 def test_matches_sql(spark, con, key):
-    got = ent.queries()[key](spark, SF_CHECK).toPandas()
-    want = con.execute(ent.oracle_sql()[key]).df()
-    res = compare(got, want)
+    sdf = ent.queries()[key](spark, SF_CHECK)
+    rel = con.sql(ent.oracle_sql()[key])
+    spark_types = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+    sql_types = {n: DUCK_TYPES.get(str(t), str(t)) for n, t in zip(rel.columns, rel.types)}
+    assert spark_types == sql_types
+    res = compare(sdf.toPandas(), rel.df())
     assert res["match"], res
     assert res["hash_match"], res
 
