@@ -24,13 +24,45 @@ _CLUSTER_DEFAULTS = {
 }
 
 
+MB = 1 << 20
+
+
+def scale_settings(input_bytes: int, total_cores: int, target_partition_mb: int = 256,
+                   max_partitions: int = 100_000) -> dict[str, str]:
+    """Partition sizing from the input size and the cluster's cores.
+
+    Scan splits and shuffle partitions aim at ``target_partition_mb`` each so a task's
+    working set fits executor memory (and spills rarely); the initial shuffle width is
+    at least two waves of cores and at most ``max_partitions``; AQE then coalesces
+    small partitions toward the same advisory size and splits skewed join partitions.
+    Example: 100 TB on 1000 executors x 8 cores -> 100,000 shuffle partitions (the
+    cap; about 1 GB before coalescing), 256 MB scan splits.
+    """
+    want = max(1, input_bytes // (target_partition_mb * MB))
+    parts = int(min(max(want, 2 * total_cores), max_partitions))
+    size = f"{target_partition_mb}m"
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * target_partition_mb}m",
+    }
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app_name: str = "scoreline", extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with the settings every operator assumes."""
+              app_name: str = "scoreline", extra: dict | None = None,
+              input_bytes: int | None = None, total_cores: int | None = None) -> SparkSession:
+    """Return (or create) a session with the settings every operator assumes.
+
+    On a cluster pass ``input_bytes`` and ``total_cores`` to size partitions with
+    ``scale_settings``; local runs pass ``shuffle_partitions`` directly."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     conf = dict(_CLUSTER_DEFAULTS)
+    if input_bytes and total_cores:
+        conf.update(scale_settings(input_bytes, total_cores))
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     if master and master.startswith("local"):

@@ -51,3 +51,12 @@ def test_prob_to_american(spark, p, vig):
 def test_elo_expectation(spark):
     assert math.isclose(one(spark, fo.elo_expected(F.lit(1560.0), F.lit(1500.0))),
                         1 / (1 + 10 ** (-60 / 400)), rel_tol=1e-14)
+
+
+def test_scale_settings_bounds():
+    from scoreline.session import scale_settings
+    big = scale_settings(100 * 2 ** 40, 8000)
+    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.files.maxPartitionBytes"] == "256m"
+    small = scale_settings(40 * 2 ** 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
