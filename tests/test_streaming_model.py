@@ -108,3 +108,20 @@ def test_stream_bursts_emit_closed_sessions(spark, scratch):
     got = sorted((r.s.start, r.n_snapshots, r.open_odds, r.close_odds)
                  for r in spark.read.parquet(f"{scratch}/out").collect())
     assert [(n, o, c) for _, n, o, c in got] == [(2, 100, 105), (1, 120, 120)]
+
+
+def test_sliding_candles_match_batch(spark, scratch):
+    snaps = fx.fx_odds_snapshots(spark, SF_SMALL)
+    src = f"{scratch}/in"
+    snaps.write.parquet(src)
+    stream = os_.snapshot_stream(spark, src)
+    os_.run_to_log(os_.daily_candles(stream, width="1 day", slide="12 hours"),
+                   f"{scratch}/log", f"{scratch}/ck")
+    keys = ["w", *prices.LINE_KEYS]
+    got = os_.compact(spark, f"{scratch}/log", keys).select(
+        F.col("w.start").alias("s"), *prices.LINE_KEYS, "n_snapshots", "close_odds")
+    b = snaps.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+    want = os_.daily_candles(b, width="1 day", slide="12 hours").select(
+        F.col("w.start").alias("s"), *prices.LINE_KEYS, "n_snapshots", "close_odds")
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert got.count() > snaps.select(F.to_date("captured_at")).distinct().count()
