@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def table_profile(df: DataFrame, name: str, key: str, date: str | None = None) -> DataFrame:
-    """One row: rows, distinct keys (exact), rows per key, first and last date."""
+def table_profile(df: DataFrame, name: str, key: str, date: str | None = None,
+                  exact: bool = True, rsd: float = 0.01) -> DataFrame:
+    """One row: rows, distinct keys, rows per key, first and last date.
+
+    ``exact=False`` counts keys with a HyperLogLog++ sketch (relative error ``rsd``):
+    one pass without shuffling the distinct keys, for very large key sets."""
     d = F.col(date) if date else F.lit(None).cast("date")
+    distinct = F.count_distinct(key) if exact else F.approx_count_distinct(key, rsd)
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count_distinct(key).alias("n_keys"),
+        distinct.alias("n_keys"),
         F.min(d).alias("min_date"),
         F.max(d).alias("max_date"),
     ).select(

@@ -79,3 +79,11 @@ def test_trial_cap_takes_first_ids_in_date_order(spark):
                                "game_id long, game_date string")
     assert [r.game_id for r in limit_ids(df, 2).collect()] == [3, 9]
     assert limit_ids(df, 0).count() == 4
+
+
+def test_profile_approximate_keys(spark):
+    from scoreline.operators import profile
+    df = spark.range(100000).withColumn("k", F.col("id") % 5000)
+    exact = profile.table_profile(df, "t", "k").first()
+    approx = profile.table_profile(df, "t", "k", exact=False).first()
+    assert exact.n_keys == 5000 and abs(approx.n_keys - 5000) <= 150
