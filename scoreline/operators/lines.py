@@ -77,21 +77,26 @@ BURST_GAP_HOURS = 6   # a new burst starts after this much quiet time on a line
 
 
 def move_bursts(snaps: DataFrame, keys: Sequence[str] = LINE_KEYS,
-                gap_hours: int = BURST_GAP_HOURS, bucket: Column | None = None) -> DataFrame:
+                gap_hours: int = BURST_GAP_HOURS, bucket: Column | None = None,
+                max_rows_per_task: int | None = -1) -> DataFrame:
     """Sessions of activity per line: consecutive snapshots less than ``gap_hours``
     apart belong to one burst; a burst ends ``gap_hours`` after its last snapshot
     (the session-window convention).  Built from a previous-value and a running sum
     per line, both bounded for hot lines."""
-    from scoreline.operators.sequence import running_sum
+    from scoreline.operators.form import MAX_ROWS_PER_TASK
+    from scoreline.operators.sequence import hot_mode, running_sum
 
     keys = list(keys)
     bucket = bucket if bucket is not None else F.to_date("captured_at")
     order = ["captured_at", "snapshot_id"]
-    s = previous_value(snaps, keys, order, "captured_at", "_prev", bucket)
+    mode = hot_mode(snaps, keys, MAX_ROWS_PER_TASK if max_rows_per_task == -1
+                    else max_rows_per_task)
+    s = previous_value(snaps, keys, order, "captured_at", "_prev", bucket,
+                       max_rows_per_task=mode)
     gap = F.expr(f"INTERVAL {int(gap_hours)} HOURS")
     s = s.withColumn("_new", (F.col("_prev").isNull()
                               | (F.col("captured_at") >= F.col("_prev") + gap)).cast("int"))
-    s = running_sum(s, keys, order, "_new", "burst_no", bucket)
+    s = running_sum(s, keys, order, "_new", "burst_no", bucket, max_rows_per_task=mode)
     o = F.struct(*order)
     return s.groupBy(*keys, "burst_no").agg(
         F.min("captured_at").alias("burst_start"),

@@ -16,6 +16,15 @@ from pyspark.sql import functions as F
 from scoreline.operators.form import MAX_ROWS_PER_TASK, largest_key_rows
 
 
+def hot_mode(df: DataFrame, keys: Sequence[str],
+             max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> int | None:
+    """Decide once for several sequence operators on the same key: ``None`` (plain
+    windows) or ``0`` (bucketed forms), measuring the largest key at most once."""
+    if max_rows_per_task is None or max_rows_per_task == 0:
+        return max_rows_per_task
+    return 0 if largest_key_rows(df, list(keys)) > max_rows_per_task else None
+
+
 def _plain(keys, max_rows_per_task, df) -> bool:
     return max_rows_per_task is None or (
         max_rows_per_task and largest_key_rows(df, keys) <= max_rows_per_task)

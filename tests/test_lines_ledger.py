@@ -118,9 +118,13 @@ def test_bursts_match_session_windows(spark):
         .select(*prices.LINE_KEYS, F.col("s.start").cast("timestamp_ntz").alias("burst_start"),
                 F.col("s.end").cast("timestamp_ntz").alias("burst_end"), "n_snapshots")
     assert sorted(mine.collect()) == sorted(ref.collect())
-    hot = lines.move_bursts(snaps.withColumn("captured_at", F.col("captured_at")),
-                            bucket=F.to_date("captured_at"))
-    assert hot.count() == mine.count()
+    hot = lines.move_bursts(snaps, max_rows_per_task=0).select(
+        *prices.LINE_KEYS, "burst_start", "burst_end", "n_snapshots")
+    assert sorted(hot.collect()) == sorted(mine.collect())
+    bets = fx.fx_bets(spark, SF_CHECK)
+    cols = ["bet_id", "cum_profit", "cum_staked"]
+    assert sorted(ledger.ledger(bets, max_rows_per_task=None).select(*cols).collect()) == \
+        sorted(ledger.ledger(bets, max_rows_per_task=0).select(*cols).collect())
 
 
 def test_best_side_tie_break_order(spark):
