@@ -169,7 +169,3 @@ def build_payload(snaps: DataFrame, commence: DataFrame, day: Column) -> DataFra
             F.concat(F.lit("A"), F.col("game_id").cast("string")).alias("away_team"),
             F.col("commence_time"), "bookmakers")).alias("payload"))
     return doc
-
-
-def line_window(keys: Sequence[str], ts: str = "captured_at", tiebreak: str = "snapshot_id"):
-    return Window.partitionBy(*keys).orderBy(ts, tiebreak)
