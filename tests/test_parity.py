@@ -38,3 +38,12 @@ def test_entry_smoke(spark):
     df = ent.entry(spark)
     assert df.count() > 0
     assert "roll_pts_for" in df.columns
+
+
+def test_docs_list_every_key():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1]
+    coverage = (root / "COVERAGE.md").read_text()
+    readme = (root / "README.md").read_text()
+    missing = [k for k in ent.queries() if f"`{k}`" not in coverage or f"`{k}`" not in readme]
+    assert not missing, missing
