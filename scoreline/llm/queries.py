@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import decontaminate, jaccard, licenses, packing, pii, quality, toxicity, wordpiece
+from scoreline.llm import (decontaminate, jaccard, licenses, packing, pii, quality, recompression,
+                           toxicity, wordpiece)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +56,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op9_licenses": op9_licenses,

@@ -44,6 +44,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int, inverse: bool = False) -> np.ndarray:
+    """Powers of the base of running polynomials, or of its inverse."""
+    return _powers(_BASE_INV if inverse else _BASE, n + 1)[:n + 1 if inverse else n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser (bijective)."""
     h = h ^ (h >> U64(30))
