@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import (decontaminate, jaccard, licenses, packing, pii, quality, recompression,
-                           toxicity, wordpiece)
+from scoreline.llm import (decontaminate, jaccard, licenses, neighbours, packing, pii, quality,
+                           recompression, toxicity, wordpiece)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,6 +70,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumnRenamed("row", "doc_id")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), k=10,
+                             is_query=F.col("vec_id") % 100 == 0)
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_neighbours": op8_neighbours,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
 }
