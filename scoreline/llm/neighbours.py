@@ -29,7 +29,7 @@ SAMPLE = 8192          # vectors that the partition and the network are fitted o
 PER_PART = 256         # sample vectors per part
 MAX_PARTS = 64
 GRAPH = 10             # neighbours per vector in the graph
-TARGET = 0.97          # share of neighbours that the visited parts must hold on the sample
+TARGET = 0.98          # share of neighbours that the visited parts must hold on the sample
 HIDDEN = 128
 EPOCHS = 60
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 1024
@@ -225,7 +225,8 @@ def search(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
     d = length["d"]
     src = src.where(F.size("v") == d)
     rows = src.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
-    router = fit(_vectors(rows["v"].combine_chunks(), d), k, target)
+    # equal vectors count once: a hot vector is one vertex of the graph
+    router = fit(np.unique(_vectors(rows["v"].combine_chunks(), d), axis=0), k, target)
 
     @F.arrow_udf("int")
     def part_of(col: pa.Array) -> pa.Array:
