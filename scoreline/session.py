@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -27,19 +28,42 @@ _CLUSTER_DEFAULTS = {
 MB = 1 << 20
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), so that functions
+    named by import also run where the repository is not on the path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="scoreline-ship-"), "scoreline.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, files in os.walk(here):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
+
+
 def scale_settings(input_bytes: int, total_cores: int, target_partition_mb: int = 256,
-                   max_partitions: int = 100_000) -> dict[str, str]:
+                   max_partitions: int | None = None) -> dict[str, str]:
     """Partition sizing from the input size and the cluster's cores.
 
     Scan splits and shuffle partitions aim at ``target_partition_mb`` each so a task's
     working set fits executor memory (and spills rarely); the initial shuffle width is
-    at least two waves of cores and at most ``max_partitions``; AQE then coalesces
-    small partitions toward the same advisory size and splits skewed join partitions.
-    Example: 100 TB on 1000 executors x 8 cores -> 100,000 shuffle partitions (the
-    cap; about 1 GB before coalescing), 256 MB scan splits.
+    at least two waves of cores (and at most ``max_partitions``, if given); AQE then
+    coalesces small partitions toward the same advisory size and splits skewed join
+    partitions.  Example: 100 TB on 1000 executors x 8 cores -> 381,469 shuffle partitions
+    and scan splits of 256 MB.
     """
     want = max(1, input_bytes // (target_partition_mb * MB))
-    parts = int(min(max(want, 2 * total_cores), max_partitions))
+    parts = int(max(want, 2 * total_cores))
+    if max_partitions:
+        parts = min(parts, max_partitions)
     size = f"{target_partition_mb}m"
     return {
         "spark.sql.shuffle.partitions": str(parts),
@@ -82,12 +106,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only when unset.
 
     On a cluster the setting names a shared folder (HDFS/S3/...) that survives the
-    loss of any executor.  Only a local run without the setting (tests, bench) gets a
-    fresh scratch folder.
+    loss of any executor, and its absence is an error.  Only a local run without the
+    setting (tests, bench) gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="scoreline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
