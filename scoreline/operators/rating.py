@@ -1,41 +1,36 @@
-"""Sequential strength ratings (Elo) on Spark.
-
-Semantics: walk games in (date, id) order; when the season changes, every rating
-moves toward the base: r <- base + regress * (r - base); read the pre-game
-ratings (unseen team = base), expectation with home advantage, then both sides
-move by K * (result - expectation), zero-sum.
-
-Three executions:
-
-``elo_by_pool``  exact replay per independent pool (league, ladder) with
-    ``applyInPandas``.  A pool is one task, so the largest pool is measured first
-    and a pool above ``max_games_per_pool`` goes to ``elo_blocked`` instead.
-
-``elo_blocked``  exact replay for pools too large for one task: the pool's games
-    are cut into blocks of consecutive dates holding at most ``max_games_per_block``
-    games and replayed block after block; each block is one bounded
-    task per pool that receives the carried rating table (one row per team) through
-    ``cogroup``.  Pools advance in parallel; a block's output is checkpointed.
-
-``elo_relaxed``  distributed fixed point.  Given expectations for all games, the
-    pre-game rating of a team is base + (carry into the season) + (running sum of
-    its updates earlier in the season); the carry is
-    sum over earlier seasons of regress^(season gap) * season total, a window over
-    one row per (team, season).  New expectations follow per game; repeat until no
-    expectation moves by more than ``tol``.  The system is lower-triangular, so the
-    iteration reaches the sequential answer; each sweep is checkpointed to the
-    cluster's checkpoint directory so lineage stays flat and a lost executor only
-    recomputes one sweep.  No window spans more than one (team, season).
+"""Sequential strength ratings (Elo) on Spark, one path at every size.
+
+Semantics: games count in (date, id) order; at a season change every rating moves toward
+the base by ``regress``; a game reads both ratings (unseen team = base), forms the home
+side's expectation with the home advantage, and both sides move by K * (result -
+expectation), zero-sum.
+
+Execution.  The history is cut into chunks: runs of consecutive dates inside one season
+with about ``chunk_games`` games.  Given the ratings that teams bring into a chunk, a task
+plays the chunk alone, so all chunks of all pools run side by side.  The ratings that teams
+take out of a chunk, moved toward the base once per season change, are what they bring into
+their next chunk (a window over one row per team and chunk).  Playing and handing over
+repeats until no handed-over rating moves by more than ``tol``.  The first chunk is right
+after one round, the next after two, and so on, so the rounds always end in the sequential
+answer; because what a team brings along fades with every game and season, a dozen rounds
+settle any number of seasons.
+
+Inside a chunk, games are played in rounds: a game's round is one more than the latest
+round of an earlier game of either team, so the games of a round share no team and are
+computed together as arrays.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreline.functions.odds import elo_expected
+from scoreline.sources.scratch import Tables
 
 # fixed values: rating constants
 K = 20.0          # update speed
@@ -43,50 +38,9 @@ HOME_ADV = 60.0   # rating points added to the home side for the expectation
 BASE = 1500.0     # rating of an unseen team
 REGRESS = 0.75    # share of the deviation kept across a season change
 
-MAX_GAMES_PER_POOL = 2_000_000
-MAX_GAMES_PER_BLOCK = 1_000_000
-
-ELO_SCHEMA = T.StructType([
-    T.StructField("game_id", T.LongType()), T.StructField("home_elo", T.DoubleType()),
-    T.StructField("away_elo", T.DoubleType()), T.StructField("elo_diff", T.DoubleType()),
-    T.StructField("elo_exp_home", T.DoubleType())])
-
-
-def _replay(pdf: pd.DataFrame, k: float, home_adv: float, base: float,
-            regress: float, ratings: dict | None = None, season=None) -> pd.DataFrame:
-    """Sequential replay of one pool or block (small per-row helper inside one task);
-    ``ratings`` is updated in place."""
-    pdf = pdf.sort_values(["game_date", "game_id"], kind="mergesort")
-    ratings = {} if ratings is None else ratings
-    out = []
-    for gid, s, h, a, res in zip(pdf.game_id, pdf.season, pdf.home_team_id,
-                                 pdf.away_team_id, pdf.home_win):
-        if s != season:
-            season = s
-            for t in ratings:
-                ratings[t] = base + regress * (ratings[t] - base)
-        rh, ra = ratings.get(h, base), ratings.get(a, base)
-        exp = 1.0 / (1.0 + 10.0 ** ((ra - (rh + home_adv)) / 400.0))
-        out.append((gid, rh, ra, (rh + home_adv) - ra, exp))
-        ratings[h] = rh + k * (res - exp)
-        ratings[a] = ra + k * ((1 - res) - (1 - exp))
-    return pd.DataFrame(out, columns=["game_id", "home_elo", "away_elo", "elo_diff",
-                                      "elo_exp_home"])
-
-
-def elo_by_pool(games: DataFrame, pool: str | None = None, k: float = K,
-                home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
-                max_games_per_pool: int = MAX_GAMES_PER_POOL) -> DataFrame:
-    """Exact sequential ratings per pool; oversized pools use ``elo_blocked``."""
-    g = games.withColumn("_pool", F.col(pool) if pool else F.lit(0))
-    sizes = g.groupBy("_pool").count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    if largest > max_games_per_pool:
-        return elo_blocked(games, pool=pool, k=k, home_adv=home_adv, base=base, regress=regress)
-    cols = g.select("_pool", "game_id", "game_date", "season", "home_team_id",
-                    "away_team_id", "home_win")
-    return cols.groupBy("_pool").applyInPandas(
-        lambda pdf: _replay(pdf, k, home_adv, base, regress), ELO_SCHEMA)
+TOL = 1e-9             # rating points
+CHUNK_GAMES = 200_000  # games of one task, about
+CHUNK = ["_pool", "_sord", "_part"]
 
 
 def season_ordinals(games: DataFrame, pool: str = "_pool") -> DataFrame:
@@ -96,126 +50,114 @@ def season_ordinals(games: DataFrame, pool: str = "_pool") -> DataFrame:
         Window.partitionBy(pool).orderBy("_first", "season")).alias("_sord"))
 
 
-def _sweep(state: DataFrame, k: float, home_adv: float, base: float, regress: float
-           ) -> DataFrame:
-    """One Jacobi sweep: expectations -> pre-game ratings -> new expectations."""
-    home = F.struct(F.col("home_team_id").alias("team"), F.lit(True).alias("is_home"),
-                    (F.lit(k) * (F.col("home_win") - F.col("exp"))).alias("u"))
-    away = F.struct(F.col("away_team_id").alias("team"), F.lit(False).alias("is_home"),
-                    (F.lit(k) * ((1 - F.col("home_win")) - (1 - F.col("exp")))).alias("u"))
-    long = state.select("_pool", "game_id", "game_date", "season", "_sord", "home_team_id",
-                        "away_team_id", "home_win", "exp", F.inline(F.array(home, away)))
-    ts = ["_pool", "team", "_sord"]
-    within = F.sum("u").over(Window.partitionBy(*ts).orderBy("game_date", "game_id")
-                             .rowsBetween(Window.unboundedPreceding, -1))
-    long = long.withColumn("_cum", F.coalesce(within, F.lit(0.0)))
-    totals = long.groupBy(*ts).agg(F.sum("u").alias("_U"))
-    # carry into season s = sum_{s' < s} regress^(s - s') * U(s'), one row per (team, season)
-    w_prev = (Window.partitionBy("_pool", "team").orderBy("_sord")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    scale = F.pow(F.lit(regress), F.col("_sord").cast("double"))
-    carry = totals.select(*ts, F.coalesce(
-        F.sum(F.col("_U") / scale).over(w_prev) * scale, F.lit(0.0)).alias("_D"))
-    rated = long.join(carry, on=ts).withColumn("_r", F.lit(base) + F.col("_D") + F.col("_cum"))
-    per_game = rated.groupBy("_pool", "game_id").agg(
-        F.first("game_date").alias("game_date"), F.first("season").alias("season"),
-        F.first("_sord").alias("_sord"), F.first("home_team_id").alias("home_team_id"),
-        F.first("away_team_id").alias("away_team_id"), F.first("home_win").alias("home_win"),
-        F.first("exp").alias("_old"),
-        F.max(F.when(F.col("is_home"), F.col("_r"))).alias("home_elo"),
-        F.max(F.when(~F.col("is_home"), F.col("_r"))).alias("away_elo"))
-    return per_game.withColumn(
-        "exp", elo_expected(F.col("home_elo") + F.lit(home_adv), F.col("away_elo")))
-
-
-def elo_relaxed(games: DataFrame, pool: str | None = None, k: float = K,
+def with_chunks(games: DataFrame, chunk_games: int) -> DataFrame:
+    """Season ordinal and part; a part holds consecutive dates (a date is never split).
+
+    The windows run over one row per (pool, season) and per (pool, season, date)."""
+    g = games.join(season_ordinals(games), on=["_pool", "season"])
+    days = g.groupBy("_pool", "_sord", "game_date").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_pool", "_sord").orderBy("game_date")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("_pool", "_sord", "game_date",
+                       F.floor(before / chunk_games).cast("long").alias("_part"))
+    return g.join(days, on=["_pool", "_sord", "game_date"])
+
+
+def rounds(home: np.ndarray, away: np.ndarray, teams: int) -> Iterator[np.ndarray]:
+    """Games (in playing order) grouped so that no team is twice in a group and every
+    team's games keep their order."""
+    n = len(home)
+    side = np.concatenate([home, away])
+    game = np.concatenate([np.arange(n), np.arange(n)])
+    order = np.lexsort((game, side))
+    before = np.full(2 * n, -1)
+    same = side[order][1:] == side[order][:-1]
+    before[order[1:][same]] = game[order[:-1][same]]
+    prev = before.reshape(2, n)
+    level = np.zeros(n + 1, dtype=np.int64)      # the last entry stands for "none before"
+    level[n] = -1
+    while True:
+        new = level[prev].max(axis=0) + 1
+        if (new == level[:n]).all():
+            break
+        level[:n] = new
+    order = np.argsort(level[:n], kind="stable")
+    cuts = np.flatnonzero(np.diff(level[:n][order])) + 1
+    yield from np.split(order, cuts)
+
+
+class _Chunk:
+    """One chunk in a task: games in order, and deviations from the base per team."""
+
+    def __init__(self, games: pd.DataFrame, start: pd.DataFrame):
+        self.games = games.sort_values(["game_date", "game_id"], kind="mergesort")
+        self.teams = pd.Index(start["team"])
+        self.home = self.teams.get_indexer(self.games["home_team_id"])
+        self.away = self.teams.get_indexer(self.games["away_team_id"])
+        self.dev = start["x"].to_numpy(dtype=float).copy()
+
+    def play(self, k: float, home_adv: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-game deviations of both sides and the home expectation, per game."""
+        n = len(self.games)
+        dh, da, expect = np.empty(n), np.empty(n), np.empty(n)
+        win = self.games["home_win"].to_numpy(dtype=float)
+        for at in rounds(self.home, self.away, len(self.teams)):
+            h, a = self.home[at], self.away[at]
+            dh[at], da[at] = self.dev[h], self.dev[a]
+            expect[at] = 1.0 / (1.0 + 10.0 ** ((da[at] - dh[at] - home_adv) / 400.0))
+            move = k * (win[at] - expect[at])
+            self.dev[h] += move
+            self.dev[a] -= move
+        return dh, da, expect
+
+
+def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
                 home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
-                tol: float = 1e-13, max_sweeps: int = 150) -> DataFrame:
-    """Distributed fixed point of the sequential ratings (see module docstring).
+                tol: float = TOL, chunk_games: int = CHUNK_GAMES) -> DataFrame:
+    """Pre-game ratings per game: home_elo, away_elo, elo_diff, elo_exp_home.
 
-    Converges in a few dozen sweeps for a few seasons (22 for one, 40 for four on the
-    fixtures); a long history can need far more, so after ``max_sweeps`` the exact
-    block replay (``elo_blocked``) is used instead of continuing.
+    ``pool`` names a column of independent leagues (none: one pool).  Ids and seasons keep
+    their type (numbers or text).
     """
-    g = games.withColumn("_pool", F.col(pool) if pool else F.lit(0))
-    g = g.join(season_ordinals(g), on=["_pool", "season"])
-    state = g.select("_pool", "game_id", "game_date", "season", "_sord", "home_team_id",
-                     "away_team_id", "home_win",
-                     elo_expected(F.lit(base + home_adv), F.lit(base)).alias("exp"))
-    state = state.checkpoint(eager=True)
-    for _ in range(max_sweeps):
-        nxt = _sweep(state, k, home_adv, base, regress).checkpoint(eager=True)
-        delta = nxt.agg(F.max(F.abs(F.col("exp") - F.col("_old")))).first()[0]
-        state = nxt
-        if delta is None or delta <= tol:
+    tables = Tables(games.sparkSession, "rating")
+    g = games.withColumn("_pool", (F.col(pool) if pool else F.lit("")).cast("string"))
+    g = tables.put(with_chunks(g, chunk_games).select(
+        *CHUNK, "game_id", "game_date", "home_team_id", "away_team_id", "home_win"))
+    team_type = g.schema["home_team_id"].dataType
+    start = tables.put(g.select(*CHUNK, F.explode(F.array("home_team_id", "away_team_id"))
+                                .alias("team")).distinct().withColumn("x", F.lit(0.0)))
+    ends_schema = T.StructType([*[g.schema[c] for c in CHUNK], T.StructField("team", team_type),
+                                T.StructField("x", T.DoubleType()),
+                                T.StructField("_end", T.DoubleType())])
+
+    def ends(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        chunk = _Chunk(left, right)
+        chunk.play(k, home_adv)
+        return right.assign(_end=chunk.dev)[ends_schema.names]
+
+    career = Window.partitionBy("_pool", "team").orderBy("_sord", "_part")
+    brought = F.coalesce(F.lag("_end").over(career) * F.pow(
+        F.lit(regress), F.col("_sord") - F.lag("_sord").over(career)), F.lit(0.0))
+    while True:
+        played = g.groupBy(*CHUNK).cogroup(start.groupBy(*CHUNK)).applyInPandas(ends, ends_schema)
+        after = tables.put(played.select(*CHUNK, "team", F.col("x").alias("_old"),
+                                         brought.alias("x")), start)
+        moved = after.agg(F.max(F.abs(F.col("x") - F.col("_old")))).first()[0]
+        start = after.drop("_old")
+        start._written = after._written
+        if moved is None or moved <= tol:
             break
-    else:
-        return elo_blocked(games, pool=pool, k=k, home_adv=home_adv, base=base,
-                           regress=regress)
-    return state.select("game_id", "home_elo", "away_elo",
-                        ((F.col("home_elo") + F.lit(home_adv)) - F.col("away_elo"))
-                        .alias("elo_diff"), F.col("exp").alias("elo_exp_home"))
-
-
-BLOCK_SCHEMA = T.StructType([
-    T.StructField("_pool", T.StringType()), T.StructField("kind", T.StringType()),
-    T.StructField("game_id", T.LongType()), T.StructField("home_elo", T.DoubleType()),
-    T.StructField("away_elo", T.DoubleType()), T.StructField("elo_diff", T.DoubleType()),
-    T.StructField("elo_exp_home", T.DoubleType()), T.StructField("team", T.LongType()),
-    T.StructField("rating", T.DoubleType()), T.StructField("cur_season", T.IntegerType())])
-
-
-def _replay_block(games: pd.DataFrame, state: pd.DataFrame, k: float, home_adv: float,
-                  base: float, regress: float) -> pd.DataFrame:
-    """Replay one block of one pool from the carried ratings; emit games and new state."""
-    pool = games["_pool"].iloc[0] if len(games) else state["_pool"].iloc[0]
-    ratings = dict(zip(state["team"].astype("int64"), state["rating"]))
-    season = int(state["cur_season"].iloc[0]) if len(state) else None
-    out = _replay(games, k, home_adv, base, regress, ratings, season) if len(games) else \
-        pd.DataFrame(columns=["game_id", "home_elo", "away_elo", "elo_diff", "elo_exp_home"])
-    if len(games):
-        season = int(games.sort_values(["game_date", "game_id"])["season"].iloc[-1])
-    g = out.assign(_pool=pool, kind="game", team=None, rating=None, cur_season=None)
-    st = pd.DataFrame({"_pool": pool, "kind": "state", "game_id": None, "home_elo": None,
-                       "away_elo": None, "elo_diff": None, "elo_exp_home": None,
-                       "team": list(ratings.keys()), "rating": list(ratings.values()),
-                       "cur_season": season})
-    cols = [f.name for f in BLOCK_SCHEMA.fields]
-    frames = [f[cols].astype(object) for f in (g, st) if len(f)]
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=cols)
-
-
-def elo_blocked(games: DataFrame, pool: str | None = None, k: float = K,
-                home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
-                max_games_per_block: int = MAX_GAMES_PER_BLOCK) -> DataFrame:
-    """Exact sequential ratings, block by block (see module docstring)."""
-    g = games.withColumn("_pool", (F.col(pool) if pool else F.lit(0)).cast("string"))
-    # blocks: consecutive dates of a pool holding at most max_games_per_block games
-    # (a date is never split); the replay carries the current season in its state, so
-    # a block may start or end anywhere inside a season.  One row per (pool, date).
-    days = g.groupBy("_pool", "game_date").agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("_pool", "game_date", (F.floor(F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_pool").orderBy("game_date")
-        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / max_games_per_block) + 1)
-        .cast("int").alias("_blk"))
-    g = (g.join(days, ["_pool", "game_date"])
-          .select("_pool", "_blk", "game_id", "game_date", "season", "home_team_id",
-                  "away_team_id", "home_win")
-          .checkpoint())
-    n_blocks = g.agg(F.max("_blk")).first()[0] or 0
-    spark = games.sparkSession
-    state = spark.createDataFrame([], BLOCK_SCHEMA)
-    parts = []
-    fn = lambda a, b: _replay_block(a, b, k, home_adv, base, regress)
-    for blk in range(1, n_blocks + 1):
-        cur = g.filter(F.col("_blk") == blk).drop("_blk")
-        out = cur.groupBy("_pool").cogroup(state.groupBy("_pool")).applyInPandas(
-            fn, BLOCK_SCHEMA).checkpoint()
-        parts.append(out.filter(F.col("kind") == "game"))
-        state = out.filter(F.col("kind") == "state")
-    if not parts:
-        return spark.createDataFrame([], ELO_SCHEMA)
-    res = parts[0]
-    for p in parts[1:]:
-        res = res.unionByName(p)
-    return res.select(*[f.name for f in ELO_SCHEMA.fields])
+
+    out_schema = T.StructType([g.schema["game_id"]] + [
+        T.StructField(c, T.DoubleType())
+        for c in ("home_elo", "away_elo", "elo_diff", "elo_exp_home")])
+
+    def rated(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        chunk = _Chunk(left, right)
+        dh, da, expect = chunk.play(k, home_adv)
+        return pd.DataFrame({"game_id": chunk.games["game_id"], "home_elo": base + dh,
+                             "away_elo": base + da, "elo_diff": dh + home_adv - da,
+                             "elo_exp_home": expect})
+
+    return g.groupBy(*CHUNK).cogroup(start.groupBy(*CHUNK)).applyInPandas(rated, out_schema)
