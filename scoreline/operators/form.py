@@ -3,13 +3,11 @@
 All windows of one key share one spec (partition key, order (date, id)), so the
 rolling frame and the ``lag`` plan to one Exchange + one Sort + one Window.
 
-Hot keys: a window puts a whole key into one task.  ``prior_window`` therefore
-checks the largest key first (one partial aggregate) and, above
-``max_rows_per_task``, switches to the chunked form: every row gets its position
-inside its key from (key, date) counts, rows are cut into chunks of
-``chunk_rows`` positions, and each chunk also receives the last N rows of the
-previous chunk as read-only halo rows.  The window then runs per (key, chunk) and
-is exact for any frame that looks back at most N rows.
+Hot keys: a window puts a whole key into one task, so rows are cut into chunks.  Every row
+gets its position inside its key from (key, date) counts, chunks hold ``chunk_rows``
+positions, and each chunk also receives the last N rows of the previous chunk as read-only
+halo rows.  The window runs per (key, chunk) and is exact for any frame that looks back at
+most N rows.  There is one path at every size.
 """
 
 from __future__ import annotations
@@ -22,7 +20,7 @@ from pyspark.sql import functions as F
 ROLL_WINDOW = 10          # fixed value: prior games in the form window
 REST_FILL_DAYS = 3        # fixed value: rest days for a team's first game
 REST_CAP_DAYS = 7         # fixed value: cap on rest days (off-season gap)
-MAX_ROWS_PER_TASK = 20_000_000
+CHUNK_ROWS = 1_000_000    # rows of one key in one task
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -39,12 +37,6 @@ def _prior_columns(w, n: int, avg_cols: dict[str, str], count_name: str | None,
     return out
 
 
-def largest_key_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows in the largest group (partial aggregate, result is one number)."""
-    row = df.groupBy(*keys).count().agg(F.max("count").alias("m")).first()
-    return int(row["m"] or 0)
-
-
 def key_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Add ``_pos`` (0-based rank inside the key) without a window over the whole key.
 
@@ -68,23 +60,16 @@ def key_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 def prior_window(df: DataFrame, keys: str | Sequence[str], order: Sequence[str], n: int,
                  avg_cols: dict[str, str], count_name: str | None = None,
                  count_of: str | None = None, lag_cols: dict[str, str] | None = None,
-                 max_rows_per_task: int | None = MAX_ROWS_PER_TASK,
-                 chunk_rows: int = 1_000_000) -> DataFrame:
+                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Averages over the previous ``n`` rows (current row excluded) and lags, per key.
 
     ``avg_cols`` maps output name -> input column; ``count_name`` counts non-null
     ``count_of`` in the same frame; ``lag_cols`` maps output -> input of the previous
-    row.  ``max_rows_per_task=None`` always uses the plain window; ``0`` always chunks.
-    """
+    row.    """
     keys = _as_list(keys)
     order = list(order)
     lag_cols = lag_cols or {}
-    if max_rows_per_task is None or (max_rows_per_task and
-                                     largest_key_rows(df, keys) <= max_rows_per_task):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *_prior_columns(w, n, avg_cols, count_name, count_of, lag_cols))
-
-    # Chunked form for hot keys.  A chunk must hold at least n rows so that the halo
+    # A chunk must hold at least n rows so that the halo
     # (last n rows of the previous chunk) covers every look-back frame.
     chunk_rows = max(chunk_rows, n)
     pos = key_positions(df, keys, order)
@@ -101,8 +86,7 @@ def prior_window(df: DataFrame, keys: str | Sequence[str], order: Sequence[str],
 def team_form(long: DataFrame, key: str = "team_id", date: str = "game_date",
               tiebreak: str = "game_id", n: int = ROLL_WINDOW,
               rest_fill: int = REST_FILL_DAYS, rest_cap: int = REST_CAP_DAYS,
-              max_rows_per_task: int | None = MAX_ROWS_PER_TASK, chunk_rows: int = 1_000_000
-              ) -> DataFrame:
+              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Long team rows (pts_for, pts_against, win) -> pre-game form per row.
 
     Rolling averages over the previous ``n`` games of the team (no season reset),
@@ -115,8 +99,7 @@ def team_form(long: DataFrame, key: str = "team_id", date: str = "game_date",
         avg_cols={"roll_pts_for": "pts_for", "roll_pts_against": "pts_against",
                   "roll_win_rate": "win"},
         count_name="games_played", count_of="pts_for",
-        lag_cols={"_prev_date": date},
-        max_rows_per_task=max_rows_per_task, chunk_rows=chunk_rows)
+        lag_cols={"_prev_date": date}, chunk_rows=chunk_rows)
     rest = F.coalesce(F.datediff(F.col(date), F.col("_prev_date")), F.lit(rest_fill))
     return (f.withColumn("rest_days", rest)
              .withColumn("b2b", (F.col("rest_days") == 1).cast("int"))
@@ -149,17 +132,14 @@ DENSE_GAMES = 3
 
 
 def games_in_days(df: DataFrame, keys: Sequence[str], date: str, days: int, out: str,
-                  hot: bool = False, chunk_days: int = 64) -> DataFrame:
+                  chunk_days: int = 64) -> DataFrame:
     """Rows of the key dated within [d - days + 1, d] (range frame, includes the row and
-    same-day rows).  For hot keys, rows are cut into chunks of ``chunk_days`` days and
+    same-day rows).  Rows are cut into chunks of ``chunk_days`` days and
     the last ``days - 1`` days of each chunk are copied into the next one as halo rows,
     so the range window runs per (key, chunk) and stays exact."""
     keys = _as_list(keys)
     day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
     d = df.withColumn("_day", day)
-    if not hot:
-        w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-(days - 1), Window.currentRow)
-        return d.withColumn(out, F.count(F.lit(1)).over(w)).drop("_day")
     chunk_days = max(chunk_days, days)
     ck = F.floor(F.col("_day") / chunk_days)
     own = d.withColumn("_ck", ck).withColumn("_own", F.lit(True))
@@ -173,7 +153,7 @@ def games_in_days(df: DataFrame, keys: Sequence[str], date: str, days: int, out:
 def schedule_context(long: DataFrame, key: str = "team_id", opp: str = "opp_id",
                      date: str = "game_date", tiebreak: str = "game_id",
                      n_short: int = SHORT_WINDOW, n: int = ROLL_WINDOW,
-                     max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> DataFrame:
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Per team-game, all strictly before the game unless noted:
 
     - short form: average points for and win rate over the previous ``n_short`` games
@@ -183,28 +163,22 @@ def schedule_context(long: DataFrame, key: str = "team_id", opp: str = "opp_id",
       the same venue (home or away)
     - head-to-head: earlier meetings with this opponent and the team's win rate in them
 
-    The largest team is measured once; above ``max_rows_per_task`` every part uses its
-    bounded form (chunks with halo rows, bucketed running sums).
+    Every part is bounded per task: chunks with halo rows, running sums per season.
     """
     from scoreline.operators.sequence import running_sum
 
-    hot = max_rows_per_task is not None and (
-        max_rows_per_task == 0 or largest_key_rows(long, [key]) > max_rows_per_task)
-    mode = 0 if hot else None
     order = [date, tiebreak]
     f = prior_window(long, key, order, n_short,
                      avg_cols={"short_pts_for": "pts_for", "short_win_rate": "win"},
-                     max_rows_per_task=mode, chunk_rows=1_000_000 if not hot else 4096)
+                     chunk_rows=chunk_rows)
     f = prior_window(f, [key, "is_home"], order, n,
                      avg_cols={"venue_pts_for": "pts_for", "venue_win_rate": "win"},
-                     max_rows_per_task=mode, chunk_rows=1_000_000 if not hot else 4096)
-    f = games_in_days(f, [key], date, DENSE_DAYS, "games_in_4_days", hot=hot)
+                     chunk_rows=chunk_rows)
+    f = games_in_days(f, [key], date, DENSE_DAYS, "games_in_4_days")
     season = F.col("season") if "season" in long.columns else F.year(date)
     f = f.withColumn("_one", F.lit(1))
-    f = running_sum(f, [key, opp], order, "_one", "h2h_games", season, include_current=False,
-                    max_rows_per_task=mode)
-    f = running_sum(f, [key, opp], order, "win", "_h2h_wins", season, include_current=False,
-                    max_rows_per_task=mode)
+    f = running_sum(f, [key, opp], order, {"h2h_games": "_one", "_h2h_wins": "win"}, season,
+                    include_current=False)
     return (f.withColumn("h2h_win_rate", F.try_divide(F.col("_h2h_wins"), F.col("h2h_games")))
              .withColumn("three_in_four", (F.col("games_in_4_days") >= DENSE_GAMES).cast("int"))
              .drop("_one", "_h2h_wins"))

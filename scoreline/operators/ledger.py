@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
-from scoreline.operators.form import MAX_ROWS_PER_TASK
-from scoreline.operators.sequence import hot_mode, running_sum
+from scoreline.operators.sequence import running_sum
 
 
 def settle(bets: DataFrame, won: str = "won", stake: str = "stake",
@@ -20,17 +19,13 @@ def settle(bets: DataFrame, won: str = "won", stake: str = "stake",
 
 
 def ledger(bets: DataFrame, user: str = "user_id",
-           order: tuple[str, ...] = ("placed_at", "bet_id"),
-           max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> DataFrame:
+           order: tuple[str, ...] = ("placed_at", "bet_id")) -> DataFrame:
     """Per bet, in placement order per user: profit, running profit (bankroll curve),
     running settled stake and running ROI.  Open bets add nothing."""
     s = settle(bets).withColumn(
         "_settled_stake", F.when(F.col("profit").isNotNull(), F.col("stake").cast("double")))
     day = F.to_date(order[0])
-    mode = hot_mode(bets, [user], max_rows_per_task)
-    s = running_sum(s, [user], order, "profit", "cum_profit", day, max_rows_per_task=mode)
-    s = running_sum(s, [user], order, "_settled_stake", "cum_staked", day,
-                    max_rows_per_task=mode)
+    s = running_sum(s, [user], order, {"cum_profit": "profit", "cum_staked": "_settled_stake"}, day)
     return (s.withColumn("running_roi", F.try_divide(F.col("cum_profit"), F.col("cum_staked")))
              .drop("_settled_stake"))
 

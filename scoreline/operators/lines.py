@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators.prices import LINE_KEYS
-from scoreline.operators.sequence import previous_value
+from scoreline.operators.sequence import previous_value, running_sum
 
 
 def closing_line(snaps: DataFrame, tipoffs: DataFrame, tip: str = "tip_ts",
@@ -64,7 +64,7 @@ def line_shopping(lines: DataFrame, keys: Sequence[str] = ("game_id", "market",
 
 
 def clv_records(bets: DataFrame, closing: DataFrame,
-                keys: Sequence[str] = ("game_id", "book", "side")) -> DataFrame:
+                keys: Sequence[str] = LINE_KEYS) -> DataFrame:
     """Bets with the closing price of their line and closing-line value
     (positive = the taken price implied less than the close)."""
     c = closing.select(*keys, "closing_odds")
@@ -77,26 +77,19 @@ BURST_GAP_HOURS = 6   # a new burst starts after this much quiet time on a line
 
 
 def move_bursts(snaps: DataFrame, keys: Sequence[str] = LINE_KEYS,
-                gap_hours: int = BURST_GAP_HOURS, bucket: Column | None = None,
-                max_rows_per_task: int | None = -1) -> DataFrame:
+                gap_hours: int = BURST_GAP_HOURS, bucket: Column | None = None) -> DataFrame:
     """Sessions of activity per line: consecutive snapshots less than ``gap_hours``
     apart belong to one burst; a burst ends ``gap_hours`` after its last snapshot
     (the session-window convention).  Built from a previous-value and a running sum
     per line, both bounded for hot lines."""
-    from scoreline.operators.form import MAX_ROWS_PER_TASK
-    from scoreline.operators.sequence import hot_mode, running_sum
-
     keys = list(keys)
     bucket = bucket if bucket is not None else F.to_date("captured_at")
     order = ["captured_at", "snapshot_id"]
-    mode = hot_mode(snaps, keys, MAX_ROWS_PER_TASK if max_rows_per_task == -1
-                    else max_rows_per_task)
-    s = previous_value(snaps, keys, order, "captured_at", "_prev", bucket,
-                       max_rows_per_task=mode)
+    s = previous_value(snaps, keys, order, "captured_at", "_prev", bucket)
     gap = F.expr(f"INTERVAL {int(gap_hours)} HOURS")
     s = s.withColumn("_new", (F.col("_prev").isNull()
                               | (F.col("captured_at") >= F.col("_prev") + gap)).cast("int"))
-    s = running_sum(s, keys, order, "_new", "burst_no", bucket, max_rows_per_task=mode)
+    s = running_sum(s, keys, order, {"burst_no": "_new"}, bucket)
     o = F.struct(*order)
     return s.groupBy(*keys, "burst_no").agg(
         F.min("captured_at").alias("burst_start"),

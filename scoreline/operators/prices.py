@@ -76,8 +76,13 @@ def side_prob(p_home: str = "p_home", side: str = "side") -> Column:
     return F.when(F.col(side) == "HOME", F.col(p_home)).otherwise(1.0 - F.col(p_home))
 
 
-def best_side(two: DataFrame, p_home: str = "p_home", game: str = "game_id") -> DataFrame:
-    """Best (EV, side, book, odds, p) over both sides at every book of a game.
+WIN_MARKET = "h2h"   # fixed value: the market that a win probability prices
+
+
+def best_side(two: DataFrame, p_home: str = "p_home",
+              keys: Sequence[str] = ("game_id",)) -> DataFrame:
+    """Best (EV, side, book, odds, p) over both sides at every book of a game, or of a game
+    and market if ``keys`` names both (``p_home`` must belong to the market).
 
     Lexicographic maximum: higher EV, then HOME over AWAY, then book name
     descending, then higher odds, as a ``max(struct)`` partial aggregate.
@@ -86,12 +91,12 @@ def best_side(two: DataFrame, p_home: str = "p_home", game: str = "game_id") ->
                     F.col(p_home).alias("p"))
     away = F.struct(F.lit("AWAY").alias("side"), F.col("away_odds").alias("odds"),
                     (1.0 - F.col(p_home)).alias("p"))
-    cand = two.select(game, "book", F.inline(F.array(home, away)))
+    cand = two.select(*keys, "book", F.inline(F.array(home, away)))
     cand = cand.withColumn("ev", fo.expected_value("p", "odds"))
-    best = cand.groupBy(game).agg(
+    best = cand.groupBy(*keys).agg(
         F.max(F.struct("ev", "side", "book", "odds", "p")).alias("b"))
     return best.select(
-        game, F.col("b.side").alias("pick"), F.col("b.book").alias("book"),
+        *keys, F.col("b.side").alias("pick"), F.col("b.book").alias("book"),
         F.col("b.odds").alias("odds"), F.col("b.p").alias("p_model"),
         fo.american_to_implied("b.odds").alias("implied"),
         fo.edge("b.p", "b.odds").alias("edge"), F.col("b.ev").alias("ev"),

@@ -1,9 +1,9 @@
 """Ordered per-key sequences that stay parallel when one key is hot.
 
-``running_sum`` and ``previous_value`` use a plain window per key while the
-largest key fits one task.  Above ``max_rows_per_task`` they work per
-(key, bucket) - the bucket is a coarse function of the order (a day, a season) -
-and carry across buckets through a small table with one row per (key, bucket).
+``running_sum`` and ``previous_value`` work per (key, bucket) - the bucket is a coarse
+function of the order (a day, a season) - and carry across buckets through a small table
+with one row per (key, bucket).  There is one path at every size: a task holds one bucket
+of one key, and the caller chooses the bucket.
 """
 
 from __future__ import annotations
@@ -13,59 +13,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreline.operators.form import MAX_ROWS_PER_TASK, largest_key_rows
 
-
-def hot_mode(df: DataFrame, keys: Sequence[str],
-             max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> int | None:
-    """Decide once for several sequence operators on the same key: ``None`` (plain
-    windows) or ``0`` (bucketed forms), measuring the largest key at most once."""
-    if max_rows_per_task is None or max_rows_per_task == 0:
-        return max_rows_per_task
-    return 0 if largest_key_rows(df, list(keys)) > max_rows_per_task else None
-
-
-def _plain(keys, max_rows_per_task, df) -> bool:
-    return max_rows_per_task is None or (
-        max_rows_per_task and largest_key_rows(df, keys) <= max_rows_per_task)
-
-
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                out: str, bucket: Column, include_current: bool = True,
-                max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> DataFrame:
-    """``out`` = sum of ``value`` over earlier rows of the key (and the row itself)."""
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, str],
+                bucket: Column, include_current: bool = True) -> DataFrame:
+    """``values`` maps output -> input; each output is the sum of its input over earlier
+    rows of the key (and the row itself)."""
     keys, order = list(keys), list(order)
     end = Window.currentRow if include_current else -1
-    if _plain(keys, max_rows_per_task, df):
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
     b = df.withColumn("_bk", bucket)
-    w_in = (Window.partitionBy(*keys, "_bk").orderBy(*order)
-            .rowsBetween(Window.unboundedPreceding, end))
-    tot = b.groupBy(*keys, "_bk").agg(F.sum(value).alias("_t"))
-    carry = tot.select(*keys, "_bk", F.coalesce(F.sum("_t").over(
-        Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_c"))
-    return (b.withColumn("_in", F.coalesce(F.sum(value).over(w_in), F.lit(0)))
-             .join(carry, [*keys, "_bk"])
-             .withColumn(out, F.col("_c") + F.col("_in")).drop("_bk", "_in", "_c", "_t"))
+    inside = (Window.partitionBy(*keys, "_bk").orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, end))
+    before = (Window.partitionBy(*keys).orderBy("_bk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    total = b.groupBy(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_bk"]]).agg(
+        *[F.sum(src).alias(f"_t_{dst}") for dst, src in values.items()])
+    total = total.withColumnsRenamed({f"_k_{c}": c for c in [*keys, "_bk"]})
+    carry = total.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_bk"]], *[
+        F.coalesce(F.sum(f"_t_{dst}").over(before), F.lit(0)).alias(f"_c_{dst}") for dst in values])
+    inner = b.select("*", *[F.coalesce(F.sum(src).over(inside), F.lit(0)).alias(f"_in_{dst}")
+                            for dst, src in values.items()])
+    return _back(inner, carry, keys).select(*df.columns, *[
+        (F.col(f"_c_{dst}") + F.col(f"_in_{dst}")).alias(dst) for dst in values])
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
-                   out: str, bucket: Column,
-                   max_rows_per_task: int | None = MAX_ROWS_PER_TASK) -> DataFrame:
+                   out: str, bucket: Column) -> DataFrame:
     """``out`` = ``value`` of the previous row of the key (null for the first row)."""
     keys, order = list(keys), list(order)
-    if _plain(keys, max_rows_per_task, df):
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*keys).orderBy(*order)))
     b = df.withColumn("_bk", bucket)
-    w_in = Window.partitionBy(*keys, "_bk").orderBy(*order)
+    inside = Window.partitionBy(*keys, "_bk").orderBy(*order)
     last = b.groupBy(*keys, "_bk").agg(
-        F.max_by(F.col(value), F.struct(*[F.col(c) for c in order])).alias("_last"))
-    prev_last = last.select(*keys, "_bk", F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy("_bk")).alias("_pl"))
-    return (b.withColumn("_first", F.row_number().over(w_in) == 1)
-             .withColumn("_lag", F.lag(value).over(w_in))
-             .join(prev_last, [*keys, "_bk"])
-             .withColumn(out, F.when(F.col("_first"), F.col("_pl")).otherwise(F.col("_lag")))
-             .drop("_bk", "_first", "_lag", "_pl"))
+        F.max_by(F.struct(F.col(value).alias("v")),
+                 F.struct(*[F.col(c) for c in order])).alias("_last"))
+    carry = last.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_bk"]], F.lag("_last").over(
+        Window.partitionBy(*keys).orderBy("_bk")).alias("_c"))
+    inner = b.select("*", F.lag(value).over(inside).alias("_in"),
+                     (F.row_number().over(inside) == 1).alias("_first"))
+    return _back(inner, carry, keys).select(*df.columns, F.when(
+        F.col("_first"), F.col("_c.v")).otherwise(F.col("_in")).alias(out))
+
+
+def _back(inner: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with their bucket's carried values (keys may be null)."""
+    on = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, "_bk"]]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    return inner.join(carry, cond)

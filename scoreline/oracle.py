@@ -45,7 +45,7 @@ SELECT game_id, CAST(DATE '2020-10-20' + CAST(floor(game_id / 6) AS INT) AS DATE
 FROM (SELECT CAST(floor(event_id / 2) AS BIGINT) AS game_id,
              CAST(user_id % 30 AS BIGINT) AS team_id,
              CAST(1 - event_id % 2 AS INT) AS is_home,
-             CAST(80 + floor(value) % 60 AS BIGINT) AS pts
+             CAST(80 + floor(value) % 60 + 3 * ((user_id % 30) % 10) AS BIGINT) AS pts
       FROM events) e""",
     "fx_games": """
 SELECT h.game_id, h.game_date, h.season, h.team_id AS home_team_id, h.pts AS home_pts,
@@ -77,7 +77,7 @@ WINDOW w AS (PARTITION BY game_id ORDER BY action_number ROWS BETWEEN UNBOUNDED
     "fx_odds_snapshots": """
 SELECT event_id AS snapshot_id, user_id AS game_id,
        CASE event_id % 4 WHEN 0 THEN 'book_a' WHEN 1 THEN 'book_b' WHEN 2 THEN 'book_c' ELSE 'book_d' END AS book,
-       'h2h' AS market,
+       CASE WHEN floor(event_id / 8) % 5 = 0 THEN 'totals' ELSE 'h2h' END AS market,
        CASE WHEN floor(event_id / 4) % 2 = 0 THEN 'HOME' ELSE 'AWAY' END AS side,
        CASE WHEN floor(value) % 2 = 0 THEN CAST(100 + floor(value) AS INT) ELSE CAST(-100 - floor(value) AS INT) END AS american_odds,
        ts AS captured_at
@@ -86,7 +86,7 @@ FROM events""",
 SELECT user_id AS game_id, CAST(MIN(ts) AS DATE) + CAST(15 + user_id % 10 AS INT) AS tip_date
 FROM events GROUP BY user_id""",
     "fx_bets": """
-SELECT o.o_orderkey AS bet_id, o.o_custkey AS user_id, b.game_id, b.book, b.side, b.american_odds AS odds_taken,
+SELECT o.o_orderkey AS bet_id, o.o_custkey AS user_id, b.game_id, b.book, b.market, b.side, b.american_odds AS odds_taken,
        CAST(1 + floor(o.o_totalprice / 10000) AS BIGINT) AS stake, o.o_orderdate AS placed_at,
        CASE WHEN o.o_orderstatus = 'F' THEN 1 WHEN o.o_orderstatus = 'O' THEN 0 ELSE NULL END AS won
 FROM orders o JOIN fx_odds_snapshots b ON o.o_orderkey = b.snapshot_id""",
@@ -317,15 +317,15 @@ FROM (SELECT s.*, CASE WHEN s.side = 'HOME' THEN c.p_home ELSE 1.0::DOUBLE - c.p
 """, "fx_odds_snapshots", extra=_MARKET)
 
 SQL["best_side"] = with_fx(f"""
-SELECT game_id, side AS pick, book, odds, {r6('p')} AS p_model, {r6(implied('odds'))} AS implied,
+SELECT game_id, market, side AS pick, book, odds, {r6('p')} AS p_model, {r6(implied('odds'))} AS implied,
        {r6('p - ' + implied('odds'))} AS edge, {r6('ev')} AS ev, {r6(stake('p', 'odds'))} AS kelly_stake
-FROM (SELECT *, row_number() OVER (PARTITION BY game_id
+FROM (SELECT *, row_number() OVER (PARTITION BY game_id, market
                                    ORDER BY ev DESC, side DESC, book DESC, odds DESC, p DESC) AS rn
       FROM (SELECT *, {ev('p', 'odds')} AS ev FROM (
-              SELECT f.game_id, f.book, 'HOME' AS side, f.home_odds AS odds, c.p_home AS p
+              SELECT f.game_id, f.market, f.book, 'HOME' AS side, f.home_odds AS odds, c.p_home AS p
               FROM fair f JOIN cons c ON f.game_id = c.game_id AND f.market = c.market
               UNION ALL
-              SELECT f.game_id, f.book, 'AWAY', f.away_odds, 1.0::DOUBLE - c.p_home
+              SELECT f.game_id, f.market, f.book, 'AWAY', f.away_odds, 1.0::DOUBLE - c.p_home
               FROM fair f JOIN cons c ON f.game_id = c.game_id AND f.market = c.market) u) e) r
 WHERE rn = 1
 """, "fx_odds_snapshots", extra=_MARKET)
@@ -339,9 +339,9 @@ def to_american(p: str, vig: float) -> str:
 
 
 SQL["prob_to_odds"] = with_fx(f"""
-SELECT game_id, market, p AS p_home, {to_american('p', 0.045)} AS home_price,
+SELECT game_id, market, round(p, 6) AS p_home, {to_american('p', 0.045)} AS home_price,
        {to_american('(1.0::DOUBLE - p)', 0.045)} AS away_price
-FROM (SELECT game_id, market, round(p_home, 6) AS p FROM cons) c
+FROM (SELECT game_id, market, p_home AS p FROM cons) c
 """, "fx_odds_snapshots", extra=_MARKET)
 
 SQL["odds_payload_flatten"] = with_fx("""
@@ -544,10 +544,10 @@ def display(p_home: str, edge: str, ev_: str, kelly_stake: str) -> str:
 
 
 _BOARD_CANDS = """SELECT t.game_id, t.book, 'HOME' AS side, t.home_odds AS odds, r.p_home AS p
-FROM two t JOIN rated r ON t.game_id = r.game_id
+FROM two t JOIN rated r ON t.game_id = r.game_id WHERE t.market = 'h2h'
 UNION ALL
 SELECT t.game_id, t.book, 'AWAY', t.away_odds, 1.0::DOUBLE - r.p_home
-FROM two t JOIN rated r ON t.game_id = r.game_id"""
+FROM two t JOIN rated r ON t.game_id = r.game_id WHERE t.market = 'h2h'"""
 _BOARD = ("brd", f"""
 SELECT r.game_id, ac.n_name || ' @ ' || hc.n_name AS matchup, r.p_home, 'live' AS source,
        b.pick, b.book, b.odds, b.p_model, b.implied, b.edge, b.ev, b.kelly_stake
@@ -635,10 +635,11 @@ JOIN (SELECT game_id, market, side, max({decimal_odds('american_odds')}) AS best
 """, "fx_odds_snapshots", extra=[_LATEST])
 
 SQL["clv_records"] = with_fx(f"""
-SELECT b.bet_id, b.user_id, b.game_id, b.book, b.side, b.odds_taken, c.closing_odds,
+SELECT b.bet_id, b.user_id, b.game_id, b.book, b.market, b.side, b.odds_taken, c.closing_odds,
        round({implied('c.closing_odds')} - {implied('b.odds_taken')}, 6) AS clv,
        ({implied('c.closing_odds')} - {implied('b.odds_taken')}) > 0 AS beat_close
-FROM fx_bets b LEFT JOIN closing c ON b.game_id = c.game_id AND b.book = c.book AND b.side = c.side
+FROM fx_bets b LEFT JOIN closing c ON b.game_id = c.game_id AND b.book = c.book AND b.market = c.market
+     AND b.side = c.side
 """, "fx_bets", "fx_tipoffs", extra=[_TIPS, _PRETIP, _CLOSE])
 
 _SETTLED = ("settled", f"""
@@ -675,7 +676,7 @@ FROM (SELECT *, {stake('p', 'open_odds')} AS stk, (side = 'HOME') = (home_win =
             FROM (SELECT game_id, book, market, side,
                          first(american_odds ORDER BY captured_at, snapshot_id) AS open_odds,
                          last(american_odds ORDER BY captured_at, snapshot_id) AS close_odds
-                  FROM pretip GROUP BY game_id, book, market, side) oc
+                  FROM pretip WHERE market = 'h2h' GROUP BY game_id, book, market, side) oc
             JOIN fx_games g ON oc.game_id = g.game_id JOIN game_elo e ON oc.game_id = e.game_id) x
       WHERE {ev('p', 'open_odds')} > 0) y""")
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
-from scoreline.operators.prices import LINE_KEYS
+from scoreline.operators.prices import LINE_KEYS, WIN_MARKET
 from scoreline.plans.evaluate import prob_metrics
 
 CAL_BINS = 10   # fixed-width probability bins of the walk-forward calibrator
@@ -34,7 +34,9 @@ def open_close(snaps: DataFrame, tipoffs: DataFrame, tip: str = "tip_ts") -> Dat
 
 def backtest_bets(lines: DataFrame, games: DataFrame, p_home: str = "p_home") -> DataFrame:
     """Lines (game, book, market, side, open_odds, close_odds) x games (game_id, p_home,
-    home_win) -> the +EV bets at the opening price, settled, with CLV."""
+    home_win) -> the +EV bets at the opening price, settled, with CLV.  Only the win market
+    is bet: the model's probability says nothing about others."""
+    lines = lines.where(F.col("market") == WIN_MARKET)
     g = games.select("game_id", p_home, "home_win")
     x = lines.join(g, "game_id").withColumn(
         "p", F.when(F.col("side") == "HOME", F.col(p_home)).otherwise(1.0 - F.col(p_home)))
@@ -70,7 +72,8 @@ def walk_forward(scored: DataFrame, season: str = "season", y: str = "y", p: str
     w = Window.partitionBy("_bin").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
     hist = per.select("_bin", "_ord", F.coalesce(F.sum("_pos").over(w), F.lit(0)).alias("_hp"),
                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_hn"))
-    test = s.filter(F.col("_ord") >= 2).join(hist, ["_bin", "_ord"])
+    # one row per (bin, season): bounded by the calendar
+    test = s.filter(F.col("_ord") >= 2).join(F.broadcast(hist), ["_bin", "_ord"])
     cal = (F.col("_hp") + F.col(p)) / (F.col("_hn") + 1.0)
     long = test.select(F.col(season).alias("fold"), y, F.inline(F.array(
         F.struct(F.lit("raw").alias("model"), F.col(p).alias("p")),

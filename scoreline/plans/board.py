@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
-from scoreline.operators.prices import best_side
+from scoreline.operators.prices import WIN_MARKET, best_side
 
 SAMPLE_SEED = 7      # fixed value: seed of the sample board
 SAMPLE_SIZE = 8      # fixed value: games on the sample board
@@ -40,9 +40,11 @@ def display_columns(df: DataFrame) -> DataFrame:
 def board(scored: DataFrame, two_way_lines: DataFrame, lookup: DataFrame,
           source: str = "live") -> DataFrame:
     """``scored``: game_id, home_team_id, away_team_id, p_home.  ``two_way_lines``:
-    game_id, book, home_odds, away_odds.  One row per game with a known matchup."""
+    game_id, book, market, home_odds, away_odds; only the win market is priced.  One row
+    per game with a known matchup."""
     g = label_teams(scored, lookup)
-    best = best_side(two_way_lines.join(g.select("game_id", "p_home"), "game_id"))
+    lines = two_way_lines.where(F.col("market") == WIN_MARKET)
+    best = best_side(lines.join(g.select("game_id", "p_home"), "game_id"))
     out = g.join(best, "game_id").select(
         "game_id", F.concat_ws(" @ ", "away_code", "home_code").alias("matchup"),
         "p_home", F.lit(source).alias("source"), "pick", "book", "odds", "p_model",

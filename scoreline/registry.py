@@ -74,9 +74,9 @@ SEASON_PARAM = 2020  # bound parameter of the season query (first season of the
 def q_season_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Game ids of one season in date order, zero-padded, by SQL text with a bound
     parameter (no row cap: ``limit_ids`` with 0 keeps all)."""
-    fx.fx_games(spark, sf_dir).createOrReplaceTempView("games")
     df = landing.read_sql(
-        spark, "SELECT game_id, game_date FROM games WHERE season = :s", s=SEASON_PARAM)
+        spark, "SELECT game_id, game_date FROM {games} WHERE season = :s",
+        {"games": fx.fx_games(spark, sf_dir)}, s=SEASON_PARAM)
     return limit_ids(df, 0).select(pairing.zfill_id(F.col("game_id")).alias("game_id"),
                                    "game_date")
 
@@ -165,7 +165,8 @@ def q_odds_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("best_side")
 def q_best_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(prices.best_side(prices.with_consensus(market_fair(spark, sf_dir))))
+    return rounded(prices.best_side(prices.with_consensus(market_fair(spark, sf_dir)),
+                                    keys=("game_id", "market")))
 
 
 FAIR_PRICE_VIG = 0.045  # fixed value: margin shaded into a fair price
@@ -174,8 +175,8 @@ FAIR_PRICE_VIG = 0.045  # fixed value: margin shaded into a fair price
 @register("prob_to_odds")
 def q_prob_to_odds(spark: SparkSession, sf_dir: str) -> DataFrame:
     cons = market_consensus(spark, sf_dir)
-    p = F.round("p_home", 6)
-    return cons.select("game_id", "market", p.alias("p_home"),
+    p = F.col("p_home")
+    return cons.select("game_id", "market", F.round(p, 6).alias("p_home"),
                        fo.prob_to_american(p, FAIR_PRICE_VIG).alias("home_price"),
                        fo.prob_to_american(1.0 - p, FAIR_PRICE_VIG).alias("away_price"))
 
@@ -192,12 +193,13 @@ def q_odds_payload_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("elo_by_pool")
 def q_elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rating.elo_by_pool(fx.fx_games(spark, sf_dir)))
+    return rounded(rating.elo_ratings(fx.fx_games(spark, sf_dir)))
 
 
 @register("elo_relaxed")
 def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(rating.elo_relaxed(fx.fx_games(spark, sf_dir)))
+    """The same ratings from chunks of a few hundred games (more rounds of handing over)."""
+    return rounded(rating.elo_ratings(fx.fx_games(spark, sf_dir), chunk_games=500))
 
 
 def games_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +212,7 @@ def game_elo(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -
     """Pre-game ratings (one row per game), materialised once: several branches of a
     plan read them, and the replay is a Python stage that should not run per branch."""
     g = games if games is not None else fx.fx_games(spark, sf_dir)
-    return rating.elo_by_pool(g).checkpoint()
+    return rating.elo_ratings(g).checkpoint()
 
 
 def full_form(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
@@ -376,8 +378,8 @@ def q_line_shopping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("clv_records")
 def q_clv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bets = fx.fx_bets(spark, sf_dir).select("bet_id", "user_id", "game_id", "book", "side",
-                                            "odds_taken")
+    bets = fx.fx_bets(spark, sf_dir).select("bet_id", "user_id", "game_id", "book", "market",
+                                            "side", "odds_taken")
     return rounded(lines.clv_records(bets, closing(spark, sf_dir)))
 
 
@@ -461,8 +463,9 @@ def q_odds_stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("elo_blocked")
 def q_elo_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact ratings replayed block by block (seasons; bounded task per pool and block)."""
-    return rounded(rating.elo_blocked(fx.fx_games(spark, sf_dir)))
+    """Ratings with the season written as text ("2020-21"), as the raw log has it."""
+    games = fx.fx_games(spark, sf_dir)
+    return rounded(rating.elo_ratings(games.withColumn("season", fx.season_text("season"))))
 
 
 @register("game_log_clean")

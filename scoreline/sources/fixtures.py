@@ -6,10 +6,11 @@ expressions; ``scoreline.oracle`` holds the same views as SQL text for DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.operators.pairing import pair_sides
+from scoreline.operators.sequence import running_sum
 from scoreline.sources.tables import load
 
 # fixed values: the fixture definitions
@@ -17,6 +18,8 @@ SEASON_ORIGIN = "2020-10-20"
 GAMES_PER_DAY = 6
 GAMES_PER_SEASON = 1000
 N_TEAMS = 30
+TOTALS_EVERY = 5     # one in so many line blocks prices the total, not the winner
+TEAM_STEP = 3        # points that a team's strength class (0..9) adds to its score
 
 
 def fx_team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +33,8 @@ def fx_team_games(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(2020) + F.floor(game_id / GAMES_PER_SEASON)).cast("int").alias("season"),
         (F.col("user_id") % N_TEAMS).cast("bigint").alias("team_id"),
         (1 - F.col("event_id") % 2).cast("int").alias("is_home"),
-        (80 + F.floor(F.col("value")) % 60).cast("bigint").alias("pts"),
+        (80 + F.floor(F.col("value")) % 60
+         + TEAM_STEP * (F.col("user_id") % N_TEAMS % 10)).cast("bigint").alias("pts"),
     )
 
 
@@ -56,16 +60,17 @@ def fx_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(et == "error", 0).when(F.col("event_id") % 3 == 0, 3).otherwise(2)
         .alias("shot_value"),
     )
-    w = (Window.partitionBy("game_id").orderBy("action_number")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     made = F.col("shot_result") == "Made"
 
-    def score(code: str):
-        pts = F.sum(F.when((F.col("team_code") == code) & made, F.col("shot_value"))
-                    .otherwise(0)).over(w)
-        return F.when(made, pts.cast("string")).otherwise(F.lit(""))
+    def points(code: str):
+        return F.when((F.col("team_code") == code) & made, F.col("shot_value")).otherwise(0)
 
-    return x.select("*", score("HOM").alias("score_home"), score("AWY").alias("score_away"))
+    s = running_sum(x.withColumns({"_h": points("HOM"), "_a": points("AWY")}), ["game_id"],
+                    ["action_number"], {"_hs": "_h", "_as": "_a"},
+                    F.floor(F.col("action_number") / 1_000_000))
+    return s.select(*x.columns, *[
+        F.when(made, F.col(c).cast("string")).otherwise(F.lit("")).alias(name)
+        for c, name in (("_hs", "score_home"), ("_as", "score_away"))])
 
 
 def fx_odds_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ def fx_odds_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("game_id"),
         F.when(eid % 4 == 0, "book_a").when(eid % 4 == 1, "book_b")
         .when(eid % 4 == 2, "book_c").otherwise("book_d").alias("book"),
-        F.lit("h2h").alias("market"),
+        F.when(F.floor(eid / 8) % TOTALS_EVERY == 0, "totals").otherwise("h2h").alias("market"),
         F.when(F.floor(eid / 4) % 2 == 0, "HOME").otherwise("AWAY").alias("side"),
         F.when(fv % 2 == 0, (100 + fv).cast("int")).otherwise((-100 - fv).cast("int"))
         .alias("american_odds"),
@@ -101,7 +106,7 @@ def fx_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(b, o.o_orderkey == b.snapshot_id).select(
         F.col("o_orderkey").alias("bet_id"),
         F.col("o_custkey").alias("user_id"),
-        "game_id", "book", "side",
+        "game_id", "book", "market", "side",
         F.col("american_odds").alias("odds_taken"),
         (1 + F.floor(F.col("o_totalprice") / 10000)).cast("bigint").alias("stake"),
         F.col("o_orderdate").alias("placed_at"),
@@ -120,6 +125,12 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(1.0 / (1.0 + F.exp(z)), 4).alias("p"))
 
 
+def season_text(season: str) -> Column:
+    """2020 -> "2020-21"."""
+    return F.concat(F.col(season).cast("string"), F.lit("-"),
+                    F.lpad(((F.col(season) + 1) % 100).cast("string"), 2, "0"))
+
+
 def fx_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired games -> the raw team game log shape: codes from the nation table
     (``T<id>`` for teams without one), "A vs. B" for the home row and "A @ B" for the
@@ -135,8 +146,6 @@ def fx_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
           .join(code("away_team_id", "_ac"), "away_team_id", "left")
           .withColumn("_hc", F.coalesce("_hc", F.concat(F.lit("T"), F.col("home_team_id").cast("string"))))
           .withColumn("_ac", F.coalesce("_ac", F.concat(F.lit("T"), F.col("away_team_id").cast("string")))))
-    season_txt = F.concat(F.col("season").cast("string"), F.lit("-"),
-                          F.lpad(((F.col("season") + 1) % 100).cast("string"), 2, "0"))
 
     def wl(mine: str, theirs: str):
         return F.when(F.col(mine) > F.col(theirs), "W").when(F.col(mine) < F.col(theirs), "L")
@@ -149,4 +158,4 @@ def fx_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                     wl("away_pts", "home_pts").alias("WL"), F.col("away_pts").alias("PTS"))
     return g.select(F.col("game_id").alias("GAME_ID"),
                     F.date_format("game_date", "yyyy-MM-dd").alias("GAME_DATE"),
-                    season_txt.alias("SEASON"), F.inline(F.array(home, away)))
+                    season_text("season").alias("SEASON"), F.inline(F.array(home, away)))

@@ -29,14 +29,14 @@ def write_table(df: DataFrame, path: str, if_exists: str = "replace",
 
 
 def table_exists(spark: SparkSession, name_or_path: str) -> bool:
-    """Catalog table, or a path that holds a readable dataset."""
+    """Catalog table, or a path that holds a dataset (one that cannot be read raises)."""
     if "/" not in name_or_path:
         return spark.catalog.tableExists(name_or_path)
-    try:
-        spark.read.parquet(name_or_path).schema  # noqa: B018 - metadata only
-        return True
-    except Exception:  # noqa: BLE001 - missing path or not a dataset
+    path = spark._jvm.org.apache.hadoop.fs.Path(name_or_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return False
+    spark.read.parquet(name_or_path).schema  # noqa: B018 - unreadable data must surface
+    return True
 
 
 def land_new(spark: SparkSession, incoming: DataFrame, path: str, key: str,
@@ -50,6 +50,8 @@ def land_new(spark: SparkSession, incoming: DataFrame, path: str, key: str,
     return write_table(incoming, path, "fail", partition_by)
 
 
-def read_sql(spark: SparkSession, query: str, **params) -> DataFrame:
-    """SQL text with named bound parameters (``:name``), e.g. ``WHERE season = :s``."""
-    return spark.sql(query, args=params)
+def read_sql(spark: SparkSession, query: str, frames: dict[str, DataFrame] | None = None,
+             **params) -> DataFrame:
+    """SQL text over the catalog and ``frames`` (``{name}`` in the text; no session view is
+    made), with named bound parameters (``:name``), e.g. ``WHERE season = :s``."""
+    return spark.sql(query, args=params, **(frames or {}))
