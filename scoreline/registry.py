@@ -267,16 +267,70 @@ def q_isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.isotonic_calibrate(s, s).select("doc_id", "y", "p", "p_cal"))
 
 
-_MODELS: dict[tuple, object] = {}
+def fitted_model(spark: SparkSession, sf_dir: str):
+    """Model and split of this input (fitted by each query that needs it)."""
+    split = features.time_split(features_of(spark, sf_dir)).checkpoint()
+    return model.fit(split), split
 
 
-def fitted_model(spark: SparkSession, sf_dir: str):
-    """Fit once per (application, input) and reuse across queries of the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _MODELS:
-        split = features.time_split(features_of(spark, sf_dir)).checkpoint()
-        _MODELS[key] = (model.fit(split), split)
-    return _MODELS[key]
+@register("model_metrics")
+def q_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out metrics of the rating, the raw trees and the calibrated trees."""
+    m, split = fitted_model(spark, sf_dir)
+    return model.heldout_metrics(model.heldout_predictions(m, split))
+
+
+@register("model_gate")
+def q_model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold for the fitted model: more than one tree, raw held-out log loss no worse
+    than the rating's, and calibrated log loss below that of the base rate."""
+    m, split = fitted_model(spark, sf_dir)
+    preds = model.heldout_predictions(m, split)
+    base = split.filter("split <> 'test'").agg(F.avg("home_win").alias("p0"))
+    rate = base.first()["p0"]
+    loss = model.heldout_metrics(preds).groupBy().pivot(
+        "model", ["elo_baseline", "gbt_raw", "gbt_calibrated"]).agg(F.first("log_loss"))
+    constant = preds.agg(F.count(F.lit(1)).alias("n"), F.avg(
+        -F.col("home_win") * F.log(F.lit(rate)) - (1 - F.col("home_win")) * F.log(F.lit(1 - rate)))
+        .alias("c"))
+    row, const = loss.first(), constant.first()
+    return spark.range(1).select(
+        F.lit(const["n"]).cast("bigint").alias("n_test"),
+        F.lit(m.pipeline.stages[-1].getNumTrees > 1).alias("more_than_one_tree"),
+        F.lit(row["gbt_calibrated"] < const["c"]).alias("calibrated_beats_base_rate"),
+        F.lit(row["gbt_raw"] <= row["elo_baseline"]).alias("raw_matches_rating"))
+
+
+@register("landed_increment")
+def q_landed_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resumable landing: half of the seasons, then all games, then all again (a no-op)."""
+    games = fx.fx_games(spark, sf_dir)
+    path = f"{odds_stream.stream_dir(spark)}/games"
+    first = landing.land_new(spark, games.filter(F.col("season") % 2 == 0), path, "game_id")
+    second = landing.land_new(spark, games, path, "game_id")
+    third = landing.land_new(spark, games, path, "game_id")
+    back = spark.read.parquet(path)
+    return back.groupBy("season").agg(F.count(F.lit(1)).alias("n_games")).select(
+        "season", "n_games", *[F.lit(n).cast("bigint").alias(name) for n, name in (
+            (first, "first_run"), (second, "second_run"), (third, "third_run"))])
+
+
+TRIAL_IDS = 25       # trial-run cap of the capped id list
+
+
+@register("trial_ids")
+def q_trial_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trial run: the first ids in (date, id) order up to the cap."""
+    return limit_ids(fx.fx_games(spark, sf_dir).select("game_id", "game_date"), TRIAL_IDS)
+
+
+@register("metrics_document")
+def q_metrics_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics written as a JSON document per model and read back."""
+    metrics = evaluate.prob_metrics(scored_long(spark, sf_dir))
+    path = f"{odds_stream.stream_dir(spark)}/metrics"
+    metrics.write.json(path)
+    return spark.read.schema(metrics.schema).json(path)
 
 
 @register("gbt_fit_score")
