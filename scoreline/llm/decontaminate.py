@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm import words as wd
+from scoreline.llm.bloom import MAX_BITS, Bloom, build
 from scoreline.llm.tables import Tables
 
 # fixed masks: 8 counted words in spans of 8 to 14 words
@@ -31,7 +32,6 @@ MASKS = ("11111111", "1101011011011", "11101001101011", "10110111001011")
 LENGTH = 13              # words of the shortest verified stretch
 IDENTITY = 0.75          # share of equal words in it
 SHORTEST = 8             # items with fewer words are compared as a whole, exactly
-BLOOM_BITS = 1 << 24
 AROUND = 64              # words kept on either side of a hit, at least
 U64 = np.uint64
 
@@ -56,29 +56,6 @@ def _whole(n: int) -> tuple[str, int]:
     return "1" * n, 100 + n
 
 
-class Bloom:
-    """Two bits per key in a fixed array."""
-
-    def __init__(self, bits: int = BLOOM_BITS):
-        self.bits = bits
-        self.array = np.zeros(bits, dtype=bool)
-
-    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = U64(self.bits - 1)
-        return (h & m).astype(np.int64), ((h >> U64(32)) & m).astype(np.int64)
-
-    def add(self, h: np.ndarray) -> None:
-        a, b = self.places(h)
-        self.array[a] = self.array[b] = True
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        """Indices of keys that may be in the set."""
-        a = (h & U64(self.bits - 1)).astype(np.int64)
-        first = np.flatnonzero(self.array[a])
-        b = ((h[first] >> U64(32)) & U64(self.bits - 1)).astype(np.int64)
-        return first[self.array[b]]
-
-
 def benchmark_words(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words) of the benchmark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,21 +97,6 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return items.mapInArrow(run, "h long, item long, pos long").distinct()
 
 
-def bloom_of(hashes: DataFrame, bits: int) -> Bloom:
-    """Filter of a column ``h``: every task sends the bits that it sets, once."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Bloom(bits)
-        for batch in batches:
-            own.add(batch.column(0).to_numpy().view(U64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(own.array), pa.int32())],
-                                         names=["bit"])
-
-    bloom = Bloom(bits)
-    got = hashes.select("h").mapInArrow(run, "bit int").distinct().toArrow()["bit"].to_numpy()
-    bloom.array[got] = True
-    return bloom
-
-
 def stretches(docs: DataFrame, bloom: Bloom, masks: tuple[str, ...], around: int,
               short_sizes: list[int]) -> DataFrame:
     """(row, segment, first, words, seeds, places) of the parts of documents around hits.
@@ -223,7 +185,7 @@ def _verify(length: int, identity: float):
 
 def overlaps(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS,
              length: int = LENGTH, identity: float = IDENTITY, around: int = AROUND,
-             bits: int = BLOOM_BITS, row_col: str = "doc_id", text_col: str = "text",
+             bits: int = MAX_BITS, row_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, item_id, n_words, n_equal): the longest verified stretch per document and item.
 
@@ -235,7 +197,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS,
     tables = Tables(spark, "decontaminate")
     items = tables.put(benchmark_words(bench, item_col, item_text))
     seed = tables.put(benchmark_seeds(items, masks))
-    bloom = bloom_of(seed, bits)
+    bloom = build(seed, "h", bits)
     sizes = [r[0] for r in items.select(F.size("words").alias("n")).where(
         F.col("n").between(1, SHORTEST - 1)).distinct().collect()]
     src = docs.select(F.col(row_col).cast("long").alias("row"),

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm import words as wd
+from scoreline.llm.bloom import Bloom, build
 from scoreline.llm.tables import Tables, components
 
 SPARE = 2              # parts beyond H + 1, so that parts empty in both sets seldom count
@@ -271,28 +272,36 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     largest = classes.agg(F.max("size")).first()[0] or 1
     sizes = SizeClasses(num, den, largest)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offs in wd.blocks(batch):
-                h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
-                names = set_names(h, first)
-                # one of several equal sets of the block
-                once = np.zeros(len(names), dtype=bool)
-                once[np.unique(names, return_index=True)[1]] = True
-                size = np.where(once, np.diff(first), 0)
-                at = wd.ragged(first[:-1], size)
-                sig, doc = sizes.signatures(h[at], np.append(0, np.cumsum(size)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wd.i64(sig)), pa.array(wd.i64(names[doc]))], names=["sig", "name"])
-
-    sigs = tables.put(src.where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, name long"))
-    shared = tables.put(sigs.groupBy("sig").agg(
+    def signed(only: Bloom | None) -> DataFrame:
+        """(sig, name) of every class, or of the signatures that a filter lets through."""
+        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, buf, offs in wd.blocks(batch):
+                    h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
+                    names = set_names(h, first)
+                    # one of several equal sets of the block
+                    once = np.zeros(len(names), dtype=bool)
+                    once[np.unique(names, return_index=True)[1]] = True
+                    size = np.where(once, np.diff(first), 0)
+                    at = wd.ragged(first[:-1], size)
+                    sig, doc = sizes.signatures(h[at], np.append(0, np.cumsum(size)))
+                    if only is not None:
+                        ok = only.has(sig)
+                        sig, doc = sig[ok], doc[ok]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(wd.i64(sig)), pa.array(wd.i64(names[doc]))],
+                        names=["sig", "name"])
+
+        return src.where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, name long")
+
+    # most signatures belong to one class: they are hashed again rather than kept, and the
+    # second time only those in the filter of shared ones are sent
+    shared = tables.put(signed(None).groupBy("sig").agg(
         F.min("name").alias("lead"), F.max("name").alias("last")).where("lead <> last")
         .select("sig", "lead"))
-    edges = sigs.join(shared, "sig").where("name <> lead").select(
+    edges = signed(build(shared, "sig")).join(shared, "sig").where("name <> lead").select(
         F.col("lead").alias("u"), F.col("name").alias("v"))
-    groups = components(tables, tables.put(edges.distinct()))
-    tables.drop(sigs, shared)
+    groups = components(tables, tables.put(edges.distinct(), shared))
 
     # blocks: classes of a group, dealt out by hash when the group is large
     member = tables.put(groups.join(classes, groups["node"] == classes["name"]).select(

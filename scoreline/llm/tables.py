@@ -1,55 +1,11 @@
-"""Intermediate tables in the cluster's shared folder, and connected components.
-
-Tables are Parquet below ``spark.checkpoint.dir``: they cut the lineage and survive the
-loss of executors.  An intermediate table is deleted when its consumer is written.
-"""
+"""Connected components over written tables (``Tables``: Parquet in the shared folder)."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreline.session import ensure_checkpoint_dir
-
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-class Tables:
-    """Written tables of one run of an operator."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def put(self, df: DataFrame, *done: DataFrame) -> DataFrame:
-        """Write ``df``, read it back, and delete the tables ``done`` that it was made of.
-
-        Shuffle files of the writing job are removed when it ends (they are not needed
-        again: the table replaces its lineage)."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        before = self.spark.conf.get(CLEAN, None)
-        self.spark.conf.set(CLEAN, "true")
-        try:
-            df.write.option("compression", "zstd").parquet(path)
-        finally:
-            if before is None:
-                self.spark.conf.unset(CLEAN)
-            else:
-                self.spark.conf.set(CLEAN, before)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._llm_path = path
-        self.drop(*done)
-        return out
-
-    def drop(self, *done: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for d in done:
-            path = jvm.org.apache.hadoop.fs.Path(d._llm_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+from scoreline.sources.scratch import Tables
 
 
 def components(tables: Tables, edges: DataFrame) -> DataFrame:
@@ -74,7 +30,7 @@ def components(tables: Tables, edges: DataFrame) -> DataFrame:
             jumped = tables.put(hook.join(far, "up").select("node", "up", "top"))
             moved = jumped.where("up <> top").limit(1).count()
             hook2 = jumped.select("node", F.col("top").alias("up"))
-            hook2._llm_path = jumped._llm_path
+            hook2._written = jumped._written
             tables.drop(hook)
             hook = hook2
             if not moved:
