@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 PER_KEY = 12            # bits per key
-MIN_BITS, MAX_BITS = 1 << 20, 1 << 26     # at most 8 MB
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 27     # at most 16 MB
 
 
 class Bloom:

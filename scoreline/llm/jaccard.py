@@ -7,11 +7,13 @@ aside, the short ones are merged and counted, documents with fewer than T - L oc
 are dropped, and the long lists are probed by binary search for the rest.
 
 Distribution.  Documents with equal sets are one class; only classes are compared.  Which
-classes must meet in one task is found exactly, by the pigeonhole principle: linked sets
-differ in at most H shingles, so among P > H parts of the shingle space (by hash) some are
-equal.  Every class sends one signature per part; P and H depend on a size class, and
-neighbouring size classes are covered by a second registration.  Classes that share a
-signature are joined into candidate groups (connected components).  A group that exceeds a
+classes must meet in one task is found exactly: in any common order of the shingles, linked
+sets A and B share one of the first |A| - ceil(num / den * |A|) + 1 shingles of A that is
+also among B's first ones.  The order puts rare shingles first, by levels of their counts
+over all documents (once, twice, 8, 64, 512 times or more) and then by hash; the levels
+travel as Bloom filters.  Shingles that occur once match nobody and are not sent, so a
+class with enough of them sends nothing at all.  Classes of similar size that share a sent
+shingle are joined into candidate groups (connected components).  A group that exceeds a
 task's bound is dealt out in blocks, and every pair of blocks is searched in a task of its
 own.  Tasks return, per class, the number of links and one link that keeps it connected,
 never pairs, so a group of m near copies costs about m rows per task.
@@ -31,11 +33,10 @@ from scoreline.llm import words as wd
 from scoreline.llm.bloom import Bloom, build
 from scoreline.llm.tables import Tables, components
 
-SPARE = 2              # parts beyond H + 1, so that parts empty in both sets seldom count
+LEVELS = (2, 8, 64, 512)   # counts at which a shingle's level rises
 BLOCK_DOCS = 1024      # classes of one block
 BLOCK_SHINGLES = 1 << 20
 MU = 0.0085            # DivideSkip's cost ratio of probing to merging
-MAX_SIZE = 1 << 40
 U64 = np.uint64
 
 
@@ -69,72 +70,41 @@ def set_names(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class SizeClasses:
-    """Ranges of set sizes with the parts that pairs inside and across them need."""
+    """Ranges of set sizes; linked sets lie in one range or in two neighbouring ones."""
 
-    def __init__(self, num: int, den: int, limit: int, width: int = 3):
-        self.num, self.den = num, den
+    def __init__(self, num: int, den: int, limit: int):
         lo, his = 1, []
         while lo <= limit:
-            hi = lo
-            for _ in range(width):
-                hi = hi * den // num
-            his.append(max(lo, hi))
+            his.append(max(lo, lo * den // num))
             lo = his[-1] + 1
         self.hi = np.array(his, dtype=np.int64)
-        #: partners of the class's largest size reach this far
+        #: partners of the range's largest size reach this far
         self.reach = self.hi * den // num
-        #: shingles in which linked sets of the class differ, at most
-        self.differ = (self.hi + self.reach) * (den - num) // (den + num)
-        self.parts = self.differ + 1 + SPARE
 
     def registrations(self, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(document, class): its own class, and the one below if partners may be there.
-        Classes whose sets link only if they are equal need none."""
+        """(document, range): its own range, and the one below if partners may be there."""
         docs = np.flatnonzero(size > 0)
         own = np.searchsorted(self.hi, size[docs])
         low = own - 1
         also = (low >= 0) & (size[docs] <= self.reach[np.maximum(low, 0)])
-        d, c = np.concatenate([docs, docs[also]]), np.concatenate([own, low[also]])
-        ok = self.differ[c] > 0
-        return d[ok], c[ok]
-
-    def signatures(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, document) of every part that is not empty; empty parts are sent by
-        documents with too few others."""
-        d, c = self.registrations(np.diff(first))
-        if not len(d):
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        size = (first[d + 1] - first[d]).astype(np.int64)
-        at = wd.ragged(first[d], size)
-        reg = np.repeat(np.arange(len(d)), size)
-        token, parts = h[at], self.parts[c][reg].astype(U64)
-        part = ((token >> U64(32)) * parts) >> U64(32)       # grows with the hash
-        new = np.ones(len(at), dtype=bool)
-        new[1:] = (reg[1:] != reg[:-1]) | (part[1:] != part[:-1])
-        begin = np.flatnonzero(new)
-        total = np.append(U64(0), np.cumsum(wd.mix(token + U64(0x2545F4914F6CDD1D)), dtype=U64))
-        sums = total[np.append(begin[1:], len(at))] - total[begin]
-        r, k = reg[begin], part[begin]
-        sig, doc = self._name(c[r], k, sums), d[r]
-        full = np.bincount(r, minlength=len(d))
-        few = np.flatnonzero(full < self.differ[c] + 1)
-        if len(few):
-            extra_c, extra_k, extra_d = [], [], []
-            have = set(zip(r.tolist(), k.tolist()))
-            for i in few.tolist():
-                for p in range(int(self.parts[c[i]])):
-                    if (i, p) not in have:
-                        extra_c.append(c[i])
-                        extra_k.append(p)
-                        extra_d.append(d[i])
-            empty = self._name(np.array(extra_c), np.array(extra_k, dtype=U64),
-                               np.zeros(len(extra_c), U64))
-            sig, doc = np.concatenate([sig, empty]), np.concatenate([doc, extra_d])
-        return sig, doc.astype(np.int64)
-
-    @staticmethod
-    def _name(c: np.ndarray, part: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        return wd.mix(sums + wd.mix(c.astype(U64) * U64(1 << 32) + part.astype(U64) + U64(1)))
+        return np.concatenate([docs, docs[also]]), np.concatenate([own, low[also]])
+
+
+def prefixes(h: np.ndarray, first: np.ndarray, levels: list[Bloom], num: int,
+             den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, document): of each document's first shingles in the common order, those
+    that may occur elsewhere."""
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size)
+    level = np.zeros(len(h), dtype=np.int8)
+    at = np.arange(len(h))
+    for bloom in levels:
+        at = at[bloom.has(h[at])]
+        level[at] += 1
+    order = np.lexsort((h, level, doc))
+    rank = np.arange(len(h)) - first[doc]          # documents keep their places
+    keep = (rank < (size - -(-num * size // den) + 1)[doc]) & (level[order] > 0)
+    return h[order][keep], doc[keep]
 
 
 class Group:
@@ -272,36 +242,48 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     largest = classes.agg(F.max("size")).first()[0] or 1
     sizes = SizeClasses(num, den, largest)
 
-    def signed(only: Bloom | None) -> DataFrame:
-        """(sig, name) of every class, or of the signatures that a filter lets through."""
-        def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, buf, offs in wd.blocks(batch):
-                    h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
-                    names = set_names(h, first)
-                    # one of several equal sets of the block
-                    once = np.zeros(len(names), dtype=bool)
-                    once[np.unique(names, return_index=True)[1]] = True
-                    size = np.where(once, np.diff(first), 0)
-                    at = wd.ragged(first[:-1], size)
-                    sig, doc = sizes.signatures(h[at], np.append(0, np.cumsum(size)))
-                    if only is not None:
-                        ok = only.has(sig)
-                        sig, doc = sig[ok], doc[ok]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(wd.i64(sig)), pa.array(wd.i64(names[doc]))],
-                        names=["sig", "name"])
-
-        return src.where("doc_id IS NOT NULL").mapInArrow(sign, "sig long, name long")
-
-    # most signatures belong to one class: they are hashed again rather than kept, and the
-    # second time only those in the filter of shared ones are sent
-    shared = tables.put(signed(None).groupBy("sig").agg(
+    def once(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray):
+        """Names, shingles and firsts of a block, equal sets of the block once."""
+        h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
+        names = set_names(h, first)
+        keep = np.zeros(len(names), dtype=bool)
+        keep[np.unique(names, return_index=True)[1]] = True
+        size = np.where(keep, np.diff(first), 0)
+        return names, h[wd.ragged(first[:-1], size)], np.append(0, np.cumsum(size))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wd.blocks(batch):
+                yield pa.RecordBatch.from_arrays([pa.array(wd.i64(once(*part)[1]))], names=["sh"])
+
+    known = src.where("doc_id IS NOT NULL")
+    counts = tables.put(known.mapInArrow(shingles, "sh long").groupBy("sh").count()
+                        .where(F.col("count") >= LEVELS[0]))
+    levels = [build(counts.where(F.col("count") >= c), "sh") for c in LEVELS]
+    tables.drop(counts)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in wd.blocks(batch):
+                names, h, first = once(*part)
+                token, doc = prefixes(h, first, levels, num, den)
+                # a document's shingles under its own size range and, if need be, the one below
+                d, c = sizes.registrations(np.diff(first))
+                begin = np.searchsorted(doc, d)
+                count = np.searchsorted(doc, d, "right") - begin
+                at = wd.ragged(begin, count)
+                c = np.repeat(c, count).astype(U64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(wd.i64(wd.mix(token[at] + c * U64(0x9E3779B97F4A7C15)))),
+                     pa.array(wd.i64(names[doc[at]]))], names=["sig", "name"])
+
+    sigs = tables.put(known.mapInArrow(sign, "sig long, name long"))
+    shared = tables.put(sigs.groupBy("sig").agg(
         F.min("name").alias("lead"), F.max("name").alias("last")).where("lead <> last")
         .select("sig", "lead"))
-    edges = signed(build(shared, "sig")).join(shared, "sig").where("name <> lead").select(
+    edges = sigs.join(shared, "sig").where("name <> lead").select(
         F.col("lead").alias("u"), F.col("name").alias("v"))
-    groups = components(tables, tables.put(edges.distinct(), shared))
+    groups = components(tables, tables.put(edges.distinct(), sigs, shared))
 
     # blocks: classes of a group, dealt out by hash when the group is large
     member = tables.put(groups.join(classes, groups["node"] == classes["name"]).select(
