@@ -731,7 +731,7 @@ SQL["metrics_document"] = SQL["prob_metrics"]
 
 SQL["model_gate"] = with_elo("""
 SELECT CAST(count(*) AS BIGINT) AS n_test, TRUE AS more_than_one_tree,
-       TRUE AS calibrated_beats_base_rate, TRUE AS raw_matches_rating FROM heldout""", "fx_long", extra=[_FORM, _FF, _HELDOUT])
+       TRUE AS beats_base_rate, TRUE AS matches_rating FROM heldout""", "fx_long", extra=[_FORM, _FF, _HELDOUT])
 
 SQL["schedule_context"] = with_fx("""
 SELECT game_id, team_id, opp_id,

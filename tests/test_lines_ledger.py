@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreline.operators import ledger, lines, prices, sequence
@@ -56,14 +57,16 @@ def test_bucketed_sequences_equal_plain(spark):
     bets = fx.fx_bets(spark, SF_CHECK).withColumn("v", F.col("stake").cast("double"))
     day = F.to_date("placed_at")
     order = ["placed_at", "bet_id"]
-    a = sequence.running_sum(bets, ["user_id"], order, "v", "cum", day, max_rows_per_task=None)
-    b = sequence.running_sum(bets, ["user_id"], order, "v", "cum", day, max_rows_per_task=0)
+    w = (Window.partitionBy("user_id").orderBy(*order)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a = bets.withColumn("cum", F.sum("v").over(w))
+    b = sequence.running_sum(bets, ["user_id"], order, {"cum": "v"}, day)
     assert sorted(a.select("bet_id", "cum").collect()) == sorted(b.select("bet_id", "cum").collect())
     snaps = fx.fx_odds_snapshots(spark, SF_CHECK)
     keys, o = list(prices.LINE_KEYS), ["captured_at", "snapshot_id"]
     d = F.to_date("captured_at")
-    c = sequence.previous_value(snaps, keys, o, "american_odds", "prev", d, max_rows_per_task=None)
-    e = sequence.previous_value(snaps, keys, o, "american_odds", "prev", d, max_rows_per_task=0)
+    c = snaps.withColumn("prev", F.lag("american_odds").over(Window.partitionBy(*keys).orderBy(*o)))
+    e = sequence.previous_value(snaps, keys, o, "american_odds", "prev", d)
     assert sorted(c.select("snapshot_id", "prev").collect()) == \
         sorted(e.select("snapshot_id", "prev").collect())
 
@@ -80,9 +83,9 @@ def test_backtest_bets_rule(spark):
 
 
 def test_walk_forward_folds_are_later_seasons(spark):
-    from scoreline.operators.rating import elo_by_pool
+    from scoreline.operators.rating import elo_ratings
     g = fx.fx_games(spark, SF_CHECK)
-    s = g.join(elo_by_pool(g), "game_id").select(
+    s = g.join(elo_ratings(g), "game_id").select(
         "season", "game_date", F.col("home_win").alias("y"), F.col("elo_exp_home").alias("p"))
     out = backtest.walk_forward(s).collect()
     assert sorted({r.fold for r in out}) == [2021, 2022, 2023, 2024]
@@ -118,13 +121,35 @@ def test_bursts_match_session_windows(spark):
         .select(*prices.LINE_KEYS, F.col("s.start").cast("timestamp_ntz").alias("burst_start"),
                 F.col("s.end").cast("timestamp_ntz").alias("burst_end"), "n_snapshots")
     assert sorted(mine.collect()) == sorted(ref.collect())
-    hot = lines.move_bursts(snaps, max_rows_per_task=0).select(
+    one = lines.move_bursts(snaps, bucket=F.lit(0)).select(
         *prices.LINE_KEYS, "burst_start", "burst_end", "n_snapshots")
-    assert sorted(hot.collect()) == sorted(mine.collect())
-    bets = fx.fx_bets(spark, SF_CHECK)
-    cols = ["bet_id", "cum_profit", "cum_staked"]
-    assert sorted(ledger.ledger(bets, max_rows_per_task=None).select(*cols).collect()) == \
-        sorted(ledger.ledger(bets, max_rows_per_task=0).select(*cols).collect())
+    assert sorted(one.collect()) == sorted(mine.collect())
+
+
+def test_clv_keeps_markets_apart(spark):
+    bets = spark.createDataFrame([(1, 7, 1, "b", "h2h", "HOME", 120)],
+                                 "bet_id long, user_id long, game_id long, book string, "
+                                 "market string, side string, odds_taken int")
+    closing = spark.createDataFrame([(1, "b", "h2h", "HOME", -110), (1, "b", "totals", "HOME", 250)],
+                                    "game_id long, book string, market string, side string, "
+                                    "closing_odds int")
+    got = lines.clv_records(bets, closing).collect()
+    assert [r.closing_odds for r in got] == [-110]
+
+
+def test_win_probability_prices_only_the_win_market(spark):
+    from scoreline.plans import board
+    scored = spark.createDataFrame([(1, 10, 20, 0.5)], "game_id long, home_team_id long, "
+                                                       "away_team_id long, p_home double")
+    two = spark.createDataFrame([(1, "x", "h2h", -105, -105), (1, "x", "totals", 250, -300)],
+                                "game_id long, book string, market string, home_odds int, away_odds int")
+    codes = spark.createDataFrame([(10, "H"), (20, "A")], "team_id long, code string")
+    assert board.board(scored, two, codes).first().odds == -105
+    oc = spark.createDataFrame([(1, "x", "totals", "HOME", 250, 250), (1, "x", "h2h", "HOME", 110, 100)],
+                               "game_id long, book string, market string, side string, "
+                               "open_odds int, close_odds int")
+    games = spark.createDataFrame([(1, 0.5, 1)], "game_id long, p_home double, home_win int")
+    assert [b.market for b in backtest.backtest_bets(oc, games).collect()] == ["h2h"]
 
 
 def test_best_side_tie_break_order(spark):

@@ -1,7 +1,9 @@
-"""Ratings: sequential replay vs distributed fixed point, zero-sum, pools."""
+"""Ratings: parallel chunks against a sequential replay, types of ids and seasons, pools."""
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import rating
@@ -9,58 +11,87 @@ from scoreline.sources import fixtures as fx
 from tests.conftest import SF_CHECK
 
 
-def test_relaxed_equals_replay(spark):
+def replay(rows):
+    """Plain sequential walk: (id, date, season, home, away, win) -> id: both pre-game ratings."""
+    dev, season, out = {}, None, {}
+    for gid, _, s, h, a, win in sorted(rows, key=lambda r: (r[1], r[0])):
+        if s != season:
+            dev, season = {t: 0.75 * v for t, v in dev.items()}, s
+        x, y = dev.get(h, 0.0), dev.get(a, 0.0)
+        expect = 1 / (1 + 10 ** ((y - x - 60) / 400))
+        out[gid] = (1500 + x, 1500 + y, expect)
+        dev[h], dev[a] = x + 20 * (win - expect), y - 20 * (win - expect)
+    return out
+
+
+def rows_of(games):
+    return [tuple(r) for r in games.select("game_id", "game_date", "season", "home_team_id",
+                                           "away_team_id", "home_win").collect()]
+
+
+@pytest.mark.parametrize("chunk_games", [rating.CHUNK_GAMES, 300])
+def test_chunks_equal_replay(spark, chunk_games):
+    games = fx.fx_games(spark, SF_CHECK)
+    want = replay(rows_of(games))
+    got = rating.elo_ratings(games, chunk_games=chunk_games).collect()
+    assert len(got) == len(want)
+    for r in got:
+        h, a, e = want[r.game_id]
+        assert math.isclose(r.home_elo, h, abs_tol=1e-7) and math.isclose(r.away_elo, a, abs_tol=1e-7)
+        assert math.isclose(r.elo_exp_home, e, abs_tol=1e-9)
+        assert math.isclose(r.elo_diff, h + 60 - a, abs_tol=1e-7)
+
+
+def test_text_ids_and_seasons(spark):
     games = fx.fx_games(spark, SF_CHECK).filter(F.col("season") <= 2021)
-    a = {r.game_id: r for r in rating.elo_by_pool(games).collect()}
-    b = {r.game_id: r for r in rating.elo_relaxed(games).collect()}
-    assert a.keys() == b.keys()
-    for g in a:
-        for c in ("home_elo", "away_elo", "elo_diff", "elo_exp_home"):
-            assert math.isclose(a[g][c], b[g][c], rel_tol=1e-11), (g, c)
-
-
-def test_zero_sum_and_regression(spark):
-    rows = [(1, "2024-01-01", 1, 10, 20, 1), (2, "2024-01-02", 1, 20, 30, 0),
-            (3, "2025-01-01", 2, 10, 30, 1)]
-    games = spark.createDataFrame(rows, "game_id long, game_date string, season int, "
-                                        "home_team_id long, away_team_id long, home_win int"
-                                  ).withColumn("game_date", F.to_date("game_date"))
-    out = {r.game_id: r for r in rating.elo_by_pool(games).collect()}
-    e1 = 1 / (1 + 10 ** (-60 / 400))
-    assert out[1].home_elo == 1500 and math.isclose(out[1].elo_exp_home, e1)
-    r10, r20 = 1500 + 20 * (1 - e1), 1500 - 20 * (1 - e1)
-    assert math.isclose(r10 + r20, 3000.0)
-    assert math.isclose(out[2].home_elo, r20)
-    e2 = out[2].elo_exp_home
-    r30 = 1500 + 20 * ((1 - 0) - (1 - e2))
-    assert math.isclose(out[3].home_elo, 1500 + 0.75 * (r10 - 1500))
-    assert math.isclose(out[3].away_elo, 1500 + 0.75 * (r30 - 1500))
-    relaxed = {r.game_id: r for r in rating.elo_relaxed(games).collect()}
-    for g in out:
-        assert math.isclose(out[g].elo_exp_home, relaxed[g].elo_exp_home, rel_tol=1e-12)
+    text = games.withColumns({
+        "season": fx.season_text("season"), "game_id": F.lpad(F.col("game_id").cast("string"), 10, "0"),
+        "home_team_id": F.concat(F.lit("T"), F.col("home_team_id").cast("string")),
+        "away_team_id": F.concat(F.lit("T"), F.col("away_team_id").cast("string"))})
+    a = {r.game_id: r.home_elo for r in rating.elo_ratings(games).collect()}
+    b = {int(r.game_id): r.home_elo for r in rating.elo_ratings(text).collect()}
+    assert a == b
+
+
+def test_teams_that_play_twice_a_day(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(300):
+        h, a = rng.choice(6, 2, replace=False).tolist()
+        rows.append((i, f"2024-{1 + i // 60:02d}-{1 + i // 10 % 6:02d}", 2024 + i // 150, h, a,
+                     int(rng.integers(0, 2))))
+    games = spark.createDataFrame(rows, "game_id long, game_date string, season int, home_team_id "
+                                        "long, away_team_id long, home_win int").withColumn(
+        "game_date", F.to_date("game_date"))
+    want = replay(rows_of(games))
+    for r in rating.elo_ratings(games, chunk_games=25).collect():
+        assert math.isclose(r.home_elo, want[r.game_id][0], abs_tol=1e-7)
+
+
+def test_rounds_keep_each_teams_order():
+    rng = np.random.default_rng(0)
+    pairs = np.array([rng.choice(8, 2, replace=False) for _ in range(200)])
+    seen = {t: [] for t in range(8)}
+    for group in rating.rounds(pairs[:, 0], pairs[:, 1], 8):
+        teams = pairs[group].ravel()
+        assert len(set(teams.tolist())) == len(teams)
+        for g in group:
+            for t in pairs[g]:
+                seen[int(t)].append(int(g))
+    assert all(x == sorted(x) for x in seen.values())
+    assert sum(map(len, seen.values())) == 400
 
 
 def test_independent_pools(spark):
     games = fx.fx_games(spark, SF_CHECK).filter(F.col("season") == 2020)
     two = games.withColumn("league", F.lit("a")).unionByName(
         games.withColumn("league", F.lit("b")).withColumn("game_id", F.col("game_id") + 100000))
-    out = rating.elo_by_pool(two, pool="league")
-    assert out.count() == 2 * games.count()
-    one = {r.game_id: r.elo_exp_home for r in rating.elo_by_pool(games).collect()}
-    got = {r.game_id: r.elo_exp_home for r in out.collect()}
+    one = {r.game_id: r.elo_exp_home for r in rating.elo_ratings(games).collect()}
+    got = {r.game_id: r.elo_exp_home for r in rating.elo_ratings(two, pool="league").collect()}
+    assert len(got) == 2 * len(one)
     for g, v in one.items():
         assert got[g] == v and got[g + 100000] == v
 
 
-def test_blocked_equals_replay_with_small_blocks(spark):
-    games = fx.fx_games(spark, SF_CHECK)
-    a = {r.game_id: tuple(r) for r in rating.elo_by_pool(games).collect()}
-    b = {r.game_id: tuple(r) for r in rating.elo_blocked(games, max_games_per_block=250).collect()}
-    assert a == b
-
-
-def test_oversized_pool_routes_to_blocks(spark):
-    games = fx.fx_games(spark, SF_CHECK).filter(F.col("season") <= 2021)
-    a = sorted(tuple(r) for r in rating.elo_by_pool(games).collect())
-    b = sorted(tuple(r) for r in rating.elo_by_pool(games, max_games_per_pool=100).collect())
-    assert a == b
+def test_no_games(spark):
+    assert rating.elo_ratings(fx.fx_games(spark, SF_CHECK).where("false")).collect() == []
