@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from scoreline.llm import (decontaminate, jaccard, licenses, neighbours, packing, pii, quality,
                            recompression, toxicity, wordpiece)
+from scoreline.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,4 +98,3 @@ QUERIES: dict[str, Query] = {
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
 }
-ORACLE: dict[str, str] = {}
