@@ -22,6 +22,7 @@ never pairs, so a group of m near copies costs about m rows per task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from scoreline.llm.bloom import Bloom, build
 from scoreline.llm.tables import Tables, components
 
 LEVELS = (2, 8, 64, 512)   # counts at which a shingle's level rises
+PASSES = 4             # shares of the shingles counted one after the other (a power of two)
 BLOCK_DOCS = 1024      # classes of one block
 BLOCK_SHINGLES = 1 << 20
 MU = 0.0085            # DivideSkip's cost ratio of probing to merging
@@ -251,16 +253,22 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
         size = np.where(keep, np.diff(first), 0)
         return names, h[wd.ragged(first[:-1], size)], np.append(0, np.cumsum(size))
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in wd.blocks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(wd.i64(once(*part)[1]))], names=["sh"])
+    def shingles(share: int):
+        """Shingles of one of ``PASSES`` equal shares of the hashes."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in wd.blocks(batch):
+                    h = once(*part)[1]
+                    h = h[(h & U64(PASSES - 1)) == U64(share)]
+                    yield pa.RecordBatch.from_arrays([pa.array(wd.i64(h))], names=["sh"])
+        return run
 
     known = src.where("doc_id IS NOT NULL")
-    counts = tables.put(known.mapInArrow(shingles, "sh long").groupBy("sh").count()
-                        .where(F.col("count") >= LEVELS[0]))
+    counted = [tables.put(known.mapInArrow(shingles(share), "sh long").groupBy("sh").count()
+                          .where(F.col("count") >= LEVELS[0])) for share in range(PASSES)]
+    counts = reduce(DataFrame.unionByName, counted)
     levels = [build(counts.where(F.col("count") >= c), "sh") for c in LEVELS]
-    tables.drop(counts)
+    tables.drop(*counted)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -62,7 +62,9 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    col = col.cast(pa.large_string()).fill_null("")
+    if col.null_count:
+        col = col.fill_null("")
+    col = col.cast(pa.large_string())
     offs = np.frombuffer(col.buffers()[1], dtype=np.int64)[col.offset:col.offset + len(col) + 1]
     data = col.buffers()[2]
     buf = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else \
