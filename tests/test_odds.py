@@ -56,7 +56,7 @@ def test_elo_expectation(spark):
 def test_scale_settings_bounds():
     from scoreline.session import scale_settings
     big = scale_settings(100 * 2 ** 40, 8000)
-    assert big["spark.sql.shuffle.partitions"] == "100000"
+    assert big["spark.sql.shuffle.partitions"] == str(100 * 2 ** 40 // (256 << 20))
     assert big["spark.sql.files.maxPartitionBytes"] == "256m"
     small = scale_settings(40 * 2 ** 20, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
