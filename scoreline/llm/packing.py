@@ -28,7 +28,7 @@ from scoreline.llm import words as wd
 
 CAPACITY = 1024
 SLACK = 1 / 64          # share of a sequence that whole pieces may leave empty
-CACHE_CHUNKS = 1 << 20  # encoded chunks that a worker remembers
+CACHE_CHUNKS = 1 << 19  # encoded chunks that a task remembers
 END_ID = 0
 
 _SPACE = 0x20
@@ -42,7 +42,7 @@ class Encoder:
 
     Byte-level pre-tokens never reach over a place where a single space stands between two
     bytes that are no white space, so texts are cut there and every distinct chunk is
-    encoded once per worker (as long as the bounded memory of chunks holds it).  Unknown
+    encoded once per task (as long as the bounded memory of chunks holds it).  Unknown
     chunks are encoded joined together: the cuts between them are pre-token limits again,
     and as every id of a byte-level vocabulary stands for a fixed number of bytes, the
     running byte count tells which ids belong to which chunk."""
@@ -249,6 +249,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
                 if packer.rows:
                     yield table(packer.rows)
                     packer.rows = []
+        enc._forget()            # the worker lives on
         packer.finish()
         if packer.rows:
             yield table(packer.rows)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20      # text handled at once inside a task
+BLOCK_BYTES = 1 << 20      # text handled at once inside a task
 U64 = np.uint64
 
 # word bytes of the contracts: everything except space and 0x09-0x0D
@@ -87,6 +87,7 @@ def blocks(batch: pa.RecordBatch, text: str = "text",
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
+    pa.default_memory_pool().release_unused()     # workers live on between tasks
 
 
 class Words:
