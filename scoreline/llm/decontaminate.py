@@ -8,6 +8,9 @@ around the hit: a document is contaminated by an item if some stretch of the ali
 reaches ``length`` words (the whole item, if it is shorter) with a share ``identity`` of
 equal words.
 
+Words are compared without regard to case and without punctuation at their edges, on both
+sides; words of punctuation alone do not count as words.
+
 Documents are hashed where they are scanned.  A Bloom filter of the benchmark's hashes
 (fixed number of bits, so its size does not grow with either side) drops places without a
 partner; the stretches of words around the other places are joined by hash, so only they
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm import words as wd
@@ -56,19 +59,25 @@ def _whole(n: int) -> tuple[str, int]:
     return "1" * n, 100 + n
 
 
+def caseless(text: str) -> Column:
+    """A text column in one case: lower, then upper, so that letters with several forms of
+    either case meet.  The empty string keeps the optimizer from dropping the inner step."""
+    return F.upper(F.concat(F.lower(F.col(text).cast("string")), F.lit("")))
+
+
 def benchmark_words(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item, words) of the benchmark."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
-                w = wd.Words(buf, offs)
+                w = wd.BareWords(buf, offs)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(w.first, pa.int32()),
                                                               pa.array(wd.i64(w.hash)))],
                     names=["item", "words"])
 
     src = bench.select(F.col(id_col).cast("long").alias("item"),
-                       F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL")
+                       caseless(text_col).alias("text")).where("item IS NOT NULL")
     return src.mapInArrow(run, "item long, words array<long>").distinct()
 
 
@@ -105,7 +114,7 @@ def stretches(docs: DataFrame, bloom: Bloom, masks: tuple[str, ...], around: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
-                w = wd.Words(buf, offs)
+                w = wd.BareWords(buf, offs)
                 hs, ps = [], []
                 for i, m in enumerate(masks):
                     h, pos = seeds(w.hash, w.counts, m, i)
@@ -201,7 +210,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS,
     sizes = [r[0] for r in items.select(F.size("words").alias("n")).where(
         F.col("n").between(1, SHORTEST - 1)).distinct().collect()]
     src = docs.select(F.col(row_col).cast("long").alias("row"),
-                      F.col(text_col).cast("string").alias("text")).where("row IS NOT NULL")
+                      caseless(text_col).alias("text")).where("row IS NOT NULL")
     parts = tables.put(stretches(src, bloom, masks, around, sorted(sizes))
                        .withColumn("part", F.monotonically_increasing_id()))
     hits = parts.select("part", F.explode(F.arrays_zip("h", "p")).alias("x")).select(

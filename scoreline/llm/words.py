@@ -8,6 +8,7 @@ probability of about 2^-64 per pair.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,7 @@ _CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _POW: dict[int, np.ndarray] = {}
+_PUNCTUATION: np.ndarray | None = None
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -125,6 +127,45 @@ class Words:
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
 
+def _punctuation() -> np.ndarray:
+    """Flag per code point: Unicode punctuation (categories P) and the ASCII symbols."""
+    return np.array([unicodedata.category(chr(c))[0] in ("PS" if c < 0x80 else "P")
+                     for c in range(0x20000)])
+
+
+def inner_bytes(buf: np.ndarray) -> np.ndarray:
+    """Flag per byte of UTF-8 text: part of a character that is not punctuation."""
+    global _PUNCTUATION
+    if _PUNCTUATION is None:
+        _PUNCTUATION = _punctuation()
+    out = ~_PUNCTUATION[:256][buf] | (buf >= 0x80)
+    for lead, size in ((0xC0, 2), (0xE0, 3), (0xF0, 4)):
+        at = np.flatnonzero((buf >= lead) & (buf < (lead | lead >> 1)))
+        at = at[at + size <= len(buf)]
+        code = (buf[at] & (0xFF >> size + 1)).astype(np.int64)
+        for k in range(1, size):
+            code = code << 6 | (buf[at + k] & 0x3F)
+        at = at[_PUNCTUATION[np.minimum(code, len(_PUNCTUATION) - 1)]]
+        for k in range(size):
+            out[at + k] = False
+    return out
+
+
+class BareWords(Words):
+    """Words without punctuation at their edges; words of punctuation alone are none."""
+
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, segment: int = 1 << 20):
+        super().__init__(buf, offs, hashes=False)
+        inner = np.flatnonzero(inner_bytes(buf) & PLAIN[buf])
+        a = np.searchsorted(inner, self.starts)
+        b = np.searchsorted(inner, self.ends)
+        a, b = a[a < b], b[a < b]
+        self.starts, self.ends = inner[a], inner[b - 1] + 1
+        self.first = np.searchsorted(self.starts, offs).astype(np.int64)
+        self.counts = np.diff(self.first)
+        self.hash = names(buf, self.starts, self.ends, segment)
+
+
 def names(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray,
           segment: int = 1 << 20) -> np.ndarray:
     """64-bit names of disjoint, ordered byte ranges.

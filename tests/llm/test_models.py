@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreline.llm import decontaminate, neighbours, quality, tables, toxicity
+from scoreline.llm import decontaminate, neighbours, quality, tables, toxicity, words
 from tests.conftest import SF_CHECK
 
 
@@ -135,6 +135,32 @@ def test_decontamination_finds_substituted_passages(spark):
     assert decontaminate.overlaps(df, bench.where("false")).collect() == []
 
 
+def test_decontamination_ignores_case_and_edge_punctuation(spark):
+    items = ["La éai éonleeau pour an éonqueê aivi ai éenaitreoiaux Straße ὀδός dans le fond noir",
+             "don't stop at the third sign, turn left (by the old mill) and walk on", "forty two"]
+    upper, marked = items[0].upper(), "«" + items[1].replace(" ", "… — “") + "”!"
+    docs = ["vor " + upper + " NACH", "so: " + marked + " indeed", "the answer is **Forty-** TWO.",
+            "the answer is forty-two", "-- ... !", "", items[0].replace(" ", " , ")]
+    bench = spark.createDataFrame([*enumerate(items), (7, "?!"), (8, "")], "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r.row, r.item_id): (r.n_words, r.n_equal) for r in decontaminate.overlaps(df, bench).collect()}
+    n = [len(x.split()) for x in items]
+    assert got == {(0, 0): (n[0], n[0]), (1, 1): (n[1], n[1]), (2, 2): (2, 2), (6, 0): (n[0], n[0])}
+    kept = decontaminate.remove_contaminated(df, bench)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+
+
+def test_bare_words():
+    texts = ["«Ça» va, don’t… (x-y) — 'q' _a_ 漢字。", "!?", "", "plain", "＂é＂ 😀 a."]
+    raw = [t.encode() for t in texts]
+    buf = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    w = words.BareWords(buf, np.append(0, np.cumsum([len(x) for x in raw])))
+    got = [buf[a:b].tobytes().decode() for a, b in zip(w.starts, w.ends)]
+    assert got == ["Ça", "va", "don’t", "x-y", "q", "a", "漢字", "plain", "é", "😀", "a"]
+    assert w.counts.tolist() == [7, 0, 0, 1, 3]
+    assert w.hash[0] == words.word_hash("Ça")[0]
+
+
 def exact_neighbours(rows, k):
     ids = np.array([r[0] for r in rows])
     v = np.array([r[1] for r in rows], dtype=float)
