@@ -32,10 +32,11 @@ class Bloom:
         return (self.words[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1)
 
 
-def build(keys: DataFrame, column: str, max_bits: int = MAX_BITS) -> Bloom:
+def build(keys: DataFrame, column: str, max_bits: int = MAX_BITS,
+          per_key: int = PER_KEY) -> Bloom:
     """Filter of a column of 64-bit hashes."""
     n, bits = keys.count(), MIN_BITS
-    while bits < min(PER_KEY * n, max_bits):
+    while bits < min(per_key * n, max_bits):
         bits *= 2
     at = F.explode(F.array(F.col(column).bitwiseAND(bits - 1),
                            F.shiftrightunsigned(column, 32).bitwiseAND(bits - 1)))

@@ -3,7 +3,7 @@
 A mask marks the word positions of a window that count (1) and that are ignored (0).
 Every place of a benchmark item and of a document is hashed under each mask; equal hashes
 propose an alignment even where ignored words differ, so a substituted word spoils only
-the masks and places that look at it.  Proposed alignments are verified word by word
+the masks and places that look at it; the masks are chosen so that some place is left.  Proposed alignments are verified word by word
 around the hit: a document is contaminated by an item if some stretch of the alignment
 reaches ``length`` words (the whole item, if it is shorter) with a share ``identity`` of
 equal words.
@@ -23,18 +23,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreline.llm import words as wd
 from scoreline.llm.bloom import MAX_BITS, Bloom, build
 from scoreline.llm.tables import Tables
 
-# fixed masks: 8 counted words in spans of 8 to 14 words
-MASKS = ("11111111", "1101011011011", "11101001101011", "10110111001011")
+# fixed masks by least words of the item.  Whatever words the rule lets differ (2 of 8, 3 of
+# 12, 3 of 13), some mask at some place looks at none of them, so no stretch that the rule
+# accepts is missed (the tests enumerate all patterns).
+MASKS = {
+    8: ("11011", "11000011", "10100101"),
+    12: ("110111", "110001011", "11010011", "10001100011"),
+    13: ("1111011", "1101000111", "11011101", "111000010011", "11001111"),
+}
 LENGTH = 13              # words of the shortest verified stretch
 IDENTITY = 0.75          # share of equal words in it
 SHORTEST = 8             # items with fewer words are compared as a whole, exactly
+PER_KEY = 256            # bits of the Bloom filter per seed: few places of a text pass by chance
 AROUND = 64              # words kept on either side of a hit, at least
 U64 = np.uint64
 
@@ -54,15 +61,12 @@ def seeds(names: np.ndarray, counts: np.ndarray, mask: str, salt: int) -> tuple[
     return wd.mix(h[pos]), pos
 
 
-def _whole(n: int) -> tuple[str, int]:
-    """Mask and salt for items of ``n`` words, fewer than the masks need."""
-    return "1" * n, 100 + n
-
-
-def caseless(text: str) -> Column:
-    """A text column in one case: lower, then upper, so that letters with several forms of
-    either case meet.  The empty string keeps the optimizer from dropping the inner step."""
-    return F.upper(F.concat(F.lower(F.col(text).cast("string")), F.lit("")))
+def chosen(n: int, masks: dict[int, tuple[str, ...]] = MASKS) -> list[tuple[str, int]]:
+    """Masks and salts for items of ``n`` words; the whole length for the shortest items."""
+    if n < SHORTEST:
+        return [("1" * n, 100 + n)]
+    least = max(k for k in masks if k <= n)
+    return [(mask, 1000 * least + i) for i, mask in enumerate(masks[least])]
 
 
 def benchmark_words(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,31 +74,30 @@ def benchmark_words(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
-                w = wd.BareWords(buf, offs)
+                w = wd.BareWords(*wd.caseless(buf, offs))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(pa.array(w.first, pa.int32()),
                                                               pa.array(wd.i64(w.hash)))],
                     names=["item", "words"])
 
     src = bench.select(F.col(id_col).cast("long").alias("item"),
-                       caseless(text_col).alias("text")).where("item IS NOT NULL")
+                       F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL")
     return src.mapInArrow(run, "item long, words array<long>").distinct()
 
 
-def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
-    """(h, item, pos) of every item under every mask; short items under their whole length."""
+def benchmark_seeds(items: DataFrame, masks: dict[int, tuple[str, ...]]) -> DataFrame:
+    """(h, item, pos) of every item under every mask of its length."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             first = lists.offsets.to_numpy().astype(np.int64)
             names, first = lists.flatten().to_numpy().view(U64), first - first[0]
             counts = np.diff(first)
-            for i, mask in enumerate(masks):
-                yield rows(batch, first, *seeds(names, counts, mask, i))
-            for n in range(1, SHORTEST):
-                if (counts == n).any():
-                    h, pos = seeds(names, counts, *_whole(n))
-                    at = counts[np.searchsorted(first, pos, "right") - 1] == n
+            kind = np.minimum(counts, max(masks))
+            for n in np.unique(kind[kind > 0]).tolist():
+                for mask, salt in chosen(n, masks):
+                    h, pos = seeds(names, counts, mask, salt)
+                    at = kind[np.searchsorted(first, pos, "right") - 1] == n
                     yield rows(batch, first, h[at], pos[at])
 
     def rows(batch: pa.RecordBatch, first: np.ndarray, h: np.ndarray, pos: np.ndarray):
@@ -106,23 +109,18 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return items.mapInArrow(run, "h long, item long, pos long").distinct()
 
 
-def stretches(docs: DataFrame, bloom: Bloom, masks: tuple[str, ...], around: int,
-              short_sizes: list[int]) -> DataFrame:
+def stretches(docs: DataFrame, bloom: Bloom, masks: list[tuple[str, int]],
+              around: int) -> DataFrame:
     """(row, segment, first, words, seeds, places) of the parts of documents around hits.
 
-    ``docs`` has row and text.  Hits closer than twice ``around`` share a stretch."""
+    ``docs`` has row and text; ``masks`` come with their salts.  Hits closer than twice ``around`` share a stretch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
-                w = wd.BareWords(buf, offs)
-                hs, ps = [], []
-                for i, m in enumerate(masks):
-                    h, pos = seeds(w.hash, w.counts, m, i)
-                    at = bloom.has(h)
-                    hs.append(h[at])
-                    ps.append(pos[at])
-                for n in short_sizes:
-                    h, pos = seeds(w.hash, w.counts, *_whole(n))
+                w = wd.BareWords(*wd.caseless(buf, offs))
+                hs, ps = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+                for mask, salt in masks:
+                    h, pos = seeds(w.hash, w.counts, mask, salt)
                     at = bloom.has(h)
                     hs.append(h[at])
                     ps.append(pos[at])
@@ -192,7 +190,7 @@ def _verify(length: int, identity: float):
     return run
 
 
-def overlaps(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS,
+def overlaps(docs: DataFrame, bench: DataFrame, masks: dict[int, tuple[str, ...]] = MASKS,
              length: int = LENGTH, identity: float = IDENTITY, around: int = AROUND,
              bits: int = MAX_BITS, row_col: str = "doc_id", text_col: str = "text",
              item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -200,18 +198,20 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks: tuple[str, ...] = MASKS,
 
     ``row_col`` (a long) names the rows of ``docs``.  Rows with a null name, and null or
     empty texts and items, match nothing; items and rows that share a name (repeated rows)
-    count together; empty tables give an empty result; other columns are not read.
+    count together; empty tables give an empty result; other columns are not read.  The
+    default masks find every stretch of the default rule; other rules need other masks.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "decontaminate")
     items = tables.put(benchmark_words(bench, item_col, item_text))
     seed = tables.put(benchmark_seeds(items, masks))
-    bloom = build(seed, "h", bits)
-    sizes = [r[0] for r in items.select(F.size("words").alias("n")).where(
-        F.col("n").between(1, SHORTEST - 1)).distinct().collect()]
+    bloom = build(seed, "h", bits, PER_KEY)
+    sizes = [r[0] for r in items.select(F.least(F.size("words"), F.lit(max(masks))).alias("n"))
+             .where("n > 0").distinct().collect()]
+    used = sorted({m for n in sizes for m in chosen(n, masks)})
     src = docs.select(F.col(row_col).cast("long").alias("row"),
-                      caseless(text_col).alias("text")).where("row IS NOT NULL")
-    parts = tables.put(stretches(src, bloom, masks, around, sorted(sizes))
+                      F.col(text_col).cast("string").alias("text")).where("row IS NOT NULL")
+    parts = tables.put(stretches(src, bloom, used, around)
                        .withColumn("part", F.monotonically_increasing_id()))
     hits = parts.select("part", F.explode(F.arrays_zip("h", "p")).alias("x")).select(
         "part", F.col("x.h").alias("h"), F.col("x.p").alias("p"))

@@ -151,6 +151,17 @@ def inner_bytes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def caseless(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts of a block in one case: upper first, so that letters with several lower forms
+    meet, then folded (Unicode); bytes that are not UTF-8 count as U+FFFD."""
+    raw, at = buf.tobytes(), offs.tolist()
+    texts = [raw[a:b] for a, b in zip(at, at[1:])]
+    texts = [t.lower() if t.isascii() else
+             t.decode(errors="replace").upper().casefold().encode() for t in texts]
+    return (np.frombuffer(b"".join(texts), dtype=np.uint8),
+            np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64)))
+
+
 class BareWords(Words):
     """Words without punctuation at their edges; words of punctuation alone are none."""
 

@@ -1,6 +1,8 @@
 """Classifiers, decontamination, vector search, components and the pipeline."""
 
+import math
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -150,6 +152,45 @@ def test_decontamination_ignores_case_and_edge_punctuation(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
 
 
+def changes(n):
+    """Every pattern of as many changed places as the rule allows in n words."""
+    return list(combinations(range(n), n - math.ceil(decontaminate.IDENTITY * n)))
+
+
+def test_masks_leave_a_place_in_every_pattern():
+    assert max(decontaminate.MASKS) == decontaminate.LENGTH
+    for n in range(decontaminate.SHORTEST, decontaminate.LENGTH + 1):
+        places = [{p + k for k, bit in enumerate(mask) if bit == "1"}
+                  for mask, _ in decontaminate.chosen(n) for p in range(n - len(mask) + 1)]
+        for bad in changes(n):
+            assert any(place.isdisjoint(bad) for place in places), (n, bad)
+
+
+def test_decontamination_finds_every_allowed_pattern(spark):
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (8, 9, 10, 11, 12, 13, 14, 16, 20, 40)}
+    rng, docs, want = random.Random(8), [], set()
+
+    def add(n, bad):
+        x = [f"c{k}" if k in bad else w for k, w in enumerate(items[n])]
+        if overlap(items[n], x, decontaminate.LENGTH, decontaminate.IDENTITY):
+            want.add((len(docs), n))
+        docs.append((len(docs), " ".join(["before", "it", *x, "after"])))
+    for n in (8, 12, 13):
+        for bad in changes(n):
+            add(n, bad)
+            if n == 8:
+                add(n, [*bad, next(k for k in range(n) if k not in bad)])     # one too many
+    for n in items:
+        for _ in range(20):
+            add(n, rng.sample(range(n), n // 4))
+        add(n, range(3, n, 4))
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()],
+                                  "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.row, r.item_id) for r in decontaminate.overlaps(df, bench).collect()} == want
+    assert len(want) < len(docs)
+
+
 def test_bare_words():
     texts = ["«Ça» va, don’t… (x-y) — 'q' _a_ 漢字。", "!?", "", "plain", "＂é＂ 😀 a."]
     raw = [t.encode() for t in texts]
