@@ -9,16 +9,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton steps on rows of ``x`` (a constant column is added last); the weights."""
+def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, rounds: int = 50,
+              weight: np.ndarray | None = None) -> np.ndarray:
+    """Newton steps on rows of ``x`` (a constant column is added last); the weights.
+
+    ``weight``: what each row counts for, relative to the others (default: the same)."""
+    c = np.ones(len(x)) if weight is None else weight / weight.mean()
     a = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(a.shape[1])
     ridge = np.full(a.shape[1], l2 * max(1, len(x)) / 100)
     ridge[-1] = 1e-6
     for _ in range(rounds):
         p = sigmoid(a @ w)
-        g = a.T @ (p - y) + ridge * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
+        g = a.T @ (c * (p - y)) + ridge * w
+        h = (a * (c * p * (1 - p))[:, None]).T @ a + np.diag(ridge + 1e-9)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:

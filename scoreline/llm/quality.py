@@ -10,7 +10,8 @@ global rate.  A document's score is
 
     logit(score) = logit(p) - logit(global rate) + logit(rate of its path without itself)
 
-The fit uses a bounded sample of labelled rows; every site count covers all rows.
+The fit uses a bounded sample of labelled rows, weighed back to the class ratio of all labelled
+rows; every site count covers all rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from scoreline.llm import words as wd
 from scoreline.llm.linear import fit_dense, sigmoid
 from scoreline.llm.tables import Tables
-from scoreline.llm.toxicity import sample_ids
+from scoreline.llm.toxicity import labelled, sample_ids
 
 MAX_GOOD, MAX_BAD = 10_000, 10_000    # bound of the training sample
 THRESHOLD = 0.5
@@ -116,11 +117,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``max_good`` + ``max_bad`` labelled rows (ids chosen by a hash).
 
-    Classes weigh equally through the sample, not through the prior: the sites' rates carry
-    the prior.  Without rows of both labels every text gets the (smoothed) share of good."""
+    A row weighs as many labelled ids as it stands for in its class, so the caps change neither
+    the class ratio nor, beyond the noise of the sample, the decisions.  Without rows of both labels every text gets the (smoothed) share of good."""
     spark = docs.sparkSession
     tables = Tables(spark, "quality-train")
     ids = tables.put(sample_ids(labels, label, max_good, max_bad))
+    total = {r["y"]: r["count"] for r in labelled(labels, label).groupBy("y").count().collect()}
+    stands_for = [max(1.0, total.get(k, 0) / max(1, cap)) for k, cap in enumerate((max_bad, max_good))]
 
     @F.arrow_udf("array<double>")
     def feats(col: pa.Array) -> pa.Array:
@@ -137,12 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
     y = rows["y"].to_numpy().astype(np.float64)
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(NAMES)) if len(y) else \
         np.zeros((0, len(NAMES)))
+    weight = np.where(y > 0.5, stands_for[1], stands_for[0])
     if not len(y) or y.min() == y.max():
         w = np.zeros(len(NAMES) + 1)
-        w[-1] = np.log((y.sum() + 1) / ((1 - y).sum() + 1))
+        w[-1] = np.log(((weight * y).sum() + 1) / ((weight * (1 - y)).sum() + 1))
         return Model(np.zeros(len(NAMES)), np.ones(len(NAMES)), w)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
-    return Model(mean, scale, fit_dense((x - mean) / scale, y))
+    mean = np.average(x, 0, weight)
+    scale = np.sqrt(np.average((x - mean) ** 2, 0, weight)) + 1e-3
+    return Model(mean, scale, fit_dense((x - mean) / scale, y, weight=weight))
 
 
 def _logit(c: Column | str) -> Column:

@@ -95,14 +95,19 @@ def _counts(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where(F.col("n") >= MIN_DOCS)
 
 
-def sample_ids(labels: DataFrame, label: str, max_toxic: int, max_other: int,
-               where: F.Column | None = None) -> DataFrame:
-    """At most ``max_toxic`` + ``max_other`` ids (doc_id, y), chosen by a hash of the id."""
+def labelled(labels: DataFrame, label: str, where: F.Column | None = None) -> DataFrame:
+    """(doc_id, y) of every labelled id, once."""
     one = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("y"))
     one = one.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if where is not None:
         one = one.where(where)
-    one = one.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    return one.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+
+
+def sample_ids(labels: DataFrame, label: str, max_toxic: int, max_other: int,
+               where: F.Column | None = None) -> DataFrame:
+    """At most ``max_toxic`` + ``max_other`` ids (doc_id, y), chosen by a hash of the id."""
+    one = labelled(labels, label, where)
     order = F.xxhash64(F.col("doc_id"), F.lit(7))
     return (one.where("y = 1").orderBy(order, "doc_id").limit(max_toxic)
             .unionByName(one.where("y = 0").orderBy(order, "doc_id").limit(max_other)))

@@ -72,6 +72,27 @@ def test_quality_combines_evidence_and_sites(labelled):
     assert quality.assess(docs.where("false"), model, docs["source"], docs["lang"]).count() == 0
 
 
+def test_quality_decides_alike_at_every_cap(spark):
+    rng = np.random.default_rng(6)
+    rows, labels = [], []
+    for i in range(7000):
+        good = i % 7 > 0
+        up = rng.random(30) < (0.3 if good else 0.45)
+        rows.append((i, " ".join("WORD" if u else "word" for u in up), "host", "en"))
+        labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def assessed(**caps):
+        model = quality.train(docs, marks, **caps)
+        return {r.doc_id: r for r in quality.assess(docs, model, docs["source"], docs["lang"]).collect()}
+    whole = assessed()
+    for caps in ({"max_good": 1000}, {"max_good": 800, "max_bad": 800}):
+        got = assessed(**caps)
+        assert np.mean([got[i].keep == r.keep for i, r in whole.items()]) > 0.97
+        assert abs(np.mean([got[i].p - r.p for i, r in whole.items()])) < 0.02
+
+
 def test_sparse_sites_shrink_to_their_prior(spark):
     rows = [("a", "x", 0.9)] * 200 + [("a", "y", 0.1)] + [("b", "x", 0.2)] * 200 + [("c", "x", 0.1)]
     scored = spark.createDataFrame(rows, "host string, path string, p double")
