@@ -7,7 +7,8 @@ phrases are templates too, so a phrase stands at a place when the current run is
 least as long and its state lies below the phrase's state in the suffix-link tree.  Runs
 that cannot be extended are maximal matches; matches that go on in the same template (in
 order, with few words between) are chained into a span, and the share of the template's
-words that the span covers is its score.
+words that the span covers is its score.  Words that tell look-alikes apart (``MARKS``) must
+match, and none that the template lacks may stand between chained matches.
 """
 
 from __future__ import annotations
@@ -45,7 +46,37 @@ TEMPLATES = {
     "cc-by-creative-commons": "this work is licensed under a creative commons attribution 4 0 "
                               "international license",
     "all-rights-reserved": "all rights reserved",
+    "gpl-2.0": "this program is free software you can redistribute it and or modify it under the "
+               "terms of the gnu general public license as published by the free software "
+               "foundation either version 2 of the license or any later version",
+    "lgpl-2.0": "is free software you can redistribute it and or modify it under the terms of the "
+                "gnu library general public license as published by the free software foundation "
+                "either version 2 of the license or any later version",
+    "lgpl-2.1": "is free software you can redistribute it and or modify it under the terms of the "
+                "gnu lesser general public license as published by the free software foundation "
+                "either version 2 1 of the license or any later version",
+    "lgpl-3.0": "is free software you can redistribute it and or modify it under the terms of the "
+                "gnu lesser general public license as published by the free software foundation "
+                "either version 3 of the license or any later version",
+    "agpl-3.0": "is free software you can redistribute it and or modify it under the terms of the "
+                "gnu affero general public license as published by the free software foundation "
+                "either version 3 of the license or any later version",
+    "bsd-2-clause": "licensed under the bsd 2 clause license",
+    "bsd-3-clause": "licensed under the bsd 3 clause license",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or "
+           "without fee is hereby granted provided that the above copyright notice and this "
+           "permission notice appear in all copies",
+    "cc-by-nd-4.0": "licensed under cc by nd 4 0",
+    "cc-by-nc-sa-4.0": "licensed under cc by nc sa 4 0",
+    "cc-by-nc-nd-4.0": "licensed under cc by nc nd 4 0",
+    **{f"cc-by-{short}-creative-commons": "this work is licensed under a creative commons "
+       f"attribution {long} 4 0 international license" for short, long in (
+           ("sa", "sharealike"), ("nc", "noncommercial"), ("nd", "noderivatives"),
+           ("nc-sa", "noncommercial sharealike"), ("nc-nd", "noncommercial noderivatives"))},
 }
+# words that tell one licence of a family from another
+MARKS = ("lesser library affero sa nc nd sharealike alike noncommercial commercial noderivatives "
+         "noderivs derivatives derivs 0 1 2 3 4 5 6 7 8 9")
 MIN_MATCH = 2        # words of a match that counts for a span
 MAX_GAP = 6          # words of text or template between chained matches
 MIN_COVER = 0.8      # covered share of a template for its label
@@ -121,9 +152,15 @@ class Scanner:
         self.min_match, self.max_gap, self.min_cover = min_match, max_gap, min_cover
         self.labels = list(templates)
         texts = [wd.word_hash(t, wd.ALNUM, lower=True) for t in [*templates.values(), *phrases]]
-        self.vocab = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.uint64)
+        marks = wd.word_hash(MARKS, wd.ALNUM, lower=True)
+        self.vocab = np.unique(np.concatenate([*texts, marks]))
         ids = [np.searchsorted(self.vocab, t).tolist() for t in texts]
         self.sizes = [len(t) for t in ids]
+        marks = set(np.searchsorted(self.vocab, marks).tolist())
+        #: per template: its marks up to each place, and the marks that it lacks
+        self.marked = [np.append(0, np.cumsum([c in marks for c in t])).tolist()
+                       for t in ids[:len(templates)]]
+        self.foreign = [marks - set(t) if m[-1] else set() for t, m in zip(ids, self.marked)]
         self.sam = Automaton(ids)
         pairs = {(a, b) for t in ids for a, b in zip(t, t[1:])}
         n = len(self.vocab)
@@ -178,22 +215,27 @@ class Scanner:
         templates, each is looked up for every template that holds it."""
         out = []
         for t, label in enumerate(self.labels):
-            places = []
+            longest: dict[tuple[int, int], int] = {}    # a match may cut another's piece short
             for at, _, _, n in matches:
                 for k, m in self._in(t, tuple(ids[at:at + n].tolist())):
-                    places.append((at + k[0], k[1], m))
-            places.sort()
-            chains: list[list[int]] = []    # [text end, template end, covered, first word]
-            for at, place, n in places:
+                    key = (at + k[0], k[1])
+                    longest[key] = max(m, longest.get(key, 0))
+            marked, foreign = self.marked[t], self.foreign[t]
+            # [text end, template end, covered, first word, marks covered]
+            chains: list[list[int]] = []
+            for (at, place), n in sorted(longest.items()):
                 best = None
                 for c in chains:
                     if 0 <= at - c[0] <= self.max_gap and 0 <= place - c[1] <= self.max_gap and (
-                            best is None or c[2] > best[2]):
+                            best is None or c[2] > best[2]) and (
+                            not foreign or foreign.isdisjoint(ids[c[0]:at].tolist())):
                         best = c
+                seen = marked[place + n] - marked[place]
                 if best is not None:
                     best[0], best[1], best[2] = at + n, place + n, best[2] + n
+                    best[4] += seen
                 else:
-                    chains.append([at + n, place + n, n, at])
+                    chains.append([at + n, place + n, n, at, seen])
                 if len(chains) > 64:        # chains that no later match can reach are settled
                     out += self._settle(label, t, [c for c in chains if at - c[0] > self.max_gap])
                     chains = [c for c in chains if at - c[0] <= self.max_gap]
@@ -211,7 +253,7 @@ class Scanner:
 
     def _settle(self, label: str, t: int, chains: list[list[int]]) -> list[tuple]:
         return [(label, c[3], c[0] - 1, c[2] / self.sizes[t]) for c in chains
-                if c[2] >= self.min_cover * self.sizes[t]]
+                if c[2] >= self.min_cover * self.sizes[t] and c[4] == self.marked[t][-1]]
 
     def _in(self, t: int, run: tuple[int, ...]) -> list[tuple[tuple[int, int], int]]:
         """Maximal pieces of ``run`` in template t: ((offset in run, place), words)."""

@@ -140,6 +140,49 @@ def test_licences(spark):
     assert got[4].labels == "all-rights-reserved" and got[7].labels == ""
 
 
+GNU = ("This {} is free software; you can redistribute it and/or modify it under the terms of the "
+       "GNU {} Public License as published by the Free Software Foundation; either version {} of "
+       "the License, or (at your option) any later version.")
+COMMONS = "This work is licensed under a Creative Commons Attribution{} {}.0 International License."
+LOOK_ALIKES = [
+    (GNU.format("program", "General", "3"), {"gpl-3.0"}),
+    (GNU.format("program", "General", "2"), {"gpl-2.0"}),
+    (GNU.format("library", "General", "2"), {"gpl-2.0"}),
+    (GNU.format("library", "Library General", "2"), {"lgpl-2.0"}),
+    (GNU.format("library", "Lesser General", "2.1"), {"lgpl-2.1"}),
+    (GNU.format("program", "Lesser General", "3"), {"lgpl-3.0"}),
+    (GNU.format("program", "Affero General", "3"), {"agpl-3.0"}),
+    (GNU.format("program", "General", "1"), set()),
+    *[(f"Licensed under CC {x.upper()} 4.0.", {f"cc-{x}-4.0"}) for x in
+      ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")],
+    ("Licensed under the CC BY license, version 4.0.", {"cc-by-4.0"}),
+    ("Licensed under CC BY 3.0.", set()), ("Licensed under CC BY-SA 3.0.", set()),
+    (COMMONS.format("", 4), {"cc-by-creative-commons"}), (COMMONS.format("", 3), set()),
+    *[(COMMONS.format(y, 4), {f"cc-by-{x}-creative-commons"}) for x, y in (
+        ("sa", "-ShareAlike"), ("nc", "-NonCommercial"), ("nd", "-NoDerivatives"),
+        ("nc-sa", "-NonCommercial-ShareAlike"), ("nc-nd", "-NonCommercial-NoDerivatives"))],
+    (COMMONS.format("-NonCommercial-NoDerivs", 4), set()),
+    ("Licensed under the Apache License, Version 2.0, January 2004; you may not use this file "
+     "except in compliance with the License.", {"apache-2.0"}),
+    ("Licensed under the Apache License, Version 1.1; you may not use this file except in "
+     "compliance with the License.", set()),
+    ("Licensed under the BSD 2-Clause License", {"bsd-2-clause"}),
+    ("Licensed under the BSD 3-Clause License", {"bsd-3-clause"}),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+     "without fee is hereby granted, provided that the above copyright notice and this permission "
+     "notice appear in all copies.", {"isc"}),
+]
+
+
+def test_look_alike_licences(spark):
+    rows = [(i, f"Some words before. {t} And after.") for i, (t, _) in enumerate(LOOK_ALIKES)]
+    rows += [(1000 + i, t) for i, t in enumerate(licenses.TEMPLATES.values())]
+    got = {r.doc_id: {s.label for s in r.spans} for r in licenses.scan(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(LOOK_ALIKES))] == [x for _, x in LOOK_ALIKES]
+    assert [got[1000 + i] for i in range(len(licenses.TEMPLATES))] == [{x} for x in licenses.TEMPLATES]
+
+
 def test_automaton_knows_every_run():
     texts = [[0, 1, 2, 0, 1, 3], [1, 2, 2, 0], [3, 3, 3]]
     sam = licenses.Automaton(texts)
