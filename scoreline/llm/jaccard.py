@@ -339,18 +339,33 @@ def keep_one(docs: DataFrame, n: int, num: int, den: int, lower: bool = True,
     """Rows of ``docs``, with all their columns, without the near copies of a smaller id.
 
     One row of each component stays: the one with the smallest id (one of them, if the row
-    is repeated).  Rows without words or with a null id stay."""
+    is repeated).  Rows that share an id but not their text are told apart, each decided by
+    its own text.  Rows without words or with a null id stay."""
     tables = Tables(docs.sparkSession, "keep-one")
-    found = near_duplicates(docs, n, num, den, lower, id_col, text_col)
-    gone = tables.put(found.where("component_id < doc_id").select(
-        F.col("doc_id").alias("_gone")).distinct())
     key = F.col(f"`{id_col}`").cast("long")
-    left = docs.join(gone, key == F.col("_gone"), "left_anti")
-    # repeated ids (copies of one row): one row stays; ids that occur once need no shuffle
-    again = tables.put(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id")
-                       .count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    again = tables.put(docs.select(key.alias("_again")).where("_again IS NOT NULL")
+                       .groupBy("_again").count().where("count > 1").select("_again"))
     if not again.limit(1).count():
-        return left
-    once = left.join(again, key == F.col("_again"), "left_anti")
-    twice = left.join(again, key == F.col("_again"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(twice)
+        found = near_duplicates(docs, n, num, den, lower, id_col, text_col)
+        gone = tables.put(found.where("component_id < doc_id").select(
+            F.col("doc_id").alias("_gone")).distinct())
+        return docs.join(gone, key == F.col("_gone"), "left_anti")
+    # repeated ids: rows named by id and text, so copies of one row share a name
+    own = F.xxhash64(key, F.col(f"`{text_col}`").cast("string"))
+    named = docs.join(again, key == F.col("_again"), "left").withColumn(
+        "_key", F.when(F.col("_again").isNotNull(), own).otherwise(key))
+    found = tables.put(near_duplicates(named, n, num, den, lower, "_key", text_col)
+                       .where("doc_id IS NOT NULL AND n_shingles > 0")
+                       .select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    member = found.join(named.select("_key", key.alias("_id")).distinct(), "_key").select(
+        "_key", "component_id", F.struct("_id", "_key").alias("rank"))
+    kept = member.groupBy("component_id").agg(F.min("rank").alias("first"))
+    gone = tables.put(member.join(kept, "component_id").where("rank <> first").select(
+        F.col("_key").alias("_gone")))
+    left = named.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
+    words = found.select(F.col("_key").alias("_word"))
+    copies = F.col("_again").isNotNull() & F.col("_word").isNotNull()
+    left = left.join(words, F.col("_key") == F.col("_word"), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return left.where(~copies).select(columns).unionByName(
+        left.where(copies).dropDuplicates(["_key"]).select(columns))

@@ -65,6 +65,18 @@ def test_keep_one_keeps_one_row_per_group(spark, documents, corpus):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_keep_one_tells_rows_of_one_id_apart(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(20)) for c in "abcd"}
+    near = text["a"].replace("a19", "other")
+    rows = [(3, text["a"]), (5, near), (5, text["b"]), (5, ""), (5, ""), (5, text["b"]),
+            (7, text["c"]), (8, text["c"]), (9, text["d"]), (9, text["b"]), (None, text["b"])]
+    for use in (rows, rows[::-1]):
+        df = spark.createDataFrame(use, "doc_id long, text string")
+        got = sorted(((r.doc_id or 0), r.text) for r in jaccard.keep_one(df, 5, 80, 100).collect())
+        assert got == sorted([(0, text["b"]), (3, text["a"]), (5, text["b"]), (5, ""), (5, ""),
+                              (7, text["c"]), (9, text["d"])])
+
+
 def test_divide_skip_counts_like_merging():
     rng = np.random.default_rng(0)
     base = rng.choice(10_000, 300, replace=False)
