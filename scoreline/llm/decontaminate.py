@@ -41,6 +41,7 @@ MASKS = {
 LENGTH = 13              # words of the shortest verified stretch
 IDENTITY = 0.75          # share of equal words in it
 SHORTEST = 8             # items with fewer words are compared as a whole, exactly
+LEAST = 3                # words of the shortest item that removes a longer text
 PER_KEY = 256            # bits of the Bloom filter per seed: few places of a text pass by chance
 AROUND = 64              # words kept on either side of a hit, at least
 U64 = np.uint64
@@ -227,13 +228,32 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks: dict[int, tuple[str, ...]
         "row", "item_id", F.col("x.n").alias("n_words"), F.col("x.equal").alias("n_equal"))
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, words) of every row."""
+    for batch in batches:
+        for part, buf, offs in wd.blocks(batch):
+            w = wd.BareWords(*wd.caseless(buf, offs))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.counts, pa.int64())],
+                                             names=["row", "size"])
+
+
 def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
-                        text_col: str = "text", **kw) -> DataFrame:
+                        text_col: str = "text", least: int = LEAST, **kw) -> DataFrame:
     """Rows of ``docs`` without a verified overlap with any item, with all their columns.
 
-    Decided per id: rows with one id share the decision; rows with a null id are compared
-    under no name and stay."""
+    Items of fewer than ``least`` words (a bare answer) count only if they are the whole
+    text; ``overlaps`` reports them wherever they stand.  Decided per id: rows with one id
+    share the decision; rows with a null id are compared under no name and stay."""
     tables = Tables(docs.sparkSession, "decontaminated")
-    bad = tables.put(overlaps(docs, bench, row_col=id_col, text_col=text_col, **kw)
-                     .select(F.col("row").alias("_bad")).distinct())
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_bad"), "left_anti")
+    found = tables.put(overlaps(docs, bench, row_col=id_col, text_col=text_col, **kw)
+                       .select("row", "n_words").distinct())
+    key = F.col(f"`{id_col}`").cast("long")
+    bad = found.where(F.col("n_words") >= least).select(F.col("row").alias("_bad"))
+    short = found.where(F.col("n_words") < least)
+    if short.limit(1).count():
+        size = (docs.select(key.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+                .join(short.select("row").distinct(), "row", "left_semi")
+                .mapInArrow(_sizes, "row long, size long"))
+        bad = bad.unionByName(short.join(size, "row").where("size = n_words")
+                              .select(F.col("row").alias("_bad")))
+    return docs.join(tables.put(bad.distinct()), key == F.col("_bad"), "left_anti")

@@ -170,7 +170,21 @@ def test_decontamination_ignores_case_and_edge_punctuation(spark):
     n = [len(x.split()) for x in items]
     assert got == {(0, 0): (n[0], n[0]), (1, 1): (n[1], n[1]), (2, 2): (2, 2), (6, 0): (n[0], n[0])}
     kept = decontaminate.remove_contaminated(df, bench)
-    assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+    assert sorted(r.doc_id for r in kept.collect()) == [2, 3, 4, 5]
+
+
+def test_bare_answers_remove_only_equal_texts(spark):
+    bench = spark.createDataFrame([(0, "Paris"), (1, "forty two"), (2, "one two three")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(0, "a trip to Paris in May"), (1, "PARIS."), (2, "the number is forty two"),
+         (3, "Forty two!"), (4, "count one two three"), (5, "Paris forty two"), (None, "Paris")],
+        "doc_id long, text string")
+    got = {(r.row, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(0, 0), (1, 0), (2, 1), (3, 1), (4, 2), (5, 0), (5, 1)}
+    kept = decontaminate.remove_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [0, 2, 5, None]
 
 
 def changes(n):
