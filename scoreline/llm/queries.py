@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.llm import (decontaminate, jaccard, licenses, neighbours, packing, pii, quality,
-                           recompression, toxicity, wordpiece)
+from scoreline.llm import (collocations, decontaminate, jaccard, lexical, licenses, neighbours,
+                           packing, pii, pivots, quality, recompression, toxicity, wordpiece)
 from scoreline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -90,6 +90,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), top=2000)
+
+
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.search(table(spark, sf_dir, "embeddings"), k=5,
+                         is_query=F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -101,4 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_neighbours": op8_neighbours,
     "op9_licenses": op9_licenses,
     "op10_pii": op10_pii,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_collocations": op12_collocations,
+    "op13_topk": op13_topk,
 }
