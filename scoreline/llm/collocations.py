@@ -29,7 +29,8 @@ U64 = np.uint64
 LEAST = 10              # occurrences of a candidate, at least
 COVER = 50              # percent of a phrase's occurrences inside a longer one that drop it
 UNKNOWN = "und"
-CHUNK_BYTES = 4 << 20   # text that is counted together inside a task
+CHUNK_BYTES = 2 << 20   # text that is counted together inside a task
+BATCH_PHRASES = 1 << 15 # phrases handed to Spark at once
 
 _STOP = np.zeros(256, dtype=bool)                     # fixed values: piece ends
 _STOP[[ord(c) for c in ".,;:!?"]] = _STOP[0x0A:0x0E] = True
@@ -82,14 +83,25 @@ class Counted:
         _, pick, self.counts = np.unique(key, return_index=True, return_counts=True)
         self.at = at[pick]
 
-    def column(self, k: int) -> pa.Array:
-        """The k-th word of every phrase."""
-        at = self.at + k
-        size = self.ends[at] - self.starts[at]
-        data = self.buf[wd.ragged(self.starts[at], size)]
-        offs = np.append(0, np.cumsum(size)).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(
-            len(at), pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
+    def rows(self, lang: str) -> Iterator[pa.RecordBatch]:
+        """(key, f): the language, a line break (no word has one), the words and single spaces."""
+        head = np.frombuffer(lang.encode() + b"\n", dtype=np.uint8)
+        for i in range(0, len(self.at), BATCH_PHRASES):
+            at = self.at[i:i + BATCH_PHRASES]
+            word = at[:, None] + np.arange(self.n)
+            size = self.ends[word] - self.starts[word]
+            end = np.cumsum(len(head) + size.sum(1) + self.n - 1)
+            offs = np.append(0, end)
+            data = np.full(int(end[-1]), 0x20, dtype=np.uint8)
+            data[(offs[:-1, None] + np.arange(len(head))).ravel()] = np.tile(head, len(at))
+            to = offs[:-1, None] + len(head) + np.cumsum(size + 1, axis=1) - size - 1
+            data[wd.ragged(to.ravel(), size.ravel())] = self.buf[
+                wd.ragged(self.starts[word].ravel(), size.ravel())]
+            key = pa.LargeStringArray.from_buffers(
+                len(at), pa.py_buffer(offs.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [key.cast(pa.string()), pa.array(self.counts[i:i + BATCH_PHRASES], pa.int64())],
+                names=["key", "f"])
 
 
 def _count(n: int, known: bloom.Bloom | None):
@@ -100,11 +112,7 @@ def _count(n: int, known: bloom.Bloom | None):
             for lang in sorted(set(langs)):
                 rows = pa.array([i for i, x in enumerate(langs) if x == lang])
                 for _, buf, offs in wd.blocks(batch.take(rows), max_bytes=CHUNK_BYTES):
-                    got = Counted(buf, offs, lang, n, known)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang]).take(pa.array(np.zeros(len(got.at), np.int64))),
-                         *(got.column(k) for k in range(n)), pa.array(got.counts, pa.int64())],
-                        names=["lang", *_words(n), "f"])
+                    yield from Counted(buf, offs, lang, n, known).rows(lang)
     return run
 
 
@@ -156,15 +164,21 @@ def mine(docs: DataFrame, least: int = LEAST, cover: int = COVER, top: int = 200
                       F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
 
     def stream(n: int, known: bloom.Bloom | None) -> DataFrame:
-        kinds = ", ".join(f"{w} string" for w in _words(n))
-        return src.mapInArrow(_count(n, known), f"lang string, {kinds}, f long").groupBy(
-            "lang", *_words(n)).agg(F.sum("f").alias("f"))
+        counted = src.mapInArrow(_count(n, known), "key string, f long").groupBy("key").agg(
+            F.sum("f").alias("f"))
+        if n > 1:
+            counted = counted.where(F.col("f") >= least)
+        phrase = F.substring_index("key", "\n", -1)
+        word = F.split(phrase, " ")
+        return counted.select(
+            F.expr("left(key, length(key) - length(substring_index(key, '\\n', -1)) - 1)").alias("lang"),
+            *(word[k].alias(w) for k, w in enumerate(_words(n))), "f")
 
     words = tables.put(stream(1, None))
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.where(F.col("f") >= least)
-    pairs = tables.put(stream(2, _filter(frequent, 1)).where(F.col("f") >= least))
-    triples = tables.put(stream(3, _filter(pairs, 2)).where(F.col("f") >= least))
+    pairs = tables.put(stream(2, _filter(frequent, 1)))
+    triples = tables.put(stream(3, _filter(pairs, 2)))
 
     def meets(phrases: DataFrame, parts: DataFrame, on: list[str], as_: dict[str, str],
               names: list[str]) -> DataFrame:
