@@ -14,6 +14,7 @@ but the slack is ever padded.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ from scoreline.llm import words as wd
 
 CAPACITY = 1024
 SLACK = 1 / 64          # share of a sequence that whole pieces may leave empty
-CACHE_CHUNKS = 1 << 19  # encoded chunks that a task remembers
+CACHE_CHUNKS = 1 << 20  # encoded chunks that a task remembers, at most (a power of two)
+CACHE_IDS = 1 << 22     # their ids, at most (and those of one block)
 END_ID = 0
 
 _SPACE = 0x20
@@ -48,6 +50,7 @@ class Encoder:
     running byte count tells which ids belong to which chunk."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"    # one thread per task
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
@@ -57,13 +60,19 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
         for piece, i in vocab.items():     # one character per byte, but for added tokens
             self.width[i] = len(piece.encode()) if piece in self.special else len(piece)
-        self._forget()
+        self.free()
 
     def _forget(self) -> None:
-        self.names = np.zeros(0, np.uint64)          # sorted
-        self.at = np.zeros(0, np.int64)              # first id of a chunk in ``flat``
-        self.size = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        # a chunk's slot is the low bits of its name; a later chunk takes over the slot
+        self.name = np.zeros(CACHE_CHUNKS, np.uint64)
+        self.at = np.zeros(CACHE_CHUNKS, np.uint32)  # first id of the chunk in ``flat``
+        self.size = np.zeros(CACHE_CHUNKS, np.uint32)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def free(self) -> None:
+        """Give the remembered chunks back (the worker lives on)."""
+        self.name = self.at = self.size = self.flat = None
 
     def _run(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
@@ -118,31 +127,28 @@ class Encoder:
         ends = np.append(starts[1:], n)
         names, first, back = np.unique(wd.names(buf, starts, ends), return_index=True,
                                        return_inverse=True)
-        if len(self.names) + len(names) > CACHE_CHUNKS:
+        names[names == 0] = 1                        # 0 marks a free slot
+        if self.name is None or self.used > CACHE_IDS:
             self._forget()
-        new = ~np.isin(names, self.names, assume_unique=True)
-        if new.any():
-            ids, size = self._encode(buf.tobytes(), starts[first[new]], ends[first[new]])
-            all_names = np.concatenate([self.names, names[new]])
-            at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
-            order = np.argsort(all_names, kind="stable")
-            self.names, self.at = all_names[order], at[order]
-            self.size = np.concatenate([self.size, size])[order]
-            self.flat = np.concatenate([self.flat, ids])
-        where = np.searchsorted(self.names, names)[back]
-        size = self.size[where]
+        slot = (names & np.uint64(CACHE_CHUNKS - 1)).astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        new = np.flatnonzero(self.name[slot] != names)
+        if len(new):
+            ids, n_ids = self._encode(buf.tobytes(), starts[first[new]], ends[first[new]])
+            need = self.used + len(ids)
+            if need > len(self.flat):
+                flat = np.zeros(max(need, 2 * len(self.flat)), np.uint32)
+                flat[:self.used] = self.flat[:self.used]
+                self.flat = flat
+            self.flat[self.used:need] = ids
+            at[new], size[new] = self.used + np.cumsum(n_ids) - n_ids, n_ids
+            self.name[slot[new]], self.at[slot[new]], self.size[slot[new]] = \
+                names[new], at[new], n_ids
+            self.used = need
+        size = size[back]
         total = np.append(0, np.cumsum(size))
         first_chunk = np.searchsorted(starts, offs)
-        return self.flat[wd.ragged(self.at[where], size)], np.diff(total[first_chunk])
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+        return self.flat[wd.ragged(at[back], size)], np.diff(total[first_chunk])
 
 
 def cut_lengths(rest: int, capacity: int, slack: float) -> list[int]:
@@ -237,7 +243,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = Encoder(tokenizer_path)
         packer = Packer(capacity, slack, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
@@ -249,7 +255,9 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
                 if packer.rows:
                     yield table(packer.rows)
                     packer.rows = []
-        enc._forget()            # the worker lives on
+        enc.free()               # the worker lives on
+        del enc
+        wd.release()
         packer.finish()
         if packer.rows:
             yield table(packer.rows)

@@ -8,6 +8,7 @@ probability of about 2^-64 per pair.
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20      # text handled at once inside a task
+SEGMENT = 1 << 17          # bytes hashed at once
 U64 = np.uint64
 
 # word bytes of the contracts: everything except space and 0x09-0x0D
@@ -89,14 +91,33 @@ def blocks(batch: pa.RecordBatch, text: str = "text",
         j = min(max(j, i + 1), n)
         yield batch.slice(i, j - i), buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
-    pa.default_memory_pool().release_unused()     # workers live on between tasks
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        lib = ctypes.CDLL(None)
+        lib.malloc_trim
+        return lib
+    except (OSError, AttributeError):
+        return None
+
+
+_LIBC = _libc()
 
 
 class Words:
     """Words of a block: starts, ends (bytes), hash, and first word of each document."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray, table: np.ndarray = PLAIN,
-                 lower: bool = False, hashes: bool = True, segment: int = 1 << 20):
+                 lower: bool = False, hashes: bool = True, segment: int = SEGMENT):
         if lower:
             buf = LOWER[buf]
         self.buf, self.offs = buf, offs
@@ -165,7 +186,7 @@ def caseless(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class BareWords(Words):
     """Words without punctuation at their edges; words of punctuation alone are none."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray, segment: int = 1 << 20):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, segment: int = SEGMENT):
         super().__init__(buf, offs, hashes=False)
         inner = np.flatnonzero(inner_bytes(buf) & PLAIN[buf])
         a = np.searchsorted(inner, self.starts)
@@ -178,7 +199,7 @@ class BareWords(Words):
 
 
 def names(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray,
-          segment: int = 1 << 20) -> np.ndarray:
+          segment: int = SEGMENT) -> np.ndarray:
     """64-bit names of disjoint, ordered byte ranges.
 
     Segments end between ranges, so a long text needs no long arrays of powers."""
