@@ -67,33 +67,86 @@ KINDS = (
 )
 BASE = tuple(k.name for k in KINDS[:4])
 _SPAN = "array<struct<s:bigint,e:bigint,v:string>>"
+CHUNK = 256          # values whose running total is built in one go
+SEGMENT = 1024       # characters of a segment of the text
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _running(values: str, step: str) -> str:
+    """For each value the result of ``step`` (on ``b.at`` and ``x``, from 0) over those before
+    it.  Chunk by chunk, so that no long list is copied for every value."""
+    inner = f"""aggregate(c, struct(a.at AS at, cast(array() AS array<bigint>) AS got),
+        (b, x) -> struct({step} AS at, concat(b.got, array(b.at)) AS got))"""
+    chunks = (f"transform(sequence(0, (size({values}) - 1) div {CHUNK}), "
+              f"i -> slice({values}, int(i * {CHUNK} + 1), {CHUNK}))")
+    return f"""flatten(aggregate({chunks}, struct(0L AS at, cast(array() AS array<array<bigint>>) AS got),
+        (a, c) -> {_let(inner, 'r', 'struct(r.at AS at, concat(a.got, array(r.got)) AS got)')},
+        a -> a.got))"""
+
+
+def _piece(begin: str, end: str) -> str:
+    """Characters [begin, end) of the text from its segments: the cost is the piece's, not
+    that of the text before it."""
+    seg = f"get(segments, int({{}} div {SEGMENT}))"
+    first, last = seg.format(begin), seg.format(end)
+    return f"""CASE WHEN {begin} div {SEGMENT} = {end} div {SEGMENT}
+        THEN coalesce(substring({first}, int({begin} % {SEGMENT}) + 1, int({end} - {begin})), '')
+        ELSE concat(substring({first}, int({begin} % {SEGMENT}) + 1),
+                    array_join(slice(segments, int({begin} div {SEGMENT}) + 2,
+                                     int({end} div {SEGMENT} - {begin} div {SEGMENT}) - 1), ''),
+                    coalesce(substring({last}, 1, int({end} % {SEGMENT})), '')) END"""
+
+
+def _lengths(kind: Kind) -> Column:
+    """Characters of each match and of the gap before it."""
+    pattern = kind.pattern.replace("'", "\\'")
+    hits = f"hit_{kind.name}"
+    return F.expr(f"""CASE WHEN size({hits}) = 0 THEN cast(array() AS array<bigint>) ELSE
+        zip_with(slice(split(text, r'{pattern}', -1), 1, size({hits})), {hits},
+                 (g, v) -> bigint(length(g) + length(v))) END""")
 
 
 def _spans(kind: Kind) -> Column:
-    """Confirmed spans of one kind from the columns ``_hits`` and ``_text``."""
-    hits = f"_hit_{kind.name}"
-    pattern = kind.pattern.replace("'", "\\'")
+    """Confirmed spans of one kind."""
+    hits, size = f"hit_{kind.name}", f"len_{kind.name}"
     return F.expr(f"""
       CASE WHEN size({hits}) = 0 THEN cast(array() AS {_SPAN}) ELSE
-      filter(aggregate(
-        zip_with(slice(split(_text, r'{pattern}', -1), 1, size({hits})), {hits},
-                 (g, v) -> struct(bigint(length(g)) AS gap, bigint(length(v)) AS n, v AS v)),
-        struct(0L AS at, cast(array() AS {_SPAN}) AS got),
-        (a, x) -> struct(a.at + x.gap + x.n AS at,
-                         concat(a.got, array(struct(a.at + x.gap AS s,
-                                                    a.at + x.gap + x.n AS e, x.v AS v))) AS got),
-        a -> a.got), x -> exists(array(x.v), v -> {kind.check})) END""")
+      filter(zip_with(zip_with({size}, {_running(size, 'b.at + x')}, (n, at) -> at + n), {hits},
+                      (e, v) -> struct(e - length(v) AS s, e AS e, v AS v)),
+             x -> exists(array(x.v), v -> {kind.check})) END""")
 
 
 def _scored(kind: Kind) -> Column:
     """Spans with kind and score; context is the text around the span, in lower case."""
-    around = (f"lower(concat(substring(_text, int(greatest(x.s - {CONTEXT_CHARS}, 0)) + 1, "
-              f"int(least(x.s, {CONTEXT_CHARS}))), ' ', "
-              f"substring(_text, int(x.e) + 1, {CONTEXT_CHARS})))")
-    return F.expr(
-        f"transform(_found_{kind.name}, x -> struct('{kind.name}' AS kind, x.s AS start, x.e AS end, "
-        f"least(1D, greatest(0D, {kind.score}D + CASE WHEN {around} rlike r'{kind.up}' THEN 0.1D "
-        f"ELSE 0D END - CASE WHEN {around} rlike r'{kind.down}' THEN 0.2D ELSE 0D END)) AS score))")
+    before, after = f"greatest(x.s - {CONTEXT_CHARS}, 0L)", f"least(x.e + {CONTEXT_CHARS}, size_)"
+    around = f"lower(concat({_piece(before, 'x.s')}, ' ', {_piece('x.e', after)}))"
+    score = (f"least(1D, greatest(0D, {kind.score}D + CASE WHEN t rlike r'{kind.up}' THEN 0.1D "
+             f"ELSE 0D END - CASE WHEN t rlike r'{kind.down}' THEN 0.2D ELSE 0D END))")
+    return F.expr(f"transform(found_{kind.name}, x -> struct('{kind.name}' AS kind, x.s AS start, "
+                  f"x.e AS end, {_let(around, 't', score)} AS score))")
+
+
+def _found(docs: DataFrame, text_col: str) -> DataFrame:
+    """(row, text, segments, spans): the whole row as one value, so no name can clash."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                     F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumns({f"hit_{k.name}": F.when(
+        F.contains("text", F.lit(k.needs)) if k.needs else F.lit(True),
+        F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(
+            F.expr("cast(array() AS array<string>)")) for k in KINDS})
+    df = df.withColumns({f"len_{k.name}": _lengths(k) for k in KINDS})
+    df = df.withColumns({f"found_{k.name}": _spans(k) for k in KINDS})
+    some = " + ".join(f"size(found_{k.name})" for k in KINDS)
+    df = df.withColumns({
+        "size_": F.length("text").cast("long"),
+        "segments": F.expr(f"CASE WHEN {some} > 0 THEN regexp_extract_all(text, "
+                           f"r'(?s).{{1,{SEGMENT}}}', 0) ELSE cast(array() AS array<string>) END")})
+    return df.select("row", "text", "segments", "size_",
+                     F.concat(*[_scored(k) for k in KINDS]).alias("spans"))
 
 
 def find(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
@@ -101,17 +154,13 @@ def find(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame
     listed in ``KINDS``, then start.
 
     Null and empty texts have no spans.  Spans of different kinds may overlap.  Rows are
-    neither dropped nor merged; other columns pass through (names beginning with ``_hit_``,
-    ``_found_`` and ``_text`` are taken).
+    neither dropped nor merged; other columns pass through whatever their names (a column
+    named ``out`` is replaced).  The time is proportional to the text, however many matches
+    it has.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != out]
-    df = docs.select(*keep, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    df = df.withColumns({f"_hit_{k.name}": F.when(
-        F.contains("_text", F.lit(k.needs)) if k.needs else F.lit(True),
-        F.regexp_extract_all("_text", F.lit(k.pattern), F.lit(0))).otherwise(
-            F.expr("cast(array() AS array<string>)")) for k in KINDS})
-    df = df.withColumns({f"_found_{k.name}": _spans(k) for k in KINDS})
-    return df.select(*keep, F.concat(*[_scored(k) for k in KINDS]).alias(out))
+    return _found(docs, text_col).select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns if c != out],
+        F.col("spans").alias(out))
 
 
 def digest(df: DataFrame, spans: str = "pii") -> DataFrame:
@@ -126,27 +175,39 @@ def digest(df: DataFrame, spans: str = "pii") -> DataFrame:
         F.coalesce(F.array_max(F.expr(f"transform({spans}, x -> x.score)")), F.lit(0.0)).alias("max_score"))
 
 
-def mask(docs: DataFrame, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
+def mask(docs: DataFrame, text_col: str = "text", min_score: float = 0.3,
+         size_col: str | None = None) -> DataFrame:
     """``docs`` with every span of at least ``min_score`` replaced by its kind in brackets.
 
     Overlapping spans are replaced together, under the kind of the first.  Null texts stay
-    null; all rows and columns are kept.
+    null; all rows and columns are kept, whatever their names; ``size_col`` follows the new
+    length where the text changes.
     """
-    found = find(docs, text_col, "_pii")
-    merged = f"""
-      aggregate(array_sort(transform(filter(_pii, x -> x.score >= {min_score}D),
-                                     x -> struct(x.start AS s, x.end AS e, x.kind AS kind))),
-        cast(array() AS array<struct<s:bigint,e:bigint,kind:string>>),
-        (a, x) -> CASE WHEN size(a) > 0 AND x.s < element_at(a, -1).e
-          THEN concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).s AS s,
-               greatest(element_at(a, -1).e, x.e) AS e, element_at(a, -1).kind AS kind)))
-          ELSE concat(a, array(x)) END)"""
-    text = f"`{text_col}`"
-    masked = f"""
-      aggregate(_spans, struct(0L AS at, '' AS got),
-        (a, x) -> struct(x.e AS at, concat(a.got, substring({text}, int(a.at) + 1, int(x.s - a.at)),
-                                           '[', upper(x.kind), ']') AS got),
-        a -> concat(a.got, substring({text}, int(a.at) + 1)))"""
-    df = found.withColumn("_spans", F.expr(merged))
-    new = F.when(F.size("_spans") > 0, F.expr(masked)).otherwise(F.col(text))
-    return df.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    df = _found(docs, text_col).withColumn("spans", F.expr(
+        f"array_sort(transform(filter(spans, x -> x.score >= {min_score}D), "
+        "x -> struct(x.start AS s, x.end AS e, x.kind AS kind)))"))
+    # spans that begin where all before them have ended start a stretch
+    df = df.withColumn("ends", F.expr("transform(spans, x -> x.e)"))
+    df = df.withColumn("before", F.expr(
+        f"CASE WHEN size(ends) = 0 THEN ends ELSE {_running('ends', 'greatest(b.at, x)')} END"))
+    df = df.withColumn("heads", F.expr(
+        "filter(sequence(0, size(spans)), i -> i = size(spans) OR get(spans, i).s >= get(before, i))"))
+    # [start, end) of each stretch: it ends where the spans up to the next one have ended
+    df = df.withColumn("cuts", F.expr("""
+        transform(slice(heads, 1, size(heads) - 1), (h, i) -> struct(
+            get(spans, h).s AS s, get(spans, h).kind AS kind,
+            CASE WHEN get(heads, i + 1) = size(spans)
+                 THEN greatest(get(before, size(spans) - 1), get(ends, size(spans) - 1))
+                 ELSE get(before, get(heads, i + 1)) END AS e))"""))
+    gap = _piece("CASE WHEN i = 0 THEN 0L ELSE get(cuts, i - 1).e END", "x.s")
+    tail = _piece("get(cuts, size(cuts) - 1).e", "size_")
+    df = df.withColumn("masked", F.expr(f"""
+        concat(array_join(transform(cuts, (x, i) -> concat({gap}, '[', upper(x.kind), ']')), ''), {tail})"""))
+    old = F.col("row").getField(text_col)
+    hit = F.size("spans") > 0
+    new = {text_col: F.when(hit, F.col("masked")).otherwise(old.cast("string"))}
+    if size_col:
+        changed = hit & (F.col("masked") != F.col("text"))
+        new[size_col] = F.when(changed, F.length("masked").cast("long")).otherwise(
+            F.col("row").getField(size_col))
+    return df.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
