@@ -165,6 +165,15 @@ def _hex_kept(buf: np.ndarray, w: wd.Words, removed: np.ndarray, d: int) -> str:
     return hashlib.sha256(out[:-1].tobytes()).hexdigest()
 
 
+def _second(names: np.ndarray, pos: np.ndarray, size: int) -> np.ndarray:
+    """A second, 32-bit name of windows: with the first one, 96 bits tell windows apart."""
+    h = np.zeros(len(pos), dtype=U64)
+    other = wd.mix(names ^ U64(0x5851F42D4C957F2D))
+    for k in range(size):
+        h = h * U64(0x2545F4914F6CDD1D) + other[pos + k]
+    return (wd.mix(h) >> U64(32)).astype(np.uint32).view(np.int32)
+
+
 def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row.
@@ -172,14 +181,26 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
     A word goes if it lies in a window of ``size`` words whose words also stand, in this
     order, in a document with a smaller id; windows are judged on the input.  Null and
     empty texts have no words (hash of the empty text).  Rows with a null id neither lose
-    words nor make others lose any; rows with one id count as one document when windows are
-    compared.  One row per input row; an empty table gives an empty result; other columns
-    are not read.
+    words nor make others lose any.  Rows that share an id do not make each other lose words,
+    and each is judged by its own text.  One row per input row; an empty table gives an empty
+    result; other columns are not read.
     """
     spark = docs.sparkSession
     tables = Tables(spark, "recompression")
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                       F.col(text_col).cast("string").alias("text"))
+    known = F.col("doc_id").isNotNull()
+    again = tables.put(src.where(known).groupBy("doc_id").count()
+                       .where("count > 1").select("doc_id", F.lit(True).alias("again")))
+    if again.limit(1).count():
+        # rows are told apart by their texts where an id repeats, else by the id alone
+        src = src.join(again, "doc_id", "left").select(
+            "doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("row"))
+        texts = src.where(known).dropDuplicates(["doc_id", "row"])
+    else:
+        src = src.withColumn("row", F.lit(0).cast("long"))
+        texts = src.where(known)
+    own = ["doc_id", "row"]
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,42 +211,46 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
                 k, d = key[order], doc[order]
                 new = np.ones(len(k), dtype=bool)
                 new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                at = pa.array(d[new])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(wd.i64(k[new])), part.column(0).take(pa.array(d[new]))],
-                    names=["key", "doc_id"])
+                    [pa.array(wd.i64(k[new])), part.column(0).take(at), part.column(2).take(at)],
+                    names=["key", *own])
 
-    sent = tables.put(src.where("doc_id IS NOT NULL").mapInArrow(keys, "key long, doc_id long"))
+    sent = tables.put(texts.mapInArrow(keys, "key long, doc_id long, row long"))
     shared = tables.put(sent.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
                         .where("a < b").select("key"))
-    # documents with their shared keys; the list is as long as the document at most
-    with_keys = tables.put(sent.join(shared, "key").groupBy("doc_id").agg(
-        F.collect_list("key").alias("keys")), sent, shared)
+    # rows with their shared keys; the list is as long as the text at most
+    with_keys = tables.put(sent.join(shared, "key").groupBy(*own).agg(
+        F.collect_set("key").alias("keys")), sent, shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
             for part, buf, offs in wd.blocks(batch):
                 w = wd.Words(buf, offs)
                 key, whole, doc, pos = window_keys(w, size, rounds)
-                lists = part.column(2)
-                own = lists.flatten().to_numpy().view(U64)
-                n_own = np.diff(lists.offsets.to_numpy())
+                lists = part.column(3)
+                have = lists.flatten().to_numpy().view(U64)
+                n_have = np.diff(lists.offsets.to_numpy())
                 # (document, key) pairs in both
-                have = np.unique(_pair(np.repeat(np.arange(len(n_own)), n_own), own))
+                have = np.unique(_pair(np.repeat(np.arange(len(n_have)), n_have), have))
                 mine = _pair(doc, key)
                 at = np.searchsorted(have, mine)
                 at[at == len(have)] = 0
                 ok = np.flatnonzero(have[at] == mine) if len(have) else np.zeros(0, np.int64)
+                of = pa.array(doc[ok])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(wd.i64(whole[ok])), part.column(0).take(pa.array(doc[ok])),
+                    [pa.array(wd.i64(whole[ok])), pa.array(_second(w.hash, pos[ok], size)),
+                     part.column(0).take(of), part.column(2).take(of),
                      pa.array(pos[ok] - w.first[doc[ok]], pa.int32())],
-                    names=["name", "doc_id", "pos"])
-
-    cand = tables.put(src.join(with_keys, "doc_id").select("doc_id", "text", "keys")
-                      .mapInArrow(windows, "name long, doc_id long, pos int"))
-    firsts = tables.put(cand.groupBy("name").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
-                        .where("a < b").select("name", "a"))
-    gone = tables.put(cand.join(firsts, "name").where("doc_id > a").groupBy("doc_id").agg(
+                    names=["name", "second", *own, "pos"])
+
+    cand = tables.put(texts.join(with_keys, own).select(
+        "doc_id", "text", "row", "keys").mapInArrow(
+        windows, "name long, second int, doc_id long, row long, pos int"))
+    whole = ["name", "second"]
+    firsts = tables.put(cand.groupBy(*whole).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+                        .where("a < b").select(*whole, "a"))
+    gone = tables.put(cand.join(firsts, whole).where("doc_id > a").groupBy(*own).agg(
         F.collect_list("pos").alias("at")), cand, firsts, with_keys)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +273,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
                               pa.string())],
                     names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return (src.join(gone, "doc_id", "left").select("doc_id", "text", "at")
+    return (src.join(gone, own, "left").select("doc_id", "text", "at")
             .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string"))
 
 
