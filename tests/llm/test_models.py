@@ -255,23 +255,50 @@ def run_search(spark, rows, **kw):
     return {q: [v for _, v, _ in sorted(x)] for q, x in got.items()}
 
 
-def test_search_recall_and_hot_vectors(spark):
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((20, 16))
-    rows = []
-    for i in range(3000):
-        v = centres[0] if i % 3 == 0 else centres[i % 20] + 0.3 * rng.standard_normal(16)
-        rows.append((i, v.tolist()))
-    want = exact_neighbours(rows, 10)
-    got = run_search(spark, rows, sample=1500, block_rows=200, block_queries=8)
+def clusters(n, dim=16, centres=40, spread=0.15, seed=4):
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal((centres, dim))
+    return c, [(i, (c[i % centres] + spread * rng.standard_normal(dim)).tolist()) for i in range(n)]
+
+
+@pytest.mark.parametrize("options", [
+    {"sample": 4000}, {"sample": 800, "leaf_rows": 32, "query_block": 16}])
+def test_search_visits_few_rows_of_clusters(spark, options):
+    """Routed for real: recall with less than a quarter of the rows read; one level of parts,
+    and parts cut once more in tables larger than the sample."""
+    _, rows = clusters(4000)
+    want, stats = exact_neighbours(rows, 10), {}
+    got = run_search(spark, rows, stats=stats, **options)
     assert got.keys() == want.keys() and all(len(x) == 10 for x in got.values())
     recall = np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want])
     assert recall >= 0.9
+    assert stats["share"] < 0.25 and stats["leaves"] >= 32 and stats["visits"] < stats["leaves"] / 4
+
+
+def test_search_hot_vectors(spark):
+    centres, rows = clusters(3000, centres=20, spread=0.3)
+    rows = [(i, centres[0].tolist() if i % 3 == 0 else v) for i, v in rows]
+    want = exact_neighbours(rows, 10)
+    got = run_search(spark, rows, sample=1500)
+    assert got.keys() == want.keys() and all(len(x) == 10 for x in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.9
     # ties among a thousand equal vectors go to the smaller ids
     hot = [q for q in want if q % 3 == 0]
     assert all(got[q] == want[q] for q in hot)
 
 
+def test_search_repeated_ids(spark):
+    """A row repeated more than k times takes one place; clashing column names pass by."""
+    rng = np.random.default_rng(9)
+    rows = [(0, [0.0, 0.1, 0.0])] + [(3, [0.01, 0.1, 0.0])] * 30 + [(3, [0.2, 0.1, 0.0])]
+    rows += [(i, rng.standard_normal(3).tolist()) for i in range(4, 99)]
+    want = exact_neighbours([rows[0], rows[1], *rows[32:]], 10)
+    assert run_search(spark, rows, target=1.0) == want
+    df = spark.createDataFrame([(i, v, 1, 2, 0.5) for i, v in rows],
+                               "vec_id long, embedding array<double>, part int, leaf int, score double")
+    assert neighbours.search(df, 10, F.col("vec_id") % 100 == 0, target=1.0).count() == 10
+
+
 def test_search_skips_unusable_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 0.0]), (3, None), (4, [1.0, nan]),
@@ -279,6 +306,7 @@ def test_search_skips_unusable_vectors(spark):
             (100, [0.9, 0.0]), (1, [1.0, 0.1])]
     assert run_search(spark, rows) == {0: [100, 1], 100: [0, 1]}
     assert run_search(spark, rows[2:4]) == {}
+    assert run_search(spark, []) == {}
 
 
 def test_components(spark):
