@@ -243,17 +243,20 @@ def remove_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id
 
     Items of fewer than ``least`` words (a bare answer) count only if they are the whole
     text; ``overlaps`` reports them wherever they stand.  Decided per id: rows with one id
-    share the decision; rows with a null id are compared under no name and stay."""
+    share the decision; rows with a null id are compared under no name and stay.  Columns pass
+    through whatever their names."""
     tables = Tables(docs.sparkSession, "decontaminated")
     found = tables.put(overlaps(docs, bench, row_col=id_col, text_col=text_col, **kw)
                        .select("row", "n_words").distinct())
     key = F.col(f"`{id_col}`").cast("long")
-    bad = found.where(F.col("n_words") >= least).select(F.col("row").alias("_bad"))
+    bad = found.where(F.col("n_words") >= least).select(F.col("row").alias("key"))
     short = found.where(F.col("n_words") < least)
     if short.limit(1).count():
         size = (docs.select(key.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
                 .join(short.select("row").distinct(), "row", "left_semi")
                 .mapInArrow(_sizes, "row long, size long"))
         bad = bad.unionByName(short.join(size, "row").where("size = n_words")
-                              .select(F.col("row").alias("_bad")))
-    return docs.join(tables.put(bad.distinct()), key == F.col("_bad"), "left_anti")
+                              .select(F.col("row").alias("key")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    named = docs.select(whole, key.alias("key"))
+    return named.join(tables.put(bad.distinct()), "key", "left_anti").select("row.*")

@@ -342,30 +342,29 @@ def keep_one(docs: DataFrame, n: int, num: int, den: int, lower: bool = True,
     is repeated).  Rows that share an id but not their text are told apart, each decided by
     its own text.  Rows without words or with a null id stay."""
     tables = Tables(docs.sparkSession, "keep-one")
-    key = F.col(f"`{id_col}`").cast("long")
-    again = tables.put(docs.select(key.alias("_again")).where("_again IS NOT NULL")
-                       .groupBy("_again").count().where("count > 1").select("_again"))
+    # the whole row as one value: no column name can clash
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.col(f"`{id_col}`").cast("long").alias("id"),
+                        F.col(f"`{text_col}`").cast("string").alias("text"))
+    again = tables.put(named.where("id IS NOT NULL").groupBy("id").count().where("count > 1")
+                       .select(F.col("id").alias("again")))
     if not again.limit(1).count():
-        found = near_duplicates(docs, n, num, den, lower, id_col, text_col)
+        found = near_duplicates(named, n, num, den, lower, "id")
         gone = tables.put(found.where("component_id < doc_id").select(
-            F.col("doc_id").alias("_gone")).distinct())
-        return docs.join(gone, key == F.col("_gone"), "left_anti")
+            F.col("doc_id").alias("id")).distinct())
+        return named.join(gone, "id", "left_anti").select("row.*")
     # repeated ids: rows named by id and text, so copies of one row share a name
-    own = F.xxhash64(key, F.col(f"`{text_col}`").cast("string"))
-    named = docs.join(again, key == F.col("_again"), "left").withColumn(
-        "_key", F.when(F.col("_again").isNotNull(), own).otherwise(key))
-    found = tables.put(near_duplicates(named, n, num, den, lower, "_key", text_col)
+    named = named.join(again, named["id"] == again["again"], "left").withColumn(
+        "key", F.when(F.col("again").isNotNull(), F.xxhash64("id", "text")).otherwise(F.col("id")))
+    found = tables.put(near_duplicates(named, n, num, den, lower, "key")
                        .where("doc_id IS NOT NULL AND n_shingles > 0")
-                       .select(F.col("doc_id").alias("_key"), "component_id").distinct())
-    member = found.join(named.select("_key", key.alias("_id")).distinct(), "_key").select(
-        "_key", "component_id", F.struct("_id", "_key").alias("rank"))
+                       .select(F.col("doc_id").alias("key"), "component_id").distinct())
+    member = found.join(named.select("key", "id").distinct(), "key").select(
+        "key", "component_id", F.struct("id", "key").alias("rank"))
     kept = member.groupBy("component_id").agg(F.min("rank").alias("first"))
-    gone = tables.put(member.join(kept, "component_id").where("rank <> first").select(
-        F.col("_key").alias("_gone")))
-    left = named.join(gone, F.col("_key") == F.col("_gone"), "left_anti")
-    words = found.select(F.col("_key").alias("_word"))
-    copies = F.col("_again").isNotNull() & F.col("_word").isNotNull()
-    left = left.join(words, F.col("_key") == F.col("_word"), "left")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return left.where(~copies).select(columns).unionByName(
-        left.where(copies).dropDuplicates(["_key"]).select(columns))
+    gone = tables.put(member.join(kept, "component_id").where("rank <> first").select("key"))
+    left = named.join(gone, "key", "left_anti").join(
+        found.select("key", F.lit(True).alias("worded")), "key", "left")
+    copies = F.col("again").isNotNull() & F.col("worded").isNotNull()
+    return left.where(~copies).select("row.*").unionByName(
+        left.where(copies).dropDuplicates(["key"]).select("row.*"))
