@@ -8,7 +8,6 @@ shared folder and reads it back as the next one's input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from scoreline.llm import decontaminate, jaccard, packing, pii, quality
 from scoreline.llm.queries import site, table, tokenizer_path
@@ -35,9 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by its kind; n_chars follows the new text."""
-    masked = pii.mask(docs.withColumn("_old", F.col("text")))
-    size = F.when(F.col("text") != F.col("_old"), F.length("text").cast("long"))
-    return masked.withColumn("n_chars", F.coalesce(size, F.col("n_chars"))).drop("_old")
+    return pii.mask(docs, size_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
