@@ -234,20 +234,25 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
                 h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(np.diff(first), pa.int64()),
-                     pa.array(wd.i64(set_names(h, first)))],
-                    names=["doc_id", "n_shingles", "name"])
-
-    rows = tables.put(src.mapInArrow(name, "doc_id long, n_shingles long, name long"))
-    classes = tables.put(rows.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("name").agg(
+                     pa.array(wd.i64(set_names(h, first))),
+                     pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(wd.i64(h)))],
+                    names=["doc_id", "n_shingles", "name", "h"])
+
+    # the texts are read once; all later steps read the sets
+    rows = tables.put(src.mapInArrow(
+        name, "doc_id long, n_shingles long, name long, h array<long>"))
+    known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    classes = tables.put(known.groupBy("name").agg(
         F.min("doc_id").alias("node"), F.count("*").alias("copies"),
         F.first("n_shingles").alias("size")))
     largest = classes.agg(F.max("size")).first()[0] or 1
     sizes = SizeClasses(num, den, largest)
 
-    def once(part: pa.RecordBatch, buf: np.ndarray, offs: np.ndarray):
-        """Names, shingles and firsts of a block, equal sets of the block once."""
-        h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
-        names = set_names(h, first)
+    def once(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Names, shingles and firsts of a batch, equal sets of the batch once."""
+        names, lists = batch.column(0).to_numpy().view(U64), batch.column(1)
+        h = lists.flatten().to_numpy().view(U64)
+        first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
         keep = np.zeros(len(names), dtype=bool)
         keep[np.unique(names, return_index=True)[1]] = True
         size = np.where(keep, np.diff(first), 0)
@@ -257,14 +262,14 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
         """Shingles of one of ``PASSES`` equal shares of the hashes."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in wd.blocks(batch):
-                    h = once(*part)[1]
-                    h = h[(h & U64(PASSES - 1)) == U64(share)]
-                    yield pa.RecordBatch.from_arrays([pa.array(wd.i64(h))], names=["sh"])
+                h = once(batch)[1]
+                h = h[(h & U64(PASSES - 1)) == U64(share)]
+                yield pa.RecordBatch.from_arrays([pa.array(wd.i64(h))], names=["sh"])
+            wd.release()
         return run
 
-    known = src.where("doc_id IS NOT NULL")
-    counted = [tables.put(known.mapInArrow(shingles(share), "sh long").groupBy("sh").count()
+    named = known.select("name", "h")
+    counted = [tables.put(named.mapInArrow(shingles(share), "sh long").groupBy("sh").count()
                           .where(F.col("count") >= LEVELS[0])) for share in range(PASSES)]
     counts = reduce(DataFrame.unionByName, counted)
     levels = [build(counts.where(F.col("count") >= c), "sh") for c in LEVELS]
@@ -272,20 +277,20 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in wd.blocks(batch):
-                names, h, first = once(*part)
-                token, doc = prefixes(h, first, levels, num, den)
-                # a document's shingles under its own size range and, if need be, the one below
-                d, c = sizes.registrations(np.diff(first))
-                begin = np.searchsorted(doc, d)
-                count = np.searchsorted(doc, d, "right") - begin
-                at = wd.ragged(begin, count)
-                c = np.repeat(c, count).astype(U64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(wd.i64(wd.mix(token[at] + c * U64(0x9E3779B97F4A7C15)))),
-                     pa.array(wd.i64(names[doc[at]]))], names=["sig", "name"])
-
-    sigs = tables.put(known.mapInArrow(sign, "sig long, name long"))
+            names, h, first = once(batch)
+            token, doc = prefixes(h, first, levels, num, den)
+            # a document's shingles under its own size range and, if need be, the one below
+            d, c = sizes.registrations(np.diff(first))
+            begin = np.searchsorted(doc, d)
+            count = np.searchsorted(doc, d, "right") - begin
+            at = wd.ragged(begin, count)
+            c = np.repeat(c, count).astype(U64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wd.i64(wd.mix(token[at] + c * U64(0x9E3779B97F4A7C15)))),
+                 pa.array(wd.i64(names[doc[at]]))], names=["sig", "name"])
+        wd.release()
+
+    sigs = tables.put(named.mapInArrow(sign, "sig long, name long"))
     shared = tables.put(sigs.groupBy("sig").agg(
         F.min("name").alias("lead"), F.max("name").alias("last")).where("lead <> last")
         .select("sig", "lead"))
@@ -299,26 +304,16 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     plan = member.groupBy("component").agg(F.greatest(
         F.ceil(F.count("*") / block_docs), F.ceil(F.sum("size") / block_shingles)).alias("blocks"))
     dealt = member.join(plan, "component").select(
-        "component", "node", "copies", "blocks",
+        "component", "name", "node", "copies", "blocks",
         F.pmod(F.xxhash64("name"), F.col("blocks")).alias("own"))
     dealt = tables.put(dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "component", "node", "copies", F.least("own", "other").alias("i"),
+        "component", "name", "node", "copies", F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side")), member)
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, offs in wd.blocks(batch):
-                h, first = shingle_sets(wd.Words(buf, offs, lower=lower), n)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(pa.array(first, pa.int32()),
-                                                              pa.array(wd.i64(h)))],
-                    names=["node", "h"])
-
-    ids = dealt.select("node").distinct()
-    first_row = (src.join(ids, src["doc_id"] == ids["node"], "left_semi")
-                 .mapInArrow(sets, "node long, h array<long>"))
+    ids = dealt.select("name", F.col("node").alias("doc_id")).distinct()
+    sets = known.join(ids, ["name", "doc_id"], "left_semi").select("name", "h").dropDuplicates(["name"])
     found = tables.put(
-        dealt.join(first_row, "node")
+        dealt.join(sets, "name")
         .groupBy("component", "i", "j")
         .applyInPandas(_search(num, den), "node long, other long, links long"), dealt)
     linked = components(tables, found.select(F.col("node").alias("u"), F.col("other").alias("v")))
@@ -326,7 +321,7 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     classes_out = (classes.join(linked, "node", "left").join(links, "node", "left")
                    .select("name", F.coalesce("component", "node").alias("component"),
                            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")))
-    out = rows.join(classes_out, "name", "left")
+    out = rows.drop("h").join(classes_out, "name", "left")
     own = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     return out.select(
         "doc_id", "n_shingles",
