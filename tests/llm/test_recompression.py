@@ -65,3 +65,34 @@ def test_runs_and_pairs_shrink_a_text():
     sizes = [len(s) for s in rc.levels(wd.Words(buf, offs), 3)]
     assert sizes[0] == 160 and sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0]
     assert np.unique(rc.levels(wd.Words(buf, offs), 3)[-1].name).size < 40
+
+
+def test_repeated_ids_are_judged_by_their_own_text(spark):
+    def words(a, n):
+        return " ".join(f"w{a + i}" for i in range(n))
+
+    long = words(0, 200)
+    rows = [(1, long), (5, long + " tail"), (5, "short text only"), (5, "short text only"),
+            (2, words(1000, 100)), (9, words(1000, 40) + " x " + words(50, 30)), (9, long)]
+    df = spark.createDataFrame([(i, t, 3, "x") for i, t in rows],
+                               "doc_id long, text string, row int, key string")
+    got = sorted(tuple(r) for r in rc.remove_repeats(df).collect())
+
+    def result(i, t, gone):
+        w = t.split()
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        return i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
+
+    want = [result(1, long, ()), result(5, long + " tail", range(200)),
+            result(5, "short text only", ()), result(5, "short text only", ()),
+            result(2, words(1000, 100), ()),
+            result(9, rows[5][1], {*range(40), *range(41, 71)}), result(9, long, range(200))]
+    assert got == sorted(want)
+
+
+def test_a_very_long_text(spark):
+    body = " ".join(f"w{i % 7919}" for i in range(120000))
+    rows = [(1, body), (2, "head " + body[:400000]), (3, "a " * 100000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in rc.remove_repeats(df).collect()}
+    assert got == brute(rows, 13)
