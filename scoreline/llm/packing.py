@@ -14,6 +14,7 @@ but the slack is ever padded.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -29,126 +30,68 @@ from scoreline.llm import words as wd
 
 CAPACITY = 1024
 SLACK = 1 / 64          # share of a sequence that whole pieces may leave empty
-CACHE_CHUNKS = 1 << 20  # encoded chunks that a task remembers, at most (a power of two)
-CACHE_IDS = 1 << 22     # their ids, at most (and those of one block)
+BATCH_PIECES = 8192     # pieces handed to Spark at once
 END_ID = 0
 
-_SPACE = 0x20
-_BLANK = np.zeros(256, dtype=bool)       # bytes that can begin or be part of white space
-_BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
-_BLANK[0x80:] = True                     # Unicode spaces: not told apart, never a cut
+# fixed value: the word pattern of byte-level tokenizers (possessive form of the same matches)
+_PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable Latin-1 stands
+    for itself, the others follow from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
+def _fast(spec: dict):
+    """The same tokenizer as a rank table, if the file is plain byte-level BPE with merges in
+    the order of their ids; else None."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if (model.get("type") != "BPE" or spec.get("normalizer") or pre.get("type") != "ByteLevel"
+            or pre.get("add_prefix_space") or not pre.get("use_regex", True)
+            or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback",
+                                          "end_of_word_suffix", "ignore_merges"))
+            or any(t.get(k) for t in spec["added_tokens"]
+                   for k in ("single_word", "lstrip", "rstrip", "normalized"))):
+        return None
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    byte_of = _byte_of()
+    vocab = {t: i for t, i in model["vocab"].items() if t not in special}
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if (not all(c in byte_of for t in vocab for c in t) or None in merged
+            or merged != sorted(set(merged)) or len(merged) + 256 != len(vocab)):
+        return None
+    import tiktoken
+    return tiktoken.Encoding("vocabulary", pat_str=_PATTERN, special_tokens=special,
+                             mergeable_ranks={bytes(map(byte_of.get, t)): i for t, i in vocab.items()})
 
 
 class Encoder:
-    """Ids of whole texts by a byte-level BPE tokenizer, one encoding per distinct chunk.
-
-    Byte-level pre-tokens never reach over a place where a single space stands between two
-    bytes that are no white space, so texts are cut there and every distinct chunk is
-    encoded once per task (as long as the bounded memory of chunks holds it).  Unknown
-    chunks are encoded joined together: the cuts between them are pre-token limits again,
-    and as every id of a byte-level vocabulary stands for a fixed number of bytes, the
-    running byte count tells which ids belong to which chunk."""
+    """Ids of whole texts.  Plain byte-level BPE files are read as a rank table, which gives
+    the same ids several times faster; others, and texts whose white space is too long for
+    that, go through the tokenizer itself."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"    # one thread per task
-        from tokenizers import Tokenizer
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        vocab = self.tok.get_vocab(with_added_tokens=True)
-        self.width = np.zeros(max(vocab.values()) + 1, dtype=np.int64)
-        for piece, i in vocab.items():     # one character per byte, but for added tokens
-            self.width[i] = len(piece.encode()) if piece in self.special else len(piece)
-        self.free()
-
-    def _forget(self) -> None:
-        # a chunk's slot is the low bits of its name; a later chunk takes over the slot
-        self.name = np.zeros(CACHE_CHUNKS, np.uint64)
-        self.at = np.zeros(CACHE_CHUNKS, np.uint32)  # first id of the chunk in ``flat``
-        self.size = np.zeros(CACHE_CHUNKS, np.uint32)
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-
-    def free(self) -> None:
-        """Give the remembered chunks back (the worker lives on)."""
-        self.name = self.at = self.size = self.flat = None
-
-    def _run(self, texts: list[str]) -> list[list[int]]:
-        run = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-        return [e.ids for e in run(texts, add_special_tokens=False)]
-
-    def _encode(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of the chunks, number of ids of each): chunks with a leading space and a
-        last byte that is no white space are joined, others go alone."""
-        a = np.frombuffer(raw, dtype=np.uint8)
-        length = ends - starts
-        joins = (length > 1) & (a[starts] == _SPACE) & ~_BLANK[a[ends - 1]]
-        joins &= ~_BLANK[a[np.minimum(starts + 1, len(a) - 1)]]
-        order = np.argsort(~joins, kind="stable")
-        n = int(joins.sum())
-        texts, sizes = [], [np.zeros(0, np.int64)]
-        bytes_to = np.append(0, np.cumsum(length[order[:n]]))
-        i = 0
-        while i < n:                                  # strings of about 64 KB
-            j = max(i + 1, int(np.searchsorted(bytes_to, bytes_to[i] + 65536, "right")) - 1)
-            texts.append(b"".join(raw[s:e] for s, e in zip(
-                starts[order[i:j]].tolist(), ends[order[i:j]].tolist())).decode())
-            i = j
-        flat = [np.array(x, dtype=np.uint32) for x in self._run(texts)] if texts else []
-        joined = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-        ends_at = np.cumsum(self.width[joined])
-        cuts = np.searchsorted(ends_at, bytes_to, "right")
-        if n and not np.array_equal(ends_at[cuts[1:] - 1], bytes_to[1:]):
-            raise ValueError("not a byte-level vocabulary: ids do not follow the bytes")
-        sizes.append(np.diff(cuts))
-        alone = self._run([raw[s:e].decode() for s, e in zip(
-            starts[order[n:]].tolist(), ends[order[n:]].tolist())])
-        sizes.append(np.array([len(x) for x in alone], dtype=np.int64))
-        ids = np.concatenate([joined, *[np.array(x, dtype=np.uint32) for x in alone]])
-        size = np.empty(len(starts), dtype=np.int64)
-        size[order] = np.concatenate(sizes)
-        at = np.empty(len(starts), dtype=np.int64)
-        run = size[order]
-        at[order] = np.cumsum(run) - run
-        return ids[wd.ragged(at, size)], size
-
-    def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
-        n = len(buf)
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        cut = np.zeros(n + 1, dtype=bool)
-        if n > 2:
-            blank = _BLANK[buf]
-            cut[1:n - 1] = (buf[1:-1] == _SPACE) & ~blank[:-2] & ~blank[2:]
-        cut[offs] = True
-        starts = np.flatnonzero(cut[:n])
-        ends = np.append(starts[1:], n)
-        names, first, back = np.unique(wd.names(buf, starts, ends), return_index=True,
-                                       return_inverse=True)
-        names[names == 0] = 1                        # 0 marks a free slot
-        if self.name is None or self.used > CACHE_IDS:
-            self._forget()
-        slot = (names & np.uint64(CACHE_CHUNKS - 1)).astype(np.int64)
-        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
-        new = np.flatnonzero(self.name[slot] != names)
-        if len(new):
-            ids, n_ids = self._encode(buf.tobytes(), starts[first[new]], ends[first[new]])
-            need = self.used + len(ids)
-            if need > len(self.flat):
-                flat = np.zeros(max(need, 2 * len(self.flat)), np.uint32)
-                flat[:self.used] = self.flat[:self.used]
-                self.flat = flat
-            self.flat[self.used:need] = ids
-            at[new], size[new] = self.used + np.cumsum(n_ids) - n_ids, n_ids
-            self.name[slot[new]], self.at[slot[new]], self.size[slot[new]] = \
-                names[new], at[new], n_ids
-            self.used = need
-        size = size[back]
-        total = np.append(0, np.cumsum(size))
-        first_chunk = np.searchsorted(starts, offs)
-        return self.flat[wd.ragged(at[back], size)], np.diff(total[first_chunk])
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            self.fast = _fast(json.load(f))
+        self.slow = None
+
+    def encode(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=())
+            except ValueError:
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer
+            self.slow = Tokenizer.from_file(self.path)
+            self.slow.no_padding()
+            self.slow.no_truncation()
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
 def cut_lengths(rest: int, capacity: int, slack: float) -> list[int]:
@@ -246,17 +189,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack:
         enc = Encoder(tokenizer_path)
         packer = Packer(capacity, slack, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for part, buf, offs in wd.blocks(batch):
-                flat, size = enc.encode(buf, offs)
-                ends = np.cumsum(size)
-                for doc, a, b in zip(part.column(0).to_pylist(), (ends - size).tolist(),
-                                     ends.tolist()):
-                    packer.add(doc, np.append(flat[a:b], np.uint32(END_ID)))
-                if packer.rows:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                packer.add(doc, np.append(enc.encode(text.as_py() or ""), np.uint32(END_ID)))
+                if len(packer.rows) >= BATCH_PIECES:
                     yield table(packer.rows)
                     packer.rows = []
-        enc.free()               # the worker lives on
-        del enc
+        del enc                  # the worker lives on
         wd.release()
         packer.finish()
         if packer.rows:

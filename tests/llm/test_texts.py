@@ -253,3 +253,20 @@ def test_clashing_columns(spark, documents):
     assert licenses.scan(documents).count() == documents.count()
     assert wordpiece.token_counts(documents, tokenizer_path()).count() == documents.count()
     assert pii.mask(documents).columns == documents.columns
+
+
+def test_rank_table_gives_the_tokenizers_ids():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    enc, tok = packing.Encoder(path), Tokenizer.from_file(path)
+    assert enc.fast is not None
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\t", " ", "　", "a", "B", "é", "1", "٣", "'s", "'ll", "’", "?!",
+             "中", "😀", "<|endoftext|>", "\r\n", "\x00", "x" * 30, " " * 20]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    texts += ["".join(f"a{chr(c)}b {chr(c)}1 {chr(c)}  " for c in range(i, i + 997) if not 0xD800 <= c < 0xE000)
+              for i in range(1, 0x20000, 997)]
+    texts += [" " * 300000 + "a", "\n" * 300000 + "b c", "x" * 200000]       # beyond the fast form
+    for t in texts:
+        assert enc.encode(t).tolist() == tok.encode(t, add_special_tokens=False).ids
