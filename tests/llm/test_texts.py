@@ -1,6 +1,7 @@
 """Packing, token counts, licences and personal data against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 
