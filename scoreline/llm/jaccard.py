@@ -36,6 +36,7 @@ from scoreline.llm.tables import Tables, components
 
 LEVELS = (2, 8, 64, 512)   # counts at which a shingle's level rises
 PASSES = 4             # shares of the shingles counted one after the other (a power of two)
+SLICE = 1 << 18        # shingles handled at once inside a task
 BLOCK_DOCS = 1024      # classes of one block
 BLOCK_SHINGLES = 1 << 20
 MU = 0.0085            # DivideSkip's cost ratio of probing to merging
@@ -248,11 +249,24 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     largest = classes.agg(F.max("size")).first()[0] or 1
     sizes = SizeClasses(num, den, largest)
 
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with at most ``SLICE`` shingles together, or one row."""
+        for batch in batches:
+            first = batch.column(1).offsets.to_numpy()
+            i = 0
+            while i < batch.num_rows:
+                j = int(np.searchsorted(first, first[i] + SLICE, side="right")) - 1
+                j = min(max(j, i + 1), batch.num_rows)
+                yield batch.slice(i, j - i)
+                i = j
+        wd.release()
+
     def once(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Names, shingles and firsts of a batch, equal sets of the batch once."""
         names, lists = batch.column(0).to_numpy().view(U64), batch.column(1)
-        h = lists.flatten().to_numpy().view(U64)
-        first = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        first = lists.offsets.to_numpy().astype(np.int64)
+        h = lists.values.to_numpy()[first[0]:first[-1]].view(U64)
+        first = first - first[0]
         keep = np.zeros(len(names), dtype=bool)
         keep[np.unique(names, return_index=True)[1]] = True
         size = np.where(keep, np.diff(first), 0)
@@ -261,11 +275,10 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     def shingles(share: int):
         """Shingles of one of ``PASSES`` equal shares of the hashes."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches):
                 h = once(batch)[1]
                 h = h[(h & U64(PASSES - 1)) == U64(share)]
                 yield pa.RecordBatch.from_arrays([pa.array(wd.i64(h))], names=["sh"])
-            wd.release()
         return run
 
     named = known.select("name", "h")
@@ -276,7 +289,7 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
     tables.drop(*counted)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, h, first = once(batch)
             token, doc = prefixes(h, first, levels, num, den)
             # a document's shingles under its own size range and, if need be, the one below
@@ -288,7 +301,6 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
             yield pa.RecordBatch.from_arrays(
                 [pa.array(wd.i64(wd.mix(token[at] + c * U64(0x9E3779B97F4A7C15)))),
                  pa.array(wd.i64(names[doc[at]]))], names=["sig", "name"])
-        wd.release()
 
     sigs = tables.put(named.mapInArrow(sign, "sig long, name long"))
     shared = tables.put(sigs.groupBy("sig").agg(
