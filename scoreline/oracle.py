@@ -823,3 +823,17 @@ FROM (SELECT g.game_id AS GAME_ID, strftime(g.game_date, '%Y-%m-%d') AS GAME_DAT
                       CASE WHEN g.away_pts > g.home_pts THEN 'W' WHEN g.away_pts < g.home_pts THEN 'L' END,
                       g.away_pts) s) raw
 """, "fx_games")
+
+SQL["odds_stream_late"] = SQL["odds_stream_candles"].replace(
+    "AS n_snapshots\nFROM fx_odds_snapshots",
+    "AS n_snapshots,\n       (SELECT count(*) FROM fx_odds_snapshots) AS n_accounted\nFROM fx_odds_snapshots")
+
+SQL["odds_stream_live"] = with_fx("""
+SELECT game_id, book, market, side, closing_odds AS american_odds, closing_at AS captured_at,
+       CAST(0 AS BIGINT) AS state_rows, TRUE AS many_batches
+FROM closing""", "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, _PRETIP, _CLOSE])
+
+SQL["odds_stream_bursts"] = with_fx("""
+SELECT game_id, book, market, side, burst_start, burst_end, n_snapshots, open_odds, close_odds
+FROM (""" + SQL["move_bursts"].split("FROM events\n)", 1)[1].lstrip("\n ") + """) b
+WHERE burst_end <= (SELECT max(captured_at) FROM fx_odds_snapshots) - INTERVAL 1 DAY""", "fx_odds_snapshots")

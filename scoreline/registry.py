@@ -19,7 +19,7 @@ from scoreline.sources import fixtures as fx
 from scoreline.sources import landing
 from scoreline.sources import tables
 from scoreline.sources.tables import load
-from scoreline.streaming import odds_stream
+from scoreline.streaming import late, live, odds_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -551,3 +551,77 @@ def q_land_game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = landing.write_table(fx.fx_game_log(spark, sf_dir), path, "replace", ["SEASON"])
     back = spark.read.schema(tables.RAW_GAME_LOG).parquet(path)
     return back.withColumn("rows_written", F.lit(written).cast("bigint"))
+
+
+ARRIVALS, MAX_FILES = 30, 3      # files of a feed, and files of a micro-batch
+
+
+def arriving_in_order(spark: SparkSession, sf_dir: str, base: str, files: int = 12) -> str:
+    """Snapshot files landed one after the other in event-time order, the first one again at
+    the end (an at-least-once feed)."""
+    snaps = fx.fx_odds_snapshots(spark, sf_dir).checkpoint()
+    days = [r[0] for r in snaps.select(F.to_date("captured_at").alias("d")).distinct()
+            .orderBy("d").collect()]                      # calendar days
+    step = -(-len(days) // files)
+    parts = [days[i:i + step] for i in range(0, len(days), step)]
+    path = f"{base}/input"
+    for part in [*parts, parts[0]]:
+        snaps.where(F.to_date("captured_at").isin(part)).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@register("odds_stream_late")
+def q_odds_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily candles of a feed whose files arrive shuffled and partly twice: late rows go to a
+    side table and correct their keys; ``n_accounted`` counts streamed and late snapshots."""
+    base = odds_stream.stream_dir(spark)
+    snaps = fx.fx_odds_snapshots(spark, sf_dir)
+    snaps.repartition(ARRIVALS, F.xxhash64("snapshot_id")).write.parquet(f"{base}/input")
+    snaps.where(F.col("snapshot_id") % 10 == 0).coalesce(1).write.mode("append").parquet(f"{base}/input")
+    schema = tables.ODDS_SNAPSHOTS
+    late.split_late(spark, f"{base}/input", base, schema, MAX_FILES)
+    stream = odds_stream.snapshot_stream(spark, late.on_time_path(base), MAX_FILES)
+    odds_stream.run_to_log(odds_stream.daily_candles(stream), f"{base}/log", f"{base}/checkpoint")
+    keys = ["w", *prices.LINE_KEYS]
+    streamed = odds_stream.compact(spark, f"{base}/log", keys)
+
+    def typed(df: DataFrame) -> DataFrame:
+        return df.withColumn("captured_at", F.col("captured_at").cast("timestamp"))
+
+    out = late.corrected(
+        spark, base, streamed, schema, lambda df: odds_stream.daily_candles(typed(df)), keys,
+        lambda df: df.withColumn("w", F.window(F.col("captured_at").cast("timestamp"),
+                                               odds_stream.CANDLE_WIDTH)))
+    counted = streamed.agg(F.sum("n_snapshots")).first()[0] + late.late_rows(spark, base, schema).count()
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *prices.LINE_KEYS,
+                      "open_odds", "close_odds", "high_odds", "low_odds", "n_snapshots",
+                      F.lit(counted).cast("bigint").alias("n_accounted"))
+
+
+@register("odds_stream_live")
+def q_odds_stream_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current price per line over at least ten micro-batches, with the state left after the
+    last tip-off (none)."""
+    base = odds_stream.stream_dir(spark)
+    stream = odds_stream.snapshot_stream(spark, arriving_in_order(spark, sf_dir, base), 1)
+    with live.rocksdb(spark):
+        odds_stream.run_to_log(live.open_lines(stream, tipoffs(spark, sf_dir)), f"{base}/log",
+                               f"{base}/checkpoint")
+    left = live.state_rows(spark, f"{base}/checkpoint")
+    batches = spark.read.parquet(f"{base}/log").select("_batch").distinct().count()
+    out = odds_stream.compact(spark, f"{base}/log", list(prices.LINE_KEYS))
+    return out.select(*prices.LINE_KEYS, "american_odds",
+                      F.col("captured_at").cast("timestamp_ntz").alias("captured_at"),
+                      F.lit(left).cast("bigint").alias("state_rows"),
+                      F.lit(batches >= 8).alias("many_batches"))
+
+
+@register("odds_stream_bursts")
+def q_odds_stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of activity per line, emitted once their end has passed the watermark."""
+    base = odds_stream.stream_dir(spark)
+    stream = odds_stream.snapshot_stream(spark, arriving_in_order(spark, sf_dir, base), 1)
+    odds_stream.run_append(odds_stream.move_bursts(stream), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/out").select(
+        *prices.LINE_KEYS, F.col("s.start").cast("timestamp_ntz").alias("burst_start"),
+        F.col("s.end").cast("timestamp_ntz").alias("burst_end"), "n_snapshots", "open_odds", "close_odds")

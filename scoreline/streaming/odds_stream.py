@@ -111,6 +111,12 @@ def _close_game(key, pdfs, state):
                              "closing_at": pd.to_datetime(list(at_us), unit="us"),
                              "tip_at": [pd.Timestamp(tip_ms, unit="ms")] * n})
 
+    def latest(frames):
+        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+        if rows.empty:
+            return rows
+        return rows.sort_values(["at_us", "snap"]).groupby(_LINE, sort=False).tail(1)
+
     if state.hasTimedOut:
         books, markets, sides, odds, at_us, _snaps, tip_ms = state.get
         state.remove()
@@ -134,10 +140,11 @@ def _close_game(key, pdfs, state):
                                     "odds": pdf["american_odds"].to_numpy()[keep],
                                     "at_us": at[keep],
                                     "snap": pdf["snapshot_id"].to_numpy()[keep]}))
-    lines = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
+        frames = [latest(frames)]              # a row per line, whatever the batch brings
+    lines = latest(frames)
     if lines.empty or tip_ms is None:
         return
-    last = lines.sort_values(["at_us", "snap"]).groupby(_LINE, sort=False).tail(1)
+    last = lines
     cols = (last["book"].tolist(), last["market"].tolist(), last["side"].tolist(),
             [int(x) for x in last["odds"]], [int(x) for x in last["at_us"]])
     if tip_ms <= state.getCurrentWatermarkMs():
