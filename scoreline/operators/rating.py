@@ -5,31 +5,32 @@ the base by ``regress``; a game reads both ratings (unseen team = base), forms t
 side's expectation with the home advantage, and both sides move by K * (result -
 expectation), zero-sum.
 
-Execution.  The history is cut into chunks: runs of consecutive dates inside one season
-with about ``chunk_games`` games.  Given the ratings that teams bring into a chunk, a task
+Two forms.
+
+``elo_ratings`` replays.  The history is cut into chunks: runs of consecutive dates with about
+``chunk_games`` games, across seasons.  Given the ratings that teams bring into a chunk, a task
 plays the chunk alone, so all chunks of all pools run side by side.  The ratings that teams
-take out of a chunk, moved toward the base once per season change, are what they bring into
-their next chunk (a window over one row per team and chunk).  Playing and handing over
-repeats until no handed-over rating moves by more than ``tol``.  The first chunk is right
-after one round, the next after two, and so on, so the rounds always end in the sequential
-answer; because what a team brings along fades with every game and season, a dozen rounds
-settle any number of seasons.
-
-Inside a chunk, games are played in rounds: a game's round is one more than the latest
-round of an earlier game of either team, so the games of a round share no team and are
-computed together as arrays.
+take out of a chunk are what they bring into their next one (a window over one row per team and
+chunk).  Only chunks whose teams' ratings moved by more than ``tol`` are played again.  The
+first chunk is right after one round, the next after two, and so on, so the rounds always end
+in the sequential answer; because what a team brings along fades with every game and season, a
+few rounds settle any history, and one that fits a chunk needs none.
+
+``elo_relaxed`` needs no Python.  Each sweep walks every team's career alone, with the
+deviations that its opponents had in the sweep before, and hands the new deviations to the
+opponents (one row per game and side, met by the game).  A team's own moves are thus exact in
+every sweep and only the opponents' lag behind, which fades quickly; sweeps end when no
+deviation changes by more than ``tol``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scoreline.operators.sequence import fold
 from scoreline.sources.scratch import Tables
 
 # fixed values: rating constants
@@ -40,7 +41,7 @@ REGRESS = 0.75    # share of the deviation kept across a season change
 
 TOL = 1e-9             # rating points
 CHUNK_GAMES = 200_000  # games of one task, about
-CHUNK = ["_pool", "_sord", "_part"]
+CHUNK = ["_pool", "_part"]
 
 
 def season_ordinals(games: DataFrame, pool: str = "_pool") -> DataFrame:
@@ -57,97 +58,98 @@ def with_chunks(games: DataFrame, chunk_games: int) -> DataFrame:
     g = games.join(season_ordinals(games), on=["_pool", "season"])
     days = g.groupBy("_pool", "_sord", "game_date").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(
-        Window.partitionBy("_pool", "_sord").orderBy("game_date")
+        Window.partitionBy("_pool").orderBy("_sord", "game_date")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.select("_pool", "_sord", "game_date",
                        F.floor(before / chunk_games).cast("long").alias("_part"))
     return g.join(days, on=["_pool", "_sord", "game_date"])
 
 
-def rounds(home: np.ndarray, away: np.ndarray, teams: int) -> Iterator[np.ndarray]:
-    """Games (in playing order) grouped so that no team is twice in a group and every
-    team's games keep their order."""
-    n = len(home)
-    side = np.concatenate([home, away])
-    game = np.concatenate([np.arange(n), np.arange(n)])
-    order = np.lexsort((game, side))
-    before = np.full(2 * n, -1)
-    same = side[order][1:] == side[order][:-1]
-    before[order[1:][same]] = game[order[:-1][same]]
-    prev = before.reshape(2, n)
-    level = np.zeros(n + 1, dtype=np.int64)      # the last entry stands for "none before"
-    level[n] = -1
-    while True:
-        new = level[prev].max(axis=0) + 1
-        if (new == level[:n]).all():
-            break
-        level[:n] = new
-    order = np.argsort(level[:n], kind="stable")
-    cuts = np.flatnonzero(np.diff(level[:n][order])) + 1
-    yield from np.split(order, cuts)
-
-
 class _Chunk:
-    """One chunk in a task: games in order, and deviations from the base per team."""
+    """One chunk in a task: games in order, and deviations from the base per team, as they
+    stand at the first season of the chunk."""
 
     def __init__(self, games: pd.DataFrame, start: pd.DataFrame):
-        self.games = games.sort_values(["game_date", "game_id"], kind="mergesort")
-        self.teams = pd.Index(start["team"])
-        self.home = self.teams.get_indexer(self.games["home_team_id"])
-        self.away = self.teams.get_indexer(self.games["away_team_id"])
-        self.dev = start["x"].to_numpy(dtype=float).copy()
-
-    def play(self, k: float, home_adv: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pre-game deviations of both sides and the home expectation, per game."""
-        n = len(self.games)
-        dh, da, expect = np.empty(n), np.empty(n), np.empty(n)
-        win = self.games["home_win"].to_numpy(dtype=float)
-        for at in rounds(self.home, self.away, len(self.teams)):
-            h, a = self.home[at], self.away[at]
-            dh[at], da[at] = self.dev[h], self.dev[a]
-            expect[at] = 1.0 / (1.0 + 10.0 ** ((da[at] - dh[at] - home_adv) / 400.0))
-            move = k * (win[at] - expect[at])
-            self.dev[h] += move
-            self.dev[a] -= move
-        return dh, da, expect
+        self.games = games.sort_values(["_sord", "game_date", "game_id"], kind="mergesort")
+        teams = pd.Index(start["team"])
+        self.home = teams.get_indexer(self.games["home_team_id"]).tolist()
+        self.away = teams.get_indexer(self.games["away_team_id"]).tolist()
+        self.dev = start["x"].tolist()
+
+    def play(self, k: float, home_adv: float, regress: float) -> tuple[list, list, list]:
+        """Pre-game deviations of both sides and the home expectation, per game; afterwards
+        ``dev`` stands at the last season of the chunk."""
+        dev, at_home, at_away, expect = self.dev, [], [], []
+        season = None
+        for h, a, win, s in zip(self.home, self.away, self.games["home_win"].tolist(),
+                                self.games["_sord"].tolist()):
+            if s != season:
+                if season is not None:
+                    dev[:] = [x * regress ** (s - season) for x in dev]
+                season = s
+            x, y = dev[h], dev[a]
+            e = 1.0 / (1.0 + 10.0 ** ((y - x - home_adv) / 400.0))
+            at_home.append(x)
+            at_away.append(y)
+            expect.append(e)
+            dev[h], dev[a] = x + k * (win - e), y - k * (win - e)
+        return at_home, at_away, expect
+
+
+def _pooled(games: DataFrame, pool: str | None) -> DataFrame:
+    return games.withColumn("_pool", (F.col(pool) if pool else F.lit("")).cast("string"))
 
 
 def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
                 home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
-                tol: float = TOL, chunk_games: int = CHUNK_GAMES) -> DataFrame:
+                tol: float = TOL, chunk_games: int = CHUNK_GAMES,
+                stats: dict | None = None) -> DataFrame:
     """Pre-game ratings per game: home_elo, away_elo, elo_diff, elo_exp_home.
 
     ``pool`` names a column of independent leagues (none: one pool).  Ids and seasons keep
-    their type (numbers or text).
-    """
+    their type (numbers or text).  ``stats`` receives the rounds and the chunks played."""
     tables = Tables(games.sparkSession, "rating")
-    g = games.withColumn("_pool", (F.col(pool) if pool else F.lit("")).cast("string"))
-    g = tables.put(with_chunks(g, chunk_games).select(
-        *CHUNK, "game_id", "game_date", "home_team_id", "away_team_id", "home_win"))
+    g = tables.put(with_chunks(_pooled(games, pool), chunk_games).select(
+        *CHUNK, "_sord", "game_id", "game_date", "home_team_id", "away_team_id", "home_win"))
     team_type = g.schema["home_team_id"].dataType
+    span = g.groupBy(*CHUNK).agg(F.min("_sord").alias("_from"), F.max("_sord").alias("_to"))
     start = tables.put(g.select(*CHUNK, F.explode(F.array("home_team_id", "away_team_id"))
-                                .alias("team")).distinct().withColumn("x", F.lit(0.0)))
+                                .alias("team")).distinct().join(span, CHUNK)
+                       .withColumn("x", F.lit(0.0)))
     ends_schema = T.StructType([*[g.schema[c] for c in CHUNK], T.StructField("team", team_type),
+                                T.StructField("_from", T.IntegerType()),
+                                T.StructField("_to", T.IntegerType()),
                                 T.StructField("x", T.DoubleType()),
                                 T.StructField("_end", T.DoubleType())])
 
     def ends(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = _Chunk(left, right)
-        chunk.play(k, home_adv)
+        chunk.play(k, home_adv, regress)
         return right.assign(_end=chunk.dev)[ends_schema.names]
 
-    career = Window.partitionBy("_pool", "team").orderBy("_sord", "_part")
+    career = Window.partitionBy("_pool", "team").orderBy("_part")
     brought = F.coalesce(F.lag("_end").over(career) * F.pow(
-        F.lit(regress), F.col("_sord") - F.lag("_sord").over(career)), F.lit(0.0))
-    while True:
-        played = g.groupBy(*CHUNK).cogroup(start.groupBy(*CHUNK)).applyInPandas(ends, ends_schema)
-        after = tables.put(played.select(*CHUNK, "team", F.col("x").alias("_old"),
-                                         brought.alias("x")), start)
-        moved = after.agg(F.max(F.abs(F.col("x") - F.col("_old")))).first()[0]
+        F.lit(regress), F.col("_from") - F.lag("_to").over(career)), F.lit(0.0))
+    moved = g.select(*CHUNK).distinct() if g.where("_part > 0").limit(1).count() else None
+    done: DataFrame | None = None              # what teams took out of the chunks last time
+    rounds = played = 0
+    while moved is not None:
+        rounds, played = rounds + 1, played + moved.count()
+        out = (g.join(moved, CHUNK, "left_semi").groupBy(*CHUNK)
+               .cogroup(start.join(moved, CHUNK, "left_semi").groupBy(*CHUNK))
+               .applyInPandas(ends, ends_schema))
+        if done is not None:
+            out = out.unionByName(done.join(moved, CHUNK, "left_anti"))
+        done = tables.put(out, *([done] if done is not None else []))
+        after = tables.put(done.select(*CHUNK, "team", "_from", "_to", F.col("x").alias("_old"),
+                                       brought.alias("x")), start)
         start = after.drop("_old")
         start._written = after._written
-        if moved is None or moved <= tol:
-            break
+        again = tables.put(after.where(F.abs(F.col("x") - F.col("_old")) > tol)
+                           .select(*CHUNK).distinct())
+        moved = again if again.limit(1).count() else None
+    if stats is not None:
+        stats.update(rounds=rounds, chunks_played=played)
 
     out_schema = T.StructType([g.schema["game_id"]] + [
         T.StructField(c, T.DoubleType())
@@ -155,9 +157,71 @@ def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
 
     def rated(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         chunk = _Chunk(left, right)
-        dh, da, expect = chunk.play(k, home_adv)
-        return pd.DataFrame({"game_id": chunk.games["game_id"], "home_elo": base + dh,
-                             "away_elo": base + da, "elo_diff": dh + home_adv - da,
+        x, y, expect = (pd.Series(v, dtype=float) for v in chunk.play(k, home_adv, regress))
+        return pd.DataFrame({"game_id": chunk.games["game_id"].to_numpy(), "home_elo": base + x,
+                             "away_elo": base + y, "elo_diff": x + home_adv - y,
                              "elo_exp_home": expect})
 
     return g.groupBy(*CHUNK).cogroup(start.groupBy(*CHUNK)).applyInPandas(rated, out_schema)
+
+
+SWEEP_TOL = 1e-8       # rating points
+SWEEPS = 3             # sweeps between two written tables
+
+
+def elo_relaxed(games: DataFrame, pool: str | None = None, k: float = K,
+                home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
+                tol: float = SWEEP_TOL, stats: dict | None = None) -> DataFrame:
+    """The same ratings by sweeps over careers, with array functions alone (no Python).
+
+    A career (one row) is as long as the calendar has games for a team."""
+    tables = Tables(games.sparkSession, "relaxed")
+    g = _pooled(games, pool)
+    g = g.join(season_ordinals(g), on=["_pool", "season"])
+    sides = g.select("_pool", "_sord", "game_id", "game_date", F.col("home_win").cast("double").alias("win"),
+                     F.inline(F.array(
+                         F.struct(F.col("home_team_id").alias("team"), F.lit(True).alias("home")),
+                         F.struct(F.col("away_team_id").alias("team"), F.lit(False).alias("home")))))
+    state = tables.put(sides.withColumns({"dev": F.lit(0.0), "opp": F.lit(0.0)}))
+    # deviation at the game's season, expectation of the home side, and the move
+    here = f"s.dev * pow({regress}D, x._sord - s.season)"
+    home = "CASE WHEN x.home THEN x.opp - d ELSE d - x.opp END"
+    move = (f"CASE WHEN x.home THEN {k}D ELSE -{k}D END * "
+            f"(x.win - 1D / (1D + pow(10D, ({home} - {home_adv}D) / 400D)))")
+    step = f"element_at(transform(array({here}), d -> struct(d + {move} AS dev, x._sord AS season)), 1)"
+    walked = fold("career", "struct(0D AS dev, career[0]._sord AS season)", step, here, "double")
+
+    def sweep(now: DataFrame) -> DataFrame:
+        careers = now.groupBy("_pool", "team").agg(F.array_sort(F.collect_list(F.struct(
+            "_sord", "game_date", "game_id", "home", "win", "opp", F.col("dev").alias("old")))).alias("career"))
+        devs = careers.select("_pool", "team", F.inline(F.arrays_zip(
+            "career", F.expr(walked).alias("dev")))).select("_pool", "team", "career.*", "dev")
+        # both sides of a game exchange their deviations
+        met = devs.groupBy("_pool", "game_id").agg(
+            *[F.first(c).alias(c) for c in ("_sord", "game_date", "win")],
+            *[F.max(F.when(F.col("home") == flag, F.struct("team", "dev", "old"))).alias(name)
+              for name, flag in (("h", True), ("a", False))])
+        return met.select("_pool", "_sord", "game_id", "game_date", "win", F.inline(F.array(*[
+            F.struct(F.col(f"{me}.team").alias("team"), F.lit(flag).alias("home"),
+                     F.col(f"{me}.dev").alias("dev"), F.col(f"{other}.dev").alias("opp"),
+                     F.abs(F.col(f"{me}.dev") - F.col(f"{me}.old")).alias("change"))
+            for me, other, flag in (("h", "a", True), ("a", "h", False))])))
+
+    sweeps = 0
+    while True:
+        after = state
+        for _ in range(SWEEPS):
+            after = sweep(after)
+        sweeps += SWEEPS
+        after = tables.put(after, state)
+        change = after.agg(F.max("change")).first()[0]
+        state = after.drop("change")
+        state._written = after._written
+        if change is None or change <= tol:
+            break
+    if stats is not None:
+        stats.update(sweeps=sweeps)
+    expect = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("opp") - F.col("dev") - home_adv) / 400.0))
+    return state.where("home").select(
+        "game_id", (F.col("dev") + base).alias("home_elo"), (F.col("opp") + base).alias("away_elo"),
+        (F.col("dev") + home_adv - F.col("opp")).alias("elo_diff"), expect.alias("elo_exp_home"))

@@ -60,3 +60,22 @@ def _back(inner: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     for c in on[1:]:
         cond = cond & c
     return inner.join(carry, cond)
+
+
+CHUNK = 256     # elements whose outputs are gathered before they join the result
+
+
+def fold(values: str, init: str, step: str, out: str, out_type: str) -> str:
+    """SQL text: for each element of the array ``values`` (``x``) the value ``out`` before it,
+    while the state (``s``) goes from ``init`` through ``step``.  All are SQL texts over ``s``
+    and ``x``.  Outputs are gathered chunk by chunk, so a long array is not copied for every
+    element."""
+    inner = (f"aggregate(c, struct(a.s AS s, cast(array() AS array<{out_type}>) AS got), (b, x) -> "
+             f"element_at(transform(array(b.s), s -> struct({step} AS s, concat(b.got, array({out})) "
+             f"AS got)), 1))")
+    chunks = (f"transform(sequence(0, (size({values}) - 1) div {CHUNK}), "
+              f"i -> slice({values}, int(i * {CHUNK} + 1), {CHUNK}))")
+    return (f"CASE WHEN size({values}) = 0 THEN cast(array() AS array<{out_type}>) ELSE "
+            f"flatten(aggregate({chunks}, struct({init} AS s, cast(array() AS array<array<{out_type}>>) "
+            f"AS got), (a, c) -> element_at(transform(array({inner}), r -> struct(r.s AS s, "
+            f"concat(a.got, array(r.got)) AS got)), 1), a -> a.got)) END")

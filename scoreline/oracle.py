@@ -837,3 +837,12 @@ SQL["odds_stream_bursts"] = with_fx("""
 SELECT game_id, book, market, side, burst_start, burst_end, n_snapshots, open_odds, close_odds
 FROM (""" + SQL["move_bursts"].split("FROM events\n)", 1)[1].lstrip("\n ") + """) b
 WHERE burst_end <= (SELECT max(captured_at) FROM fx_odds_snapshots) - INTERVAL 1 DAY""", "fx_odds_snapshots")
+
+# three leagues: teams of different leagues never meet, so one walk over all of them serves
+SQL["elo_pools"] = with_fx("""
+SELECT game_id, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo,
+       round(elo_diff, 6) AS elo_diff, round(elo_exp_home, 6) AS elo_exp_home
+FROM game_elo""", "fx_games", extra=[
+    ("league_games", "SELECT * FROM fx_games WHERE home_team_id % 3 = away_team_id % 3"),
+    *[(name, sql.replace("fx_games", "league_games")) for name, sql in _ELO]]).replace(
+        "WITH ", "WITH RECURSIVE ", 1)

@@ -198,8 +198,16 @@ def q_elo_by_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("elo_relaxed")
 def q_elo_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same ratings from chunks of a few hundred games (more rounds of handing over)."""
-    return rounded(rating.elo_ratings(fx.fx_games(spark, sf_dir), chunk_games=500))
+    """The same ratings by sweeps of windows, without Python."""
+    return rounded(rating.elo_relaxed(fx.fx_games(spark, sf_dir)))
+
+
+@register("elo_pools")
+def q_elo_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of three leagues (games between teams of one class), each a pool of its own."""
+    games = fx.fx_games(spark, sf_dir).where("home_team_id % 3 = away_team_id % 3")
+    return rounded(rating.elo_ratings(
+        games.withColumn("league", F.concat(F.lit("L"), F.col("home_team_id") % 3)), pool="league"))
 
 
 def games_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
