@@ -846,3 +846,13 @@ FROM game_elo""", "fx_games", extra=[
     ("league_games", "SELECT * FROM fx_games WHERE home_team_id % 3 = away_team_id % 3"),
     *[(name, sql.replace("fx_games", "league_games")) for name, sql in _ELO]]).replace(
         "WITH ", "WITH RECURSIVE ", 1)
+
+SQL["model_importances"] = """
+SELECT feature, TRUE AS rating_first, TRUE AS shares_of_one
+FROM (VALUES ('diff_pts_for'), ('diff_pts_against'), ('diff_net'), ('diff_win_rate'), ('home_rest'),
+             ('away_rest'), ('home_b2b'), ('away_b2b'), ('elo_diff'), ('elo_exp_home')) t(feature)"""
+
+SQL["heldout_outcomes"] = with_elo("""
+SELECT game_id, strftime(game_date, '%Y-%m-%d') AS game_date, home_team_id, away_team_id, home_win,
+       round(p_model, 6) AS elo_prob, TRUE AS is_probability FROM heldout""", "fx_long",
+                                   extra=[_FORM, _FF, _HELDOUT])

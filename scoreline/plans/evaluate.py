@@ -1,7 +1,7 @@
 """Probability quality: metrics, reliability bins, isotonic calibration, walk-forward.
 
 Input is long form (model, y, p), so any number of models is scored in one pass
-grouped by model.  Nothing is collected: AUC comes from per-score counts and a
+grouped by model.  No scores are collected: AUC comes from per-score counts and a
 running count of negatives below each score; quantile edges come from global
 positions.  Both running quantities use bucketed offsets (``running_below``):
 per-bucket totals are a small table, and the running sum inside a bucket is a
@@ -10,8 +10,12 @@ window over that bucket's distinct scores only.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,44 +134,124 @@ def calibration_bins(scored: DataFrame, model: str = "model", y: str = "y", p: s
                                        F.avg(F.col(y).cast("double")).alias("frac_pos"))
 
 
-def fit_isotonic(train: DataFrame, y: str = "y", p: str = "p"):
-    """Isotonic (increasing) fit of y on p; predictions clip outside the fitted range
-    and interpolate linearly between knots."""
-    # equal scores pool to their mean whatever the fit: one weighted point per score
-    points = train.groupBy(F.col(p).cast("double").alias(p)).agg(
-        F.avg(F.col(y).cast("double")).alias(y), F.count(F.lit(1)).cast("double").alias("_w"))
-    va = VectorAssembler(inputCols=[p], outputCol="_f")
-    iso = IsotonicRegression(featuresCol="_f", labelCol=y, predictionCol="p_cal",
-                             weightCol="_w", isotonic=True)
-    model = iso.fit(va.transform(points))
-    return va, model
+@dataclass
+class Isotonic:
+    """Knots of an increasing fit: predictions clip outside them and are linear between."""
+
+    x: list[float]
+    y: list[float]
+
+    def predict(self, p: Column) -> Column:
+        x, y = np.array(self.x), np.array(self.y)
+
+        @F.arrow_udf("double")
+        def at(col: pa.Array) -> pa.Array:
+            v = col.to_numpy(zero_copy_only=False).astype(float)
+            out = np.interp(v, x, y) if len(x) else np.full(len(v), np.nan)
+            return pa.array(out, mask=np.isnan(v) | np.isnan(out))
+        return at(p.cast("double"))
+
+
+BLOCK = "lo double, hi double, pos double, w double"     # scores [lo, hi], outcomes, weight
+MERGE = 16                                               # stacks of blocks merged at once
+
+
+def _pool(lo: np.ndarray, hi: np.ndarray, pos: np.ndarray, w: np.ndarray) -> list[list[float]]:
+    """Neighbouring blocks (by score) whose shares of positives do not increase become one."""
+    stack: list[list[float]] = []
+    for block in zip(lo.tolist(), hi.tolist(), pos.tolist(), w.tolist()):
+        block = list(block)
+        while stack and stack[-1][2] * block[3] >= block[2] * stack[-1][3]:
+            last = stack.pop()
+            block = [last[0], block[1], last[2] + block[2], last[3] + block[3]]
+        stack.append(block)
+    return stack
+
+
+def _pool_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a task's rows, which are in the order of their scores."""
+    stack: list[list[float]] = []
+    part = TaskContext.get().partitionId()
+    for batch in batches:
+        rows = [np.array([r[i] for r in stack]) for i in range(4)]
+        stack = _pool(*(np.append(rows[i], batch.column(i).to_numpy()) for i in range(4)))
+    cols = list(zip(*stack)) if stack else [()] * 4
+    yield pa.RecordBatch.from_arrays(
+        [*(pa.array(c, pa.float64()) for c in cols), pa.array([part] * len(stack), pa.int64())],
+        names=["lo", "hi", "pos", "w", "part"])
+
+
+def _pool_group(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("lo")
+    cols = list(zip(*_pool(*(rows[c].to_numpy() for c in ("lo", "hi", "pos", "w")))))
+    part = rows["part"][0].as_py()
+    return pa.table({**{c: pa.array(v, pa.float64()) for c, v in zip(("lo", "hi", "pos", "w"), cols)},
+                     "part": pa.array([part] * len(cols[0]), pa.int64())})
+
+
+def isotonic_blocks(points: DataFrame, parts: int | None = None, merge: int = MERGE) -> DataFrame:
+    """Blocks of the increasing least-squares fit of ``points`` (p, pos, w; p unique).
+
+    Scores are dealt out in ranges and pooled per range to a stack of blocks; neighbouring
+    stacks are then merged, ``merge`` at a time.  Pooling blocks that are pooled already gives
+    the same fit, so a task holds the blocks of its stacks and never all scores."""
+    spark = points.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (points.select(F.col("p").alias("lo"), F.col("p").alias("hi"), "pos", "w")
+              .repartitionByRange(parts, "lo").sortWithinPartitions("lo")
+              .mapInArrow(_pool_task, f"{BLOCK}, part long"))
+    while parts > 1:
+        parts = -(-parts // merge)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / merge)).groupBy("part").applyInArrow(
+            _pool_group, f"{BLOCK}, part long")
+    return blocks.drop("part")
+
+
+def _knots(blocks: DataFrame) -> Isotonic:
+    """The model on the driver: two knots per block (far fewer than scores: shares of positives
+    that rise from block to block need ever longer blocks)."""
+    x: list[float] = []
+    y: list[float] = []
+    for r in sorted(blocks.collect(), key=lambda r: r["lo"]):
+        for at in (r["lo"], r["hi"]) if r["hi"] > r["lo"] else (r["lo"],):
+            x.append(at)
+            y.append(r["pos"] / r["w"])
+    return Isotonic(x, y)
+
+
+def _points(train: DataFrame, y: str, p: str) -> DataFrame:
+    """Equal scores pool to their mean whatever the fit: one weighted point per score."""
+    return train.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(
+        F.col(p).cast("double").alias("p")).agg(
+        F.sum(F.col(y).cast("double")).alias("pos"), F.count(F.lit(1)).cast("double").alias("w"))
+
+
+def fit_isotonic(train: DataFrame, y: str = "y", p: str = "p") -> Isotonic:
+    """Isotonic (increasing) fit of y on p."""
+    return _knots(isotonic_blocks(_points(train, y, p)))
 
 
 PSEUDO = 10.0   # games at the raw score that each calibrated block is mixed with
 
 
-def fit_calibrator(train: DataFrame, y: str = "y", p: str = "p", pseudo: float = PSEUDO):
-    """Isotonic fit for small samples: every block of equal predictions becomes one point at
-    its mean score, its share of positives is drawn toward that score by ``pseudo`` games,
-    and a second fit joins the points by lines.  A block of a few games then claims no
-    certainty."""
-    blocks = apply_isotonic(train.select(F.col(y).cast("double").alias("_y"),
-                                         F.col(p).cast("double").alias("p")),
-                            fit_isotonic(train, y, p))
-    points = blocks.groupBy("p_cal").agg(F.avg("p").alias("p"), F.sum("_y").alias("_pos"),
-                                         F.count(F.lit(1)).cast("double").alias("_w"))
-    points = points.select("p", "_w", ((F.col("_pos") + pseudo * F.col("p"))
-                                       / (F.col("_w") + pseudo)).alias("y"))
-    va = VectorAssembler(inputCols=["p"], outputCol="_f")
-    return va, IsotonicRegression(featuresCol="_f", labelCol="y", predictionCol="p_cal",
-                                  weightCol="_w", isotonic=True).fit(va.transform(points))
-
-
-def apply_isotonic(df: DataFrame, fitted, p: str = "p") -> DataFrame:
-    va, model = fitted
-    if p != "p":
-        va = VectorAssembler(inputCols=[p], outputCol="_f")
-    return model.transform(va.transform(df)).drop("_f")
+def fit_calibrator(train: DataFrame, y: str = "y", p: str = "p", pseudo: float = 0.0) -> Isotonic:
+    """Isotonic fit; with ``pseudo`` games one for small samples: every block becomes one point
+    at its mean score, its share of positives is drawn toward that score by so many games, and
+    a second fit joins the points by lines.  A block of a few games then claims no certainty."""
+    if not pseudo:
+        return fit_isotonic(train, y, p)
+    fitted = fit_isotonic(train, y, p)
+    blocks = train.select(F.col(y).cast("double").alias("y"), F.col(p).cast("double").alias("p"),
+                          fitted.predict(F.col(p)).alias("p_cal"))
+    points = blocks.groupBy("p_cal").agg(F.avg("p").alias("p"), F.sum("y").alias("s"),
+                                         F.count(F.lit(1)).cast("double").alias("w"))
+    points = points.select("p", "w", (F.col("w") * (F.col("s") + pseudo * F.col("p"))
+                                      / (F.col("w") + pseudo)).alias("pos"))
+    return _knots(isotonic_blocks(points.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("w").alias("w"))))
+
+
+def apply_isotonic(df: DataFrame, fitted: Isotonic, p: str = "p") -> DataFrame:
+    return df.withColumn("p_cal", fitted.predict(F.col(p)))
 
 
 def isotonic_calibrate(train: DataFrame, apply_to: DataFrame, y: str = "y",

@@ -1,109 +1,57 @@
-"""Win-probability model: boosted trees on the time split, isotonic calibration,
+"""Win-probability model: second-order boosted trees on the time split, isotonic calibration,
 held-out predictions, metrics against the rating baseline, importances.
 
-MLlib's ``GBTClassifier`` trains distributed (one Spark job per tree level); it is
-not the same algorithm as the reference's booster (no second-order child weight,
-per-node feature sampling), so results are judged by quality, not by value.  The
-number of trees is chosen by patience: the length with the lowest validation loss before
-30 further trees brought nothing.
+The number of trees is chosen by patience on the validation slice while they grow
+(``boost.fit``).  Results are judged by quality, not by value: row and feature sampling differ
+from any other booster's.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreline.plans.evaluate import apply_isotonic, fit_calibrator, prob_metrics
+from scoreline.plans import boost
+from scoreline.plans.evaluate import PSEUDO, Isotonic, fit_calibrator, prob_metrics
 from scoreline.plans.features import FEATURES, TARGET
 
-# fixed values: booster settings of the reference, mapped to MLlib parameters
-GBT_PARAMS = dict(maxDepth=3, stepSize=0.04, subsamplingRate=0.8,
-                  featureSubsetStrategy="0.8", minInstancesPerNode=5)
-MAX_TREES = 300
-PATIENCE = 30
-FIRST_TREES = 75     # trees of the first attempt; doubled until patience has run out
 SEED = 7
 
 
 @dataclass
 class FittedModel:
-    pipeline: PipelineModel
-    calibrator: tuple
-    importances: DataFrame
+    trees: boost.Booster
+    calibrator: Isotonic
     floor: float     # calibrated probabilities stay this far from 0 and 1
 
-
-def _p1(col: str = "probability"):
-    return vector_to_array(F.col(col))[1]
-
-
-def best_length(losses: list[float], patience: int) -> tuple[int, bool]:
-    """(trees with the lowest loss before patience runs out, whether it ran out)."""
-    best = 0
-    for t, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = t
-        elif t - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_trees(train: DataFrame, valid: DataFrame, seed: int, max_trees: int = MAX_TREES,
-              patience: int = PATIENCE, first: int = FIRST_TREES):
-    """Boosted trees of the best length (``_x``, ``_label``).
-
-    A longer fit repeats the trees of a shorter one (same seed per tree), so lengths are
-    tried by doubling and the chosen one is fitted again as it is."""
-    def grow(n: int):
-        return GBTClassifier(featuresCol="_x", labelCol="_label", seed=seed, maxIter=n,
-                             **GBT_PARAMS).fit(train)
-
-    n = min(first, max_trees)
-    while True:
-        model = grow(n)
-        best, settled = best_length(model.evaluateEachIteration(valid), patience)
-        if settled or n >= max_trees:
-            return model if best == n else grow(best)
-        n = min(2 * n, max_trees)
+    def importances(self, spark: SparkSession) -> DataFrame:
+        """(feature, importance): mean gain of a feature's splits, as shares of one."""
+        return spark.createDataFrame(
+            [(f, round(v, 4)) for f, v in self.trees.gains.items()],
+            "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def fit(split: DataFrame, features: list[str] = FEATURES, target: str = TARGET,
-        seed: int = SEED) -> FittedModel:
-    """Fit on the train slice, choose the length on the validation slice, then fit the
-    isotonic calibrator on the raw validation predictions."""
-    spark = split.sparkSession
-    assembler = VectorAssembler(inputCols=features, outputCol="_x")
-    data = assembler.transform(split.withColumn("_label", F.col(target).cast("double"))).select(
-        "split", "_x", "_label").persist()
-    trees = fit_trees(data.filter("split = 'train'"), data.filter("split = 'valid'"), seed)
-    data.unpersist()
-    pipe = PipelineModel(stages=[assembler, trees])
-    valid = pipe.transform(split.filter(F.col("split") == "valid")).select(
-        F.col(target).alias("y"), _p1().alias("p"))
-    calibrator = fit_calibrator(valid)
+        seed: int = SEED, params: boost.Params = boost.Params(), key: str = "game_id") -> FittedModel:
+    """Fit on the train slice with the validation slice as judge, then fit the isotonic
+    calibrator on the raw validation predictions."""
+    data = split.filter(F.col("split") != "test")
+    trees = boost.fit(data, features, target, F.col("split") == "train", key, params, seed)
+    valid = data.filter(F.col("split") == "valid").select(
+        F.col(target).alias("y"), trees.probability().alias("p")).checkpoint()
     # n outcomes cannot show a rarer event than one in n + 2
-    floor = 1.0 / (valid.count() + 2)
-    imp = trees.featureImportances.toArray().tolist()
-    total = sum(imp) or 1.0
-    importances = spark.createDataFrame(
-        [(f, round(float(v / total), 4)) for f, v in zip(features, imp)],
-        "feature string, importance double").orderBy(F.desc("importance"), "feature")
-    return FittedModel(pipe, calibrator, importances, floor)
+    return FittedModel(trees, fit_calibrator(valid, pseudo=PSEUDO), 1.0 / (valid.count() + 2))
 
 
 def score(model: FittedModel, df: DataFrame) -> DataFrame:
     """Add ``raw_prob`` and calibrated ``model_prob`` (whole frame, no per-row calls)."""
-    raw = model.pipeline.transform(df).withColumn("p", _p1())
-    cal = apply_isotonic(raw, model.calibrator).withColumn("p_cal", F.least(
-        F.greatest("p_cal", F.lit(model.floor)), F.lit(1.0 - model.floor)))
-    return (cal.withColumnRenamed("p", "raw_prob").withColumnRenamed("p_cal", "model_prob")
-               .drop("_x", "rawPrediction", "probability", "prediction"))
+    raw = df.withColumn("raw_prob", model.trees.probability())
+    return raw.withColumn("model_prob", F.least(F.greatest(
+        model.calibrator.predict(F.col("raw_prob")), F.lit(model.floor)), F.lit(1.0 - model.floor)))
 
 
 def heldout_predictions(model: FittedModel, split: DataFrame) -> DataFrame:
@@ -124,19 +72,24 @@ def heldout_metrics(preds: DataFrame) -> DataFrame:
     return prob_metrics(long)
 
 
-def save(model: FittedModel, path: str) -> None:
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    model.calibrator[1].write().overwrite().save(f"{path}/calibrator")
-    model.importances.write.mode("overwrite").parquet(f"{path}/importances")
-    model.importances.sparkSession.createDataFrame([(model.floor,)], "floor double").write.mode(
-        "overwrite").parquet(f"{path}/floor")
+def save(model: FittedModel, path: str, spark: SparkSession) -> None:
+    """Trees, calibrator and importances as tables under ``path`` (replaced)."""
+    t = model.trees
+    trees = [(i, tree.feature.tolist(), tree.bin.tolist(), tree.cut.tolist(), tree.leaf.tolist())
+             for i, tree in enumerate(t.trees)]
+    spark.createDataFrame(trees, "number int, feature array<int>, bin array<int>, cut array<double>, "
+                                 "leaf array<double>").write.mode("overwrite").parquet(f"{path}/trees")
+    spark.createDataFrame(list(zip(model.calibrator.x, model.calibrator.y)), "x double, y double"
+                          ).write.mode("overwrite").parquet(f"{path}/calibrator")
+    about = json.dumps({"features": t.features, "base": t.base, "gains": t.gains, "floor": model.floor})
+    spark.createDataFrame([(about,)], "about string").write.mode("overwrite").parquet(f"{path}/about")
 
 
 def load(spark: SparkSession, path: str) -> FittedModel:
-    from pyspark.ml.regression import IsotonicRegressionModel
-
-    pipe = PipelineModel.load(f"{path}/pipeline")
-    iso = IsotonicRegressionModel.load(f"{path}/calibrator")
-    va = VectorAssembler(inputCols=["p"], outputCol="_f")
-    return FittedModel(pipe, (va, iso), spark.read.parquet(f"{path}/importances"),
-                       spark.read.parquet(f"{path}/floor").first()["floor"])
+    about = json.loads(spark.read.parquet(f"{path}/about").first()["about"])
+    rows = sorted(spark.read.parquet(f"{path}/trees").collect(), key=lambda r: r["number"])
+    trees = [boost.Tree(np.array(r["feature"]), np.array(r["bin"]), np.array(r["cut"]), np.array(r["leaf"]))
+             for r in rows]
+    knots = sorted((r["x"], r["y"]) for r in spark.read.parquet(f"{path}/calibrator").collect())
+    return FittedModel(boost.Booster(about["features"], trees, about["base"], about["gains"]),
+                       Isotonic([x for x, _ in knots], [y for _, y in knots]), about["floor"])

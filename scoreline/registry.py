@@ -304,7 +304,7 @@ def q_model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     row, const = loss.first(), constant.first()
     return spark.range(1).select(
         F.lit(const["n"]).cast("bigint").alias("n_test"),
-        F.lit(m.pipeline.stages[-1].getNumTrees > 1).alias("more_than_one_tree"),
+        F.lit(len(m.trees.trees) > 1).alias("more_than_one_tree"),
         F.lit(row["gbt_calibrated"] < const["c"]).alias("beats_base_rate"),
         F.lit(row["gbt_calibrated"] <= row["elo_baseline"]).alias("matches_rating"))
 
@@ -348,6 +348,31 @@ def q_gbt_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.heldout_predictions(m, split)
 
 
+@register("model_importances")
+def q_model_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every feature's importance from the model written and read back: all features, shares of
+    one, and the rating the most important one."""
+    m, _ = fitted_model(spark, sf_dir)
+    path = f"{odds_stream.stream_dir(spark)}/model"
+    model.save(m, path, spark)
+    imp = model.load(spark, path).importances(spark)
+    top = imp.orderBy(F.desc("importance")).first()["feature"]
+    total = imp.agg(F.sum("importance")).first()[0]
+    return imp.select("feature", F.lit(top.startswith("elo")).alias("rating_first"),
+                      F.lit(abs(total - 1) < 0.01).alias("shares_of_one"))
+
+
+@register("heldout_outcomes")
+def q_heldout_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of the held-out predictions: ids, outcome, rating probability, and
+    that the model's probabilities lie strictly between 0 and 1."""
+    m, split = fitted_model(spark, sf_dir)
+    inside = (F.col("model_prob") > 0) & (F.col("model_prob") < 1) & (F.col("raw_prob") > 0)
+    return rounded(model.heldout_predictions(m, split).select(
+        "game_id", "game_date", "home_team_id", "away_team_id", "home_win", "elo_prob",
+        inside.alias("is_probability")))
+
+
 def upcoming(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
     """Priced games with their two teams (tip-off table x games)."""
     g = games if games is not None else fx.fx_games(spark, sf_dir)
