@@ -80,3 +80,25 @@ def fmt_pct(x, digits: int = 1) -> Column:
 
 def fmt_signed(x, digits: int = 2) -> Column:
     return F.format_string(f"%+.{digits}f", _c(x))
+
+
+_SPLIT = 134217729.0     # fixed value: 2^27 + 1, halves a double's mantissa
+
+
+def round_half_even(x: Column | str, digits: int) -> Column:
+    """Round to ``digits`` decimals by the exact binary value, ties to even: 0.0625 to 3 digits is
+    0.062, and 0.5005 (in binary a little less) is 0.5.
+
+    x * 10^digits is taken as a double and its exact error (both factors split in halves), so the
+    fraction is compared with one half without loss; |x| up to 2^40 or so, digits up to 6."""
+    x = (F.col(x) if isinstance(x, str) else x).cast("double")
+    scale = F.lit(float(10 ** digits))
+    high = x * _SPLIT - (x * _SPLIT - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    floor = F.floor(product).cast("double")
+    rest = product - floor
+    up = ((rest > 0.5) | ((rest == 0.5) & (error > 0))
+          | ((rest == 0.5) & (error == 0) & (F.pmod(floor, F.lit(2.0)) == 1.0)))
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), x).otherwise(
+        (floor + up.cast("double")) / scale)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators.prices import LINE_KEYS
-from scoreline.operators.sequence import previous_value, running_sum
+from scoreline.operators.sequence import as_of, previous_value, running_sum
 
 
 def closing_line(snaps: DataFrame, tipoffs: DataFrame, tip: str = "tip_ts",
@@ -97,3 +97,14 @@ def move_bursts(snaps: DataFrame, keys: Sequence[str] = LINE_KEYS,
         F.count(F.lit(1)).alias("n_snapshots"),
         F.min_by("american_odds", o).alias("open_odds"),
         F.max_by("american_odds", o).alias("close_odds"))
+
+
+def market_at(left: DataFrame, snaps: DataFrame, time: str, keys: Sequence[str] = LINE_KEYS,
+              strict: bool = False) -> DataFrame:
+    """``left`` with the market's price at its own time: market_odds, market_at (when that price
+    was captured) and market_prob (implied), null where the line had no price yet."""
+    right = snaps.select(*keys, "snapshot_id", F.col("american_odds").alias("market_odds"),
+                         F.col("captured_at").alias("market_at"))
+    out = as_of(left, right, list(keys), time, "market_at", ["market_odds", "market_at"],
+                F.to_date("at"), ["snapshot_id"], strict)
+    return out.withColumn("market_prob", fo.american_to_implied("market_odds"))

@@ -62,6 +62,49 @@ def _back(inner: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
     return inner.join(carry, cond)
 
 
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str,
+          values: Sequence[str], bucket: Column, right_order: Sequence[str] = (),
+          strict: bool = False) -> DataFrame:
+    """``left`` with ``values`` of the latest row of ``right`` with the same keys at or before the
+    row's time (before it, if ``strict``); null where there is none.
+
+    Both sides go in one stream ordered by time.  ``bucket`` is a coarse function of the column
+    ``at`` (the time); inside a (key, bucket) the last right row is carried by a window, and across
+    buckets by one row per (key, bucket), so a hot key is spread over its buckets.  Among right
+    rows of one time the largest by ``right_order`` counts.  Rows with a null key or time on the
+    left get nulls; such rows on the right match nothing."""
+    keys, values = list(keys), list(values)
+    row = F.struct(*[F.col(f"`{c}`") for c in left.columns])
+    l = left.select(*[F.col(c).alias(f"k_{c}") for c in keys], F.col(left_time).alias("at"),
+                    F.lit(0 if strict else 1).alias("turn"), row.alias("row"))
+    r = right.where(F.col(right_time).isNotNull()).select(
+        *[F.col(c).alias(f"k_{c}") for c in keys], F.col(right_time).alias("at"),
+        F.lit(1 if strict else 0).alias("turn"),
+        F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate([right_time, *right_order])],
+                 *[F.col(c).alias(f"v{i}") for i, c in enumerate(values)]).alias("value"))
+    both = l.unionByName(r, allowMissingColumns=True).withColumn("bk", bucket)
+    k = [f"k_{c}" for c in keys]
+    order = ["at", "turn", *[F.col(f"value.o{i + 1}") for i in range(len(right_order))]]
+    inside = F.last("value", True).over(Window.partitionBy(*k, "bk").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
+    latest = both.where("value IS NOT NULL").groupBy(*k, "bk").agg(F.max("value").alias("value"))
+    # what a bucket inherits: the last value of an earlier bucket that has one
+    buckets = both.select(*k, "bk").distinct().join(latest, [*k, "bk"], "left")
+    carried = buckets.select(*k, "bk", F.last("value", True).over(
+        Window.partitionBy(*k).orderBy("bk").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    carried = carried.select(*[F.col(c).alias(f"c_{c}") for c in [*k, "bk"]], "carried")
+    found = both.withColumn("inside", inside).where("row IS NOT NULL").join(
+        carried, [F.col(c) == F.col(f"c_{c}") for c in [*k, "bk"]], "left")
+    known = F.col("at").isNotNull()
+    for c in k:
+        known = known & F.col(c).isNotNull()
+    value = F.when(known, F.coalesce("inside", "carried"))
+    return found.withColumn("value", value).select(
+        *[F.col(f"row.{c}").alias(c) for c in left.columns],
+        *[F.col(f"value.v{i}").alias(c) for i, c in enumerate(values)])
+
+
 CHUNK = 256     # elements whose outputs are gathered before they join the result
 
 

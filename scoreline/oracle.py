@@ -856,3 +856,51 @@ SQL["heldout_outcomes"] = with_elo("""
 SELECT game_id, strftime(game_date, '%Y-%m-%d') AS game_date, home_team_id, away_team_id, home_win,
        round(p_model, 6) AS elo_prob, TRUE AS is_probability FROM heldout""", "fx_long",
                                    extra=[_FORM, _FF, _HELDOUT])
+
+
+def _implied(odds: str) -> str:
+    return (f"CASE WHEN {odds} > 0 THEN 100.0::DOUBLE / ({odds} + 100.0::DOUBLE) "
+            f"ELSE -{odds} / (-{odds} + 100.0::DOUBLE) END")
+
+
+SQL["market_at_bet"] = with_fx(f"""
+SELECT b.bet_id, b.placed_ts, b.odds_taken, s.american_odds AS market_odds, s.captured_at AS market_at,
+       round({_implied('s.american_odds')}, 6) AS market_prob
+FROM (SELECT f.bet_id, f.game_id, f.book, f.market, f.side, f.odds_taken,
+             x.captured_at + to_hours(CAST(f.user_id % 200 AS BIGINT)) AS placed_ts
+      FROM fx_bets f JOIN fx_odds_snapshots x ON x.snapshot_id = f.bet_id) b
+ASOF LEFT JOIN fx_odds_snapshots s
+  ON b.game_id = s.game_id AND b.book = s.book AND b.market = s.market AND b.side = s.side
+ AND b.placed_ts >= s.captured_at""", "fx_bets", "fx_odds_snapshots")
+
+SQL["market_before_game"] = with_fx(f"""
+SELECT game_id, round(avg(p), 6) AS market_prob, count(p) AS n_books
+FROM (SELECT a.game_id, {_implied('s.american_odds')} AS p
+      FROM (SELECT DISTINCT t.game_id, h.book, t.tip_ts FROM tips t JOIN home_lines h ON h.game_id = t.game_id) a
+      ASOF LEFT JOIN home_lines s ON a.game_id = s.game_id AND a.book = s.book AND a.tip_ts > s.captured_at) q
+GROUP BY game_id""", "fx_odds_snapshots", "fx_tipoffs", extra=[_TIPS, (
+    "home_lines", "SELECT * FROM fx_odds_snapshots WHERE market = 'h2h' AND side = 'HOME'")])
+
+SQL["rounded_outputs"] = with_fx(f"""
+SELECT snapshot_id, CAST(printf('%.3f', {_implied('american_odds')}) AS DOUBLE) AS implied,
+       CAST(printf('%.3f', (snapshot_id % 2001) / 2000.0::DOUBLE) AS DOUBLE) AS share,
+       CAST(printf('%.3f', (snapshot_id % 257 - 128) / 16.0::DOUBLE) AS DOUBLE) AS sixteenth,
+       CAST(printf('%.4f', (snapshot_id % 20001) / 20000.0::DOUBLE) AS DOUBLE) AS stake
+FROM fx_odds_snapshots""", "fx_odds_snapshots")
+
+SQL["landed_recovered"] = with_fx("""
+SELECT season, count(*) AS n_games, count(DISTINCT game_id) AS n_ids, CAST(3 AS INT) AS deaths
+FROM fx_games GROUP BY season""", "fx_games")
+
+SQL["walk_forward_folds"] = with_elo("""
+SELECT season AS fold, CAST(before AS BIGINT) AS n_train, n AS n_test, TRUE AS converged
+FROM (SELECT season, n, sum(n) OVER (ORDER BY first_date, season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM (SELECT season, count(*) AS n, min(game_date) AS first_date FROM ff GROUP BY season) s) t
+WHERE before IS NOT NULL""", "fx_long", extra=[_FORM, _FF])
+
+SQL["model_board_check"] = with_elo("""
+SELECT 'priced' AS case_, game_id, matchup, source, CAST(NULL AS VARCHAR) AS result, TRUE AS consistent FROM brd
+UNION ALL
+SELECT 'empty', game_id, CAST(away_team_id AS VARCHAR) || ' @ ' || CAST(home_team_id AS VARCHAR), 'sample',
+       CASE WHEN home_win = 1 THEN 'HOME win' ELSE 'AWAY win' END, TRUE
+FROM smp""", "fx_long", "fx_tipoffs", "fx_odds_snapshots", extra=[*_BOARD_CTES, _FF, _HELDOUT, _SAMPLE])

@@ -10,17 +10,23 @@ the fold's season.  The per-fold model here is histogram-binning calibration of
 the rating probability: the observed win share per probability bin over earlier
 seasons, shrunk toward the raw probability by one pseudo-game.  The running
 per-bin totals across seasons are a window over one row per (bin, season), so
-all folds are computed in one pass, with no driver loop.
+all folds are computed in one pass, with no driver loop.  ``walk_forward_fit`` fits
+a logistic regression per fold instead, all folds together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
 from scoreline.operators.prices import LINE_KEYS, WIN_MARKET
 from scoreline.plans.evaluate import prob_metrics
+from scoreline.sources.scratch import Tables
 
 CAL_BINS = 10   # fixed-width probability bins of the walk-forward calibrator
 
@@ -79,3 +85,100 @@ def walk_forward(scored: DataFrame, season: str = "season", y: str = "y", p: str
         F.struct(F.lit("raw").alias("model"), F.col(p).alias("p")),
         F.struct(F.lit("binned").alias("model"), cal.alias("p")))))
     return prob_metrics(long, model=["fold", "model"], y=y, p="p")
+
+
+RIDGE = 1.0          # added to the diagonal of the Hessian (not for the intercept)
+NEWTON_STEPS = 25
+NEWTON_TOL = 1e-10
+
+
+def _statistics(beta: np.ndarray, d: int):
+    """Task: gradient and Hessian of every fold's logistic loss over its earlier seasons, as
+    (fold, slot, value).  ``beta``: a column of weights per fold."""
+    folds = beta.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, d + d * d))
+        for batch in batches:
+            season, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            x = batch.column(2).flatten().to_numpy().reshape(-1, d)
+            for f in range(folds):                 # fold f: the season with ordinal f + 2
+                at = season < f + 2
+                if at.any():
+                    z = x[at]
+                    p = 1.0 / (1.0 + np.exp(-(z @ beta[:, f])))
+                    total[f, :d] += z.T @ (y[at] - p)
+                    total[f, d:] += ((z * (p * (1 - p))[:, None]).T @ z).ravel()
+        fold, slot = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(fold.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[fold, slot])],
+            names=["fold", "slot", "value"])
+    return run
+
+
+def fit_folds(frame: DataFrame, features: Sequence[str], season: str = "season", y: str = "home_win",
+              date: str = "game_date", ridge: float = RIDGE) -> tuple[DataFrame, dict]:
+    """Logistic regression per fold season on all seasons before it.
+
+    All folds take their Newton steps together: one aggregate per step over the rows, each adding
+    to the folds after its season.  The driver holds folds x features^2 sums (folds are
+    seasons).  Features are standardised over the first season, so that no fold sees its future.
+    Returns the frame with ``fold`` ordinals and p_fold for rows of season 2 on, and the fit:
+    weights, mean, scale, converged."""
+    features, d = list(features), len(features) + 1
+    first = frame.groupBy(season).agg(F.min(date).alias("first"))
+    ords = first.select(F.col(season).alias("season_"), F.dense_rank().over(
+        Window.orderBy("first", season)).alias("ord"))
+    tables = Tables(frame.sparkSession, "walk-forward")
+    rows = tables.put(frame.join(F.broadcast(ords), F.col(season) == F.col("season_")).drop("season_"))
+    head = rows.where("ord = 1").agg(*[f(c) for c in features for f in (F.avg, F.stddev_pop)]).first()
+    mean = np.array([head[2 * i] or 0.0 for i in range(d - 1)])
+    scale = np.array([head[2 * i + 1] or 1.0 for i in range(d - 1)])
+    folds = max(0, (rows.agg(F.max("ord")).first()[0] or 0) - 1)
+    design = rows.select("ord", F.col(y).cast("double").alias("y"), F.array(F.lit(1.0), *[
+        (F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(features, mean, scale)]).alias("x"))
+    beta, penalty = np.zeros((d, folds)), ridge * np.diag([0.0] + [1.0] * (d - 1))
+    open_ = set(range(folds))
+    for _ in range(NEWTON_STEPS):
+        if not open_:
+            break
+        sums = design.mapInArrow(_statistics(beta, d), "fold int, slot int, value double").groupBy(
+            "fold", "slot").agg(F.sum("value").alias("value")).toArrow()
+        total = np.zeros((folds, d + d * d))
+        total[sums["fold"].to_numpy(), sums["slot"].to_numpy()] = sums["value"].to_numpy()
+        for f in sorted(open_):
+            step = np.linalg.solve(total[f, d:].reshape(d, d) + penalty + 1e-9 * np.eye(d),
+                                   total[f, :d] - penalty @ beta[:, f])
+            beta[:, f] += step
+            if np.abs(step).max() < NEWTON_TOL:
+                open_.discard(f)
+
+    @F.arrow_udf("double")
+    def probability(ord_: pa.Array, *cols: pa.Array) -> pa.Array:
+        x = np.column_stack([np.ones(len(ord_)), *(
+            (c.to_numpy(zero_copy_only=False).astype(float) - m) / s for c, m, s in zip(cols, mean, scale))])
+        own = np.maximum(ord_.to_numpy(zero_copy_only=False).astype(int) - 2, 0)
+        return pa.array(1.0 / (1.0 + np.exp(-(x * beta[:, own].T).sum(1))))
+
+    scored = rows.where("ord >= 2").withColumn("p_fold", probability(
+        "ord", *[F.col(c).cast("double") for c in features]))
+    return scored, {"weights": beta, "mean": mean, "scale": scale, "converged": folds - len(open_),
+                    "rows": rows}
+
+
+def walk_forward_fit(frame: DataFrame, features: Sequence[str], season: str = "season",
+                     y: str = "home_win", rating: str = "elo_exp_home") -> DataFrame:
+    """Metrics per fold season of the fold's own model and of the rating."""
+    scored, _ = fit_folds(frame, features, season, y)
+    long = scored.select(F.col(season).alias("fold"), F.col(y).alias("y"), F.inline(F.array(
+        F.struct(F.lit("rating").alias("model"), F.col(rating).alias("p")),
+        F.struct(F.lit("fitted").alias("model"), F.col("p_fold").alias("p")))))
+    return prob_metrics(long, model=["fold", "model"], y="y", p="p")
+
+
+def fold_sizes(fit: dict, season: str = "season") -> DataFrame:
+    """(fold, n_train, n_test): rows before the fold season, and in it."""
+    per = fit["rows"].groupBy(season, "ord").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)    # a row per season
+    return per.withColumn("n_train", F.sum("n").over(before)).where("ord >= 2").select(
+        F.col(season).alias("fold"), "n_train", F.col("n").alias("n_test"))

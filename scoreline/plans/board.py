@@ -30,6 +30,22 @@ def label_teams(df: DataFrame, lookup: DataFrame, key: str = "team_id",
     return df.join(h, "home_team_id").join(a, "away_team_id")
 
 
+ROUNDED = {"p_home": 3, "p_model": 3, "implied": 3, "edge": 3, "ev": 3, "kelly_stake": 4}
+
+
+def rounded_board(b: DataFrame) -> DataFrame:
+    """The board as it is handed out: three digits, the stake four, ties to even."""
+    return b.withColumns({c: fo.round_half_even(c, n) for c, n in ROUNDED.items() if c in b.columns})
+
+
+def live_or_sample(live: DataFrame, sample: DataFrame) -> DataFrame:
+    """The live board, or the held-out sample where no game is priced (same columns; the live
+    board has no result)."""
+    if live.limit(1).count():
+        return live.withColumn("result", F.lit(None).cast("string")).select(sample.columns)
+    return sample
+
+
 def display_columns(df: DataFrame) -> DataFrame:
     return df.select("*", fo.fmt_pct("p_home").alias("p_home_pct"),
                      fo.fmt_pct("edge").alias("edge_pct"),

@@ -11,17 +11,34 @@ aggregate, so growing stops as soon as patience has run out, inside one fit.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.sources.scratch import Tables
 
 BINS = 64
 RENEW = 25
+REDUCERS = 8       # tasks that add up the partial histograms
+
+
+@contextmanager
+def _small_sums(spark: SparkSession):
+    """Some hundred aggregates with a few thousand result rows each: planned without
+    re-planning and added up by few tasks."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(REDUCERS)}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 @dataclass(frozen=True)
@@ -195,9 +212,10 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
         tree = Tree(np.full(inner, -1), np.zeros(inner, np.int64), np.zeros(inner), np.zeros(leaves))
         used = np.sort(rng.permutation(d)[:max(1, int(params.columns * d))])
         for level in range(params.depth):
-            sums = state.mapInArrow(_histogram(booster, from_tree, tree, level, number, params, used, bins),
-                                    "slot long, g double, h double").groupBy("slot").agg(
-                F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+            with _small_sums(data.sparkSession):
+                sums = state.mapInArrow(_histogram(booster, from_tree, tree, level, number, params, used, bins),
+                                        "slot long, g double, h double").groupBy("slot").agg(
+                    F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
             slot, gs, hs = (sums[c].to_numpy() for c in ("slot", "g", "h"))
             if level == 0:
                 rows_valid = gs[slot == WEIGHT].sum()

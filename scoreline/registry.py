@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.functions import odds as fo
@@ -658,3 +658,129 @@ def q_odds_stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select(
         *prices.LINE_KEYS, F.col("s.start").cast("timestamp_ntz").alias("burst_start"),
         F.col("s.end").cast("timestamp_ntz").alias("burst_end"), "n_snapshots", "open_odds", "close_odds")
+
+
+def placed_bets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bets with a time of their own: some hours after the snapshot that they took."""
+    snaps = fx.fx_odds_snapshots(spark, sf_dir).select(
+        F.col("snapshot_id").alias("bet_id"), "captured_at")
+    return fx.fx_bets(spark, sf_dir).join(snaps, "bet_id").select(
+        "bet_id", "game_id", "book", "market", "side", "odds_taken", (F.col("captured_at") + F.make_dt_interval(
+            hours=(F.col("user_id") % 200).cast("int"))).alias("placed_ts"))
+
+
+@register("market_at_bet")
+def q_market_at_bet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bet with the price of its line at the moment it was placed."""
+    out = lines.market_at(placed_bets(spark, sf_dir), fx.fx_odds_snapshots(spark, sf_dir), "placed_ts")
+    return rounded(out.select("bet_id", "placed_ts", "odds_taken", "market_odds", "market_at", "market_prob"))
+
+
+@register("market_before_game")
+def q_market_before_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Market feature per priced game: mean implied home probability over books strictly before
+    its tip-off (each game at its own time), and the number of books."""
+    snaps = fx.fx_odds_snapshots(spark, sf_dir).where("market = 'h2h' AND side = 'HOME'")
+    asks = tipoffs(spark, sf_dir).join(snaps.select("game_id", "book").distinct(), "game_id")
+    at = lines.market_at(asks.select("game_id", "book", "tip_ts"), snaps, "tip_ts", ("game_id", "book"),
+                         strict=True)
+    return rounded(at.groupBy("game_id").agg(F.avg("market_prob").alias("market_prob"),
+                                             F.count("market_prob").alias("n_books")))
+
+
+@register("rounded_outputs")
+def q_rounded_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output rounding on every snapshot: implied probability and shares to three digits, a stake
+    to four, by the exact binary value with ties to even."""
+    n = F.col("snapshot_id").cast("double")
+    return fx.fx_odds_snapshots(spark, sf_dir).select(
+        "snapshot_id",
+        fo.round_half_even(fo.american_to_implied("american_odds"), 3).alias("implied"),
+        fo.round_half_even(n % 2001 / 2000.0, 3).alias("share"),
+        fo.round_half_even((n % 257 - 128) / 16.0, 3).alias("sixteenth"),
+        fo.round_half_even(n % 20001 / 20000.0, 4).alias("stake"))
+
+
+@register("landed_recovered")
+def q_landed_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landing that dies after each of its steps and is repeated: every game lands once."""
+    games = fx.fx_games(spark, sf_dir).checkpoint()
+    path = f"{odds_stream.stream_dir(spark)}/games"
+    deaths = 0
+    for run, dies_after in (("run-1", "data"), ("run-2", "keys"), ("run-3", "manifest")):
+        part = games.where(F.col("season") % 3 <= int(run[-1]) - 1)
+
+        def die(name: str, at: str = dies_after) -> None:
+            if name == at:
+                raise InterruptedError(name)
+
+        try:
+            landing.land_run(spark, part, path, "game_id", run, die)
+        except InterruptedError:
+            deaths += 1
+        landing.land_run(spark, part, path, "game_id", run)
+    back = landing.read_landed(spark, path, games.schema)
+    return back.groupBy("season").agg(
+        F.count(F.lit(1)).alias("n_games"), F.countDistinct("game_id").alias("n_ids")).withColumn(
+        "deaths", F.lit(deaths))
+
+
+@register("walk_forward_fit")
+def q_walk_forward_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per fold season of a model fitted on all earlier seasons (rows-only; the refit by
+    brute force is a test)."""
+    return backtest.walk_forward_fit(features_of(spark, sf_dir).checkpoint(), features.FEATURES)
+
+
+@register("walk_forward_folds")
+def q_walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each fold's model was fitted and judged on, and whether all fits converged."""
+    _, fit = backtest.fit_folds(features_of(spark, sf_dir).checkpoint(), features.FEATURES)
+    return backtest.fold_sizes(fit).withColumn(
+        "converged", F.lit(fit["converged"] == fit["weights"].shape[1]))
+
+
+def model_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The live board and the held-out sample, both scored by the calibrated trees."""
+    m, split = fitted_model(spark, sf_dir)
+    g = games_shared(spark, sf_dir)
+    x = features.matchup_features(upcoming(spark, sf_dir, g), latest_of(spark, sf_dir, g))
+    scored = model.score(m, x).select("game_id", "home_team_id", "away_team_id",
+                                      F.col("model_prob").alias("p_home"))
+    two_way = prices.two_way(prices.latest_lines(fx.fx_odds_snapshots(spark, sf_dir)))
+    live_board = board.board(scored, two_way, team_lookup(spark, sf_dir))
+    test = split.filter(F.col("split") == "test")
+    preds = model.score(m, test).withColumn("p_market", fo.elo_expected(
+        F.col("elo_diff") - rating.HOME_ADV, F.lit(0.0)))
+    return live_board, board.heldout_board(preds, "model_prob", "p_market")
+
+
+def _consistent() -> Column:
+    """A board row's figures follow from its own probability and price."""
+    close = (F.abs(F.col("implied") - fo.american_to_implied("odds")) < 1e-9) \
+        & (F.abs(F.col("edge") - (F.col("p_model") - F.col("implied"))) < 1e-9) \
+        & (F.abs(F.col("ev") - fo.expected_value("p_model", "odds")) < 1e-9)
+    side = F.when(F.col("pick") == "HOME", F.col("p_home")).otherwise(1.0 - F.col("p_home"))
+    return close & (F.abs(F.col("p_model") - side) < 1e-9) & F.col("p_home").between(0, 1)
+
+
+@register("model_board")
+def q_model_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Board scored by the calibrated trees, handed out rounded (rows-only)."""
+    live_board, sample = model_boards(spark, sf_dir)
+    return board.rounded_board(board.live_or_sample(live_board, sample)).select(
+        "game_id", "matchup", "p_home", "source", "pick", "book", "odds", "p_model", "implied", "edge",
+        "ev", "kelly_stake", "result")
+
+
+@register("model_board_check")
+def q_model_board_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can check of the model's boards: games, matchups and source of the live board, and
+    of the sample that stands in when no game is priced; figures follow from each row's own
+    probability and price."""
+    live_board, sample = model_boards(spark, sf_dir)
+    live_board, sample = live_board.checkpoint(), sample.checkpoint()
+    shown = board.live_or_sample(live_board, sample).withColumn("case_", F.lit("priced"))
+    spare = board.live_or_sample(live_board.where("false"), sample).withColumn("case_", F.lit("empty"))
+    out = shown.unionByName(spare)
+    return out.select("case_", "game_id", "matchup", "source", "result", _consistent().alias("consistent"))

@@ -9,6 +9,8 @@ a re-run is a no-op and nothing already written is rewritten.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,58 @@ def land_new(spark: SparkSession, incoming: DataFrame, path: str, key: str,
     return write_table(incoming, path, "fail", partition_by)
 
 
+MANIFEST = "run string, key string"
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def landed_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(run, key) of every row group that a finished run has landed."""
+    fs, p = _fs(spark, f"{path}/manifest")
+    if not fs.exists(p):
+        return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path}/manifest")
+
+
+def read_landed(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of finished runs; what an unfinished run has written is not seen."""
+    fs, p = _fs(spark, f"{path}/manifest")
+    runs = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    parts = [f"{path}/data/{r}" for r in runs if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(
+        f"{path}/data/{r}"))]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def land_run(spark: SparkSession, incoming: DataFrame, path: str, key: str, run: str,
+             step: Callable[[str], None] = lambda name: None) -> int:
+    """Land the rows of ``incoming`` whose ``key`` no finished run has landed; returns their number.
+
+    A run has three steps: its rows (under its own name, replaced if the run is repeated), the
+    list of its keys aside, and the move of that list into the manifest, which makes the run
+    count.  A run that dies at any place and is repeated under its name neither loses nor doubles
+    rows; a finished run that is repeated does nothing.  ``step`` is called after each of them."""
+    fs, done = _fs(spark, f"{path}/manifest/{run}")
+    if fs.exists(done):
+        return 0
+    fresh = incoming.join(landed_ids(spark, path).select(F.col("key").alias("landed")),
+                          F.col(key).cast("string") == F.col("landed"), "left_anti")
+    n = write_table(fresh, f"{path}/data/{run}", "replace")
+    step("data")
+    wrote = spark.read.schema(fresh.schema).parquet(f"{path}/data/{run}")
+    aside = f"{path}/aside/{run}"
+    write_table(wrote.select(F.lit(run).alias("run"), F.col(key).cast("string").alias("key")).distinct(),
+                aside, "replace")
+    step("keys")
+    fs.mkdirs(done.getParent())
+    if not fs.rename(_fs(spark, aside)[1], done):
+        raise OSError(f"run {run}: its manifest could not be moved")
+    step("manifest")
+    return n
+
+
 def read_sql(spark: SparkSession, query: str, frames: dict[str, DataFrame] | None = None,
              **params) -> DataFrame:
     """SQL text over the catalog and ``frames`` (``{name}`` in the text; no session view is
