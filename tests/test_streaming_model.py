@@ -59,9 +59,9 @@ def test_model_quality_gate_and_roundtrip(spark, scratch):
     assert preds.filter((F.col("model_prob") < 0) | (F.col("model_prob") > 1)).count() == 0
     mets = model.heldout_metrics(preds)
     assert evaluate.metric_gate(mets, "gbt_calibrated", "elo_baseline")
-    imp = m.importances.collect()
+    imp = m.importances(spark).collect()
     assert len(imp) == 10 and math.isclose(sum(r.importance for r in imp), 1.0, abs_tol=1e-3)
-    model.save(m, f"{scratch}/m")
+    model.save(m, f"{scratch}/m", spark)
     back = model.load(spark, f"{scratch}/m")
     a = sorted(model.score(m, split.filter("split = 'test'")).select("game_id", "model_prob").collect())
     b = sorted(model.score(back, split.filter("split = 'test'")).select("game_id", "model_prob").collect())
