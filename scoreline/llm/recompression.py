@@ -196,11 +196,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
         # rows are told apart by their texts where an id repeats, else by the id alone
         src = src.join(again, "doc_id", "left").select(
             "doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).alias("row"))
-        texts = src.where(known).dropDuplicates(["doc_id", "row"])
+        own = ["doc_id", "row"]
+        texts = src.where(known).dropDuplicates(own)
     else:
-        src = src.withColumn("row", F.lit(0).cast("long"))
+        own = ["doc_id"]
         texts = src.where(known)
-    own = ["doc_id", "row"]
+    texts = texts.select("text", *own)
+    kinds = ", ".join(f"{c} long" for c in own)
+    more = len(own) + 1                        # the column after the row's text and name
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,22 +216,22 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
                 new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
                 at = pa.array(d[new])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(wd.i64(k[new])), part.column(0).take(at), part.column(2).take(at)],
+                    [pa.array(wd.i64(k[new])), *(part.column(1 + i).take(at) for i in range(len(own)))],
                     names=["key", *own])
 
-    sent = tables.put(texts.mapInArrow(keys, "key long, doc_id long, row long"))
+    sent = tables.put(texts.mapInArrow(keys, f"key long, {kinds}"))
     shared = tables.put(sent.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
                         .where("a < b").select("key"))
     # rows with their shared keys; the list is as long as the text at most
     with_keys = tables.put(sent.join(shared, "key").groupBy(*own).agg(
-        F.collect_set("key").alias("keys")), sent, shared)
+        F.collect_list("key").alias("keys")), sent, shared)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, offs in wd.blocks(batch):
                 w = wd.Words(buf, offs)
                 key, whole, doc, pos = window_keys(w, size, rounds)
-                lists = part.column(3)
+                lists = part.column(more)
                 have = lists.flatten().to_numpy().view(U64)
                 n_have = np.diff(lists.offsets.to_numpy())
                 # (document, key) pairs in both
@@ -240,13 +243,12 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, rounds: int = ROUNDS,
                 of = pa.array(doc[ok])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(wd.i64(whole[ok])), pa.array(_second(w.hash, pos[ok], size)),
-                     part.column(0).take(of), part.column(2).take(of),
+                     *(part.column(1 + i).take(of) for i in range(len(own))),
                      pa.array(pos[ok] - w.first[doc[ok]], pa.int32())],
                     names=["name", "second", *own, "pos"])
 
-    cand = tables.put(texts.join(with_keys, own).select(
-        "doc_id", "text", "row", "keys").mapInArrow(
-        windows, "name long, second int, doc_id long, row long, pos int"))
+    cand = tables.put(texts.join(with_keys, own).select("text", *own, "keys").mapInArrow(
+        windows, f"name long, second int, {kinds}, pos int"))
     whole = ["name", "second"]
     firsts = tables.put(cand.groupBy(*whole).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
                         .where("a < b").select(*whole, "a"))
