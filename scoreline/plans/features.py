@@ -22,6 +22,7 @@ from scoreline.functions.odds import elo_expected
 from scoreline.operators.form import latest_per_key
 from scoreline.operators.rating import BASE, HOME_ADV
 
+# fixed values: names and order of the model's inputs
 FEATURES = ["diff_pts_for", "diff_pts_against", "diff_net", "diff_win_rate",
             "home_rest", "away_rest", "home_b2b", "away_b2b", "elo_diff", "elo_exp_home"]
 TARGET = "home_win"
