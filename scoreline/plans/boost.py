@@ -169,6 +169,17 @@ def _split(g: np.ndarray, h: np.ndarray, params: Params) -> tuple[int, int, floa
     return int(f), int(b), float(gain[f, b])
 
 
+def best_length(losses: list[float], patience: int) -> tuple[int, bool]:
+    """(losses up to the lowest one before patience runs out, whether it ran out)."""
+    best = 0
+    for t, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = t
+        elif t - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, key: str,
         params: Params = Params(), seed: int = 7, bins: int = BINS) -> Booster:
     """Grow trees on the rows where ``train`` holds; the others are the validation rows.
@@ -220,9 +231,9 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
             if level == 0:
                 rows_valid = gs[slot == WEIGHT].sum()
                 booster.valid_loss.append(float(gs[slot == LOSS].sum() / max(rows_valid, 1)))
-                if rows_valid and booster.valid_loss[-1] < booster.valid_loss[best]:
-                    best = number
-                if number == params.trees or (rows_valid and number - best >= params.patience):
+                length, settled = best_length(booster.valid_loss, params.patience)
+                best = length - 1             # the first loss is that of no tree
+                if number == params.trees or (rows_valid and settled):
                     break
             g, h = np.zeros(2 ** level * d * bins), np.zeros(2 ** level * d * bins)
             real = slot >= 0

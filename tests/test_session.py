@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scoreline import session
 from scoreline.plans import features
-from scoreline.plans.model import best_length
+from scoreline.plans.boost import best_length
 from scoreline.sources import landing
 from scoreline.sources.scratch import Tables
 
