@@ -30,17 +30,19 @@ def _is_valid_pair() -> Column:
 
 def pair_sides(team_games: DataFrame, game: str = "game_id", side: str = "is_home",
                team: str = "team_id", score: str = "pts",
-               carry: tuple[str, ...] = ("game_date", "season")) -> DataFrame:
+               carry: tuple[str, ...] = ("game_date", "season"),
+               labels: tuple[str, ...] = ()) -> DataFrame:
     """team x game rows -> one row per game with home_* and away_* columns.
 
     Kept: games with exactly one home row and one away row of two different teams.
     ``home_win`` = home score > away score (0 on a tie, as a strict comparison).
-    ``carry`` columns are taken from the home row.
+    ``carry`` columns are taken from the home row, ``labels`` (such as the team's code) from
+    both rows.
     """
     if (game, side, team, score) == ("game_id", "is_home", "team_id", "pts"):
         require(team_games, TEAM_GAMES)
-    home = F.struct(*[F.col(c) for c in (team, score, *carry)])
-    away = F.struct(F.col(team), F.col(score))
+    home = F.struct(*[F.col(c) for c in (team, score, *labels, *carry)])
+    away = F.struct(*[F.col(c) for c in (team, score, *labels)])
     paired = team_games.groupBy(game).agg(
         F.count_if(F.col(side) == 1).alias("_n_home"),
         F.count_if(F.col(side) == 0).alias("_n_away"),
@@ -57,6 +59,8 @@ def pair_sides(team_games: DataFrame, game: str = "game_id", side: str = "is_hom
         F.col(f"_a.{team}").alias(f"away_{team}"),
         F.col(f"_a.{score}").alias(f"away_{score}"),
         (F.col(f"_h.{score}") > F.col(f"_a.{score}")).cast("int").alias("home_win"),
+        *[F.col(f"{row}.{c}").alias(f"{side_name}_{c}")
+          for c in labels for row, side_name in (("_h", "home"), ("_a", "away"))],
     )
 
 

@@ -204,8 +204,8 @@ WHERE CAST(game_id AS BIGINT) NOT IN (SELECT DISTINCT game_id FROM fx_pbp)
 """, "fx_games", "fx_pbp")
 
 _SCORED = ("scored", """
-SELECT *, COALESCE(last_value(sh IGNORE NULLS) OVER w, 0) AS run_h,
-          COALESCE(last_value(sa IGNORE NULLS) OVER w, 0) AS run_a
+SELECT *, COALESCE(last_value(sh IGNORE NULLS) OVER w, 0) AS home_score,
+          COALESCE(last_value(sa IGNORE NULLS) OVER w, 0) AS away_score
 FROM (SELECT *, CASE WHEN score_home = '' THEN NULL ELSE TRY_CAST(score_home AS INT) END AS sh,
                 CASE WHEN score_away = '' THEN NULL ELSE TRY_CAST(score_away AS INT) END AS sa,
                 CAST(is_field_goal AS INT) AS fg,
@@ -214,7 +214,7 @@ FROM (SELECT *, CASE WHEN score_home = '' THEN NULL ELSE TRY_CAST(score_home AS
       FROM fx_pbp) c
 WINDOW w AS (PARTITION BY game_id ORDER BY action_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 _SIGNED = ("signed", """
-SELECT *, run_h - run_a AS margin, CAST(sign(run_h - run_a) AS INT) AS sign FROM scored""")
+SELECT *, home_score - away_score AS margin, CAST(sign(home_score - away_score) AS INT) AS sign FROM scored""")
 _LEADS = ("leads", """
 SELECT game_id, CAST(sum(CASE WHEN prev_sign IS NOT NULL AND sign <> prev_sign THEN 1 ELSE 0 END) AS BIGINT) AS lead_changes
 FROM (SELECT game_id, sign, LAG(sign) OVER (PARTITION BY game_id ORDER BY action_number) AS prev_sign
@@ -222,7 +222,7 @@ FROM (SELECT game_id, sign, LAG(sign) OVER (PARTITION BY game_id ORDER BY action
 GROUP BY game_id""")
 
 SQL["running_score"] = with_fx("""
-SELECT game_id, action_number, run_h, run_a, margin, sign FROM signed
+SELECT game_id, action_number, home_score, away_score, margin, sign FROM signed
 """, "fx_pbp", extra=[_SCORED, _SIGNED])
 
 SQL["lead_changes"] = with_fx("""
@@ -234,7 +234,7 @@ SQL["contest_rollup"] = with_fx("""
 SELECT g.*, CASE WHEN num_periods > 4 THEN 1 ELSE 0 END AS overtime,
        CAST(COALESCE(l.lead_changes, 0) AS BIGINT) AS lead_changes
 FROM (SELECT game_id, CAST(count(*) AS BIGINT) AS total_events, max(period) AS num_periods,
-             max(run_h) AS home_final, max(run_a) AS away_final, max(abs(margin)) AS max_abs_margin,
+             max(home_score) AS home_final, max(away_score) AS away_final, max(abs(margin)) AS max_abs_margin,
              CAST(sum(made) AS BIGINT) AS total_fg_made, CAST(sum(three) AS BIGINT) AS total_three_made
       FROM signed GROUP BY game_id) g
 LEFT JOIN leads l ON g.game_id = l.game_id
@@ -765,7 +765,7 @@ FROM fx_odds_snapshots GROUP BY ALL
 
 SQL["elo_blocked"] = SQL["elo_by_pool"]
 
-SQL["game_log_clean"] = with_fx("""
+_CLEAN_LOG = ("clean_log", """
 SELECT GAME_ID AS game_id, CAST(GAME_DATE AS DATE) AS game_date, SEASON AS season, TEAM_ID AS team_id,
        TEAM_ABBREVIATION AS team, CAST(regexp_matches(MATCHUP, 'vs.') AS INT) AS is_home, PTS AS pts,
        CAST(COALESCE(WL = 'W', false) AS INT) AS win
@@ -782,8 +782,22 @@ FROM (SELECT g.game_id AS GAME_ID, strftime(g.game_date, '%Y-%m-%d') AS GAME_DAT
                UNION ALL
                SELECT g.away_team_id, g.ac, g.ac || ' @ ' || g.hc,
                       CASE WHEN g.away_pts > g.home_pts THEN 'W' WHEN g.away_pts < g.home_pts THEN 'L' END,
-                      g.away_pts) s) raw
-""", "fx_games")
+                      g.away_pts) s) raw""")
+
+SQL["game_log_clean"] = with_fx("SELECT * FROM clean_log", "fx_games", extra=[_CLEAN_LOG])
+
+SQL["log_to_games"] = with_fx("""
+SELECT h.game_id, h.game_date, h.season, h.team_id AS home_team_id, h.pts AS home_pts,
+       a.team_id AS away_team_id, a.pts AS away_pts, CAST(h.pts > a.pts AS INT) AS home_win,
+       h.team AS home_team, a.team AS away_team
+FROM clean_log h JOIN clean_log a ON h.game_id = a.game_id
+WHERE h.is_home = 1 AND a.is_home = 0 AND h.team_id <> a.team_id
+""", "fx_games", extra=[_CLEAN_LOG])
+
+SQL["pruned_events"] = with_fx("""
+SELECT game_id, action_number, period, is_field_goal, shot_result, shot_value, score_home, score_away
+FROM fx_pbp
+""", "fx_pbp")
 
 SQL["odds_stream_close_emit"] = with_fx("""
 SELECT c.* FROM closing c JOIN tips t ON c.game_id = t.game_id

@@ -46,8 +46,8 @@ def running_below(d: DataFrame, part: str, score: str, count_col: str, out: str)
     inner = F.coalesce(F.sum(count_col).over(
         Window.partitionBy(*part, "_bk").orderBy(score)
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # ``off`` has at most SCORE_BUCKETS + 2 rows per part: bounded, broadcast
-    return (b.withColumn("_in", inner).join(F.broadcast(off), [*part, "_bk"])
+    # both sides are partitioned by part and bucket; the planner broadcasts a small ``off``
+    return (b.withColumn("_in", inner).join(off, [*part, "_bk"])
              .withColumn(out, F.col("_off") + F.col("_in")).drop("_bk", "_in", "_off"))
 
 
@@ -93,27 +93,22 @@ def quantile_edges(d: DataFrame, model: str = "model", p: str = "p",
     """Inner edges q = 1/n .. (n-1)/n per model from score counts ``d``: linear
     interpolation between closest ranks (position (n-1) q), exact, nothing collected."""
     d = d.withColumn("_c", F.col("_pos") + F.col("_neg"))
-    d = running_below(d, model, p, "_c", "_before")
-    n = d.groupBy(model).agg(F.sum("_c").alias("_n"))
-    qs = F.array(*[F.lit(i / n_bins) for i in range(1, n_bins)])
-    want = n.select(model, "_n", F.posexplode(qs).alias("_qi", "_q")).select(
-        model, "_qi", (F.col("_q") * (F.col("_n") - 1)).alias("_h"))
-    want = want.select(model, "_qi", "_h", F.floor("_h").cast("bigint").alias("_lo"),
-                       F.least(F.ceil("_h"), F.floor("_h") + 1).cast("bigint").alias("_hi"))
-    # value at rank r: the distinct value whose position range covers r
-    at = F.col("_before") <= F.col("_r")
-    lo = want.select(model, "_qi", "_h", F.col("_lo").alias("_r"), F.lit("lo").alias("_w"))
-    hi = want.select(model, "_qi", "_h", F.col("_hi").alias("_r"), F.lit("hi").alias("_w"))
-    # 2 * (n_bins - 1) wanted ranks per model: a bounded side, broadcast so the
-    # distinct-value table is never shuffled onto the (hot) model key
-    ranks = F.broadcast(lo.unionByName(hi))
-    hit = d.join(ranks, on=model).filter(at & (F.col("_r") < F.col("_before") + F.col("_c")))
-    piv = hit.groupBy(model, "_qi", "_h").agg(
-        F.max(F.when(F.col("_w") == "lo", F.col(p))).alias("_vlo"),
-        F.max(F.when(F.col("_w") == "hi", F.col(p))).alias("_vhi"))
-    frac = F.col("_h") - F.floor("_h")
-    return piv.select(model, "_qi", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac)
-                      .alias("edge"))
+    n = d.groupBy(F.col(model).alias("_m")).agg(F.sum("_c").alias("_n"))
+    d = running_below(d, model, p, "_c", "_before").join(n, F.col(model).eqNullSafe(F.col("_m")))
+    # the ranks that this score covers, of the two around each quantile: most scores have none
+    first, end = F.col("_before"), F.col("_before") + F.col("_c")
+    at = [F.lit(i / n_bins) * (F.col("_n") - 1) for i in range(1, n_bins)]
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), (h - F.floor(h)).alias("frac"),
+                               F.lit(up).alias("up"), (F.floor(h) + up).alias("r"))
+                      for i, h in enumerate(at) for up in (0, 1)])
+    hit = d.select(model, F.col(p).alias("_p"), F.explode(
+        F.filter(ranks, lambda x: (x["r"] >= first) & (x["r"] < end))).alias("x"))
+    edge = hit.groupBy(model, F.col("x.i").alias("_qi"), F.col("x.frac").alias("_f")).agg(
+        F.max(F.when(F.col("x.up") == 0, F.col("_p"))).alias("_lo"),
+        F.max(F.when(F.col("x.up") == 1, F.col("_p"))).alias("_hi"))
+    # at the last rank there is none above it, and its share is 0
+    above = F.coalesce("_hi", "_lo")
+    return edge.select(model, "_qi", (F.col("_lo") + (above - F.col("_lo")) * F.col("_f")).alias("edge"))
 
 
 def calibration_bins(scored: DataFrame, model: str = "model", y: str = "y", p: str = "p",

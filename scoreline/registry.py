@@ -114,7 +114,7 @@ def scored_pbp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("running_score")
 def q_running_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_pbp(spark, sf_dir).select(
-        "game_id", "action_number", "run_h", "run_a", "margin", "sign")
+        "game_id", "action_number", "home_score", "away_score", "margin", "sign")
 
 
 @register("lead_changes")
@@ -560,6 +560,22 @@ def q_game_log_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.clean_game_log(fx.fx_game_log(spark, sf_dir))
 
 
+@register("log_to_games")
+def q_log_to_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw log -> clean -> one row per game, the codes of both teams kept."""
+    clean = pairing.clean_game_log(fx.fx_game_log(spark, sf_dir))
+    return pairing.pair_sides(clean, labels=("team",))
+
+
+@register("pruned_events")
+def q_pruned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wide play-by-play feed (columns nobody declared, one declared column absent) cut to
+    the declared schema."""
+    wide = (fx.fx_pbp(spark, sf_dir).drop("team_code")
+            .withColumns({"raw": F.col("score_home"), "period_text": F.col("period").cast("string")}))
+    return tables.prune(wide, tables.PBP, optional=("team_code",))
+
+
 @register("odds_stream_close_emit")
 def q_odds_stream_close_emit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing lines emitted once per line by an event-time timer at tip-off."""

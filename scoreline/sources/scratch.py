@@ -1,7 +1,8 @@
 """Intermediate tables of one run, written to the cluster's shared folder.
 
 A written table cuts the lineage and survives the loss of executors; it is deleted as soon
-as the table made from it is written.
+as the table made from it is written.  The tables that a lazy result still reads go when the
+application ends, or with ``close``.
 """
 
 from __future__ import annotations
@@ -45,9 +46,15 @@ class Tables:
                 self.spark.conf.set(CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._written = path
+        if self.n == 1:
+            at_exit(self.spark, self.root)
         self.drop(*done)
         return out
 
+    def close(self) -> None:
+        """Delete all tables of the run, once nothing reads them any more."""
+        delete(self.spark, self.root)
+
     def drop(self, *done: DataFrame) -> None:
         for d in done:
             delete(self.spark, d._written)
@@ -57,3 +64,9 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def at_exit(spark: SparkSession, path: str) -> None:
+    """Have an existing folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)

@@ -9,6 +9,7 @@ declared schemas; ``require`` checks a frame against one before an operator runs
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _L, _I, _D, _S = T.LongType(), T.IntegerType(), T.DoubleType(), T.StringType()
@@ -72,3 +73,13 @@ def require(df: DataFrame, schema: T.StructType) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
     return df
+
+
+def prune(df: DataFrame, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """Only the declared columns, in the declared order and types.
+
+    A declared column that is missing is an error, unless it is ``optional``: then it is left
+    out.  Being a plain projection, it reaches the scan, so other columns are never read."""
+    require(df, T.StructType([f for f in schema.fields if f.name not in optional]))
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name)
+                       for f in schema.fields if f.name in df.columns])

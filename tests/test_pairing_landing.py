@@ -1,9 +1,15 @@
 """Pairing side rows, unpaired output, zero padding, incremental landing."""
 
+import os
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from scoreline.operators import pairing
-from scoreline.sources import landing
+from scoreline.plans import evaluate
+from scoreline.sources import landing, tables
+from scoreline.sources.scratch import Tables
 
 TG = "game_id long, game_date date, season int, team_id long, is_home int, pts long"
 
@@ -87,3 +93,48 @@ def test_profile_approximate_keys(spark):
     exact = profile.table_profile(df, "t", "k").first()
     approx = profile.table_profile(df, "t", "k", exact=False).first()
     assert exact.n_keys == 5000 and abs(approx.n_keys - 5000) <= 150
+
+
+def test_labels_of_both_sides(spark):
+    rows = [(1, None, 1, 10, 1, 100, "AAA"), (1, None, 1, 20, 0, 90, "BBB"),
+            (2, None, 1, 30, 1, 80, None), (2, None, 1, 10, 0, 80, "AAA")]
+    paired = pairing.pair_sides(spark.createDataFrame(rows, TG + ", team string"), labels=("team",))
+    assert sorted((r.game_id, r.home_team, r.away_team, r.home_win) for r in paired.collect()) == [
+        (1, "AAA", "BBB", 1), (2, None, "AAA", 0)]
+
+
+def test_prune_declared_columns(spark, scratch):
+    wide = spark.createDataFrame([(1, "x", 3, "y")], "season int, extra string, game_id int, team string")
+    schema = tables._schema(("game_id", tables._L), ("season", tables._I), ("period", tables._I))
+    with pytest.raises(ValueError, match="period"):
+        tables.prune(wide, schema)
+    wide.write.parquet(f"{scratch}/wide")
+    got = tables.prune(spark.read.parquet(f"{scratch}/wide"), schema, optional=("period",))
+    assert got.dtypes == [("game_id", "bigint"), ("season", "int")] and got.first() == (3, 1)
+    plan = got._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<season:int,game_id:int>" in plan
+
+
+def test_run_folder_is_deleted_by_close(spark):
+    run = Tables(spark, "closing")
+    first = run.put(spark.range(3).toDF("x"))
+    second = run.put(first.where("x > 0"), first)
+    root = run.root.removeprefix("file:")
+    assert second.count() == 2 and sorted(os.listdir(root)) == ["2"]
+    run.close()
+    assert not os.path.exists(root)
+
+
+@pytest.mark.parametrize("n_bins", [2, 4, 10])
+def test_quantile_edges_equal_linear_interpolation(spark, n_bins):
+    rng = np.random.default_rng(4)
+    some = {"many": rng.random(997), "ties": rng.integers(0, 5, 300) / 4.0, "one": np.array([0.25]),
+            "two": np.array([0.1, 0.7])}
+    rows = [(m, int(rng.random() < 0.5), float(p)) for m, ps in some.items() for p in ps]
+    counts = evaluate.score_counts(spark.createDataFrame(rows, "model string, y int, p double"), "model")
+    got = evaluate.quantile_edges(counts, n_bins=n_bins).collect()
+    assert len(got) == len(some) * (n_bins - 1)
+    for m, ps in some.items():
+        edges = sorted(r.edge for r in got if r.model == m)
+        want = np.quantile(ps, [i / n_bins for i in range(1, n_bins)])
+        assert np.allclose(edges, want, rtol=0, atol=1e-12)
