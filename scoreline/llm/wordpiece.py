@@ -6,7 +6,7 @@ the number of pieces that this cuts off (popped tokens), both computed once.  A
 the trie; where it cannot go on it follows failure links and adds their counts, so every
 byte costs a constant number of steps and no piece is ever materialised.  Words of a block
 walk side by side (one array step per byte position), and each distinct word of a block
-walks once.
+walks once; the last few (unbroken runs of bytes may be very long) walk alone.
 
 A word that no sequence of pieces covers counts as one unknown token.
 """
@@ -24,6 +24,7 @@ from scoreline.llm import words as wd
 
 SPACE = 0x20
 DEAD = -1
+FEW = 64       # words that are cheaper to walk one by one than side by side
 
 
 class LongestMatch:
@@ -68,6 +69,7 @@ class LongestMatch:
                     if z != DEAD:
                         fail[v], pops[v] = edges[int(z) * 256 + b], n
             level = deeper
+        self.edges, self.links, self.cuts = edges, fail.tolist(), pops.tolist()
         self.keys = np.array(sorted(edges), dtype=np.int64)
         self.to = np.array([edges[k] for k in self.keys.tolist()], dtype=np.int64)
         # edges of a node are neighbours in ``keys``: base gives its first one, rank its bytes
@@ -115,11 +117,14 @@ class LongestMatch:
         if lead is not None:
             live = self._advance(live, np.full(n, lead, dtype=np.int64), state, total, unknown)
         k = 0
-        while len(live):
+        while len(live) > FEW:
             live = live[starts[live] + k < ends[live]]
             live = self._advance(live, buf[starts[live] + k].astype(np.int64), state, total,
                                  unknown)
             k += 1
+        for i in live.tolist():
+            state[i], total[i], unknown[i] = self._alone(
+                int(state[i]), int(total[i]), buf[starts[i] + k:ends[i]].tobytes())
         # end of the word: cut off everything that is still held
         hold = np.flatnonzero(~unknown & (state > 1))
         while len(hold):
@@ -130,6 +135,20 @@ class LongestMatch:
         total[unknown] = 1
         return total
 
+    def _alone(self, state: int, total: int, rest: bytes) -> tuple[int, int, bool]:
+        """The walk of one word over its ``rest``: (node, tokens, whether it is unknown)."""
+        edges, links, cuts = self.edges, self.links, self.cuts
+        for b in rest:
+            new = edges.get(state * 256 + b)
+            while new is None:
+                total += cuts[state]
+                state = links[state]
+                if state == DEAD:
+                    return 0, total, True
+                new = edges.get(state * 256 + b)
+            state = new
+        return state, total, False
+
     def _advance(self, live: np.ndarray, byte: np.ndarray, state: np.ndarray,
                  total: np.ndarray, unknown: np.ndarray) -> np.ndarray:
         todo, b = live, byte

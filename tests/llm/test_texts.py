@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -92,6 +93,24 @@ def test_token_counts(spark, rows):
         assert got[i] == (len(w), sum(map(greedy, w)))
 
 
+def test_long_unbroken_word_takes_linear_time():
+    """Alone or beside others, a word has the same count."""
+    pieces = [b"ab", b"abc", b"a", b"b", b"c", b"cab", b"d"]
+    match = wordpiece.LongestMatch(pieces, pieces)
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"abcd") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    ends = np.cumsum([len(w) for w in words])
+    buf = np.frombuffer(b"".join(words), dtype=np.uint8)
+    together = match.count(buf, ends - [len(w) for w in words], ends, None)
+    alone = [match.count(np.frombuffer(w, dtype=np.uint8), np.array([0]), np.array([len(w)]), None)[0]
+             for w in words]
+    assert together.tolist() == [int(n) for n in alone]
+    begun = time.perf_counter()
+    assert match.count(np.full(1_000_000, ord("d"), dtype=np.uint8), np.array([0]),
+                       np.array([1_000_000]), None)[0] == 1_000_000
+    assert time.perf_counter() - begun < 20
+
+
 def test_longest_match_on_small_vocabularies():
     rng = np.random.default_rng(3)
 
