@@ -219,9 +219,14 @@ def overlaps(docs: DataFrame, bench: DataFrame, masks: dict[int, tuple[str, ...]
     # one row per stretch, item and alignment, however many seeds agree on it
     found = (hits.join(seed, "h")
              .select("part", "item", (F.col("p") - F.col("pos")).alias("shift")).distinct())
+    # of a stretch only the words beside the item go on, so repeats of an item cost their own size
+    begin = F.greatest("shift", F.lit(0))
+    end = F.least(F.col("shift") + F.size("item_words"), F.size("words"))
     pairs = (found.join(items.withColumnRenamed("words", "item_words"), "item")
              .join(parts.select("part", "row", "words"), "part")
-             .select("row", "item", "shift", "item_words", "words"))
+             .select("row", "item", F.least("shift", F.lit(0)).alias("shift"), "item_words",
+                     F.slice("words", (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0))
+                             .cast("int")).alias("words")))
     best = pairs.mapInArrow(_verify(length, identity), "row long, item long, n long, equal long")
     return best.groupBy(F.col("row"), F.col("item").alias("item_id")).agg(
         F.max(F.struct("n", "equal")).alias("x")).select(
