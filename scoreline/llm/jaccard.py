@@ -12,11 +12,18 @@ sets A and B share one of the first |A| - ceil(num / den * |A|) + 1 shingles of
 also among B's first ones.  The order puts rare shingles first, by levels of their counts
 over all documents (once, twice, 8, 64, 512 times or more) and then by hash; the levels
 travel as Bloom filters.  Shingles that occur once match nobody and are not sent, so a
-class with enough of them sends nothing at all.  Classes of similar size that share a sent
-shingle are joined into candidate groups (connected components).  A group that exceeds a
-task's bound is dealt out in blocks, and every pair of blocks is searched in a task of its
-own.  Tasks return, per class, the number of links and one link that keeps it connected,
-never pairs, so a group of m near copies costs about m rows per task.
+class with enough of them sends nothing at all.  The classes of similar size that sent one
+shingle are a list, and linked classes stand in a common list.
+
+Lists that hang together (connected components) and fit a task are searched in one task.
+Larger components are mostly chains, whose far ends have nothing in common, so they are cut:
+every class lives in the longest of its lists, and visits the homes of those classes with
+longer lists that it shares a list with.  A home compares its residents with each other and
+with its visitors, never visitors among themselves, so every pair with a common list meets in
+one home and only there.  A home that exceeds a task's bound is dealt out in blocks, and every
+pair of blocks is searched in a task of its own.  Tasks return, per class, the number of links
+and one link that keeps it connected, never pairs, so a group of m near copies costs about m
+rows per task.
 """
 
 from __future__ import annotations
@@ -206,6 +213,22 @@ def _search(num: int, den: int):
     return run
 
 
+def homes(lists: DataFrame) -> DataFrame:
+    """(name, home, visitor) from the members (sig, name) of lists.
+
+    A class lives in the longest of its lists (ties: the largest sig) and visits the longer
+    homes of the classes that it shares a list with.  The homes of a list are named once, before
+    they meet its members."""
+    length = lists.groupBy("sig").agg(F.count("*").alias("n"))
+    own = lists.join(length, "sig").groupBy("name").agg(F.max(F.struct("n", "sig")).alias("home"))
+    housed = lists.join(own, "name")
+    hosts = housed.select("sig", F.col("home").alias("host")).distinct()
+    visits = (housed.join(hosts, "sig").where("host > home")
+              .select("name", F.col("host.sig").alias("home")).distinct())
+    return own.select("name", F.col("home.sig").alias("home"), F.lit(False).alias("visitor")).unionByName(
+        visits.withColumn("visitor", F.lit(True)))
+
+
 def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = False,
                     id_col: str = "doc_id", text_col: str = "text",
                     block_docs: int = BLOCK_DOCS,
@@ -308,19 +331,35 @@ def near_duplicates(docs: DataFrame, n: int, num: int, den: int, lower: bool = F
         .select("sig", "lead"))
     edges = sigs.join(shared, "sig").where("name <> lead").select(
         F.col("lead").alias("u"), F.col("name").alias("v"))
-    groups = components(tables, tables.put(edges.distinct(), sigs, shared))
+    groups = components(tables, tables.put(edges.distinct()))
 
-    # blocks: classes of a group, dealt out by hash when the group is large
     member = tables.put(groups.join(classes, groups["node"] == classes["name"]).select(
         "component", "name", classes["node"].alias("node"), "copies", "size"))
-    plan = member.groupBy("component").agg(F.greatest(
-        F.ceil(F.count("*") / block_docs), F.ceil(F.sum("size") / block_shingles)).alias("blocks"))
-    dealt = member.join(plan, "component").select(
-        "component", "name", "node", "copies", "blocks",
-        F.pmod(F.xxhash64("name"), F.col("blocks")).alias("own"))
-    dealt = tables.put(dealt.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)"))).select(
-        "component", "name", "node", "copies", F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side")), member)
+    parts = [F.greatest(F.ceil(F.count_if(who) / block_docs),
+                        F.ceil(F.coalesce(F.sum(F.when(who, F.col("size"))), F.lit(0)) / block_shingles))
+             for who in (~F.col("visitor"), F.col("visitor"))]
+    wide = member.groupBy("component").agg(F.greatest(
+        F.ceil(F.count("*") / block_docs), F.ceil(F.sum("size") / block_shingles)).alias("parts"))
+    wide = tables.put(wide.where("parts > 1").select("component"))
+    cut = member.join(wide, "component", "left_semi").drop("component")
+    calls = tables.put(homes(sigs.join(shared.select("sig"), "sig", "left_semi")
+                             .join(cut.select("name"), "name", "left_semi").distinct()), sigs, shared)
+    placed = tables.put(member.join(wide, "component", "left_anti").withColumn("visitor", F.lit(False))
+                        .unionByName(cut.join(calls, "name").withColumnRenamed("home", "component")),
+                        member, wide, calls)
+    # residents are dealt into the first blocks of a home, visitors into those behind
+    plan = placed.groupBy("component").agg(*[n.alias(c) for n, c in zip(parts, ("own", "guests"))]
+                                           ).where("own > 0")
+    n = F.when(F.col("visitor"), F.col("guests")).otherwise(F.col("own"))
+    block = F.pmod(F.xxhash64("name"), n) + F.when(F.col("visitor"), F.col("own")).otherwise(F.lit(0))
+    meets = F.when(F.col("visitor"), F.col("own")).otherwise(F.col("own") + F.col("guests"))
+    dealt = placed.join(plan, "component").select(
+        "component", "name", "node", "copies", block.alias("block"),
+        F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)).alias("other"))
+    dealt = tables.put(dealt.select(
+        "component", "name", "node", "copies", F.least("block", "other").alias("i"),
+        F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side")),
+        placed)
 
     ids = dealt.select("name", F.col("node").alias("doc_id")).distinct()
     sets = known.join(ids, ["name", "doc_id"], "left_semi").select("name", "h").dropDuplicates(["name"])

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -46,6 +47,38 @@ def test_equals_brute_force(spark, corpus, n, num, den, block):
     assert got == brute(corpus, n, num, den, True)
 
 
+def test_chains_of_shared_passages(spark, block=6):
+    """Texts that hang together by common passages, near copies in between, far ends foreign."""
+    rng = random.Random(5)
+    passages = [[f"p{i}w{k}" for k in range(8)] for i in range(12)]
+    rows = []
+    for i in range(36):
+        words = passages[i % 12] + passages[(i + 1) % 12] + [f"d{i // 3}x{k}" for k in range(6)]
+        if i % 3:
+            words[rng.randrange(len(words))] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[7][1] + f" tail{i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: tuple(r[1:]) for r in jaccard.near_duplicates(
+        df, 3, 60, 100, lower=True, block_docs=block).collect()}
+    assert got == brute(rows, 3, 60, 100, True)
+
+
+def test_homes_let_every_pair_meet_once(spark):
+    rng = random.Random(8)
+    lists = {(s, rng.randrange(40)) for s in range(25) for _ in range(rng.randint(2, 12))}
+    got = jaccard.homes(spark.createDataFrame(sorted(lists), "sig long, name long")).collect()
+    home = {r.name: r.home for r in got if not r.visitor}
+    visits = {(r.name, r.home) for r in got if r.visitor}
+    assert sorted(home) == sorted({n for _, n in lists}) and len(got) == len(home) + len(visits)
+    assert all((home[n], n) in lists for n in home)
+    for a, b in combinations(sorted(home), 2):
+        met = (home[a] == home[b]) + ((a, home[b]) in visits) + ((b, home[a]) in visits)
+        assert met <= 1
+        if any((s, a) in lists and (s, b) in lists for s in range(25)):
+            assert met == 1
+
+
 def test_null_ids_repeats_and_clashing_columns(spark, documents, corpus):
     got = jaccard.near_duplicates(documents, 3, 90, 100).collect()
     assert len(got) == len(corpus) + 2
