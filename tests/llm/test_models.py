@@ -46,6 +46,17 @@ def test_toxicity_learns_and_scores_every_row(labelled):
     assert toxicity.score(docs.where("false"), model).collect() == []
 
 
+def test_toxicity_finds_held_out_rows(labelled):
+    """Every third id is never learned from; a third of the toxic rows are among them."""
+    docs, labels = labelled
+    model = toxicity.train(docs, labels, where=F.col("doc_id") % 3 != 0)
+    held = [r for r in toxicity.score(docs, model).collect()
+            if r.doc_id is not None and r.doc_id % 3 == 0 and r.doc_id < 400]
+    toxic = [r.predicted for r in held if r.doc_id % 4 == 0]
+    clean = [r.predicted for r in held if r.doc_id % 4]
+    assert len(toxic) >= 30 and np.mean(toxic) > 0.9 and np.mean(clean) < 0.05
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     model = toxicity.train(docs, labels.where("false"))
