@@ -16,15 +16,16 @@ first chunk is right after one round, the next after two, and so on, so the roun
 in the sequential answer; because what a team brings along fades with every game and season, a
 few rounds settle any history, and one that fits a chunk needs none.
 
-``elo_relaxed`` needs no Python.  Each sweep walks every team's career alone, with the
-deviations that its opponents had in the sweep before, and hands the new deviations to the
-opponents (one row per game and side, met by the game).  A team's own moves are thus exact in
-every sweep and only the opponents' lag behind, which fades quickly; sweeps end when no
-deviation changes by more than ``tol``.
+``elo_relaxed`` needs no Python.  A chunk is one row with its games as an array; a fold with
+array functions walks them with the ratings of the chunk's teams as state (blocks of about the
+square root of their number, so that a game copies two short blocks, not all ratings).  The
+hand-over between chunks is that of ``elo_ratings``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,6 +101,35 @@ def _pooled(games: DataFrame, pool: str | None) -> DataFrame:
     return games.withColumn("_pool", (F.col(pool) if pool else F.lit("")).cast("string"))
 
 
+def _settled(tables: Tables, start: DataFrame, moved: DataFrame | None,
+             played: Callable[[DataFrame, DataFrame], DataFrame], regress: float,
+             tol: float) -> tuple[DataFrame, int, int]:
+    """Hand ratings from chunk to chunk until no chunk's teams move by more than ``tol``.
+
+    ``start``: a row per chunk and team with ``x``, what the team brings; ``moved``: the chunks to
+    play first (none: one chunk holds all); ``played`` gives their rows of ``start`` with
+    ``_end``, what the team takes out.  Returns the settled start, rounds and chunks played."""
+    own = [c for c in start.columns if c != "x"]
+    career = Window.partitionBy("_pool", "team").orderBy("_part")
+    brought = F.coalesce(F.lag("_end").over(career) * F.pow(
+        F.lit(regress), F.col("_from") - F.lag("_to").over(career)), F.lit(0.0))
+    done: DataFrame | None = None              # what teams took out of the chunks last time
+    rounds = n_played = 0
+    while moved is not None:
+        rounds, n_played = rounds + 1, n_played + moved.count()
+        out = played(moved, start)
+        if done is not None:
+            out = out.unionByName(done.join(moved, CHUNK, "left_anti"))
+        done = tables.put(out, *([done] if done is not None else []))
+        after = tables.put(done.select(*own, F.col("x").alias("_old"), brought.alias("x")), start)
+        start = after.drop("_old")
+        start._written = after._written
+        again = tables.put(after.where(F.abs(F.col("x") - F.col("_old")) > tol)
+                           .select(*CHUNK).distinct())
+        moved = again if again.limit(1).count() else None
+    return start, rounds, n_played
+
+
 def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
                 home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
                 tol: float = TOL, chunk_games: int = CHUNK_GAMES,
@@ -127,29 +157,15 @@ def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
         chunk.play(k, home_adv, regress)
         return right.assign(_end=chunk.dev)[ends_schema.names]
 
-    career = Window.partitionBy("_pool", "team").orderBy("_part")
-    brought = F.coalesce(F.lag("_end").over(career) * F.pow(
-        F.lit(regress), F.col("_from") - F.lag("_to").over(career)), F.lit(0.0))
-    moved = g.select(*CHUNK).distinct() if g.where("_part > 0").limit(1).count() else None
-    done: DataFrame | None = None              # what teams took out of the chunks last time
-    rounds = played = 0
-    while moved is not None:
-        rounds, played = rounds + 1, played + moved.count()
-        out = (g.join(moved, CHUNK, "left_semi").groupBy(*CHUNK)
-               .cogroup(start.join(moved, CHUNK, "left_semi").groupBy(*CHUNK))
-               .applyInPandas(ends, ends_schema))
-        if done is not None:
-            out = out.unionByName(done.join(moved, CHUNK, "left_anti"))
-        done = tables.put(out, *([done] if done is not None else []))
-        after = tables.put(done.select(*CHUNK, "team", "_from", "_to", F.col("x").alias("_old"),
-                                       brought.alias("x")), start)
-        start = after.drop("_old")
-        start._written = after._written
-        again = tables.put(after.where(F.abs(F.col("x") - F.col("_old")) > tol)
-                           .select(*CHUNK).distinct())
-        moved = again if again.limit(1).count() else None
+    def played(moved: DataFrame, start: DataFrame) -> DataFrame:
+        return (g.join(moved, CHUNK, "left_semi").groupBy(*CHUNK)
+                .cogroup(start.join(moved, CHUNK, "left_semi").groupBy(*CHUNK))
+                .applyInPandas(ends, ends_schema))
+
+    chunks = g.select(*CHUNK).distinct() if g.where("_part > 0").limit(1).count() else None
+    start, rounds, n_played = _settled(tables, start, chunks, played, regress, tol)
     if stats is not None:
-        stats.update(rounds=rounds, chunks_played=played)
+        stats.update(rounds=rounds, chunks_played=n_played)
 
     out_schema = T.StructType([g.schema["game_id"]] + [
         T.StructField(c, T.DoubleType())
@@ -166,62 +182,73 @@ def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
 
 
 SWEEP_TOL = 1e-8       # rating points
-SWEEPS = 3             # sweeps between two written tables
+FOLD_GAMES = 20_000    # games of one chunk's array, about
 
 
 def elo_relaxed(games: DataFrame, pool: str | None = None, k: float = K,
                 home_adv: float = HOME_ADV, base: float = BASE, regress: float = REGRESS,
-                tol: float = SWEEP_TOL, stats: dict | None = None) -> DataFrame:
-    """The same ratings by sweeps over careers, with array functions alone (no Python).
+                tol: float = SWEEP_TOL, chunk_games: int = FOLD_GAMES,
+                stats: dict | None = None) -> DataFrame:
+    """The same ratings by folds over chunks, with array functions alone (no Python).
 
-    A career (one row) is as long as the calendar has games for a team."""
+    ``stats`` receives the rounds of the hand-over as ``sweeps``, and the chunks played."""
     tables = Tables(games.sparkSession, "relaxed")
-    g = _pooled(games, pool)
-    g = g.join(season_ordinals(g), on=["_pool", "season"])
-    sides = g.select("_pool", "_sord", "game_id", "game_date", F.col("home_win").cast("double").alias("win"),
-                     F.inline(F.array(
-                         F.struct(F.col("home_team_id").alias("team"), F.lit(True).alias("home")),
-                         F.struct(F.col("away_team_id").alias("team"), F.lit(False).alias("home")))))
-    state = tables.put(sides.withColumns({"dev": F.lit(0.0), "opp": F.lit(0.0)}))
-    # deviation at the game's season, expectation of the home side, and the move
-    here = f"s.dev * pow({regress}D, x._sord - s.season)"
-    home = "CASE WHEN x.home THEN x.opp - d ELSE d - x.opp END"
-    move = (f"CASE WHEN x.home THEN {k}D ELSE -{k}D END * "
-            f"(x.win - 1D / (1D + pow(10D, ({home} - {home_adv}D) / 400D)))")
-    step = f"element_at(transform(array({here}), d -> struct(d + {move} AS dev, x._sord AS season)), 1)"
-    walked = fold("career", "struct(0D AS dev, career[0]._sord AS season)", step, here, "double")
-
-    def sweep(now: DataFrame) -> DataFrame:
-        careers = now.groupBy("_pool", "team").agg(F.array_sort(F.collect_list(F.struct(
-            "_sord", "game_date", "game_id", "home", "win", "opp", F.col("dev").alias("old")))).alias("career"))
-        devs = careers.select("_pool", "team", F.inline(F.arrays_zip(
-            "career", F.expr(walked).alias("dev")))).select("_pool", "team", "career.*", "dev")
-        # both sides of a game exchange their deviations
-        met = devs.groupBy("_pool", "game_id").agg(
-            *[F.first(c).alias(c) for c in ("_sord", "game_date", "win")],
-            *[F.max(F.when(F.col("home") == flag, F.struct("team", "dev", "old"))).alias(name)
-              for name, flag in (("h", True), ("a", False))])
-        return met.select("_pool", "_sord", "game_id", "game_date", "win", F.inline(F.array(*[
-            F.struct(F.col(f"{me}.team").alias("team"), F.lit(flag).alias("home"),
-                     F.col(f"{me}.dev").alias("dev"), F.col(f"{other}.dev").alias("opp"),
-                     F.abs(F.col(f"{me}.dev") - F.col(f"{me}.old")).alias("change"))
-            for me, other, flag in (("h", "a", True), ("a", "h", False))])))
-
-    sweeps = 0
-    while True:
-        after = state
-        for _ in range(SWEEPS):
-            after = sweep(after)
-        sweeps += SWEEPS
-        after = tables.put(after, state)
-        change = after.agg(F.max("change")).first()[0]
-        state = after.drop("change")
-        state._written = after._written
-        if change is None or change <= tol:
-            break
+    g = tables.put(with_chunks(_pooled(games, pool), chunk_games).select(
+        *CHUNK, "_sord", "game_id", "game_date", "home_team_id", "away_team_id",
+        F.col("home_win").cast("double").alias("win")))
+    span = g.groupBy(*CHUNK).agg(F.min("_sord").alias("_from"), F.max("_sord").alias("_to"))
+    # the place of a team in its chunk: a block, and a place in the block
+    teams = g.select(*CHUNK, F.explode(F.array("home_team_id", "away_team_id")).alias("team")
+                     ).groupBy(*CHUNK).agg(F.array_sort(F.collect_set("team")).alias("teams"))
+    width = F.ceil(F.sqrt(F.size("teams"))).cast("int")
+    start = tables.put(teams.join(span, CHUNK).select(
+        *CHUNK, "_from", "_to", width.alias("width"), F.posexplode("teams").alias("slot", "team")).select(
+        *CHUNK, "team", "_from", "_to", F.expr("int(slot div width)").alias("block"),
+        (F.col("slot") % F.col("width")).alias("place"), F.lit(0.0).alias("x")))
+
+    def at(side: str) -> DataFrame:
+        return start.select(*CHUNK, F.col("team").alias(f"{side}_team_id"),
+                            F.struct("block", "place").alias(side))
+
+    packed = tables.put(g.join(at("home"), [*CHUNK, "home_team_id"]).join(at("away"), [*CHUNK, "away_team_id"])
+                        .groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct(
+                            "_sord", "game_date", "game_id", "win", "home", "away"))).alias("games")), g)
+
+    def brought(start: DataFrame) -> DataFrame:
+        blocks = start.groupBy(*CHUNK, "block").agg(F.array_sort(F.collect_list(
+            F.struct("place", "x"))).alias("b"))
+        return blocks.groupBy(*CHUNK).agg(F.array_sort(F.collect_list(F.struct(
+            "block", F.col("b.x").alias("b")))).alias("d")).select(*CHUNK, F.col("d.b").alias("devs"))
+
+    # deviations at the game's season, expectation of the home side, and both sides moved
+    here = (f"CASE WHEN x._sord = s.season THEN s.devs ELSE transform(s.devs, b -> transform(b, "
+            f"v -> v * pow({regress}D, x._sord - s.season))) END")
+    home, away = "d[x.home.block][x.home.place]", "d[x.away.block][x.away.place]"
+    move = f"{k}D * (x.win - 1D / (1D + pow(10D, ({away} - {home} - {home_adv}D) / 400D)))"
+    moved_by = ("CASE WHEN i = x.home.block AND j = x.home.place THEN v + m "
+                "WHEN i = x.away.block AND j = x.away.place THEN v - m ELSE v END")
+    step = (f"element_at(transform(array({here}), d -> struct(x._sord AS season, element_at(transform("
+            f"array({move}), m -> transform(d, (b, i) -> CASE WHEN i = x.home.block OR i = x.away.block "
+            f"THEN transform(b, (v, j) -> {moved_by}) ELSE b END)), 1) AS devs)), 1)")
+    first = "struct(games[0]._sord AS season, devs)"
+    both = f"element_at(transform(array({here}), d -> struct({home} AS h, {away} AS a)), 1)"
+
+    def played(moved: DataFrame, start: DataFrame) -> DataFrame:
+        at_end = packed.join(moved, CHUNK, "left_semi").join(brought(start), CHUNK).select(
+            *CHUNK, F.expr(f"aggregate(games, {first}, (s, x) -> {step}, s -> s.devs)").alias("devs"))
+        ends = at_end.select(*CHUNK, F.posexplode("devs").alias("block", "b")).select(
+            *CHUNK, "block", F.posexplode("b").alias("place", "_end"))
+        return start.join(ends, [*CHUNK, "block", "place"]).select(*start.columns, "_end")
+
+    several = packed.where("_part > 0").limit(1).count()
+    start, rounds, n_played = _settled(tables, start, packed.select(*CHUNK) if several else None,
+                                       played, regress, tol)
     if stats is not None:
-        stats.update(sweeps=sweeps)
-    expect = 1.0 / (1.0 + F.pow(F.lit(10.0), (F.col("opp") - F.col("dev") - home_adv) / 400.0))
-    return state.where("home").select(
-        "game_id", (F.col("dev") + base).alias("home_elo"), (F.col("opp") + base).alias("away_elo"),
-        (F.col("dev") + home_adv - F.col("opp")).alias("elo_diff"), expect.alias("elo_exp_home"))
+        stats.update(sweeps=rounds, chunks_played=n_played)
+    rated = packed.join(brought(start), CHUNK).select(F.inline(F.arrays_zip(
+        F.col("games.game_id").alias("game_id"),
+        F.expr(fold("games", first, step, both, "struct<h:double,a:double>")).alias("r"))))
+    x, y = F.col("r.h"), F.col("r.a")
+    expect = 1.0 / (1.0 + F.pow(F.lit(10.0), (y - x - home_adv) / 400.0))
+    return rated.select("game_id", (x + base).alias("home_elo"), (y + base).alias("away_elo"),
+                        (x + home_adv - y).alias("elo_diff"), expect.alias("elo_exp_home"))

@@ -85,6 +85,19 @@ def test_sweeps_equal_replay(spark, regress):
         assert math.isclose(r.elo_exp_home, want[r.game_id].elo_exp_home, abs_tol=1e-8)
 
 
+@pytest.mark.parametrize("chunk_games", [rating.FOLD_GAMES, 700])
+def test_folds_over_chunks_equal_replay(spark, chunk_games):
+    """Rounds of the Python-free form follow the chunks, not the length of the history."""
+    games = fx.fx_games(spark, SF_CHECK)
+    want, stats = replay(rows_of(games)), {}
+    got = rating.elo_relaxed(games, chunk_games=chunk_games, stats=stats).collect()
+    assert len(got) == len(want) and stats["sweeps"] <= -(-len(want) // chunk_games)
+    for r in got:
+        h, a, e = want[r.game_id]
+        assert math.isclose(r.home_elo, h, abs_tol=1e-6) and math.isclose(r.away_elo, a, abs_tol=1e-6)
+        assert math.isclose(r.elo_exp_home, e, abs_tol=1e-8)
+
+
 def test_only_moved_chunks_are_played_again(spark):
     games = fx.fx_games(spark, SF_CHECK)
     one, many = {}, {}
