@@ -615,7 +615,8 @@ def arriving_in_order(spark: SparkSession, sf_dir: str, base: str, files: int =
     parts = [days[i:i + step] for i in range(0, len(days), step)]
     path = f"{base}/input"
     for part in [*parts, parts[0]]:
-        snaps.where(F.to_date("captured_at").isin(part)).coalesce(1).write.mode("append").parquet(path)
+        # one file, but read and filtered by all tasks
+        snaps.where(F.to_date("captured_at").isin(part)).repartition(1).write.mode("append").parquet(path)
     return path
 
 

@@ -1,8 +1,9 @@
 """Current price per line while its game is open, with state that ends at tip-off.
 
-Each line keeps one row of state, the latest price before tip-off.  A timer at tip-off in
-event time removes it, so the state holds the lines of open games only, however long the
-stream runs.  A price that arrives after tip-off changes nothing.
+Of each line the state keeps one row, the latest price before tip-off; lines are held by bucket
+of games.  A timer at the bucket's next tip-off in event time removes the lines of that game, so
+the state holds the lines of open games only, however long the stream runs.  A price that
+arrives after tip-off changes nothing.
 """
 
 from __future__ import annotations
@@ -16,48 +17,54 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scoreline.operators.prices import LINE_KEYS
+from scoreline.streaming.odds_stream import LINES_STATE, as_state, by_bucket, held_lines, latest_lines
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE = "line"
-PRICE = "american_odds int, at_us long, snapshot_id long"
 OUT = "game_id long, book string, market string, side string, american_odds int, captured_at timestamp"
 
 
-def _us(column: pd.Series) -> pd.Series:
-    return column.astype("datetime64[us]").astype("int64")
-
-
-class _Line(StatefulProcessor):
-    """Latest price of one line before its tip-off."""
+class _Lines(StatefulProcessor):
+    """Latest prices of a bucket's lines before their tip-off."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.line = handle.getValueState(STATE, PRICE)
+        self.lines = handle.getValueState(STATE, f"{LINES_STATE}, timer_ms long")
+
+    def _held(self) -> tuple[pd.DataFrame, int | None]:
+        state = self.lines.get() if self.lines.exists() else None
+        return held_lines(state[:-1] if state else None), state[-1] if state else None
+
+    def _hold(self, lines: pd.DataFrame, timer: int | None) -> None:
+        """``timer``: the one that is set and has not expired."""
+        if not len(lines):
+            self.lines.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            return
+        tip = int(lines["tip_ms"].min())
+        if tip != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(tip)
+        self.lines.update((*as_state(lines), tip))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = self.line.get() if self.line.exists() else None
-        best = (best[1], best[2], best[0]) if best else None         # time, id, price
-        before, tip = best, None
-        for pdf in rows:                          # a chunk at a time: one row is kept
-            at, tips = _us(pdf["captured_at"]), _us(pdf["tip_at"])
-            tip = int(tips.iloc[0])
-            pdf = pdf.assign(at_us=at)[at < tips]
-            if len(pdf):
-                row = pdf.sort_values(["at_us", "snapshot_id"]).iloc[-1]
-                new = (int(row["at_us"]), int(row["snapshot_id"]), int(row["american_odds"]))
-                best = new if best is None else max(best, new)
-        if best is None or best == before:
-            return
-        if tip // 1000 > timerValues.getCurrentWatermarkInMs():
-            self.line.update((best[2], best[0], best[1]))
-            if before is None:
-                self.handle.registerTimer(tip // 1000)
-        yield pd.DataFrame({**{c: [k] for c, k in zip(LINE_KEYS, key)}, "american_odds": [best[2]],
-                            "captured_at": pd.to_datetime([best[0]], unit="us")})
+        held, timer = self._held()
+        lines = latest_lines(held, rows)
+        changed = lines[lines["new"]]
+        if len(changed):
+            # a timer that expires in this batch drops the other lines
+            open_ = lines[~lines["new"] | (lines["tip_ms"] > timerValues.getCurrentWatermarkInMs())]
+            if len(open_):
+                self._hold(open_, timer)
+            yield pd.DataFrame({**{c: changed[c] for c in LINE_KEYS}, "american_odds": changed["odds"],
+                                "captured_at": pd.to_datetime(changed["at_us"], unit="us")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.line.clear()
+        held, _ = self._held()
+        self._hold(held[held["tip_ms"] > timerValues.getCurrentWatermarkInMs()], None)
         return iter([])
 
     def close(self) -> None:
@@ -66,11 +73,8 @@ class _Line(StatefulProcessor):
 
 def open_lines(stream: DataFrame, tipoffs: DataFrame, keys: Sequence[str] = LINE_KEYS) -> DataFrame:
     """Changed prices of open lines (update mode).  ``tipoffs``: game_id, tip_ts."""
-    tips = tipoffs.select("game_id", F.col("tip_ts").cast("timestamp").alias("tip_at"))
-    rows = stream.join(tips, "game_id").select(*keys, "american_odds", "captured_at", "snapshot_id",
-                                               "tip_at")
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Line(), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
+    return by_bucket(stream, tipoffs, keys).transformWithStateInPandas(
+        statefulProcessor=_Lines(), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
 
 
 @contextmanager
@@ -89,4 +93,5 @@ def rocksdb(spark: SparkSession):
 
 def state_rows(spark: SparkSession, checkpoint: str) -> int:
     """Lines that are still held after the last batch."""
-    return (spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint).count())
+    held = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
+    return held.agg(F.coalesce(F.sum(F.size("value.game_id")), F.lit(0))).first()[0]

@@ -12,9 +12,10 @@ the checkpoint directory, and a restarted query resumes from its checkpoint.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from scoreline.operators.prices import LINE_KEYS
@@ -90,84 +91,84 @@ def stream_dir(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
+# Python state is kept per bucket of games, so that a call works on many lines at once (a call
+# costs milliseconds, whatever it is given); a bucket's state is a row per open line
+GAME_BUCKETS = 512
+STATE_COLUMNS = {"game_id": "long", "book": "string", "market": "string", "side": "string",
+                 "odds": "int", "at_us": "long", "snapshot_id": "long", "tip_ms": "long"}
+LINES_STATE = ", ".join(f"{c} array<{t}>" for c, t in STATE_COLUMNS.items())
 CLOSE_OUT = ("game_id long, book string, market string, side string, closing_odds int, "
              "closing_at timestamp, tip_at timestamp")
-CLOSE_STATE = ("books array<string>, markets array<string>, sides array<string>, "
-               "odds array<int>, at_us array<long>, snaps array<long>, tip_ms long")
-_LINE = ["book", "market", "side"]
-
-
-def _close_game(key, pdfs, state):
-    """Keep the latest pre-tip price of every line of one game (a few rows: books x
-    sides); emit them once when the event-time watermark passes tip-off, then drop
-    the state."""
-    import pandas as pd
-
-    def emit(books, markets, sides, odds, at_us, tip_ms):
-        n = len(books)
-        return pd.DataFrame({"game_id": [key[0]] * n, "book": list(books),
-                             "market": list(markets), "side": list(sides),
-                             "closing_odds": list(odds),
-                             "closing_at": pd.to_datetime(list(at_us), unit="us"),
-                             "tip_at": [pd.Timestamp(tip_ms, unit="ms")] * n})
-
-    def latest(frames):
-        rows = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame()
-        if rows.empty:
-            return rows
-        return rows.sort_values(["at_us", "snap"]).groupby(_LINE, sort=False).tail(1)
-
-    if state.hasTimedOut:
-        books, markets, sides, odds, at_us, _snaps, tip_ms = state.get
+
+
+def by_bucket(stream: DataFrame, tipoffs: DataFrame, keys: Sequence[str] = LINE_KEYS) -> GroupedData:
+    """Snapshots with the tip-off of their game (``tip_at``), grouped by bucket of games."""
+    tips = tipoffs.select("game_id", F.col("tip_ts").cast("timestamp").alias("tip_at"))
+    rows = stream.join(tips, "game_id").select(
+        F.pmod(F.xxhash64("game_id"), F.lit(GAME_BUCKETS)).alias("bucket"), *keys, "american_odds",
+        "captured_at", "snapshot_id", "tip_at")
+    return rows.groupBy("bucket")
+
+
+def epoch_us(column: pd.Series) -> pd.Series:
+    return column.astype("datetime64[us]").astype("int64")
+
+
+def latest_lines(held: pd.DataFrame, chunks: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """The row of every line with the latest price before tip-off, of the rows held so far and
+    of arriving chunks; ``new``: it is not the held one."""
+    held = held.assign(new=False)
+    for pdf in chunks:                         # a row per line, whatever the batch brings
+        at, tip = epoch_us(pdf["captured_at"]), epoch_us(pdf["tip_at"])
+        rows = pd.DataFrame({**{c: pdf[c] for c in LINE_KEYS}, "odds": pdf["american_odds"].astype("Int64"),
+                             "at_us": at, "snapshot_id": pdf["snapshot_id"], "tip_ms": tip // 1000,
+                             "new": True})[at < tip]
+        both = pd.concat([rows, held], ignore_index=True) if len(held) else rows
+        held = both.sort_values(["at_us", "snapshot_id"], kind="stable").drop_duplicates(
+            list(LINE_KEYS), keep="last")      # a held row stays if the same price comes again
+    return held
+
+
+def held_lines(state: tuple | None) -> pd.DataFrame:
+    """Rows of a bucket's state."""
+    columns = state if state is not None else [[] for _ in STATE_COLUMNS]
+    out = pd.DataFrame({c: list(v) for c, v in zip(STATE_COLUMNS, columns)})
+    return out.astype({c: "Int64" if c == "odds" else "int64" for c, t in STATE_COLUMNS.items() if t != "string"})
+
+
+def as_state(lines: pd.DataFrame) -> tuple:
+    return tuple([None if pd.isna(v) else v for v in lines[c].tolist()] if c == "odds" else lines[c].tolist()
+                 for c in STATE_COLUMNS)
+
+
+def _close_games(key, pdfs, state):
+    """Keep the latest pre-tip price of every open line of a bucket's games; emit the lines of
+    a game once when the event-time watermark passes its tip-off, then drop them."""
+    watermark = state.getCurrentWatermarkMs()
+    held = held_lines(state.get if state.exists else None)
+    lines = latest_lines(held, iter(()) if state.hasTimedOut else pdfs)
+    due = (lines["tip_ms"] < watermark) | (lines["new"] & (lines["tip_ms"] <= watermark))
+    out, rest = lines[due], lines[~due]
+    if len(rest):
+        state.update(as_state(rest))
+        state.setTimeoutTimestamp(max(int(rest["tip_ms"].min()), watermark))
+    elif state.exists:
         state.remove()
-        yield emit(books, markets, sides, odds, at_us, tip_ms)
-        return
-    frames, tip_ms = [], None
-    if state.exists:
-        books, markets, sides, odds, at_us, snaps, tip_ms = state.get
-        frames.append(pd.DataFrame({"book": list(books), "market": list(markets),
-                                    "side": list(sides), "odds": list(odds),
-                                    "at_us": list(at_us), "snap": list(snaps)}))
-    for pdf in pdfs:
-        at = pdf["captured_at"].astype("datetime64[us]").astype("int64").to_numpy()
-        tip = pdf["_tip"].astype("datetime64[us]").astype("int64").to_numpy()
-        if tip_ms is None and len(tip):
-            tip_ms = int(tip[0]) // 1000
-        keep = at < tip
-        frames.append(pd.DataFrame({"book": pdf["book"].to_numpy()[keep],
-                                    "market": pdf["market"].to_numpy()[keep],
-                                    "side": pdf["side"].to_numpy()[keep],
-                                    "odds": pdf["american_odds"].to_numpy()[keep],
-                                    "at_us": at[keep],
-                                    "snap": pdf["snapshot_id"].to_numpy()[keep]}))
-        frames = [latest(frames)]              # a row per line, whatever the batch brings
-    lines = latest(frames)
-    if lines.empty or tip_ms is None:
-        return
-    last = lines
-    cols = (last["book"].tolist(), last["market"].tolist(), last["side"].tolist(),
-            [int(x) for x in last["odds"]], [int(x) for x in last["at_us"]])
-    if tip_ms <= state.getCurrentWatermarkMs():
-        if state.exists:
-            state.remove()
-        yield emit(*cols, tip_ms)
-        return
-    state.update((*cols, [int(x) for x in last["snap"]], tip_ms))
-    state.setTimeoutTimestamp(tip_ms)
+    if len(out):
+        yield pd.DataFrame({**{c: out[c] for c in LINE_KEYS}, "closing_odds": out["odds"],
+                            "closing_at": pd.to_datetime(out["at_us"], unit="us"),
+                            "tip_at": pd.to_datetime(out["tip_ms"], unit="ms")})
 
 
 def closing_emitter(stream: DataFrame, tipoffs: DataFrame,
                     keys: Sequence[str] = LINE_KEYS) -> DataFrame:
     """Append-mode stream of closing lines, one row per line once the game's tip-off
-    has passed the watermark.  State and timer are per game (the tip-off belongs to
-    the game), holding one row per line of that game."""
+    has passed the watermark.  State is per bucket of games, holding one row per open line;
+    its timer is the bucket's next tip-off."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    tips = tipoffs.select("game_id", F.col("tip_ts").cast("timestamp").alias("_tip"))
-    s = stream.join(tips, "game_id").select(*keys, "american_odds", "captured_at",
-                                            "snapshot_id", "_tip")
-    return s.groupBy("game_id").applyInPandasWithState(
-        _close_game, CLOSE_OUT, CLOSE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return by_bucket(stream, tipoffs, keys).applyInPandasWithState(
+        _close_games, CLOSE_OUT, LINES_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
