@@ -103,3 +103,42 @@ def test_closing_emitter_keeps_a_row_per_line(spark, scratch):
     got = {r.book: r.closing_odds for r in spark.read.parquet(f"{scratch}/out").collect()}
     want = {b: max((r for r in rows if r[2] == b), key=lambda r: r[6])[0] for b in ("b0", "b1")}
     assert got == want
+
+
+def _many_games(spark, src, n=700):
+    """Two prices of each of ``n`` games, a day apart, in two files."""
+    for day in (0, 1):
+        _land(spark, [(day * n + g, g, "b", "h2h", "HOME", 100 + day * (g % 3), hours(24 * day)) for g in range(n)], src)
+    return spark.createDataFrame([(g, hours(200 if g % 2 else 30)) for g in range(n)],
+                                 "game_id long, tip_ts timestamp_ntz")
+
+
+def test_open_lines_are_held_by_bucket(spark, scratch):
+    """One call of the state function works on a bucket of games, not on one line."""
+    n = 700
+    tips = _many_games(spark, f"{scratch}/in", n)
+    with live.rocksdb(spark):
+        os_.run_to_log(live.open_lines(os_.snapshot_stream(spark, f"{scratch}/in", 1), tips),
+                       f"{scratch}/log", f"{scratch}/ck")
+    assert live.state_rows(spark, f"{scratch}/ck") == n
+    held = spark.read.format("statestore").option("stateVarName", live.STATE).load(f"{scratch}/ck")
+    assert held.count() <= os_.GAME_BUCKETS < n
+    got = os_.compact(spark, f"{scratch}/log", list(os_.LINE_KEYS)).collect()
+    assert {r.game_id: r.american_odds for r in got} == {g: 100 + g % 3 for g in range(n)}
+    _land(spark, [(5000, 1, "b", "h2h", "HOME", 1, hours(70))], f"{scratch}/in")     # past the even games' tip-off
+    with live.rocksdb(spark):
+        os_.run_to_log(live.open_lines(os_.snapshot_stream(spark, f"{scratch}/in", 1), tips),
+                       f"{scratch}/log", f"{scratch}/ck")
+    assert live.state_rows(spark, f"{scratch}/ck") == n // 2
+
+
+def test_closing_lines_are_held_by_bucket(spark, scratch):
+    n = 700
+    tips = _many_games(spark, f"{scratch}/in", n)
+    _land(spark, [(5000, 1, "b", "h2h", "HOME", 1, hours(70))], f"{scratch}/in")
+    os_.run_append(os_.closing_emitter(os_.snapshot_stream(spark, f"{scratch}/in", 1), tips),
+                   f"{scratch}/out", f"{scratch}/ck")
+    got = spark.read.parquet(f"{scratch}/out").collect()
+    assert sorted((r.game_id, r.closing_odds) for r in got) == [(g, 100 + g % 3) for g in range(0, n, 2)]
+    held = spark.read.format("statestore").load(f"{scratch}/ck")
+    assert held.count() <= os_.GAME_BUCKETS
