@@ -1,6 +1,7 @@
 """Second-order boosted trees on histograms.
 
-Features are cut into bins once.  Each level of a tree is one aggregate: every task adds up
+Features are cut into bins once and written as blocks of rows, a byte per bin, so that a pass
+hands whole arrays to the tasks.  Each level of a tree is one aggregate: every task adds up
 gradients and hessians per (node, feature, bin) of its rows, Spark sums the partial
 histograms, and the driver picks the best cut of every node from at most 2^depth x features x
 bins sums.  The margins of the rows come from the trees so far, from a written table that is
@@ -21,8 +22,9 @@ from pyspark.sql import functions as F
 
 from scoreline.sources.scratch import Tables
 
-BINS = 64
+BINS = 64          # at most 256: a bin is a byte
 RENEW = 25
+BLOCK = 1 << 16    # rows of one block
 REDUCERS = 8       # tasks that add up the partial histograms
 
 
@@ -66,13 +68,18 @@ class Tree:
     leaf: np.ndarray
 
     def walk(self, x: np.ndarray, cuts: np.ndarray, levels: int) -> np.ndarray:
-        """Node of every row after some levels (counted inside the level)."""
-        node = np.zeros(len(x), dtype=np.int64)
-        for _ in range(levels):
-            f = self.feature[node]
-            right = (f >= 0) & (x[np.arange(len(x)), np.maximum(f, 0)] > cuts[node])
-            node = 2 * node + 1 + right
-        return node - (2 ** levels - 1)
+        """Node of every row after some levels (counted inside the level).  ``x``: a row per
+        feature."""
+        node = np.zeros(x.shape[1], dtype=np.uint8 if levels <= 8 else np.int64)
+        for level in range(levels):
+            first, right = 2 ** level - 1, np.zeros(x.shape[1], dtype=bool)
+            for i in range(2 ** level):
+                f = self.feature[first + i]
+                if f >= 0:
+                    over = x[f] > cuts[first + i]
+                    right |= over & (node == i) if level else over
+            node = 2 * node + right
+        return node
 
 
 @dataclass
@@ -84,7 +91,8 @@ class Booster:
     valid_loss: list[float] = field(default_factory=list)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
+        x = np.ascontiguousarray(x.T)
+        out = np.full(x.shape[1], self.base)
         for t in self.trees:
             out += t.leaf[t.walk(x, t.cut, _depth(t))]
         return out
@@ -93,7 +101,7 @@ class Booster:
         """Probability of the target, from the feature columns."""
         @F.arrow_udf("double")
         def p(*cols: pa.Array) -> pa.Array:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols])
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in cols]).T
             return pa.array(1.0 / (1.0 + np.exp(-self.margin(x))))
         return p(*[F.col(c).cast("double") for c in self.features])
 
@@ -111,8 +119,22 @@ def _uniform(ids: np.ndarray, tree: int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) / 2.0 ** 53
 
 
-def _matrix(col: pa.Array, d: int) -> np.ndarray:
-    return col.flatten().to_numpy().reshape(-1, d)
+STATE = "id binary, train binary, y binary, x binary, margin binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Blocks of rows: ids, whether they train, targets, bins (a row per feature), margins."""
+    for batch in batches:
+        for row in zip(*batch.columns):
+            ids, train, y, x, margin = (np.frombuffer(c.as_buffer(), t) for c, t in zip(
+                row, (np.int64, bool, np.float64, np.uint8, np.float64)))
+            yield ids, train, y, x.reshape(d, -1), margin
+
+
+def _written(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    for block in blocks:
+        yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in block],
+                                         names=["id", "train", "y", "x", "margin"])
 
 
 LOSS, WEIGHT = -1, -2          # slots of the validation loss and its rows
@@ -127,23 +149,21 @@ def _histogram(booster: Booster, from_tree: int, tree: Tree, level: int, number:
         size = 2 ** level * d * bins
         g_all, h_all = np.zeros(size), np.zeros(size)
         loss = weight = 0.0
-        for batch in batches:
-            ids, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            y, x = batch.column(2).to_numpy(), _matrix(batch.column(3), d)
-            margin = batch.column(4).to_numpy().copy()
-            for t in booster.trees[from_tree:]:
-                margin += t.leaf[t.walk(x, t.bin, _depth(t))]
+        for ids, train, y, x, margin in _blocks(batches, d):
+            margin = _grown(booster, from_tree, x, margin)
             if level == 0:
                 m = margin[~train]
                 loss += float((np.logaddexp(0.0, m) - y[~train] * m).sum())
                 weight += len(m)
             at = np.flatnonzero(train & (_uniform(ids, number) < params.rows))
             p = 1.0 / (1.0 + np.exp(-margin[at]))
-            node = tree.walk(x[at], tree.bin, level)
+            x, g, h = x[:, at], p - y[at], p * (1 - p)
+            node = tree.walk(x, tree.bin, level).astype(np.int64) * bins
             for f in used:
-                slot = (node * d + f) * bins + x[at, f]
-                g_all += np.bincount(slot, weights=p - y[at], minlength=size)
-                h_all += np.bincount(slot, weights=p * (1 - p), minlength=size)
+                slot = node + x[f]
+                for total, weights in ((g_all, g), (h_all, h)):
+                    total.reshape(-1, d, bins)[:, f] += np.bincount(
+                        slot, weights=weights, minlength=2 ** level * bins).reshape(-1, bins)
         slots = np.flatnonzero(h_all)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(slots, [LOSS, WEIGHT])), pa.array(np.append(g_all[slots], [loss, weight])),
@@ -202,17 +222,17 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
     booster.base = float(np.log(prior / (1 - prior)))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.column_stack([np.searchsorted(cuts[i], batch.column(3 + i).to_numpy(), side="left")
-                                 for i in range(d)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2),
-                 pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, d), pa.int32()),
-                                          pa.array(x.ravel())),
-                 pa.array(np.full(len(x), booster.base))], names=["id", "train", "y", "x", "margin"])
-
-    schema = "id long, train boolean, y double, x array<int>, margin double"
-    state = tables.put(rows.mapInArrow(binned, schema))
+        def blocks() -> Iterator[tuple[np.ndarray, ...]]:
+            for table in _gathered(batches):
+                x = np.stack([np.searchsorted(cuts[i], table.column(3 + i).to_numpy(), side="left")
+                              for i in range(d)]).astype(np.uint8)
+                yield (table.column(0).to_numpy().astype(np.int64), table.column(1).to_numpy().astype(bool),
+                       table.column(2).to_numpy(), x, np.full(table.num_rows, booster.base))
+        return _written(blocks())
+
+    if bins > 256:
+        raise ValueError("at most 256 bins")
+    state = tables.put(rows.mapInArrow(binned, STATE))
     state = _kept(state)
     from_tree = 0
     rng = np.random.default_rng(seed)
@@ -258,7 +278,7 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
         else:
             booster.trees.append(tree)
             if len(booster.trees) - from_tree == RENEW:
-                state = _kept(tables.put(state.mapInArrow(_renew(booster, from_tree), schema)), state)
+                state = _kept(tables.put(state.mapInArrow(_renew(booster, from_tree), STATE)), state)
                 from_tree = len(booster.trees)
             continue
         break
@@ -280,15 +300,32 @@ def _kept(state: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return state
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of about ``BLOCK`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= BLOCK:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _grown(booster: Booster, from_tree: int, x: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Margins with the trees from ``from_tree`` on added."""
+    margin = margin.copy()
+    for t in booster.trees[from_tree:]:
+        margin += t.leaf[t.walk(x, t.bin, _depth(t))]
+    return margin
+
+
 def _renew(booster: Booster, from_tree: int):
-    """Task: margins with the trees from ``from_tree`` on added."""
+    """Task: the written table with new margins."""
     d = len(booster.features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, margin = _matrix(batch.column(3), d), batch.column(4).to_numpy().copy()
-            for t in booster.trees[from_tree:]:
-                margin += t.leaf[t.walk(x, t.bin, _depth(t))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(margin)],
-                                             names=batch.schema.names)
+        return _written((ids, train, y, x, _grown(booster, from_tree, x, margin))
+                        for ids, train, y, x, margin in _blocks(batches, d))
     return run

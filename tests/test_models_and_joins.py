@@ -85,6 +85,26 @@ def test_patience_and_renewed_margins(spark, monkeypatch):
     assert constant.trees == [] and constant.base > 5
 
 
+def test_passes_read_blocks_of_rows(spark, monkeypatch):
+    """What a pass over the rows reads is a few blocks, and the walk equals a row's own descent."""
+    _, y, df = table(spark)
+    written, put = [], boost.Tables.put
+    monkeypatch.setattr(boost.Tables, "put", lambda self, d, *done: written.append(put(self, d, *done)) or written[-1])
+    params = boost.Params(trees=3, depth=3, rate=0.3)
+    got = boost.fit(df.coalesce(2), ["a", "b", "c"], "y", F.col("train"), "id", params)
+    assert written[0].count() <= 2 < len(y)
+    x = np.random.default_rng(1).normal(size=(500, 3))
+    for t in got.trees:
+        at = []
+        for row in x:
+            node = 0
+            for _ in range(3):
+                f = t.feature[node]
+                node = 2 * node + 1 + (f >= 0 and row[f] > t.cut[node])
+            at.append(node - 7)
+        assert t.walk(np.ascontiguousarray(x.T), t.cut, 3).tolist() == at
+
+
 # ---------------------------------------------------------------------------- isotonic
 
 @pytest.mark.parametrize("parts, merge", [(8, 2), (1, 16), (7, 3)])
