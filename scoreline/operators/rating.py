@@ -139,8 +139,10 @@ def elo_ratings(games: DataFrame, pool: str | None = None, k: float = K,
     ``pool`` names a column of independent leagues (none: one pool).  Ids and seasons keep
     their type (numbers or text).  ``stats`` receives the rounds and the chunks played."""
     tables = Tables(games.sparkSession, "rating")
+    # a day number orders like its date, and Python's dates end with the year 9999
+    day = F.unix_date("game_date") if games.schema["game_date"].dataType == T.DateType() else F.col("game_date")
     g = tables.put(with_chunks(_pooled(games, pool), chunk_games).select(
-        *CHUNK, "_sord", "game_id", "game_date", "home_team_id", "away_team_id", "home_win"))
+        *CHUNK, "_sord", "game_id", day.alias("game_date"), "home_team_id", "away_team_id", "home_win"))
     team_type = g.schema["home_team_id"].dataType
     span = g.groupBy(*CHUNK).agg(F.min("_sord").alias("_from"), F.max("_sord").alias("_to"))
     start = tables.put(g.select(*CHUNK, F.explode(F.array("home_team_id", "away_team_id"))

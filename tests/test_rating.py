@@ -108,6 +108,17 @@ def test_only_moved_chunks_are_played_again(spark):
     assert many["rounds"] <= chunks and many["chunks_played"] < many["rounds"] * chunks
 
 
+def test_dates_beyond_python(spark):
+    """A long calendar (6 games a day, 18 million games) passes the year 9999."""
+    games = fx.fx_games(spark, SF_CHECK).where("season <= 2021")
+    late = games.withColumn("game_date", F.date_add("game_date", 3_000_000))
+    want = {r.game_id: r.home_elo for r in rating.elo_ratings(games).collect()}
+    for form in (rating.elo_ratings, rating.elo_relaxed):
+        got = {r.game_id: r.home_elo for r in form(late).collect()}
+        assert got.keys() == want.keys()
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-6) for i in want)
+
+
 def test_independent_pools(spark):
     games = fx.fx_games(spark, SF_CHECK).filter(F.col("season") == 2020)
     two = games.withColumn("league", F.lit("a")).unionByName(
