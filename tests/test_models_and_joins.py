@@ -181,6 +181,47 @@ def test_folds_equal_refits(spark):
     assert backtest.fit_folds(one, ["a", "b"])[0].count() == 0
 
 
+def test_folds_share_passes(spark, monkeypatch):
+    """Late folds are solved from sums of the loss's expansion that a group of them shares, within
+    the tolerance of their refits; few folds take Newton steps of their own."""
+    rng = np.random.default_rng(11)
+    seasons, n = 60, 600
+    x = rng.standard_normal((seasons * n, 2))
+    x[:, 1] += x[:, 0]
+    y = (rng.random(len(x)) < 1 / (1 + np.exp(-(0.3 + 0.8 * x[:, 0] - 0.2 * x[:, 1])))).astype(int)
+    df = spark.createDataFrame(
+        [(2000 + i // n, dt.date(2000 + i // n, 1, 1), int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(len(x))],
+        "season int, game_date date, home_win int, a double, b double").repartition(5)
+    own, newton = [], backtest._newton
+    monkeypatch.setattr(backtest, "_newton", lambda design, beta, folds, penalty: own.extend(folds) or newton(
+        design, beta, folds, penalty))
+    monkeypatch.setattr(backtest, "OWN_FOLDS", 6)
+    monkeypatch.setattr(backtest, "LADDER", 1.4)
+    monkeypatch.setattr(backtest, "NEWTON_TOL", 1e-6)
+    monkeypatch.setattr(backtest, "SEASON_ROWS", 200)        # a season lies in several tasks
+    _, fit = backtest.fit_folds(df, ["a", "b"])
+    assert fit["converged"] == seasons - 1
+    assert len(own) == len(set(own)) < (seasons - 1) // 2
+    design = np.column_stack([np.ones(len(x)), (x - fit["mean"]) / fit["scale"]])
+    pen = np.diag([0.0, backtest.RIDGE, backtest.RIDGE])
+    for f in range(seasons - 1):
+        z, t, beta = design[:(f + 1) * n], y[:(f + 1) * n], np.zeros(3)
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-z @ beta))
+            beta += np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + pen, z.T @ (t - p) - pen @ beta)
+        assert np.abs(fit["weights"][:, f] - beta).max() <= 1e-6
+
+
+def test_folds_of_a_constant_outcome_end(spark):
+    """Weights without a limit are reported as not converged, folds of their own or shared."""
+    rows = [(2000 + i // 8, dt.date(2000 + i // 8, 1, 1), 1, float(i % 3), 0.5) for i in range(8 * 80)]
+    df = spark.createDataFrame(rows, "season int, game_date date, home_win int, a double, elo_exp_home double")
+    scored, fit = backtest.fit_folds(df, ["a"])
+    assert fit["weights"].shape == (2, 79) and scored.count() == 8 * 79
+    assert np.isfinite(fit["weights"]).all()
+    assert fit["converged"] < 79
+
+
 # ---------------------------------------------------------------------------- as of
 
 @pytest.mark.parametrize("strict", [False, True])
