@@ -70,15 +70,18 @@ class Tree:
     def walk(self, x: np.ndarray, cuts: np.ndarray, levels: int) -> np.ndarray:
         """Node of every row after some levels (counted inside the level).  ``x``: a row per
         feature."""
-        node = np.zeros(x.shape[1], dtype=np.uint8 if levels <= 8 else np.int64)
+        n = x.shape[1]
+        node, taken = np.zeros(n, dtype=np.uint8 if levels <= 8 else np.int64), []
         for level in range(levels):
-            first, right = 2 ** level - 1, np.zeros(x.shape[1], dtype=bool)
-            for i in range(2 ** level):
-                f = self.feature[first + i]
-                if f >= 0:
-                    over = x[f] > cuts[first + i]
-                    right |= over & (node == i) if level else over
-            node = 2 * node + right
+            first = 2 ** level - 1
+            at = slice(first, 2 * first + 1)
+            # plain numbers: bytes are compared as bytes
+            right = [x[f] > cut if f >= 0 else np.zeros(n, dtype=bool)
+                     for f, cut in zip(self.feature[at], cuts[at].tolist())]
+            for turn in reversed(taken):     # of two neighbours, the one that the row's last turn led to
+                right = [a ^ (turn & (a ^ b)) for a, b in zip(right[::2], right[1::2])]
+            taken.append(right[0])
+            node = 2 * node + right[0]
         return node
 
 
@@ -94,7 +97,7 @@ class Booster:
         x = np.ascontiguousarray(x.T)
         out = np.full(x.shape[1], self.base)
         for t in self.trees:
-            out += t.leaf[t.walk(x, t.cut, _depth(t))]
+            out += t.leaf.take(t.walk(x, t.cut, _depth(t)))
         return out
 
     def probability(self) -> Column:
@@ -140,17 +143,16 @@ def _written(blocks: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatc
 LOSS, WEIGHT = -1, -2          # slots of the validation loss and its rows
 
 
-def _histogram(booster: Booster, from_tree: int, tree: Tree, level: int, number: int, params: Params,
-               used: np.ndarray, bins: int):
-    """Task: sums per (node of the level, feature, bin) as (slot, g, h)."""
-    d = len(booster.features)
-
+def _histogram(trees: Sequence[Tree], tree: Tree, level: int, number: int, params: Params,
+               used: np.ndarray, d: int, bins: int):
+    """Task: sums per (node of the level, feature, bin) as (slot, g, h).  ``trees``: those that the
+    written margins lack."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 2 ** level * d * bins
         g_all, h_all = np.zeros(size), np.zeros(size)
         loss = weight = 0.0
         for ids, train, y, x, margin in _blocks(batches, d):
-            margin = _grown(booster, from_tree, x, margin)
+            margin = _grown(trees, x, margin)
             if level == 0:
                 m = margin[~train]
                 loss += float((np.logaddexp(0.0, m) - y[~train] * m).sum())
@@ -244,8 +246,8 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
         used = np.sort(rng.permutation(d)[:max(1, int(params.columns * d))])
         for level in range(params.depth):
             with _small_sums(data.sparkSession):
-                sums = state.mapInArrow(_histogram(booster, from_tree, tree, level, number, params, used, bins),
-                                        "slot long, g double, h double").groupBy("slot").agg(
+                sums = state.mapInArrow(_histogram(booster.trees[from_tree:], tree, level, number, params, used,
+                                                   d, bins), "slot long, g double, h double").groupBy("slot").agg(
                     F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
             slot, gs, hs = (sums[c].to_numpy() for c in ("slot", "g", "h"))
             if level == 0:
@@ -278,7 +280,7 @@ def fit(data: DataFrame, features: Sequence[str], target: str, train: Column, ke
         else:
             booster.trees.append(tree)
             if len(booster.trees) - from_tree == RENEW:
-                state = _kept(tables.put(state.mapInArrow(_renew(booster, from_tree), STATE)), state)
+                state = _kept(tables.put(state.mapInArrow(_renew(booster.trees[from_tree:], d), STATE)), state)
                 from_tree = len(booster.trees)
             continue
         break
@@ -313,19 +315,17 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _grown(booster: Booster, from_tree: int, x: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """Margins with the trees from ``from_tree`` on added."""
+def _grown(trees: Sequence[Tree], x: np.ndarray, margin: np.ndarray) -> np.ndarray:
+    """Margins with some trees added."""
     margin = margin.copy()
-    for t in booster.trees[from_tree:]:
-        margin += t.leaf[t.walk(x, t.bin, _depth(t))]
+    for t in trees:
+        margin += t.leaf.take(t.walk(x, t.bin, _depth(t)))
     return margin
 
 
-def _renew(booster: Booster, from_tree: int):
+def _renew(trees: Sequence[Tree], d: int):
     """Task: the written table with new margins."""
-    d = len(booster.features)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _written((ids, train, y, x, _grown(booster, from_tree, x, margin))
+        return _written((ids, train, y, x, _grown(trees, x, margin))
                         for ids, train, y, x, margin in _blocks(batches, d))
     return run

@@ -105,6 +105,33 @@ def test_passes_read_blocks_of_rows(spark, monkeypatch):
         assert t.walk(np.ascontiguousarray(x.T), t.cut, 3).tolist() == at
 
 
+def test_tasks_get_the_trees_that_margins_lack(spark, monkeypatch):
+    """A pass walks the trees since the margins were written, not all so far."""
+    _, _, df = table(spark)
+    seen, histogram = [], boost._histogram
+    monkeypatch.setattr(boost, "RENEW", 4)
+    monkeypatch.setattr(boost, "_histogram", lambda trees, *a: seen.append(len(trees)) or histogram(trees, *a))
+    got = boost.fit(df, ["a", "b", "c"], "y", F.col("train"), "id", boost.Params(trees=10, depth=1, rate=0.1))
+    assert seen == [i % 4 for i in range(11)] and len(got.trees) > 4
+
+
+def test_walk_of_bytes_equals_a_descent():
+    """Trees of several depths, nodes without a cut among them, over bytes up to 255."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 256, (3, 400)).astype(np.uint8)
+    for depth in (0, 1, 2, 4):
+        inner = 2 ** depth - 1
+        t = boost.Tree(rng.integers(-1, 3, inner), rng.integers(0, 255, inner), np.zeros(inner), np.zeros(2 ** depth))
+        got = t.walk(x, t.bin, depth)
+        assert got.dtype == np.uint8
+        for i in range(x.shape[1]):
+            node = 0
+            for _ in range(depth):
+                f = t.feature[node]
+                node = 2 * node + 1 + int(f >= 0 and x[f, i] > t.bin[node])
+            assert got[i] == node - inner
+
+
 # ---------------------------------------------------------------------------- isotonic
 
 @pytest.mark.parametrize("parts, merge", [(8, 2), (1, 16), (7, 3)])
