@@ -25,14 +25,15 @@ from scoreline.sources.scratch import Tables
 BINS = 64          # at most 256: a bin is a byte
 RENEW = 25
 BLOCK = 1 << 16    # rows of one block
-REDUCERS = 8       # tasks that add up the partial histograms
+CORES = 32         # cores whose partial histograms one task adds up, about
 
 
 @contextmanager
 def _small_sums(spark: SparkSession):
     """Some hundred aggregates with a few thousand result rows each: planned without
     re-planning and added up by few tasks."""
-    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(REDUCERS)}
+    reducers = max(2, spark.sparkContext.defaultParallelism // CORES)
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(reducers)}
     before = {k: spark.conf.get(k) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
@@ -84,6 +85,14 @@ class Tree:
             node = 2 * node + right[0]
         return node
 
+    def by_turns(self) -> np.ndarray:
+        """Leaf value of a row by its turns at all inner nodes (bit i: right at node i)."""
+        inner = len(self.feature)
+        turns, node = np.arange(2 ** inner), np.zeros(2 ** inner, np.int64)
+        for _ in range(_depth(self)):
+            node = 2 * node + 1 + (turns >> node & 1)
+        return self.leaf[node - inner]
+
 
 @dataclass
 class Booster:
@@ -151,15 +160,18 @@ def _histogram(trees: Sequence[Tree], tree: Tree, level: int, number: int, param
         size = 2 ** level * d * bins
         g_all, h_all = np.zeros(size), np.zeros(size)
         loss = weight = 0.0
+        grown = _walked(trees)
         for ids, train, y, x, margin in _blocks(batches, d):
-            margin = _grown(trees, x, margin)
             if level == 0:
-                m = margin[~train]
-                loss += float((np.logaddexp(0.0, m) - y[~train] * m).sum())
+                held = np.flatnonzero(~train)
+                m = grown(x.take(held, axis=1), margin[held])
+                loss += float((np.logaddexp(0.0, m) - y[held] * m).sum())
                 weight += len(m)
+            # only rows that the pass counts are walked
             at = np.flatnonzero(train & (_uniform(ids, number) < params.rows))
-            p = 1.0 / (1.0 + np.exp(-margin[at]))
-            x, g, h = x[:, at], p - y[at], p * (1 - p)
+            x = x.take(at, axis=1)
+            p = 1.0 / (1.0 + np.exp(-grown(x, margin[at])))
+            g, h = p - y[at], p * (1 - p)
             node = tree.walk(x, tree.bin, level).astype(np.int64) * bins
             for f in used:
                 slot = node + x[f]
@@ -315,17 +327,32 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _grown(trees: Sequence[Tree], x: np.ndarray, margin: np.ndarray) -> np.ndarray:
-    """Margins with some trees added."""
-    margin = margin.copy()
-    for t in trees:
-        margin += t.leaf.take(t.walk(x, t.bin, _depth(t)))
-    return margin
+def _walked(trees: Sequence[Tree]):
+    """A function (bins, margins) -> margins with the trees added.  A row's turns at all inner nodes
+    of a tree make a byte that looks up its leaf; trees of more than 3 levels are walked."""
+    lookups = [(t, t.by_turns() if _depth(t) <= 3 else None) for t in trees]
+
+    def grown(x: np.ndarray, margin: np.ndarray) -> np.ndarray:
+        margin, n = margin.copy(), len(margin)
+        turn, turns = np.empty(n, dtype=bool), np.empty(n, dtype=np.uint8)
+        for t, leaves in lookups:
+            if leaves is None:
+                margin += t.leaf.take(t.walk(x, t.bin, _depth(t)))
+                continue
+            turns[:] = 0
+            for f, cut in zip(t.feature[::-1].tolist(), t.bin[::-1].tolist()):
+                np.add(turns, turns, out=turns)
+                if f >= 0:
+                    np.bitwise_or(turns, np.greater(x[f], cut, out=turn).view(np.uint8), out=turns)
+            margin += leaves.take(turns)
+        return margin
+    return grown
 
 
 def _renew(trees: Sequence[Tree], d: int):
     """Task: the written table with new margins."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _written((ids, train, y, x, _grown(trees, x, margin))
+        grown = _walked(trees)
+        return _written((ids, train, y, x, grown(x, margin))
                         for ids, train, y, x, margin in _blocks(batches, d))
     return run

@@ -8,6 +8,7 @@ matching statement in ``scoreline.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,11 +229,33 @@ def full_form(spark: SparkSession, sf_dir: str, games: DataFrame | None = None)
     return form.team_form(pairing.explode_sides(g))
 
 
-def features_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+class Inputs(NamedTuple):
+    """Paired games, their form rows and their ratings, each materialised once: the feature frame
+    and the latest form read the same tables."""
+
+    games: DataFrame
+    form: DataFrame
+    elo: DataFrame
+
+
+def model_inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    g = games_shared(spark, sf_dir)
+    rows = full_form(spark, sf_dir, g).select("game_date", *form.FORM_COLUMNS).checkpoint()
+    return Inputs(g, rows, game_elo(spark, sf_dir, g))
+
+
+def features_of(spark: SparkSession, sf_dir: str, inputs: Inputs | None = None) -> DataFrame:
+    if inputs is not None:
+        return features.feature_frame(*inputs)
     g = games_shared(spark, sf_dir)
     return features.feature_frame(g, full_form(spark, sf_dir, g), game_elo(spark, sf_dir, g))
 
 
+def split_of(spark: SparkSession, sf_dir: str, inputs: Inputs | None = None) -> DataFrame:
+    """The feature frame cut by position; materialised before the cut, which reads it in two branches."""
+    return features.time_split(features_of(spark, sf_dir, inputs).checkpoint())
+
+
 @register("feature_frame")
 def q_feature_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features_of(spark, sf_dir))
@@ -245,14 +268,14 @@ def q_latest_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("time_split")
 def q_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.time_split(features_of(spark, sf_dir)).select(
+    return split_of(spark, sf_dir).select(
         "game_id", "game_date", "pos", "split")
 
 
 def scored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, y, p): document scores, and the rating expectation on the held-out games."""
     docs = fx.fx_scores(spark, sf_dir).select(F.lit("doc_score").alias("model"), "y", "p")
-    test = features.time_split(features_of(spark, sf_dir)).filter(F.col("split") == "test")
+    test = split_of(spark, sf_dir).filter(F.col("split") == "test")
     elo = test.select(F.lit("elo_baseline").alias("model"), F.col("home_win").alias("y"),
                       F.col("elo_exp_home").alias("p"))
     # (model, y, p) feeds the metric, AUC and quantile branches: materialise once
@@ -275,9 +298,9 @@ def q_isotonic_calibrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.isotonic_calibrate(s, s).select("doc_id", "y", "p", "p_cal"))
 
 
-def fitted_model(spark: SparkSession, sf_dir: str):
+def fitted_model(spark: SparkSession, sf_dir: str, inputs: Inputs | None = None):
     """Model and split of this input (fitted by each query that needs it)."""
-    split = features.time_split(features_of(spark, sf_dir)).checkpoint()
+    split = split_of(spark, sf_dir, inputs).checkpoint()
     return model.fit(split), split
 
 
@@ -380,7 +403,10 @@ def upcoming(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -
         g.select("game_id", "home_team_id", "away_team_id"), "game_id")
 
 
-def latest_of(spark: SparkSession, sf_dir: str, games: DataFrame | None = None) -> DataFrame:
+def latest_of(spark: SparkSession, sf_dir: str, games: DataFrame | None = None,
+              inputs: Inputs | None = None) -> DataFrame:
+    if inputs is not None:
+        return features.latest_form(inputs.form, inputs.games, inputs.elo)
     g = games if games is not None else games_shared(spark, sf_dir)
     return features.latest_form(full_form(spark, sf_dir, g), g, game_elo(spark, sf_dir, g))
 
@@ -388,9 +414,9 @@ def latest_of(spark: SparkSession, sf_dir: str, games: DataFrame | None = None)
 @register("score_matchups")
 def q_score_matchups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Future matchups scored by the calibrated trees from latest form and ratings."""
-    m, _ = fitted_model(spark, sf_dir)
-    g = games_shared(spark, sf_dir)
-    x = features.matchup_features(upcoming(spark, sf_dir, g), latest_of(spark, sf_dir, g))
+    inputs = model_inputs(spark, sf_dir)
+    m, _ = fitted_model(spark, sf_dir, inputs)
+    x = features.matchup_features(upcoming(spark, sf_dir, inputs.games), latest_of(spark, sf_dir, inputs=inputs))
     return model.score(m, x).select("game_id", "home_team_id", "away_team_id",
                                     "elo_exp_home", "raw_prob", "model_prob")
 
@@ -422,7 +448,7 @@ def q_board_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out games with the rating probability as the model and a market that ignores
     home advantage."""
-    test = features.time_split(features_of(spark, sf_dir)).filter(F.col("split") == "test")
+    test = split_of(spark, sf_dir).filter(F.col("split") == "test")
     return test.select("game_id", "game_date", "home_team_id", "away_team_id", "home_win",
                        F.col("elo_exp_home").alias("p_model"),
                        fo.elo_expected(F.col("elo_diff") - rating.HOME_ADV, F.lit(0.0))
@@ -759,9 +785,9 @@ def q_walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_boards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The live board and the held-out sample, both scored by the calibrated trees."""
-    m, split = fitted_model(spark, sf_dir)
-    g = games_shared(spark, sf_dir)
-    x = features.matchup_features(upcoming(spark, sf_dir, g), latest_of(spark, sf_dir, g))
+    inputs = model_inputs(spark, sf_dir)
+    m, split = fitted_model(spark, sf_dir, inputs)
+    x = features.matchup_features(upcoming(spark, sf_dir, inputs.games), latest_of(spark, sf_dir, inputs=inputs))
     scored = model.score(m, x).select("game_id", "home_team_id", "away_team_id",
                                       F.col("model_prob").alias("p_home"))
     two_way = prices.two_way(prices.latest_lines(fx.fx_odds_snapshots(spark, sf_dir)))

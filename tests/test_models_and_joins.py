@@ -132,6 +132,70 @@ def test_walk_of_bytes_equals_a_descent():
             assert got[i] == node - inner
 
 
+def test_lookups_by_turns_equal_walks():
+    """Leaves looked up by all turns of a row are those of its descent, also in deeper trees."""
+    rng = np.random.default_rng(5)
+    x, start = rng.integers(0, 256, (3, 500)).astype(np.uint8), rng.normal(size=500)
+    trees = []
+    for depth in (0, 1, 2, 3, 3, 4):
+        inner = 2 ** depth - 1
+        trees.append(boost.Tree(rng.integers(-1, 3, inner), rng.integers(0, 255, inner), np.zeros(inner),
+                                rng.normal(size=2 ** depth)))
+    want = start.copy()
+    for t in trees:
+        want += t.leaf.take(t.walk(x, t.bin, len(t.leaf).bit_length() - 1))
+    assert np.array_equal(boost._walked(trees)(x, start), want)
+    assert boost._walked(trees)(x[:, :0], start[:0]).shape == (0,)
+
+
+def test_passes_walk_only_the_rows_they_count(spark, monkeypatch):
+    """Lower levels add the missing trees to the sampled training rows alone."""
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    n, d = 1000, 3
+    block = (np.arange(n), np.arange(n) % 4 > 0, (np.arange(n) % 3 == 0).astype(float),
+             rng.integers(0, 16, (d, n)).astype(np.uint8), rng.normal(size=n))
+    walked, whole = [], boost._walked
+    monkeypatch.setattr(boost, "_walked", lambda trees: lambda x, m: walked.append(len(m)) or whole(trees)(x, m))
+    tree = boost.Tree(np.zeros(7, np.int64), np.full(7, 8), np.zeros(7), rng.normal(size=8))
+    params, sums = boost.Params(rows=0.5), []
+    for level in (0, 1):
+        task = boost._histogram([tree], tree, level, 0, params, np.arange(d), d, 16)
+        sums.append(pa.Table.from_batches(task(boost._written(iter([block])))).to_pandas().set_index("slot"))
+    drawn = block[1] & (boost._uniform(block[0], 0) < 0.5)
+    assert walked == [250, drawn.sum(), drawn.sum()]
+    margin = whole([tree])(block[3], block[4])
+    p = 1 / (1 + np.exp(-margin))
+    for s in sums:
+        own = s[s.index >= 0]
+        assert math.isclose(own.g.sum(), d * (p - block[2])[drawn].sum(), abs_tol=1e-9)
+        assert math.isclose(own.h.sum(), d * (p * (1 - p))[drawn].sum(), abs_tol=1e-9)
+    held = ~block[1]
+    loss = (np.logaddexp(0, margin) - block[2] * margin)[held].sum()
+    assert math.isclose(sums[0].g[boost.LOSS], loss) and sums[0].g[boost.WEIGHT] == 250
+
+
+def test_matchups_share_the_inputs_of_the_fit(spark, monkeypatch):
+    """Games, form and ratings are built once for the fit and the latest form, with the same rows."""
+    from scoreline import registry
+    from tests.conftest import SF_SMALL
+
+    built = {"elo_ratings": 0, "team_form": 0, "fx_games": 0}
+    for module, name in ((registry.rating, "elo_ratings"), (registry.form, "team_form"), (registry.fx, "fx_games")):
+        def counted(*a, _f=getattr(module, name), _n=name, **k):
+            built[_n] += 1
+            return _f(*a, **k)
+        monkeypatch.setattr(module, name, counted)
+    fit = registry.model.fit
+    monkeypatch.setattr(registry.model, "fit", lambda split: fit(split, params=boost.Params(trees=2)))
+    got = registry.q_score_matchups(spark, SF_SMALL).collect()
+    assert built == {"elo_ratings": 1, "team_form": 1, "fx_games": 1}
+    g = registry.games_shared(spark, SF_SMALL)
+    want = registry.features.matchup_features(registry.upcoming(spark, SF_SMALL, g), registry.latest_of(spark, SF_SMALL, g))
+    assert sorted((r.game_id, r.elo_exp_home) for r in got) == sorted(
+        (r.game_id, r.elo_exp_home) for r in want.collect()) and got
+
+
 # ---------------------------------------------------------------------------- isotonic
 
 @pytest.mark.parametrize("parts, merge", [(8, 2), (1, 16), (7, 3)])
